@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.operators.graph import connected_components
 from gridloom.plans.scratch import materialise
@@ -59,15 +59,15 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big")
 
 
-def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """``(id, fp)`` with the fingerprint as a signed long."""
+def simhash_of(text_col: str, words: int = SHINGLE_WORDS) -> Column:
+    """Column expression: the fingerprint as a signed long."""
 
     @F.pandas_udf("long")
     def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("fp"))
+    return simhash(F.col(text_col))
 
 
 def _halves(fps: DataFrame) -> DataFrame:
@@ -112,26 +112,40 @@ def link_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS, dense: int = DEN
     return a.join(b, ["half", "cell"]).where(met).select("src", "dst").union(hubs)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """``(<id_col>, fingerprint, component_id)``: 16 hex digits, and the smallest id reachable over links."""
-    marked = materialise(with_fingerprint(docs, id_col, text_col, words), "fingerprints")
+def _row_key(docs: DataFrame, id_col: str, text_col: str) -> tuple:
+    """Non-null values that rows share only if their ids and texts are equal."""
+    return F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, max_bits: int) -> DataFrame:
+    """``(id, k, th, fp, component_id)`` for each row."""
+    k, th = _row_key(docs, id_col, text_col)
+    keyed = docs.select(F.col(id_col).alias("id"), k.alias("k"), th.alias("th"), F.col(text_col).alias("text"))
+    marked = materialise(keyed.select("id", "k", "th", simhash_of("text", words).alias("fp")), "fingerprints")
     fps = marked.groupBy("fp").agg(F.min("id").alias("least"))
     groups = connected_components(link_fingerprints(fps, max_bits)).withColumnRenamed("node", "fp")
     named = fps.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    lookup = named.join(least, "component").select("fp", "component_id")
-    return marked.join(lookup, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    lookup = named.join(least, "component").select("fp", "component", "component_id")
+    return marked.join(lookup, "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """``(<id_col>, fingerprint, component_id)``: 16 hex digits, and the smallest id reachable over links."""
+    rows = _grouped(docs, id_col, text_col, words, max_bits)
+    return rows.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row left of every near-duplicate group: that with the smallest id.
 
-    Where the smallest id is repeated, the row with the smallest text hash stays, one of it
-    if the rows are equal.  Rows with a null id form no group of their own: they stay if
-    nothing else in their group has an id, one for each distinct text.
+    A null id counts as larger than any other; rows that tie are settled by their text's
+    hash, and of repeated rows (same id and text) one stays.
     """
-    groups = near_duplicates(docs, id_col, text_col).distinct()
-    winners = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
-    left = docs.join(winners, docs[id_col].eqNullSafe(winners["_id"]), "left_semi")
-    once = F.coalesce(F.col(id_col).cast("string"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    return left.withColumn("_key", once).dropDuplicates(["_key"]).drop("_key")
+    rows = _grouped(docs, id_col, text_col, words, max_bits)
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "th", "k")
+    best = rows.groupBy("component").agg(F.min(first).alias("b")).select(F.col("b.k").alias("_k"), F.col("b.th").alias("_th"))
+    k, th = _row_key(docs, id_col, text_col)
+    # The join leaves rows dealt by (_k, _th), so dropping repeats needs no further shuffle.
+    kept = docs.withColumns({"_k": k, "_th": th}).join(best, ["_k", "_th"])
+    return kept.dropDuplicates(["_k", "_th"]).select(*docs.columns)
