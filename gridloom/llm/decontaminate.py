@@ -188,22 +188,27 @@ def _judge(item: Item, aligned: dict[int, dict[int, str]], starts: dict[int, set
 _LEAK = "item long, matched int, total int, slots int, changed int"
 
 
-def _scan_broadcast(table, items, lengths):
-    keys, owners = table  # hash -> [(item, at)]
-    ordered = np.sort(np.fromiter(keys, np.uint64, len(keys)))
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, Templates]]:
+    """(ids, templates) of a few MB of text at a time; one lexicon serves all, started anew when full."""
+    lexicon = Lexicon()
+    for x in batches:
+        ids, texts, at = x["id"].tolist(), x["text"].tolist(), 0
+        while at < len(texts):
+            stop, chars = at, 0
+            while stop < len(texts) and (chars == 0 or chars < _CHUNK_CHARS):
+                chars += len(texts[stop] or "")
+                stop += 1
+            lexicon = lexicon.trimmed()
+            yield ids[at:stop], Templates(texts[at:stop], lexicon)
+            at = stop
+
+
+def _scan_broadcast(owners, items, lengths):
+    ordered = np.sort(np.fromiter(owners, np.uint64, len(owners)))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = Lexicon()
-        for x in batches:
-            ids, texts, at = x["id"].tolist(), x["text"].tolist(), 0
-            while at < len(texts):
-                stop, chars = at, 0
-                while stop < len(texts) and (chars == 0 or chars < _CHUNK_CHARS):
-                    chars += len(texts[stop] or "")
-                    stop += 1
-                lexicon = lexicon.trimmed()
-                yield pd.DataFrame(_hits(ids[at:stop], Templates(texts[at:stop], lexicon), ordered, owners, items, lengths), columns=["id", "item", "matched", "total", "slots", "changed"])
-                at = stop
+        for ids, t in _chunks(batches):
+            yield pd.DataFrame(_hits(ids, t, ordered, owners, items, lengths), columns=["id", "item", "matched", "total", "slots", "changed"])
 
     return scan
 
@@ -240,24 +245,23 @@ def _by_broadcast(docs: DataFrame, windows: DataFrame, bench: list) -> DataFrame
     lengths = sorted({it.length for it in items.values() if it.total})
     if not owners:
         return docs.sparkSession.createDataFrame([], "id long, " + _LEAK)
-    return docs.mapInPandas(_scan_broadcast((owners.keys(), dict(owners)), items, lengths), "id long, " + _LEAK)
+    return docs.mapInPandas(_scan_broadcast(dict(owners), items, lengths), "id long, " + _LEAK)
 
 
 def _by_shuffle(docs: DataFrame, windows: DataFrame, bench: DataFrame) -> DataFrame:
     lengths = [r["length"] for r in windows.select("length").distinct().collect()]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            lexicon = Lexicon()
-            for i, text in zip(x["id"], x["text"]):
-                t = Templates([text], lexicon.trimmed())
-                for n in lengths:
-                    at, h = t.windows(n)
-                    kinds = [(a, k) for a, k in enumerate(t.kind.tolist()) if k != WORD]
-                    places = np.array([a for a, _ in kinds], dtype=np.int64)
-                    lo, hi = np.searchsorted(places, at), np.searchsorted(places, at + n)
-                    values = [[f"{places[q] - a}={t.value(int(places[q]))}" for q in range(p, r)] for a, p, r in zip(at.tolist(), lo, hi)]
-                    yield pd.DataFrame({"id": [i] * len(at), "length": n, "pos": at, "h": h.view(np.int64), "slots": pd.Series(values, dtype=object)})
+        for ids, t in _chunks(batches):
+            begins = np.searchsorted(t.doc, np.arange(len(ids)))
+            places = np.nonzero(t.kind != WORD)[0]
+            values = [t.value(int(p)) for p in places]
+            for n in lengths:
+                at, h = t.windows(n)
+                lo, hi = np.searchsorted(places, at), np.searchsorted(places, at + n)
+                slots = [[f"{places[q] - a}={values[q]}" for q in range(p, r)] for a, p, r in zip(at.tolist(), lo.tolist(), hi.tolist())]
+                doc = t.doc[at]
+                yield pd.DataFrame({"id": [ids[d] for d in doc.tolist()], "length": n, "pos": at - begins[doc], "h": h.view(np.int64), "slots": pd.Series(slots, dtype=object)})
 
     hits = docs.mapInPandas(cut, "id long, length int, pos long, h long, slots array<string>").join(windows, ["h", "length"])
     lined = hits.groupBy("id", "item", (F.col("pos") - F.col("at")).alias("offset"))

@@ -240,8 +240,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return marked.select(F.col("_id").alias(id_col), *n, F.sha2(_listed(F.col("_base")), 256).alias("base_sha256"), _listed(spans).alias("spans"))
 
 
-def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span of its text replaced by ``<KIND>``; overlapping spans become one, named by the first."""
+def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """``docs`` with every span of its text replaced by ``<KIND>``; overlapping spans become one, named by the first.
+
+    ``length_col``, if named, is set to the number of characters of a changed text.
+    """
     marked = with_spans(docs, text_col)
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -255,4 +258,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     build = F.aggregate("_spans", begin, walk, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["pos"] + 1)))
     clean = F.when(F.size("_spans") > 0, build).otherwise(F.col(text_col))
-    return marked.withColumn(text_col, clean).select(*docs.columns)
+    out = marked.withColumn(text_col, clean)
+    if length_col:
+        n = F.length(text_col).cast(docs.schema[length_col].dataType)
+        out = out.withColumn(length_col, F.when(F.size("_spans") > 0, n).otherwise(F.col(length_col)))
+    return out.select(*docs.columns)
