@@ -122,6 +122,12 @@ class Codec:
         return len(ids), hashlib.sha256(as_text.encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest()
 
 
+@lru_cache(maxsize=2)
+def shared_codec(vocab_path: str) -> Codec:
+    """One codec, and so one bounded cache, for all tasks and groups that a worker process runs."""
+    return Codec(vocab_path)
+
+
 def _safe(text: str, at: int) -> bool:
     """No composition of characters can reach over this cut."""
     left, right = text[at - 1], text[at]
@@ -229,7 +235,7 @@ def encode_whole(codec: Codec, text: str | None, leaf: int = LEAF_CHARS) -> list
 def _with_short(part: DataFrame, vocab: str, text_col: str, schema: str, shape) -> DataFrame:
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = Codec(vocab)
+        codec = shared_codec(vocab)
         for texts in batches:
             yield pd.DataFrame([shape(codec, ids) for ids in codec.encode_many(texts.tolist())], columns=[c.split()[0] for c in schema.split(", ")])
 
@@ -241,19 +247,19 @@ def _long(texts: DataFrame, vocab: str, leaf: int, schema: str, shape) -> DataFr
 
     @F.pandas_udf("array<struct<text:string,soft:boolean>>")
     def leaves(values: pd.Series) -> pd.Series:
-        blanks = Codec(vocab).drops_blanks
+        blanks = shared_codec(vocab).drops_blanks
         return values.map(lambda t: [{"text": x, "soft": s} for x, s in cut(t, leaf, blanks)])
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        codec = Codec(vocab)
+        codec = shared_codec(vocab)
         for x in batches:
             yield pd.Series([None if hard else codec.encode(t) for t, hard in zip(x["text"], x["hard"])], dtype=object)
 
     columns = [c.split()[0] for c in schema.split(", ")]
 
     def merge(key, group: pd.DataFrame) -> pd.DataFrame:
-        codec, group = Codec(vocab, 10_000), group.sort_values("at")
+        codec, group = shared_codec(vocab), group.sort_values("at")
         known = [None if i is None else [int(x) for x in i] for i in group["ids"]]
         row = shape(codec, merge_tree(codec, list(zip(group["text"], group["soft"], known))))
         return pd.DataFrame([(key[0], *row)], columns=["key", *columns])
@@ -295,7 +301,7 @@ def decode(coded: DataFrame, vocab_path: str | None = None, ids_col: str = "ids"
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(vocab)
+        codec = shared_codec(vocab)
         for ids in batches:
             yield ids.map(lambda x: "" if x is None else codec.decode([int(i) for i in x]))
 
