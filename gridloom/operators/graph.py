@@ -1,8 +1,8 @@
-"""Connected components of an edge table."""
+"""Connected components of edge tables and of grid cells."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.plans.scratch import checkpointed
 
@@ -36,3 +36,28 @@ def connected_components(edges: DataFrame) -> DataFrame:
         e = e.select(F.coalesce("ps", "src").alias("x"), F.coalesce("pd", "dst").alias("y")).where("x <> y")
         e = checkpointed(e.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).distinct())
     return found
+
+
+def grid_components(active: DataFrame, offsets: list[tuple[int, int]], link: Column | None = None) -> DataFrame:
+    """``active(row, col, ..)`` with ``component`` (smallest member as row * 2^31 + col) and ``size``.
+
+    Two cells are linked if one of ``offsets`` leads from one to the other and ``link``, a
+    condition over the columns of ``a`` and ``b``, holds.
+    """
+    node = lambda r, c: F.col(r).cast("long") * (1 << 31) + F.col(c)
+    half = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in offsets if (r, c) > (0, 0)])
+    a = active.select("*", F.explode(half).alias("o")).withColumn("br", F.col("row") + F.col("o.dr")).withColumn("bc", F.col("col") + F.col("o.dc")).alias("a")
+    b = active.alias("b")
+    met = a.join(b, (F.col("a.br") == F.col("b.row")) & (F.col("a.bc") == F.col("b.col")))
+    met = met if link is None else met.where(link)
+    edges = met.select(node("a.row", "a.col").alias("src"), node("b.row", "b.col").alias("dst"))
+    loops = active.select(node("row", "col").alias("src"), node("row", "col").alias("dst"))
+    found = connected_components(edges.union(loops))
+    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
+    named = active.withColumn("node", node("row", "col")).join(found, "node").join(sizes, "component")
+    return named.select(*active.columns, "component", "size")
+
+
+def disk_offsets(radius: int) -> list[tuple[int, int]]:
+    r = range(-radius, radius + 1)
+    return [(a, b) for a in r for b in r if 0 < a * a + b * b <= radius * radius]

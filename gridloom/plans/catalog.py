@@ -1,4 +1,347 @@
 """Registered queries and their DuckDB counterparts."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from gridloom.functions import scalar
+from gridloom.operators import focal, graph, lines, spectral, stats
+from gridloom.sources import fixtures
+
+N = 48
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+_PRICES = f"SELECT CAST(l_partkey % {N} AS INTEGER) AS row, CAST(l_orderkey % {N} AS INTEGER) AS col, avg(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2"
+_CELLS = f"cells AS (SELECT CAST(r.range AS INTEGER) AS row, CAST(c.range AS INTEGER) AS col FROM range({N}) r, range({N}) c)"
+#: The price grid; ``full`` is dense, ``g`` has the regular holes too.
+GRID_SQL = f"""p AS ({_PRICES}), {_CELLS},
+full_ AS (SELECT cells.row, cells.col, p.v FROM cells LEFT JOIN p ON p.row = cells.row AND p.col = cells.col),
+g AS (SELECT row, col, CASE WHEN (row * 7 + col * 3) % 11 = 0 THEN NULL ELSE v END AS v FROM full_)"""
+
+
+def _add(name: str, query, oracle: str | None = None) -> None:
+    QUERIES[name] = query
+    if oracle:
+        ORACLES[name] = oracle
+
+
+def _grid(spark: SparkSession, sf: str, holes: bool = True) -> DataFrame:
+    return fixtures.price_grid(spark, sf, N, holes)
+
+
+def _out(df: DataFrame, digits: int = 7, *cols: str) -> DataFrame:
+    """Rounded to what different summation orders leave alone; adding zero turns -0 into 0."""
+    cols = cols or ("v",)
+    keys = [c for c in df.columns if c not in cols]
+    return df.select(*keys, *[(F.round(c, digits) + 0.0).alias(c) for c in cols])
+
+
+def _rounded(sql: str, digits: int = 7, keys: str = "row, col", cols: tuple[str, ...] = ("v",)) -> str:
+    return f"SELECT {keys}, {', '.join(f'round({c}, {digits}) + 0.0 AS {c}' for c in cols)} FROM ({sql})"
+
+
+# --- windows -------------------------------------------------------------------------------
+
+_EDGE_SQL = {
+    "none": "{i}",
+    "symmetric": f"CASE WHEN {{i}} < 0 THEN -1 - {{i}} WHEN {{i}} >= {N} THEN {2 * N - 1} - {{i}} ELSE {{i}} END",
+    "wrap": f"(({{i}}) + {N}) % {N}",
+    "edge": f"least(greatest({{i}}, 0), {N - 1})",
+}
+
+
+def window_sql(offsets, edge: str, select: str, source: str = "g", where: str = "", more: str = "") -> str:
+    """Gather form: every cell joins the cells its window asks for."""
+    offs = [tuple(o) for o in offsets]
+    names = ["dr", "dc", *[f"w{k}" if k else "w" for k in range(len(offs[0]) - 2)]]
+    values = ", ".join("(" + ", ".join(repr(x) for x in o) + ")" for o in offs)
+    r, c = _EDGE_SQL[edge].format(i="(c.row + o.dr)"), _EDGE_SQL[edge].format(i="(c.col + o.dc)")
+    return f"""WITH {GRID_SQL}{more}, o({', '.join(names)}) AS (VALUES {values}),
+hit AS (SELECT c.row, c.col, o.*, s.v FROM cells c CROSS JOIN o JOIN {source} s ON s.row = {r} AND s.col = {c} {where})
+SELECT row, col, {select} FROM hit GROUP BY row, col"""
+
+
+_CONV = "CASE WHEN sum(CASE WHEN v IS NOT NULL THEN w END) <> 0 THEN sum(w * v) / sum(CASE WHEN v IS NOT NULL THEN w END) END AS v"
+for size in (3, 5):
+    _add(f"focal_mean_{size}x{size}", lambda s, d, n=size: _out(focal.mean_filter(_grid(s, d), n, N, N)), _rounded(window_sql(focal.square(size), "symmetric", _CONV)))
+_add("focal_gaussian_s1", lambda s, d: _out(focal.gaussian_filter(_grid(s, d), 1.0, N, N)), _rounded(window_sql(focal.gaussian(1.0), "symmetric", _CONV)))
+_add("focal_median_3x3", lambda s, d: _out(focal.median_filter(_grid(s, d), 3, N, N), 9), _rounded(window_sql(focal.square(3), "none", "quantile_cont(v, 0.5) AS v"), 9))
+for way in focal.COMPASS:
+    _add(
+        f"dir_{way.lower()}", lambda s, d, w=way: _out(focal.directional(_grid(s, d), w, N, N)),
+        _rounded(window_sql(focal.kernel_offsets(focal.COMPASS[way]), "symmetric", "CASE WHEN count(v) = count(*) THEN sum(w * v) END AS v")),
+    )
+_STATS = {
+    "min": "min(v)", "max": "max(v)", "mean": "avg(v)", "median": "quantile_cont(v, 0.5)", "variance": "var_pop(v)", "std": "stddev_pop(v)",
+    "skewness": "(avg(v*v*v) - 3*avg(v)*avg(v*v) + 2*avg(v)*avg(v)*avg(v)) / nullif(power(var_pop(v), 1.5), 0)", "kurtosis": "kurtosis_pop(v)",
+}
+for stat, sql in _STATS.items():
+    digits = 6 if stat in ("skewness", "kurtosis") else 4 if stat == "variance" else 7
+    _add(
+        f"ss_{stat}", lambda s, d, st=stat, k=digits: _out(focal.windowed_stat(_grid(s, d), st, 5, N, N), k),
+        _rounded(window_sql(focal.disk(5), "none", f"CASE WHEN count(v) >= 3 AND max(CASE WHEN dr = 0 AND dc = 0 THEN v END) IS NOT NULL THEN {sql} END AS v"), digits),
+    )
+
+_A, _Z = math.radians(45), math.radians(315)
+_add(
+    "sun_simple", lambda s, d: _out(focal.sun_simple(_grid(s, d), N, N), 6),
+    f"SELECT row, col, round(CASE WHEN n = 4 THEN (-dx * {math.cos(_A) * math.sin(_Z)!r} - dy * {math.cos(_A) * math.cos(_Z)!r} + {math.sin(_A)!r}) / sqrt(dx*dx + dy*dy + 1) END, 6) + 0.0 AS v FROM ("
+    + window_sql([(0, 1, 1.0, 0.0), (0, -1, -1.0, 0.0), (1, 0, 0.0, 1.0), (-1, 0, 0.0, -1.0)], "wrap", "sum(w * v) / 2 AS dx, sum(w1 * v) / 2 AS dy, count(v) AS n") + ")",
+)
+_EAST = {(r, c): w / 4 for r, c, w in focal.kernel_offsets([[1, 0, -1], [2, 0, -2], [1, 0, -1]], False)}
+_NORTH = {(r, c): w / 4 for r, c, w in focal.kernel_offsets([[1, 2, 1], [0, 0, 0], [-1, -2, -1]], False)}
+_R = math.radians(30)
+_add(
+    "relief_grass", lambda s, d: _out(focal.relief(_grid(s, d), N, N), 4),
+    f"""SELECT row, col, round(CASE WHEN n = 9 THEN 255 * ({math.sin(_R)!r} * sin(sl) + {math.cos(_R)!r} * cos(sl) * cos({math.radians(360)!r} - asp)) END, 4) + 0.0 AS v FROM (
+SELECT row, col, n, pi() / 2 - atan(sqrt(dx*dx + dy*dy)) AS sl, CASE WHEN dx = 0 AND dy = 0 THEN pi() / 180 ELSE atan2(dy, dx) END AS asp FROM ("""
+    + window_sql([(r, c, _EAST[r, c], _NORTH[r, c]) for r, c in _EAST], "edge", "sum(w * v) AS dx, sum(w1 * v) AS dy, count(v) AS n") + "))",
+)
+_GX = {(r, c): w for r, c, w in focal.kernel_offsets([[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]], False)}
+_GY = {(r, c): w for r, c, w in focal.kernel_offsets([[-1, -2, -1], [0, 0, 0], [1, 2, 1]], False)}
+_SOBEL = ", ".join(f"({r}, {c}, {_GX[r, c]!r}, {_GY[r, c]!r})" for r, c in _GX)
+_BOX = ", ".join(f"({r}, {c})" for r, c, _ in focal.square(7))
+_sym = lambda i: _EDGE_SQL["symmetric"].format(i=i)
+ANISO_SQL = f"""{GRID_SQL}, so(dr, dc, w, w1) AS (VALUES {_SOBEL}), bo(dr, dc) AS (VALUES {_BOX}),
+gr AS (SELECT c.row, c.col, sum(w * coalesce(s.v, 0)) AS gx, sum(w1 * coalesce(s.v, 0)) AS gy FROM cells c CROSS JOIN so JOIN g s ON s.row = {_sym('(c.row + so.dr)')} AND s.col = {_sym('(c.col + so.dc)')} GROUP BY 1, 2),
+j AS (SELECT c.row, c.col, avg(gx * gx) AS xx, avg(gy * gy) AS yy, avg(gx * gy) AS xy FROM cells c CROSS JOIN bo JOIN gr s ON s.row = {_sym('(c.row + bo.dr)')} AND s.col = {_sym('(c.col + bo.dc)')} GROUP BY 1, 2),
+sal AS (SELECT row, col, sqrt((xx - yy) * (xx - yy) + 4 * xy * xy) AS s, ((degrees(atan2(2 * xy, xx - yy) / 2) % 180) + 180) % 180 AS o FROM j),
+an AS (SELECT sal.row, sal.col, CASE WHEN g.v IS NOT NULL THEN least(1.0, s / ((SELECT quantile_cont(s, 0.99) FROM sal) + 1e-10)) END AS magnitude, CASE WHEN g.v IS NOT NULL THEN o END AS orientation FROM sal JOIN g ON g.row = sal.row AND g.col = sal.col)"""
+_add("aniso_mag", lambda s, d: _out(focal.anisotropy(_grid(s, d), N, N).select("row", "col", F.col("magnitude").alias("v")), 6), f"WITH {ANISO_SQL} SELECT row, col, round(magnitude, 6) + 0.0 AS v FROM an")
+_add("aniso_orient", lambda s, d: _out(focal.anisotropy(_grid(s, d), N, N).select("row", "col", F.col("orientation").alias("v")), 4), f"WITH {ANISO_SQL} SELECT row, col, round(orientation, 4) + 0.0 AS v FROM an")
+
+
+def _chain(s: SparkSession, d: str, threshold: float = 0.75, tolerance: float = 15.0) -> DataFrame:
+    an = focal.anisotropy(_grid(s, d), N, N).where(F.col("magnitude") >= threshold).select("row", "col", "orientation")
+    near = scalar.angle_between_axes(F.col("a.orientation"), F.col("b.orientation")) <= tolerance
+    return graph.grid_components(an, graph.disk_offsets(2), near).select("row", "col", F.col("size").cast("long").alias("size"))
+
+
+_add(
+    "chain_length", _chain,
+    f"""WITH RECURSIVE {ANISO_SQL}, act AS (SELECT row, col, row * {N} + col AS id, orientation AS o FROM an WHERE magnitude >= 0.75),
+e AS (SELECT a.id AS x, b.id AS y FROM act a JOIN act b ON (a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col) BETWEEN 1 AND 4
+  AND least(abs(a.o - b.o) % 180, 180 - abs(a.o - b.o) % 180) <= 15.0),
+reach(id, root) AS (SELECT id, id FROM act UNION SELECT e.y, reach.root FROM reach JOIN e ON e.x = reach.id),
+lab AS (SELECT id, min(root) AS root FROM reach GROUP BY id), n AS (SELECT root, count(*) AS size FROM lab GROUP BY root)
+SELECT row, col, size FROM act JOIN lab USING (id) JOIN n USING (root)""",
+)
+
+
+def _regions(s: SparkSession, d: str) -> DataFrame:
+    """8-connected regions of cells above the grid's third quartile, with their shape."""
+    g = _grid(s, d)
+    cut = g.agg(F.percentile("v", 0.75)).first()[0]
+    found = graph.grid_components(g.where(F.col("v") >= cut).select("row", "col"), [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)])
+    shape = found.groupBy("component").agg(F.count("*").alias("area"), F.var_pop("row").alias("vr"), F.var_pop("col").alias("vc"), F.covar_pop("row", "col").alias("cov"))
+    label = (F.floor(F.col("component") / (1 << 31)) * N + F.col("component") % (1 << 31)).cast("long")
+    return _out(shape.select(label.alias("label"), "area", "vr", "vc", "cov"), 6, "vr", "vc", "cov")
+
+
+_add(
+    "components_8", _regions,
+    f"""WITH RECURSIVE {GRID_SQL}, act AS (SELECT row, col, row * {N} + col AS id FROM g WHERE v >= (SELECT quantile_cont(v, 0.75) FROM g)),
+e AS (SELECT a.id AS x, b.id AS y FROM act a JOIN act b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND a.id <> b.id),
+reach(id, root) AS (SELECT id, id FROM act UNION SELECT e.y, reach.root FROM reach JOIN e ON e.x = reach.id),
+lab AS (SELECT id, min(root) AS root FROM reach GROUP BY id)
+SELECT CAST(root AS BIGINT) AS label, count(*) AS area, round(var_pop(row), 6) + 0.0 AS vr, round(var_pop(col), 6) + 0.0 AS vc, round(covar_pop(row, col), 6) + 0.0 AS cov FROM act JOIN lab USING (id) GROUP BY root""",
+)
+
+FILL_SQL = """near AS (SELECT h.row, h.col, arg_min(s.v, (h.row - s.row) * (h.row - s.row) + (h.col - s.col) * (h.col - s.col) + s.row / 1e4 + s.col / 1e7) AS v
+  FROM g h, g s WHERE h.v IS NULL AND s.v IS NOT NULL GROUP BY 1, 2),
+filled AS (SELECT row, col, v FROM g WHERE v IS NOT NULL UNION ALL SELECT row, col, v FROM near)"""
+_add("nn_fill", lambda s, d: _out(focal.fill_nearest(_grid(s, d), N, N)), f"WITH {GRID_SQL}, {FILL_SQL} " + _rounded("SELECT * FROM filled"))
+
+# --- scalars -------------------------------------------------------------------------------
+
+_LIMITS = {"above": (40000.0, None), "below": (None, 36000.0), "between": (40000.0, 36000.0)}
+for cond, (hi, lo) in _LIMITS.items():
+    bad = {"above": f"v > {hi}", "below": f"v < {lo}", "between": f"v > {lo} AND v < {hi}"}[cond]
+    _add(
+        f"threshold_{cond}", lambda s, d, c=cond, a=hi, b=lo: _out(_grid(s, d).select("row", "col", scalar.threshold(F.col("v"), c, a, b).alias("v"))),
+        _rounded(f"WITH {GRID_SQL} SELECT row, col, CASE WHEN NOT ({bad}) THEN v END AS v FROM g"),
+    )
+_add(
+    "decimal_year", lambda s, d: fixtures.table(s, d, "orders").select("o_orderkey", F.round(scalar.decimal_year(F.to_date("o_orderdate")), 6).alias("y")),
+    "SELECT o_orderkey, round(year(o_orderdate) + (dayofyear(o_orderdate) - 1) / dayofyear(make_date(year(o_orderdate), 12, 31)), 6) AS y FROM orders",
+)
+_LAT = "((c_custkey * 37) % 181 - 90)"
+
+
+def _customers(s: SparkSession, d: str) -> DataFrame:
+    return fixtures.table(s, d, "customer").select("c_custkey", F.expr(_LAT).cast("double").alias("lat"), "c_acctbal")
+
+
+def _arc(s: SparkSession, d: str) -> DataFrame:
+    m = scalar.metres_per_degree(F.col("lat"))
+    return _customers(s, d).select("c_custkey", (F.round(m["dx"], 4) + 0.0).alias("dx"), (F.round(m["dy"], 4) + 0.0).alias("dy"))
+
+
+_add(
+    "arc_degree", _arc,
+    f"SELECT c_custkey, round(pi() / 180 * 6371000 * cos(radians({_LAT})), 4) + 0.0 AS dx, round(pi() / 180 * 6371000 * sqrt(1 - 0.00669438 * sin(radians({_LAT})) * sin(radians({_LAT}))), 4) + 0.0 AS dy FROM customer",
+)
+
+
+def _geocentric(s: SparkSession, d: str) -> DataFrame:
+    g = scalar.geodetic_to_geocentric(F.col("c_acctbal") / 1000, 90 - F.col("lat"))
+    return _customers(s, d).select("c_custkey", (F.round(g["radius"], 6) + 0.0).alias("radius"), (F.round(g["colatitude"], 6) + 0.0).alias("colatitude"))
+
+
+_add(
+    "geodetic_to_geocentric", _geocentric,
+    f"""WITH a AS (SELECT c_custkey, c_acctbal / 1000 AS h, cos(radians(90.0 - {_LAT})) AS c, sin(radians(90.0 - {_LAT})) AS s, 6378.137 * 6378.137 AS a2, 6356.752314245 * 6356.752314245 AS b2 FROM customer),
+b AS (SELECT *, sqrt(CAST(a2 AS DOUBLE) * s * s + CAST(b2 AS DOUBLE) * c * c) AS rho FROM a),
+r AS (SELECT *, sqrt(h * (h + 2 * rho) + (CAST(a2 AS DOUBLE) * a2 * s * s + CAST(b2 AS DOUBLE) * b2 * c * c) / (rho * rho)) AS radius FROM b)
+SELECT c_custkey, round(radius, 6) + 0.0 AS radius, round(degrees(acos(c * (h + rho) / radius - s * ((a2 - b2) / rho * c * s / radius))), 6) + 0.0 AS colatitude FROM r""",
+)
+
+
+def _dhif(s: SparkSession, d: str) -> DataFrame:
+    f = scalar.field_components(F.col("l_extendedprice"), F.col("l_quantity") * 1000 - 25000, F.col("l_discount") * 1e5)
+    return fixtures.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", *[(F.round(c, 5) + 0.0).alias(k) for k, c in f.items()])
+
+
+_add(
+    "dhif", _dhif,
+    """WITH q AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS x, l_quantity * 1000 - 25000 AS y, l_discount * 1e5 AS z FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(degrees(atan2(y, x)), 5) + 0.0 AS d, round(sqrt(x*x + y*y), 5) + 0.0 AS h, round(degrees(atan2(z, sqrt(x*x + y*y))), 5) + 0.0 AS i, round(sqrt(x*x + y*y + z*z), 5) + 0.0 AS f FROM q""",
+)
+_add(
+    "misorientation", lambda s, d: fixtures.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(scalar.angle_between_axes(F.col("l_quantity") * 7, F.col("l_tax") * 2000), 6).alias("v")),
+    "SELECT l_orderkey, l_linenumber, round(least(abs(l_quantity * 7 - l_tax * 2000) % 180, 180 - abs(l_quantity * 7 - l_tax * 2000) % 180), 6) AS v FROM lineitem",
+)
+
+# --- trends and statistics -----------------------------------------------------------------
+
+_PLANE = """m AS (SELECT {by} avg(col) AS mc, avg(row) AS mr, avg(v) AS mv, var_pop(col) AS cc, var_pop(row) AS rr, covar_pop(col, row) AS cr, covar_pop(col, v) AS cv, covar_pop(row, v) AS rv FROM {src} WHERE v IS NOT NULL {grp}),
+flat AS (SELECT {src}.*, {src}.v - mv - (cv * rr - rv * cr) / (cc * rr - cr * cr) * (col - mc) - (rv * cc - cv * cr) / (cc * rr - cr * cr) * (row - mr) AS d FROM {src}, m {on})"""
+_add("detrend_plane", lambda s, d: _out(stats.detrend_plane(_grid(s, d)), 3), f"WITH {GRID_SQL}, {_PLANE.format(by='', src='g', grp='', on='')} SELECT row, col, round(d, 3) + 0.0 AS v FROM flat")
+_add("detrend_quadric", lambda s, d: _out(stats.detrend_quadric(_grid(s, d), N, N), 3))
+_add(
+    "normalise_grids", lambda s, d: _out(stats.normalise_grids(fixtures.grid_set(s, d, N)), 3),
+    f"""WITH gs AS (SELECT l_linenumber AS grid_id, CAST(l_partkey % {N} AS INTEGER) AS row, CAST(l_orderkey % {N} AS INTEGER) AS col, avg(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2, 3),
+{_PLANE.format(by='grid_id,', src='gs', grp='GROUP BY grid_id', on='WHERE gs.grid_id = m.grid_id')}, s AS (SELECT grid_id, avg(d) AS a, stddev_pop(d) AS sd FROM flat GROUP BY 1 HAVING stddev_pop(d) > 0)
+SELECT flat.grid_id, row, col, round((SELECT arg_min(sd, grid_id) FROM s) * (d - a) / sd, 3) + 0.0 AS v FROM flat JOIN s ON s.grid_id = flat.grid_id""",
+)
+_add(
+    "grid_summary", lambda s, d: _out(stats.summary(_grid(s, d)), 4, "mean", "std", "least", "most", "median"),
+    f"WITH {GRID_SQL} SELECT count(v) AS n, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS std, round(min(v), 4) AS least, round(max(v), 4) AS most, round(quantile_cont(v, 0.5), 4) AS median FROM g",
+)
+
+
+def _estimates(s: SparkSession, d: str) -> DataFrame:
+    q = fixtures.table(s, d, "lineitem")
+    return q.select(F.col("l_linenumber").alias("si"), (F.col("l_partkey") % 1000).cast("double").alias("y"), (F.col("l_orderkey") % 1000).cast("double").alias("x"), F.col("l_extendedprice").alias("z"), F.col("l_quantity").alias("base"))
+
+
+_EST = "est AS (SELECT l_linenumber AS si, CAST(l_partkey % 1000 AS DOUBLE) AS y, CAST(l_orderkey % 1000 AS DOUBLE) AS x, l_extendedprice AS z, l_quantity AS base FROM lineitem)"
+_WIN = f"""{_EST}, ws AS (SELECT si, CAST(floor(y / 250) AS INTEGER) AS window_row, CAST(floor(x / 250) AS INTEGER) AS window_col, count(*) AS n_estimates, avg(y) AS mean_y, avg(x) AS mean_x, avg(z / 1000) AS mean_depth_km,
+avg(base) AS mean_base_level, stddev_pop(y) AS std_y, stddev_pop(x) AS std_x, stddev_pop(z / 1000) AS std_depth_km, min(z / 1000) AS min_depth_km, max(z / 1000) AS max_depth_km FROM est GROUP BY 1, 2, 3)"""
+_WCOLS = ("mean_y", "mean_x", "mean_depth_km", "mean_base_level", "std_y", "std_x", "std_depth_km", "min_depth_km", "max_depth_km")
+_add(
+    "euler_window_stats", lambda s, d: _out(stats.window_stats(_estimates(s, d), 0, 0, 250, 250), 5, *_WCOLS),
+    f"WITH {_WIN} " + _rounded("SELECT * FROM ws", 5, "si, window_row, window_col, n_estimates", _WCOLS),
+)
+_add(
+    "euler_summary", lambda s, d: _out(stats.window_summary(stats.window_stats(_estimates(s, d), 0, 0, 250, 250)), 5, "mean_depth_km", "std_depth_km"),
+    f"WITH {_WIN} SELECT si, count(*) AS windows_with_data, CAST(sum(n_estimates) AS BIGINT) AS total_estimates, round(avg(mean_depth_km), 5) + 0.0 AS mean_depth_km, round(stddev_pop(mean_depth_km), 5) + 0.0 AS std_depth_km FROM ws GROUP BY si",
+)
+
+
+def _bands(s: SparkSession, d: str) -> DataFrame:
+    q = fixtures.table(s, d, "lineitem").groupBy((F.col("l_partkey") % N).cast("int").alias("row"), (F.col("l_orderkey") % N).cast("int").alias("col"))
+    return q.agg(F.avg("l_extendedprice").alias("b1"), F.avg("l_quantity").alias("b2"), F.avg("l_discount").alias("b3"))
+
+
+_add("pca_scores", lambda s, d: _out(stats.principal_components(_bands(s, d), ["b1", "b2", "b3"])[0], 5, "pc1", "pc2", "pc3"))
+_add(
+    "band_correlation", lambda s, d: _bands(s, d).agg(*[F.round(F.corr(a, b), 8).alias(f"{a}_{b}") for a, b in (("b1", "b2"), ("b1", "b3"), ("b2", "b3"))]),
+    f"WITH q AS (SELECT l_partkey % {N} AS row, l_orderkey % {N} AS col, avg(l_extendedprice) AS b1, avg(l_quantity) AS b2, avg(l_discount) AS b3 FROM lineitem GROUP BY 1, 2) SELECT round(corr(b1, b2), 8) AS b1_b2, round(corr(b1, b3), 8) AS b1_b3, round(corr(b2, b3), 8) AS b2_b3 FROM q",
+)
+
+# --- lines ---------------------------------------------------------------------------------
+
+_LINES = """pts AS (SELECT user_id AS line_id, event_id AS seq, epoch_us(ts) / 1e6 AS x, CAST(user_id AS DOUBLE) AS y, value AS v FROM events),
+al AS (SELECT *, row_number() OVER w AS pos, coalesce(x - lag(x) OVER w, 0) AS step FROM pts WINDOW w AS (PARTITION BY line_id ORDER BY x, seq)),
+ds AS (SELECT *, sum(step) OVER (PARTITION BY line_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS dist FROM al)"""
+_add(
+    "line_distance", lambda s, d: lines.along(fixtures.survey_lines(s, d)).select("line_id", "seq", F.col("pos").cast("long").alias("pos"), F.round("dist", 3).alias("dist")),
+    f"WITH {_LINES} SELECT line_id, seq, pos, round(dist, 3) AS dist FROM ds",
+)
+_add(
+    "line_regularise", lambda s, d: lines.regularise(fixtures.survey_lines(s, d), 3600.0).select("line_id", "k", F.round("d", 2).alias("d"), (F.round("v", 3) + 0.0).alias("v")),
+    f"""WITH {_LINES}, n AS (SELECT line_id, max(dist) AS len, CAST(floor(max(dist) / 3600.0) AS INTEGER) + 1 AS n FROM ds GROUP BY 1),
+t AS (SELECT line_id, CAST(k.range AS INTEGER) AS k, k.range * len / (n - 1) AS d FROM n, range(100000) k WHERE n > 1 AND len > 0 AND k.range < n),
+b AS (SELECT t.line_id, t.k, t.d, a.dist AS d0, a.v AS v0 FROM t ASOF JOIN ds a ON a.line_id = t.line_id AND a.dist <= t.d),
+c AS (SELECT b.*, lead_.dist AS d1, lead_.v AS v1 FROM b LEFT JOIN (SELECT line_id, dist AS d0, lead(dist) OVER w AS dist, lead(v) OVER w AS v FROM ds WINDOW w AS (PARTITION BY line_id ORDER BY pos)) lead_ ON lead_.line_id = b.line_id AND lead_.d0 = b.d0)
+SELECT line_id, k, round(d, 2) AS d, round(CASE WHEN d1 > d0 THEN v0 + (v1 - v0) * (d - d0) / (d1 - d0) ELSE v0 END, 3) + 0.0 AS v FROM c""",
+)
+_add(
+    "local_maxima_1d", lambda s, d: lines.local_maxima(fixtures.survey_lines(s, d)).select("line_id", F.col("pos").cast("long").alias("pos"), "v"),
+    f"WITH {_LINES}, nb AS (SELECT line_id, pos, v, lag(v) OVER w AS a, lead(v) OVER w AS b, max(v) OVER (PARTITION BY line_id) AS top FROM ds WINDOW w AS (PARTITION BY line_id ORDER BY pos)) SELECT line_id, pos, v FROM nb WHERE v > a AND v > b AND v > 0.05 * top",
+)
+
+# --- spectral ------------------------------------------------------------------------------
+
+
+def _tukey_sql(i: str) -> str:
+    x = f"({i} / {N - 1}.0)"
+    return f"(CASE WHEN {x} < 0.25 THEN 0.5 * (1 + cos(4 * pi() * ({x} - 0.25))) WHEN {x} >= 0.75 THEN 0.5 * (1 + cos(4 * pi() * ({x} - 0.75))) ELSE 1.0 END)"
+
+
+def dft_sql(responses: dict[str, spectral.Response], final: str) -> str:
+    """Separable discrete Fourier transform, filter and inverse; ``t(tag, row, col, v)`` feeds ``final``."""
+    forms = " UNION ALL ".join(f"SELECT '{t}' AS tag, u, w, re, im, {re} AS hr, {im} AS hi FROM kk" for t, (re, im) in responses.items())
+    ang = lambda a, b: f"2 * pi() * (({a} * {b}) % {N}) / {N}"
+    return f"""WITH {GRID_SQL}, {FILL_SQL}, med AS (SELECT quantile_cont(v, 0.5) AS m FROM g), f AS (SELECT CAST(range AS INTEGER) AS i FROM range({N})),
+x AS (SELECT row, col, (v - m) * {_tukey_sql('row')} * {_tukey_sql('col')} AS x FROM filled, med),
+a AS (SELECT row, i AS w, sum(x * cos({ang('col', 'i')})) AS re, -sum(x * sin({ang('col', 'i')})) AS im FROM x, f GROUP BY 1, 2),
+s AS (SELECT i AS u, w, sum(re * cos({ang('row', 'i')}) + im * sin({ang('row', 'i')})) AS re, sum(im * cos({ang('row', 'i')}) - re * sin({ang('row', 'i')})) AS im FROM a, f GROUP BY 1, 2),
+k0 AS (SELECT *, 2 * pi() * (CASE WHEN w < {N // 2} THEN w ELSE w - {N} END) / {N} AS kx, -2 * pi() * (CASE WHEN u < {N // 2} THEN u ELSE u - {N} END) / {N} AS ky FROM s),
+kk AS (SELECT *, sqrt(kx * kx + ky * ky) AS k FROM k0), hh AS ({forms}),
+z AS (SELECT tag, u, w, re * hr - im * hi AS re, re * hi + im * hr AS im FROM hh),
+b AS (SELECT tag, i AS row, w, sum(re * cos({ang('u', 'i')}) - im * sin({ang('u', 'i')})) / {N} AS re, sum(im * cos({ang('u', 'i')}) + re * sin({ang('u', 'i')})) / {N} AS im FROM z, f GROUP BY 1, 2, 3),
+t AS (SELECT tag, row, i AS col, sum(re * cos({ang('w', 'i')}) - im * sin({ang('w', 'i')})) / {N} AS v FROM b, f GROUP BY 1, 2, 3)
+{final}"""
+
+
+_ONE = "SELECT t.row, t.col, round(CASE WHEN g.v IS NOT NULL THEN t.v{level} END, {digits}) + 0.0 AS v FROM t JOIN g ON g.row = t.row AND g.col = t.col, med"
+_FILTERS = {
+    "upward": (spectral.upward(2.0), True), "downward": (spectral.downward(0.5), True), "vint": (spectral.vertical_integration(), True),
+    "dx1": (spectral.derivative("x"), False), "dy1": (spectral.derivative("y"), False), "dz1": (spectral.derivative("z"), False), "dz_frac": (spectral.derivative("z", 0.5), False),
+    "lowpass": (spectral.low_pass(8.0, 4.0), True), "lowpass_sharp": (spectral.low_pass(8.0), True), "highpass": (spectral.high_pass(12.0, 6.0), True),
+    "bandpass": (spectral.band_pass(16.0, 4.0, 4.0, 1.0), True), "butterworth": (spectral.butterworth(16.0, 4.0), True),
+    "dir_butterworth": (spectral.directional_butterworth(16.0, 4.0, 30.0, 25.0), True),
+    "rtp": (spectral.reduction_to_pole(-60.0, 5.0), True), "rte": (spectral.reduction_to_equator(-60.0, 5.0), True),
+}
+for name, (response, level) in _FILTERS.items():
+    _add(
+        name, lambda s, d, r=response, k=level: _out(spectral.Spectrum(_grid(s, d), N, N).apply(r, k), 3),
+        dft_sql({"x": response}, _ONE.format(level=" + med.m" if level else "", digits=3)),
+    )
+
+
+def _combined(expr: str, digits: int) -> str:
+    return dft_sql(spectral.GRADIENT, f"""SELECT g.row, g.col, round(CASE WHEN g.v IS NOT NULL THEN {expr} END, {digits}) + 0.0 AS v FROM
+(SELECT row, col, max(CASE WHEN tag = 'dx' THEN v END) AS dx, max(CASE WHEN tag = 'dy' THEN v END) AS dy, max(CASE WHEN tag = 'dz' THEN v END) AS dz FROM t GROUP BY 1, 2) q JOIN g ON g.row = q.row AND g.col = q.col""")
+
+
+_add("thg", lambda s, d: _out(spectral.total_horizontal_gradient(spectral.Spectrum(_grid(s, d), N, N)), 3), _combined("sqrt(dx*dx + dy*dy)", 3))
+_add("analytic_signal", lambda s, d: _out(spectral.analytic_signal(spectral.Spectrum(_grid(s, d), N, N)), 3), _combined("sqrt(dx*dx + dy*dy + dz*dz)", 3))
+_add("tilt", lambda s, d: _out(spectral.tilt_angle(spectral.Spectrum(_grid(s, d), N, N)), 5), _combined("atan2(dz, sqrt(dx*dx + dy*dy))", 5))
+_add(
+    "dir_clean", lambda s, d: _out(spectral.directional_clean(spectral.Spectrum(_grid(s, d), N, N), 8.0, 30.0, 0.5), 3),
+    dft_sql({"x": spectral.directional_butterworth(1e8, 8.0, 30.0)}, "SELECT t.row, t.col, round(g.v - 0.5 * (t.v + med.m), 3) + 0.0 AS v FROM t JOIN g ON g.row = t.row AND g.col = t.col, med"),
+)
+_add(
+    "radial_spectrum", lambda s, d: spectral.radial_power(_grid(s, d), N, N).select("ring", F.round("k", 8).alias("k"), F.round("log_power", 5).alias("log_power")),
+    f"""WITH {GRID_SQL}, f AS (SELECT CAST(range AS INTEGER) AS i FROM range({N})),
+a AS (SELECT row, i AS w, sum(coalesce(v, 0) * cos(2 * pi() * ((col * i) % {N}) / {N})) AS re, -sum(coalesce(v, 0) * sin(2 * pi() * ((col * i) % {N}) / {N})) AS im FROM g, f GROUP BY 1, 2),
+s AS (SELECT i AS u, w, sum(re * cos(2 * pi() * ((row * i) % {N}) / {N}) + im * sin(2 * pi() * ((row * i) % {N}) / {N})) AS re, sum(im * cos(2 * pi() * ((row * i) % {N}) / {N}) - re * sin(2 * pi() * ((row * i) % {N}) / {N})) AS im FROM a, f GROUP BY 1, 2),
+q AS (SELECT re * re + im * im AS p, CAST(ceil(sqrt(power(CASE WHEN w < {N // 2} THEN w ELSE w - {N} END, 2) + power(CASE WHEN u < {N // 2} THEN u ELSE u - {N} END, 2)) - 0.5) AS INTEGER) AS ring FROM s)
+SELECT ring, round(ring * 2 * pi() / {N}, 8) AS k, round(ln(avg(p)), 5) AS log_power FROM q WHERE ring <= {(N - 1) // 2} GROUP BY ring""",
+)
