@@ -130,66 +130,78 @@ def numbered(packs: DataFrame) -> tuple[DataFrame, int]:
     return packs.join(firsts.select("part", "at", (F.col("base") + F.col("before")).alias("first")), ["part", "at"]), total
 
 
-def sequences(packs: DataFrame, total: int, key: int = KEY, stride: int = STRIDE, dtype: str = "uint8") -> DataFrame:
-    """``(slot, doc_id, seq_no, n_ids, ids)`` of every sequence; ``ids`` without padding."""
-    order = Permutation(total, key)
-    width = np.dtype(dtype).itemsize
+_MOVED = "task int, slots array<long>, doc_ids array<long>, seq_nos array<int>, lengths array<int>, body binary"
+
+
+def assigned(packs: DataFrame, total: int, key: int = KEY, stride: int = STRIDE, shard_slots: int = SHARD_SLOTS, dtype: str = "uint8") -> DataFrame:
+    """Sequences with their slots, those of one pack and one writing task in one row, compressed together."""
+    order, width, per_task = Permutation(total, key), np.dtype(dtype).itemsize, shard_slots * SHARDS_PER_TASK
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        press, expand = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
         for x in batches:
             for first, docs, lengths, body in zip(x["first"], x["doc_ids"], x["lengths"], x["body"]):
-                raw = zstandard.ZstdDecompressor().decompress(body)
+                raw = expand.decompress(body)
                 lengths = np.asarray(lengths, dtype=np.int64)
                 n = -(-lengths // stride)
+                owner = np.repeat(np.arange(len(n)), n)
                 seq = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 start = np.repeat(np.cumsum(lengths) - lengths, n) + seq * stride
                 size = np.minimum(stride, np.repeat(lengths, n) - seq * stride)
                 slots = order.slots(first + np.arange(n.sum()))
-                ids = [raw[a * width : (a + s) * width] for a, s in zip(start.tolist(), size.tolist())]
-                doc = pd.Series(pd.array([None if pd.isna(d) else int(d) for d in docs], dtype="Int64")).repeat(n).reset_index(drop=True)
-                yield pd.DataFrame({"slot": slots, "doc_id": doc, "seq_no": seq.astype(np.int32), "n_ids": size.astype(np.int32), "ids": ids})
+                task = slots // per_task
+                by_task = np.lexsort((slots, task))
+                docs = [None if pd.isna(d) else int(d) for d in docs]
+                out = []
+                for part in np.split(by_task, np.nonzero(np.diff(task[by_task]))[0] + 1):
+                    ids = b"".join(raw[a * width : (a + m) * width] for a, m in zip(start[part].tolist(), size[part].tolist()))
+                    out.append((int(task[part[0]]), slots[part].tolist(), [docs[o] for o in owner[part].tolist()], seq[part].tolist(), size[part].tolist(), press.compress(ids)))
+                yield pd.DataFrame(out, columns=["task", "slots", "doc_ids", "seq_nos", "lengths", "body"])
 
-    return packs.select("first", "doc_ids", "lengths", "body").mapInPandas(run, "slot long, doc_id long, seq_no int, n_ids int, ids binary")
+    return packs.select("first", "doc_ids", "lengths", "body").mapInPandas(run, _MOVED)
 
 
-def shards(seqs: DataFrame, total: int, stride: int = STRIDE, shard_slots: int = SHARD_SLOTS, dtype: str = "uint8") -> DataFrame:
-    """Written table of shards, each a run of ``shard_slots`` slots of ``stride`` ids (the last may be shorter)."""
-    width = np.dtype(dtype).itemsize * stride
-    per_task = shard_slots * SHARDS_PER_TASK
+def shards(moved: DataFrame, total: int, stride: int = STRIDE, shard_slots: int = SHARD_SLOTS, dtype: str = "uint8") -> DataFrame:
+    """Written table of shards, each a run of ``shard_slots`` slots of ``stride`` ids (the last may be shorter).
+
+    A task owns a fixed range of slots, so it lays its sequences straight into a buffer of
+    that size, whatever their order of arrival.
+    """
+    width, per_task = np.dtype(dtype).itemsize, shard_slots * SHARDS_PER_TASK
     tasks = max(1, -(-total // per_task))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, slots, meta = [], [], []
-
-        def close() -> pd.DataFrame:
-            payload = b"".join(held)
-            docs, seq, n = zip(*meta)
-            docs = [None if pd.isna(d) else int(d) for d in docs]
-            if slots != list(range(slots[0], slots[0] + len(slots))):
-                raise ValueError(f"slots of shard {slots[0] // shard_slots} are not consecutive")
-            return pd.DataFrame({
-                "shard": [slots[0] // shard_slots], "first_slot": slots[0], "n_slots": len(slots), "payload": [payload], "sha256": hashlib.sha256(payload).hexdigest(),
-                "doc_ids": pd.Series([docs], dtype=object), "seq_nos": pd.Series([list(seq)], dtype=object), "lengths": pd.Series([list(n)], dtype=object),
-            })
-
+        expand, base, buffer, meta = zstandard.ZstdDecompressor(), None, None, None
         for x in batches:
-            for slot, doc, seq, n, ids in zip(x["slot"].tolist(), x["doc_id"], x["seq_no"], x["n_ids"], x["ids"]):
-                if slots and slot // shard_slots != slots[0] // shard_slots:
-                    yield close()
-                    held, slots, meta = [], [], []
-                held.append(ids.ljust(width, b"\0"))
-                slots.append(slot)
-                meta.append((doc, seq, n))
-        if slots:
-            yield close()
+            for task, slots, docs, seqs, lengths, body in zip(x["task"], x["slots"], x["doc_ids"], x["seq_nos"], x["lengths"], x["body"]):
+                if base is None:
+                    base = int(task) * per_task
+                    n = min(per_task, total - base)
+                    buffer, meta = bytearray(n * stride * width), [None] * n
+                ids, at = expand.decompress(body), 0
+                for slot, doc, seq, m in zip(slots, docs, seqs, lengths):
+                    k = int(slot) - base
+                    buffer[k * stride * width : (k * stride + int(m)) * width] = ids[at : at + int(m) * width]
+                    at += int(m) * width
+                    meta[k] = (None if pd.isna(doc) else int(doc), int(seq), int(m))
+        if base is None:
+            return
+        if None in meta:
+            raise ValueError(f"slot {base + meta.index(None)} was not assigned")
+        for k in range(0, len(meta), shard_slots):
+            docs, seqs, lengths = zip(*meta[k : k + shard_slots])
+            payload = bytes(buffer[k * stride * width : (k + len(docs)) * stride * width])
+            yield pd.DataFrame({
+                "shard": [(base + k) // shard_slots], "first_slot": base + k, "n_slots": len(docs), "payload": [payload], "sha256": hashlib.sha256(payload).hexdigest(),
+                "doc_ids": pd.Series([list(docs)], dtype=object), "seq_nos": pd.Series([list(seqs)], dtype=object), "lengths": pd.Series([list(lengths)], dtype=object),
+            })
 
-    ranged = seqs.repartitionById(tasks, F.floor(F.col("slot") / per_task).cast("int"))
-    return materialise(ranged.sortWithinPartitions("slot").mapInPandas(run, _SHARD), "order-shards")
+    return materialise(moved.repartitionById(tasks, F.col("task")).mapInPandas(run, _SHARD), "order-shards", "zstd")
 
 
 def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: int = KEY, stride: int = STRIDE, shard_slots: int = SHARD_SLOTS, encode=byte_ids, dtype: str = "uint8") -> DataFrame:
     packs, total = numbered(pack(docs, id_col, text_col, encode, stride))
-    return shards(sequences(packs, total, key, stride, dtype), total, stride, shard_slots, dtype)
+    return shards(assigned(packs, total, key, stride, shard_slots, dtype), total, stride, shard_slots, dtype)
 
 
 def read(written: DataFrame, from_slot: int = 0, stride: int = STRIDE, shard_slots: int = SHARD_SLOTS, dtype: str = "uint8") -> DataFrame:
