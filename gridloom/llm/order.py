@@ -36,6 +36,8 @@ STRIDE = 1024
 SHARD_SLOTS = 4096
 PACK_BYTES = 4 * 1024 * 1024
 ROUNDS = 6
+#: First numbers of at most this many packs (16 bytes each) are sent to every task.
+BROADCAST_PACKS = 200_000
 KEY = 0x5EED
 #: Shards that one task writes.
 SHARDS_PER_TASK = 8
@@ -119,7 +121,7 @@ def numbered(packs: DataFrame) -> tuple[DataFrame, int]:
     """``packs`` with ``first``, the number of its first sequence, and the count of all sequences."""
     slim = packs.select("part", "at", "n_seqs")
     # One row for each task of the packing stage: far fewer than there are packs or texts.
-    parts = slim.groupBy("part").agg(F.sum("n_seqs").alias("n")).collect()
+    parts = slim.groupBy("part").agg(F.sum("n_seqs").alias("n"), F.count("*").alias("packs")).collect()
     starts, total = [], 0
     for r in sorted(parts, key=lambda r: r["part"]):
         starts.append((r["part"], total))
@@ -127,7 +129,10 @@ def numbered(packs: DataFrame) -> tuple[DataFrame, int]:
     base = packs.sparkSession.createDataFrame(starts, "part int, base long")
     inside = Window.partitionBy("part").orderBy("at")
     firsts = slim.withColumn("before", F.sum("n_seqs").over(inside) - F.col("n_seqs")).join(base, "part")
-    return packs.join(firsts.select("part", "at", (F.col("base") + F.col("before")).alias("first")), ["part", "at"]), total
+    firsts = firsts.select("part", "at", (F.col("base") + F.col("before")).alias("first"))
+    if sum(r["packs"] for r in parts) <= BROADCAST_PACKS:
+        firsts = F.broadcast(firsts)  # else the packs are shuffled to meet their numbers
+    return packs.join(firsts, ["part", "at"]), total
 
 
 _MOVED = "task int, slots array<long>, doc_ids array<long>, seq_nos array<int>, lengths array<int>, body binary"
