@@ -33,3 +33,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint for small tables of an iteration; freed when no longer referenced."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1_000, mb: int = 16) -> None:
+    """Hand rows of long text to Python in small Arrow batches, so that a worker's memory stays bounded."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
