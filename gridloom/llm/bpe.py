@@ -34,7 +34,7 @@ from gridloom.plans.scratch import materialise
 #: Texts of more characters than this go through tree concatenation, in leaves of at most this many.
 LEAF_CHARS = 32_768
 #: Pieces that one task remembers at most.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 200_000
 _FIRST_WINDOW = 32
 _SHARED_RUN = 3
 

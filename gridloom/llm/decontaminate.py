@@ -39,8 +39,8 @@ COVERAGE = 0.6
 #: Largest benchmark window table that is sent to every task.
 BROADCAST_WINDOWS = 1_000_000
 #: Raw tokens that one task remembers at most.
-CACHE_TOKENS = 400_000
-_CHUNK_CHARS = 3_000_000
+CACHE_TOKENS = 200_000
+_CHUNK_CHARS = 2_000_000
 
 # Number words and units that get a placeholder.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()

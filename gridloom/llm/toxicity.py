@@ -36,7 +36,7 @@ VOCABULARY = 2_000
 MIN_DOCS = 3
 FIT_DOCS = 5_000
 #: Words that one task remembers at most.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _BEGINNINGS = (4, 5, 6, 7, 8)
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
