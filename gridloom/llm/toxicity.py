@@ -26,6 +26,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.llm.sampling import held_out, labelled, per_class
@@ -37,6 +38,8 @@ MIN_DOCS = 3
 FIT_DOCS = 5_000
 #: Words that one task remembers at most.
 CACHE_WORDS = 200_000
+#: Rows of one batch that a task hands back.
+OUT_ROWS = 10_000
 _BEGINNINGS = (4, 5, 6, 7, 8)
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -101,21 +104,22 @@ def _scan(weights: np.ndarray, bias: float, known: Known, text: str | None) -> t
 def choose_terms(rows: DataFrame, total: dict[int, int], n: int = VOCABULARY) -> list[str]:
     """The ``n`` terms of ``rows(text, y)`` that lean to the toxic class with the largest log-likelihood ratio."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for x in batches:
-            for text, y in zip(x["text"], x["y"]):
+            for text, y in zip(x.column("text").to_pylist(), x.column("y").to_pylist()):
                 words = set(_WORD.findall(lowered(text)))
                 seen[y].update(set(chain.from_iterable(map(word_terms, words))))
-        both = sorted(seen[1].keys())  # a term that no toxic text holds can't lean to that class
-        yield pd.DataFrame({"term": both, "a": [seen[1][t] for t in both], "b": [seen[0][t] for t in both]})
-        rest = [t for t in seen[0] if t not in seen[1] and seen[0][t] > 0]
-        yield pd.DataFrame({"term": rest, "a": 0, "b": [seen[0][t] for t in rest]})
+        terms = sorted(seen[0].keys() | seen[1].keys())
+        for k in range(0, len(terms), OUT_ROWS):
+            part = terms[k : k + OUT_ROWS]
+            counts = [pa.array([seen[y][t] for t in part], pa.int64()) for y in (1, 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *counts], names=["term", "a", "b"])
 
     n1, n0 = float(total.get(1, 0)), float(total.get(0, 0))
     if not n1 or not n0:
         return []
-    c = rows.select("text", "y").mapInPandas(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    c = rows.select("text", "y").mapInArrow(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     c = c.where(F.col("a") >= MIN_DOCS).where(F.col("a") / n1 > 2 * F.col("b") / n0)
     ln = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(F.lit(0.0))
     share = (F.col("a") + F.col("b")) / (n1 + n0)
