@@ -9,7 +9,8 @@ density (log of compressed over raw size), without which text that repeats itsel
 small under either dictionary, would look neutral.
 
 Training looks at a bounded sample: at most ``DICT_BLOCKS`` blocks and ``FIT_DOCS`` texts of
-each class, chosen by hash of their id, from rows outside the held-out fold.  Scoring covers
+each class, out of at most as many texts, chosen by hash of their id, from rows outside the
+held-out fold.  Scoring covers
 every row and every character.
 
 Nulls: a null text counts as empty; an empty text has difference 0 and gets the curve's value
@@ -27,7 +28,8 @@ import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridloom.llm.sampling import held_out, labelled, per_class
+from gridloom.llm.sampling import held_out, labelled, per_class, with_texts
+from gridloom.plans.scratch import materialise
 
 FOLDS, FOLD = 3, 1
 BLOCK_BYTES = 1024
@@ -104,19 +106,21 @@ def _logistic(f: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> Model:
-    rows = labelled(docs, labels, label, id_col, text_col, FOLDS, FOLD)
+    rows = labelled(docs, labels, label, id_col, FOLDS, FOLD)
     side = F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(2))
 
     @F.pandas_udf("array<binary>")
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(blocks)
 
-    pieces = rows.where(side == 0).select("id", "y", F.posexplode(cut("text")).alias("at", "block"))
+    texts = materialise(with_texts(docs, rows.where(side == 0), id_col, text_col, DICT_BLOCKS, 1), "quality-texts")
+    pieces = texts.repartition(texts.sparkSession.sparkContext.defaultParallelism * 2, "id").select("id", "y", F.posexplode(cut("text")).alias("at", "block"))
     pieces = pieces.withColumn("key", F.xxhash64("id", "at"))
     sample = per_class(pieces, DICT_BLOCKS, 1, "key").select("y", "block").collect()
     of = {y: [bytes(r["block"]) for r in sample if r["y"] == y] for y in (0, 1)}
     good, bad = _dictionary(of[1]), _dictionary(of[0])
-    fit = per_class(rows.where(side == 1), FIT_DOCS, 2).select("y", _features(good, bad, "text").alias("f")).select("y", "f.*").collect()
+    fit = materialise(with_texts(docs, rows.where(side == 1), id_col, text_col, FIT_DOCS, 2), "quality-fit")
+    fit = fit.repartition(fit.sparkSession.sparkContext.defaultParallelism * 2, "id").select("y", _features(good, bad, "text").alias("f")).select("y", "f.*").collect()
     # The sample holds as many of either class as it can; the offset gives the classes their true shares.
     share = {r["y"]: r["n"] for r in rows.where(side == 1).groupBy("y").agg(F.count("*").alias("n")).collect()}
     y, f = np.array([r["y"] for r in fit], dtype=int), np.array([(r["d"], r["density"]) for r in fit], dtype=float)

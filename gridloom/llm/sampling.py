@@ -10,12 +10,21 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, folds: int, fold: int) -> DataFrame:
-    """``(id, text, y)`` of the rows open to training; ids labelled 0 and 1 alike are left out."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, folds: int, fold: int) -> DataFrame:
+    """``(id, y)`` of the rows open to training, without their texts; ids labelled 0 and 1 alike are left out."""
     y = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
     y = y.agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("top")).where("y = top").drop("top")
-    open_rows = docs.where(~held_out(id_col, folds, fold)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return open_rows.join(y, "id")
+    return docs.where(~held_out(id_col, folds, fold)).select(F.col(id_col).alias("id")).join(y, "id")
+
+
+def with_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, n: int, salt: int) -> DataFrame:
+    """``(id, y, text)`` of at most ``n`` rows of each class among ``ids(id, y)``.
+
+    The rows are chosen by id first, so that only the at most ``2 n`` chosen ids meet the
+    texts, as a broadcast; the second choice bounds ids that many rows share.
+    """
+    chosen = F.broadcast(per_class(ids, n, salt).distinct())
+    return per_class(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id"), n, salt)
 
 
 def per_class(rows: DataFrame, n: int, salt: int, key: str = "id") -> DataFrame:

@@ -29,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridloom.llm.sampling import held_out, labelled, per_class
+from gridloom.llm.sampling import held_out, labelled, with_texts
 from gridloom.plans.scratch import materialise
 
 FOLDS, FOLD = 5, 0
@@ -158,9 +158,9 @@ def _fit(bags: list[list[list[int]]], sizes: np.ndarray, y: np.ndarray, weight:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> Model:
-    rows = labelled(docs, labels, label, id_col, text_col, FOLDS, FOLD)
+    rows = labelled(docs, labels, label, id_col, FOLDS, FOLD)
     share = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    sample = materialise(per_class(rows, FIT_DOCS, 3), "toxicity-sample").repartition(rows.sparkSession.sparkContext.defaultParallelism * 2, "id")
+    sample = materialise(with_texts(docs, rows, id_col, text_col, FIT_DOCS, 3), "toxicity-sample").repartition(rows.sparkSession.sparkContext.defaultParallelism * 2, "id")
     taken = {k: min(FIT_DOCS, share.get(k, 0)) for k in (0, 1)}
     chosen = choose_terms(sample, taken)
     if not chosen:
