@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridloom.functions import scalar
-from gridloom.operators import focal, graph, lines, spectral, stats
+from gridloom.operators import crossings, euler, focal, graph, lines, spectral, stats
 from gridloom.sources import fixtures
 
 N = 48
@@ -345,3 +345,51 @@ s AS (SELECT i AS u, w, sum(re * cos(2 * pi() * ((row * i) % {N}) / {N}) + im *
 q AS (SELECT re * re + im * im AS p, CAST(ceil(sqrt(power(CASE WHEN w < {N // 2} THEN w ELSE w - {N} END, 2) + power(CASE WHEN u < {N // 2} THEN u ELSE u - {N} END, 2)) - 0.5) AS INTEGER) AS ring FROM s)
 SELECT ring, round(ring * 2 * pi() / {N}, 8) AS k, round(ln(avg(p)), 5) AS log_power FROM q WHERE ring <= {(N - 1) // 2} GROUP BY ring""",
 )
+
+
+# --- thresholds, crossings, sampling, depth estimates --------------------------------------
+
+_add(
+    "threshold_between", lambda s, d: _out(crossings.blank(_grid(s, d), "between", above=50_000.0, below=45_000.0)),
+    _rounded(f"WITH {GRID_SQL} SELECT row, col, CASE WHEN v > 45000 AND v < 50000 THEN NULL ELSE v END AS v FROM g"),
+)
+
+
+def _crossings(s: SparkSession, d: str) -> DataFrame:
+    level = _grid(s, d).select("row", "col", (F.col("v") - 48_000.0).alias("v"))
+    return _out(crossings.zero_crossings(level, N, N), 6, "x", "y")
+
+
+_add(
+    "zero_crossings", _crossings,
+    f"""WITH {GRID_SQL}, f AS (SELECT row, col, v - 48000.0 AS v FROM g),
+s AS (SELECT a.row, a.col, 0 AS axis, a.v / nullif(a.v - b.v, 0) AS s FROM f a JOIN f b ON b.row = a.row AND b.col = (a.col + 1) % {N}
+UNION ALL SELECT a.row, a.col, 1, a.v / nullif(a.v - b.v, 0) FROM f a JOIN f b ON b.col = a.col AND b.row = (a.row + 1) % {N}),
+xy AS (SELECT col + CASE WHEN axis = 0 THEN s ELSE 0 END AS x, row + CASE WHEN axis = 1 THEN s ELSE 0 END AS y, row, col, axis FROM s WHERE s BETWEEN 0 AND 1)
+SELECT round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, row, col, axis FROM xy WHERE x < {N} AND y < {N}""",
+)
+
+
+def _sampled(s: SparkSession, d: str) -> DataFrame:
+    points = fixtures.table(s, d, "part").select("p_partkey", (F.col("p_partkey") % 500 / 10.0).alias("x"), F.col("p_size").cast("double").alias("y"))
+    return _out(crossings.sample(_grid(s, d), points))
+
+
+_add(
+    "sample_points", _sampled,
+    f"""WITH {GRID_SQL}, pt AS (SELECT p_partkey, p_partkey % 500 / 10.0 AS x, CAST(p_size AS DOUBLE) AS y FROM part)
+SELECT p_partkey, x, y, round(g.v, 7) + 0.0 AS v FROM pt LEFT JOIN g ON g.row = floor(y) AND g.col = floor(x)""",
+)
+
+
+def _depths(s: SparkSession, d: str) -> DataFrame:
+    """The tenth of all windows with the most varied vertical derivative, for four structural indices."""
+    grid = focal.fill_nearest(_grid(s, d), N, N)
+    spectrum = spectral.Spectrum(grid, N, N)
+    field = grid.select("row", "col", "v")
+    for axis in "xyz":
+        field = field.join(spectrum.apply(spectral.derivative(axis), False).select("row", "col", F.col("v").alias(f"d{axis}")), ["row", "col"])
+    return euler.keep_most_varied(euler.deconvolve(field, [0.001, 1.0, 2.0, 3.0], 7, N, N), 0.1)
+
+
+_add("euler_deconvolution", _depths)
