@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridloom.functions import scalar
-from gridloom.operators import crossings, euler, focal, graph, lines, spectral, stats
+from gridloom.operators import crossings, euler, focal, graph, lines, spectral, stats, surfaces, terrain
 from gridloom.sources import fixtures
 
 N = 48
@@ -386,10 +386,106 @@ def _depths(s: SparkSession, d: str) -> DataFrame:
     """The tenth of all windows with the most varied vertical derivative, for four structural indices."""
     grid = focal.fill_nearest(_grid(s, d), N, N)
     spectrum = spectral.Spectrum(grid, N, N)
-    field = grid.select("row", "col", "v")
-    for axis in "xyz":
-        field = field.join(spectrum.apply(spectral.derivative(axis), False).select("row", "col", F.col("v").alias(f"d{axis}")), ["row", "col"])
+    field = grid.select("row", "col", "v").join(spectrum.several(spectral.GRADIENT), ["row", "col"])
     return euler.keep_most_varied(euler.deconvolve(field, [0.001, 1.0, 2.0, 3.0], 7, N, N), 0.1)
 
 
 _add("euler_deconvolution", _depths)
+
+
+# --- gain control, terrain, gridding, colours, outlines ------------------------------------
+
+_GAIN, _PAD = terrain.bell(2.0), 6
+
+
+def _mirror_sql(i: str) -> str:
+    """Index within the grid of a place up to the Gaussian's reach outside the mirrored grid."""
+    j = f"(CASE WHEN {i} < {-_PAD} THEN {-2 * _PAD - 1} - {i} WHEN {i} >= {N + _PAD} THEN {2 * (N + _PAD) - 1} - {i} ELSE {i} END)"
+    return f"(CASE WHEN {j} < 0 THEN -{j} WHEN {j} >= {N} THEN {2 * (N - 1)} - {j} ELSE {j} END)"
+
+
+_BELL = ", ".join(f"({o}, {w!r})" for o, w in _GAIN)
+_add(
+    "agc", lambda s, d: _out(terrain.gain_control(_grid(s, d), 2.0, N, N)),
+    f"""WITH {GRID_SQL}, {FILL_SQL}, o(d, w) AS (VALUES {_BELL}),
+a AS (SELECT c.row, c.col, sum(w * abs(s.v)) AS v FROM cells c CROSS JOIN o JOIN filled s ON s.row = c.row AND s.col = {_mirror_sql('(c.col + o.d)')} GROUP BY 1, 2),
+b AS (SELECT c.row, c.col, sum(w * s.v) AS v FROM cells c CROSS JOIN o JOIN a s ON s.col = c.col AND s.row = {_mirror_sql('(c.row + o.d)')} GROUP BY 1, 2)
+SELECT g.row, g.col, round(g.v / b.v, 7) + 0.0 AS v FROM g JOIN b ON b.row = g.row AND b.col = g.col""",
+)
+
+
+def _heights(s: SparkSession, d: str) -> DataFrame:
+    """The price grid in units that make slopes of every kind; few holes, as each hides its surroundings."""
+    v = F.when(~((F.col("row") % 16 == 5) & (F.col("col") % 16 == 9)), F.col("v") / 8000)
+    return focal.fill_nearest(_grid(s, d, False), N, N).select("row", "col", v.alias("v"))
+
+
+def _sum_sql(name: str, source: str, values: str, select: str, on: str) -> str:
+    return f"{name} AS (SELECT c.row, c.col, {select} FROM cells c CROSS JOIN (VALUES {values}) o(dr, dc, w, w1) JOIN {source} s ON {on} GROUP BY 1, 2)"
+
+
+_BELL1 = terrain.bell(1.0)
+_SYM_ON = f"s.row = {_EDGE_SQL['symmetric'].format(i='(c.row + o.dr)')} AND s.col = {_EDGE_SQL['symmetric'].format(i='(c.col + o.dc)')}"
+_WHOLE = f"CASE WHEN count(s.v) = {len(_BELL1)} THEN sum(w * s.v) END AS v"
+_DIFF = "({a} - {b}) / nullif((CASE WHEN lead({i}) OVER w{i} IS NULL THEN 0 ELSE 1 END) + (CASE WHEN lag({i}) OVER w{i} IS NULL THEN 0 ELSE 1 END), 0)"
+
+
+def _diff_sql(v: str, i: str) -> str:
+    ahead, behind = (f"(CASE WHEN {f}({i}) OVER w{i} IS NULL THEN {v} ELSE {f}({v}) OVER w{i} END)" for f in ("lead", "lag"))
+    return _DIFF.format(a=ahead, b=behind, i=i)
+
+
+TERRAIN_SQL = f"""{GRID_SQL},
+fn AS (SELECT h.row, h.col, arg_min(s.v, (h.row - s.row) * (h.row - s.row) + (h.col - s.col) * (h.col - s.col) + s.row / 1e4 + s.col / 1e7) AS v FROM full_ h, full_ s WHERE h.v IS NULL AND s.v IS NOT NULL GROUP BY 1, 2),
+ff AS (SELECT row, col, v FROM full_ WHERE v IS NOT NULL UNION ALL SELECT row, col, v FROM fn),
+h AS (SELECT row, col, CASE WHEN NOT (row % 16 = 5 AND col % 16 = 9) THEN v / 8000 END AS v FROM ff),
+{_sum_sql('s1', 'h', ', '.join(f'(0, {o}, {w!r}, 0.0)' for o, w in _BELL1), _WHOLE, _SYM_ON)},
+{_sum_sql('s2', 's1', ', '.join(f'({o}, 0, {w!r}, 0.0)' for o, w in _BELL1), _WHOLE, _SYM_ON)},
+{_sum_sql('d0', 's2', ', '.join(f'({a}, {b}, {x!r}, {y!r})' for a, b, x, y in terrain.gradient_offsets(3)), 'CASE WHEN count(s.v) = count(*) THEN sum(w * s.v) END AS dx, CASE WHEN count(s.v) = count(*) THEN sum(w1 * s.v) END AS dy', 's.row = c.row + o.dr AND s.col = c.col + o.dc')},
+d1 AS (SELECT row, col, dx, dy, {_diff_sql('dx', 'row')} AS dxx, {_diff_sql('dx', 'col')} AS dxy, {_diff_sql('dy', 'col')} AS dyy FROM d0 WINDOW wrow AS (PARTITION BY col ORDER BY row), wcol AS (PARTITION BY row ORDER BY col)),
+sc AS (SELECT row, col, degrees(atan(sqrt(dx*dx + dy*dy))) AS slope, (dx*dx*dxx + 2*dx*dy*dxy + dy*dy*dyy) / (CASE WHEN dx*dx + dy*dy > 0 THEN dx*dx + dy*dy ELSE power(2.0, -52) END * sqrt(power(dx*dx + dy*dy + 1, 3))) AS curvature FROM d1)"""
+_add(
+    "slope_curvature", lambda s, d: _out(terrain.slope_curvature(_heights(s, d), N, N), 5, "slope", "curvature"),
+    f"WITH {TERRAIN_SQL} SELECT row, col, round(slope, 5) + 0.0 AS slope, round(curvature, 5) + 0.0 AS curvature FROM sc",
+)
+_add(
+    "dtm_class", lambda s, d: terrain.classify(_heights(s, d), N, N),
+    f"""WITH RECURSIVE {TERRAIN_SQL}, act AS (SELECT row, col, row * {N} + col AS id FROM sc WHERE slope >= 45.0),
+e AS (SELECT a.id AS x, b.id AS y FROM act a JOIN act b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND a.id <> b.id),
+reach(id, root) AS (SELECT id, id FROM act UNION SELECT e.y, reach.root FROM reach JOIN e ON e.x = reach.id),
+lab AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
+sh AS (SELECT root, count(*) AS area, var_pop(row) AS r, var_pop(col) AS c, covar_pop(row, col) AS rc FROM act JOIN lab USING (id) GROUP BY root),
+ax AS (SELECT root, area, (r + c) / 2 + sqrt(power((r - c) / 2, 2) + rc * rc) AS major, greatest((r + c) / 2 - sqrt(power((r - c) / 2, 2) + rc * rc), 0) AS minor FROM sh),
+lin AS (SELECT act.row, act.col FROM act JOIN lab USING (id) JOIN ax USING (root) WHERE area >= 5 AND major > 0 AND (sqrt(1 - minor / major) > 0.8 OR major > 9 * minor))
+SELECT h.row, h.col, CAST(CASE WHEN h.v IS NULL THEN -15 WHEN CASE WHEN (SELECT count(*) FROM lin) > 0 THEN lin.row IS NOT NULL ELSE coalesce(slope >= 45.0, false) END THEN 2
+WHEN curvature > 0.01 THEN -1 WHEN curvature < -0.01 THEN 1 ELSE 0 END AS INTEGER) AS v FROM h JOIN sc ON sc.row = h.row AND sc.col = h.col LEFT JOIN lin ON lin.row = h.row AND lin.col = h.col""",
+)
+_add(
+    "idw_grid", lambda s, d: _out(surfaces.inverse_distance(fixtures.stations(s, d), N, N, 3.0), 9),
+    f"""WITH {_CELLS}, pt AS (SELECT CAST(p_partkey % 50 AS DOUBLE) AS x, CAST(p_size AS DOUBLE) AS y, avg(p_retailprice) AS z FROM part GROUP BY 1, 2),
+h AS (SELECT row, col, z, sqrt(power(x - col - 0.5, 2) + power(y - row - 0.5, 2)) AS d FROM cells, pt WHERE abs(x - col - 0.5) <= 3 AND abs(y - row - 0.5) <= 3)
+SELECT row, col, round(coalesce(avg(CASE WHEN d = 0 THEN z END), sum(CASE WHEN d > 0 THEN z / (d * d) END) / sum(CASE WHEN d > 0 THEN 1 / (d * d) END)), 9) + 0.0 AS v, count(*) AS n FROM h WHERE d <= 3 GROUP BY row, col""",
+)
+_RAMP = surfaces.colour_ramp([(0, 0, 255), (0, 255, 255), (255, 255, 0), (255, 0, 0)], 128)
+_RGB = "CAST(l_quantity * 5 % 256 AS INTEGER) AS r, CAST(l_partkey * 3 % 256 AS INTEGER) AS g, CAST(l_suppkey * 17 % 256 AS INTEGER) AS b"
+_add(
+    "rgb_to_scalar",
+    lambda s, d: _out(surfaces.colour_to_scalar(fixtures.table(s, d, "lineitem").selectExpr("l_orderkey AS row", "l_linenumber AS col", *_RGB.split(", ")), _RAMP, 10.0, 90.0)),
+    f"""WITH px AS (SELECT l_orderkey AS row, l_linenumber AS col, {_RGB} FROM lineitem), lut(k, r, g, b) AS (VALUES {', '.join(f'({k}, {c[0]}, {c[1]}, {c[2]})' for k, c in enumerate(_RAMP))}),
+u AS (SELECT DISTINCT r, g, b FROM px WHERE NOT (r = g AND g = b AND r IN (0, 255))),
+n AS (SELECT u.r, u.g, u.b, min(((u.r - lut.r) * (u.r - lut.r) + (u.g - lut.g) * (u.g - lut.g) + (u.b - lut.b) * (u.b - lut.b)) * 1000 + k) % 1000 AS k FROM u, lut GROUP BY 1, 2, 3)
+SELECT row, col, round(10.0 + n.k * (80.0 / {len(_RAMP) - 1}), 7) + 0.0 AS v FROM px LEFT JOIN n ON n.r = px.r AND n.g = px.g AND n.b = px.b""",
+)
+_add(
+    "boundary_edges", lambda s, d: surfaces.boundary_edges(_grid(s, d)),
+    f"""WITH {GRID_SQL}, ok AS (SELECT row, col FROM g WHERE v IS NOT NULL),
+n(dr, dc, er, ec, axis) AS (VALUES (-1, 0, 0, 0, 0), (1, 0, 1, 0, 0), (0, -1, 0, 0, 1), (0, 1, 0, 1, 1))
+SELECT ok.row + er AS row, ok.col + ec AS col, axis FROM ok CROSS JOIN n LEFT JOIN ok b ON b.row = ok.row + dr AND b.col = ok.col + dc WHERE b.row IS NULL""",
+)
+_add(
+    "point_trend", lambda s, d: _out(surfaces.point_trend(fixtures.stations(s, d), 1)[0], 5, "z", "trend", "residual"),
+    """WITH pt AS (SELECT CAST(p_partkey % 50 AS DOUBLE) AS x, CAST(p_size AS DOUBLE) AS y, avg(p_retailprice) AS z FROM part GROUP BY 1, 2),
+m AS (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz FROM pt),
+t AS (SELECT x, y, z, mz + (xz * yy - yz * xy) / (xx * yy - xy * xy) * (x - mx) + (yz * xx - xz * xy) / (xx * yy - xy * xy) * (y - my) AS trend FROM pt, m)
+SELECT x, y, round(z, 5) + 0.0 AS z, round(trend, 5) + 0.0 AS trend, round(z - trend, 5) + 0.0 AS residual FROM t""",
+)
