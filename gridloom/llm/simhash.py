@@ -136,6 +136,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def take_rows(docs: DataFrame, best: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``best(_k, _th)`` names, each once."""
+    k, th = _row_key(docs, id_col, text_col)
+    # The join leaves rows dealt by (_k, _th), so dropping repeats needs no further shuffle.
+    kept = docs.withColumns({"_k": k, "_th": th}).join(best, ["_k", "_th"])
+    return kept.dropDuplicates(["_k", "_th"]).select(*docs.columns)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row left of every near-duplicate group: that with the smallest id.
 
@@ -145,7 +153,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     rows = _grouped(docs, id_col, text_col, words, max_bits)
     first = F.struct(F.col("id").isNull().alias("none"), "id", "th", "k")
     best = rows.groupBy("component").agg(F.min(first).alias("b")).select(F.col("b.k").alias("_k"), F.col("b.th").alias("_th"))
-    k, th = _row_key(docs, id_col, text_col)
-    # The join leaves rows dealt by (_k, _th), so dropping repeats needs no further shuffle.
-    kept = docs.withColumns({"_k": k, "_th": th}).join(best, ["_k", "_th"])
-    return kept.dropDuplicates(["_k", "_th"]).select(*docs.columns)
+    return take_rows(docs, best, id_col, text_col)
