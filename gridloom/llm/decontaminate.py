@@ -15,8 +15,8 @@ their own length.  Windows with fewer than ``MIN_WORDS`` ordinary words say noth
 left out on both sides; an item without any other window cannot be matched.
 
 Nulls: null texts and items count as empty and match nothing; repeated rows of a text or an
-item are reported once per id; rows with a null id are matched under that null id.  Empty
-tables give an empty result; other columns are ignored or passed through.
+item are reported once per id; rows with a null id are matched under that null id.  Texts that
+share an id are judged one by one, each as its own row.  Empty tables give an empty result; other columns are ignored or passed through.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.plans.scratch import materialise
 
@@ -185,21 +185,22 @@ def _judge(item: Item, aligned: dict[int, dict[int, str]], starts: dict[int, set
     return best
 
 
+_ROW = "id long, th long, "
 _LEAK = "item long, matched int, total int, slots int, changed int"
 
 
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, Templates]]:
-    """(ids, templates) of a few MB of text at a time; one lexicon serves all, started anew when full."""
+    """((id, text hash) of each text, templates) of a few MB of text at a time; one lexicon serves all, started anew when full."""
     lexicon = Lexicon()
     for x in batches:
-        ids, texts, at = x["id"].tolist(), x["text"].tolist(), 0
+        rows, texts, at = list(zip(x["id"].tolist(), x["th"].tolist())), x["text"].tolist(), 0
         while at < len(texts):
             stop, chars = at, 0
             while stop < len(texts) and (chars == 0 or chars < _CHUNK_CHARS):
                 chars += len(texts[stop] or "")
                 stop += 1
             lexicon = lexicon.trimmed()
-            yield ids[at:stop], Templates(texts[at:stop], lexicon)
+            yield rows[at:stop], Templates(texts[at:stop], lexicon)
             at = stop
 
 
@@ -207,15 +208,15 @@ def _scan_broadcast(owners, items, lengths):
     ordered = np.sort(np.fromiter(owners, np.uint64, len(owners)))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, t in _chunks(batches):
-            yield pd.DataFrame(_hits(ids, t, ordered, owners, items, lengths), columns=["id", "item", "matched", "total", "slots", "changed"])
+        for keys, t in _chunks(batches):
+            yield pd.DataFrame(_hits(keys, t, ordered, owners, items, lengths), columns=["id", "th", "item", "matched", "total", "slots", "changed"])
 
     return scan
 
 
-def _hits(ids, t: Templates, ordered, owners, items, lengths) -> list[tuple]:
+def _hits(keys, t: Templates, ordered, owners, items, lengths) -> list[tuple]:
     found: dict[tuple[int, int], dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-    begins = np.searchsorted(t.doc, np.arange(len(ids)))
+    begins = np.searchsorted(t.doc, np.arange(len(keys)))
     for n in lengths:
         at, h = t.windows(n)
         near = np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)
@@ -233,7 +234,7 @@ def _hits(ids, t: Templates, ordered, owners, items, lengths) -> list[tuple]:
         aligned = {o: {w + j: t.value(base + o + w + j) for w in ws for j in range(it.length) if it.kinds[w + j] != WORD} for o, ws in starts.items()}
         best = _judge(it, aligned, starts)
         if best:
-            out.append((ids[d], item, best[0], it.total, best[1], best[2]))
+            out.append((*keys[d], item, best[0], it.total, best[1], best[2]))
     return out
 
 
@@ -244,16 +245,16 @@ def _by_broadcast(docs: DataFrame, windows: DataFrame, bench: list) -> DataFrame
     items = {i: Item(Templates([t], Lexicon())) for i, t in bench}
     lengths = sorted({it.length for it in items.values() if it.total})
     if not owners:
-        return docs.sparkSession.createDataFrame([], "id long, " + _LEAK)
-    return docs.mapInPandas(_scan_broadcast(dict(owners), items, lengths), "id long, " + _LEAK)
+        return docs.sparkSession.createDataFrame([], _ROW + _LEAK)
+    return docs.mapInPandas(_scan_broadcast(dict(owners), items, lengths), _ROW + _LEAK)
 
 
 def _by_shuffle(docs: DataFrame, windows: DataFrame, bench: DataFrame) -> DataFrame:
     lengths = [r["length"] for r in windows.select("length").distinct().collect()]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, t in _chunks(batches):
-            begins = np.searchsorted(t.doc, np.arange(len(ids)))
+        for keys, t in _chunks(batches):
+            begins = np.searchsorted(t.doc, np.arange(len(keys)))
             places = np.nonzero(t.kind != WORD)[0]
             values = [t.value(int(p)) for p in places]
             for n in lengths:
@@ -261,10 +262,10 @@ def _by_shuffle(docs: DataFrame, windows: DataFrame, bench: DataFrame) -> DataFr
                 lo, hi = np.searchsorted(places, at), np.searchsorted(places, at + n)
                 slots = [[f"{places[q] - a}={values[q]}" for q in range(p, r)] for a, p, r in zip(at.tolist(), lo.tolist(), hi.tolist())]
                 doc = t.doc[at]
-                yield pd.DataFrame({"id": [ids[d] for d in doc.tolist()], "length": n, "pos": at - begins[doc], "h": h.view(np.int64), "slots": pd.Series(slots, dtype=object)})
+                yield pd.DataFrame({"id": pd.Series([keys[d][0] for d in doc.tolist()], dtype=object), "th": [keys[d][1] for d in doc.tolist()], "length": n, "pos": at - begins[doc], "h": h.view(np.int64), "slots": pd.Series(slots, dtype=object)})
 
-    hits = docs.mapInPandas(cut, "id long, length int, pos long, h long, slots array<string>").join(windows, ["h", "length"])
-    lined = hits.groupBy("id", "item", (F.col("pos") - F.col("at")).alias("offset"))
+    hits = docs.mapInPandas(cut, _ROW + "length int, pos long, h long, slots array<string>").join(windows, ["h", "length"])
+    lined = hits.groupBy("id", "th", "item", (F.col("pos") - F.col("at")).alias("offset"))
     # One alignment holds an item's windows at most, so the collected sets are as short as the item.
     lined = lined.agg(F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set(F.transform("slots", lambda s: F.concat(F.col("at").cast("string"), F.lit("+"), s))))).alias("slots"))
     rows = bench.groupBy("item").agg(F.min("text").alias("text"))
@@ -272,7 +273,7 @@ def _by_shuffle(docs: DataFrame, windows: DataFrame, bench: DataFrame) -> DataFr
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             out = []
-            for i, item, text, offset, ats, slots in zip(x["id"], x["item"], x["text"], x["offset"], x["ats"], x["slots"]):
+            for i, th, item, text, offset, ats, slots in zip(x["id"], x["th"], x["item"], x["text"], x["offset"], x["ats"], x["slots"]):
                 it = Item(Templates([text], Lexicon()))
                 place = {}
                 for s in slots:
@@ -281,22 +282,30 @@ def _by_shuffle(docs: DataFrame, windows: DataFrame, bench: DataFrame) -> DataFr
                     place[int(a) + int(b)] = value
                 best = _judge(it, {0: place}, {0: set(ats)})
                 if best:
-                    out.append((i, item, best[0], it.total, best[1], best[2]))
-            yield pd.DataFrame(out, columns=["id", "item", "matched", "total", "slots", "changed"])
+                    out.append((i, th, item, best[0], it.total, best[1], best[2]))
+            yield pd.DataFrame(out, columns=["id", "th", "item", "matched", "total", "slots", "changed"])
 
-    return lined.join(rows, "item").mapInPandas(judge, "id long, " + _LEAK)
+    return lined.join(rows, "item").mapInPandas(judge, _ROW + _LEAK)
 
 
-def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """``(<id_col>, <item_col>, coverage, slots, changed, kind)``: one row for each text and each item that it leaks."""
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _found(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, broadcast_windows: int) -> DataFrame:
+    """``(id, th, item, ..)``: leaks of each row, which its id and its text's hash name."""
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), _text_hash(text_col).alias("th"), F.col(text_col).alias("text"))
     items = bench.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).where("item IS NOT NULL")
     windows = materialise(item_windows(items, "item", "text"), "benchmark-windows")
-    if windows.count() <= broadcast_windows:
-        texts = items.groupBy("item").agg(F.min("text").alias("text")).collect()
-        found = _by_broadcast(slim, windows, [(r["item"], r["text"]) for r in texts])
-    else:
-        found = _by_shuffle(slim, windows, items)
+    if windows.count() > broadcast_windows:
+        return _by_shuffle(slim, windows, items)
+    texts = items.groupBy("item").agg(F.min("text").alias("text")).collect()
+    return _by_broadcast(slim, windows, [(r["item"], r["text"]) for r in texts])
+
+
+def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """``(<id_col>, <item_col>, coverage, slots, changed, kind)``: one row for each id and each item that a text of it leaks."""
+    found = _found(docs, bench, id_col, text_col, item_col, item_text, broadcast_windows)
     best = found.groupBy("id", "item").agg(F.max(F.struct("matched", (-F.col("changed")).alias("same"), "slots", "total")).alias("b"))
     changed = -F.col("b.same")
     return best.select(
@@ -305,7 +314,8 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
     )
 
 
-def keep_clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that leak a benchmark item."""
-    dirty = leaks(docs, bench, id_col, text_col).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(dirty, docs[id_col].eqNullSafe(dirty["_id"]), "left_anti")
+def keep_clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """``docs`` without the rows that leak a benchmark item; other rows of the same id stay."""
+    dirty = _found(docs, bench, id_col, text_col, "item_id", "text", broadcast_windows).select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_row_th") == F.col("_th"))
+    return docs.withColumn("_row_th", _text_hash(text_col)).join(dirty, same, "left_anti").select(*docs.columns)
