@@ -5,11 +5,14 @@ are encoded one by one, as their ids do not depend on their neighbours, and kept
 cache of each task.  Other vocabularies, and rare characters, go through the library directly.
 
 A long text is halved again and again into leaves of bounded length, which are dealt over
-the cluster and encoded independently.  Neighbouring leaves are then joined in a tree.  A
-cut beside a blank needs no work.  A cut inside unsplit text leaves wrong tokens at both
-edges: a window around the join is encoded again, growing until it shares tokens (same id,
-same place) with the left and the right side; from there on both sides agree exactly, since a
-sequence of BPE tokens is the encoding of its text if every adjacent pair is.
+the cluster and encoded independently.  A cut beside a blank needs no work.  A cut inside
+unsplit text leaves wrong tokens at both edges: a window around the join is encoded again,
+growing until it shares tokens (same id, same place) with the left and the right side; from
+there on both sides agree exactly, since a sequence of BPE tokens is the encoding of its text
+if every adjacent pair is.  Joins settled inside their two leaves are independent of all
+others, so each is a task's row of its own and only the ids meet in the end.  Where a join
+finds no shared token inside its leaves (one character repeated over the whole leaf), the
+leaves of that unsplit stretch are joined in a tree in one task.
 
 Nulls: a null text counts as empty; an empty text has no ids and decodes to the empty string.
 Repeated rows each get their own result row.  Equal long texts are encoded once.  An empty
@@ -202,6 +205,30 @@ def join(codec: Codec, a_text: str, a: list, b_text: str, b: list) -> list:
     return codec.encode_spans(a_text + b_text)
 
 
+def seam(codec: Codec, a_text: str, a: list, b_text: str, b: list) -> tuple[int, list[int], int] | None:
+    """(tokens of ``a`` that stay, ids between, first token of ``b`` that stays), or None if that needs more than the two leaves."""
+    n, w = len(a_text), _FIRST_WINDOW
+    while w < min(n, len(b_text)):
+        lo = n - w
+        while 0 < lo and not _safe(a_text, lo):
+            lo -= 1
+        hi = n + w
+        if lo == 0:
+            return None
+        window = [(i, s + lo, e + lo) for i, s, e in codec.encode_spans(a_text[lo:] + b_text[: hi - n])]
+        first = next((k for k in range(len(a) - 1, -1, -1) if a[k][1] < lo), -1) + 1
+        stop = next((k for k in range(len(b)) if b[k][2] + n >= hi), len(b))
+        tail = [x for x in a[first:] if x[2] < n]
+        head = [(i, s + n, e + n) for i, s, e in b[:stop] if s > 0]
+        left = _agree(tail, [x for x in window if x[2] < n], last=False)
+        right = _agree(head, [x for x in window if x[1] > n], last=True)
+        if left and right:
+            t, u = tail[left[0]], head[right[0]]
+            return first + a[first:].index(t) + 1, [i for i, _, _ in window[window.index(t) + 1 : window.index(u)]], b.index((u[0], u[1] - n, u[2] - n))
+        w *= 2
+    return None
+
+
 def merge_tree(codec: Codec, leaves: list[tuple[str, bool, list[int] | None]]) -> list[int]:
     """Ids of the whole text from its leaves in order; ids are None where a hard edge asks for spans."""
     out: list[int] = []
@@ -245,35 +272,91 @@ def _with_short(part: DataFrame, vocab: str, text_col: str, schema: str, shape)
 def _long(texts: DataFrame, vocab: str, leaf: int, schema: str, shape) -> DataFrame:
     """``texts(key, text)`` of long texts, distinct by key -> ``(key, <schema>)``."""
 
-    @F.pandas_udf("array<struct<text:string,soft:boolean>>")
-    def leaves(values: pd.Series) -> pd.Series:
-        blanks = shared_codec(vocab).drops_blanks
-        return values.map(lambda t: [{"text": x, "soft": s} for x, s in cut(t, leaf, blanks)])
+    rows = materialise(_leaves(texts, vocab, leaf), "bpe-leaves")
+    columns = [c.split()[0] for c in schema.split(", ")]
 
     @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = shared_codec(vocab)
-        for x in batches:
-            yield pd.Series([None if hard else codec.encode(t) for t, hard in zip(x["text"], x["hard"])], dtype=object)
-
-    columns = [c.split()[0] for c in schema.split(", ")]
+        for values in batches:
+            yield pd.Series(list(codec.encode_many(values.tolist())), dtype=object)
 
     def merge(key, group: pd.DataFrame) -> pd.DataFrame:
-        codec, group = shared_codec(vocab), group.sort_values("at")
-        known = [None if i is None else [int(x) for x in i] for i in group["ids"]]
-        row = shape(codec, merge_tree(codec, list(zip(group["text"], group["soft"], known))))
-        return pd.DataFrame([(key[0], *row)], columns=["key", *columns])
+        codec, ids, run = shared_codec(vocab), [], []
+        for x in group.sort_values("at").itertuples():
+            run.append(x)
+            if x.soft:
+                if all(r.sound for r in run):
+                    ids.extend(i for r in run for i in r.ids.tolist())
+                else:
+                    ids.extend(merge_tree(codec, [(r.text, r.soft, None) for r in run]))
+                run = []
+        return pd.DataFrame([(key[0], *shape(codec, ids))], columns=["key", *columns])
 
-    rows = texts.select("key", F.posexplode(leaves("text")).alias("at", "leaf")).select("key", "at", "leaf.text", "leaf.soft")
-    # A leaf is hard if either edge lies in unsplit text; its left edge is the right edge of the leaf before it.
     n = max(8, texts.sparkSession.sparkContext.defaultParallelism * 4)
-    rows = materialise(rows, "bpe-leaves").repartition(n, "key", "at")
-    before = rows.select("key", (F.col("at") + 1).alias("at"), F.col("soft").alias("soft_before"))
-    rows = rows.join(before, ["key", "at"], "left").withColumn("hard", ~F.col("soft") | ~F.coalesce("soft_before", F.lit(True)))
-    coded = rows.withColumn("ids", encode(F.struct("text", "hard")))
-    # An encoded leaf carries its text only where a join may have to look at it.
-    slim = coded.select("key", "at", "soft", F.when(F.col("hard"), F.col("text")).alias("text"), "ids")
-    return slim.groupBy("key").applyInPandas(merge, "key string, " + schema)
+    easy = rows.where("NOT hard").repartition(n, "key", "at")
+    easy = easy.select("key", "at", F.lit(True).alias("soft"), F.lit(True).alias("sound"), F.lit(None).cast("string").alias("text"), encode("text").alias("ids"))
+    parts = easy if rows.where("hard").isEmpty() else easy.union(hard_parts(rows.where("hard"), vocab, n))
+    return parts.groupBy("key").applyInPandas(merge, "key string, " + schema)
+
+
+def _leaves(texts: DataFrame, vocab: str, leaf: int) -> DataFrame:
+    """``(key, at, text, soft, hard)``: a leaf is hard if either edge lies in unsplit text, soft if its right edge does not."""
+
+    @F.pandas_udf("array<struct<text:string,soft:boolean,hard:boolean>>")
+    def leaves(values: pd.Series) -> pd.Series:
+        blanks = shared_codec(vocab).drops_blanks
+
+        def of(text: str) -> list[dict]:
+            got = cut(text, leaf, blanks)
+            before = [True, *(s for _, s in got)]
+            return [{"text": x, "soft": s, "hard": not (s and b)} for (x, s), b in zip(got, before)]
+
+        return values.map(of)
+
+    return texts.select("key", F.posexplode(leaves("text")).alias("at", "leaf")).select("key", "at", "leaf.*")
+
+
+def hard_parts(hard: DataFrame, vocab: str, n: int) -> DataFrame:
+    """``(key, at, soft, sound, text, ids)`` of hard leaves: ids that stay and those of the seam behind.
+
+    Every leaf and every seam is a row of its own, dealt over the cluster.  Texts with a leaf
+    that is not ``sound`` carry all hard leaves' texts along.
+    """
+    spans = "ids array<int>, starts array<int>, ends array<int>"
+
+    @F.pandas_udf(spans)
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec = shared_codec(vocab)
+        for values in batches:
+            yield pd.DataFrame([tuple(map(list, zip(*codec.encode_spans(t)))) or ([], [], []) for t in values], columns=["ids", "starts", "ends"])
+
+    @F.pandas_udf("stay int, ids array<int>, first int")
+    def sewn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codec = shared_codec(vocab)
+        for x in batches:
+            out = []
+            for r in x.itertuples():
+                a, b = (list(zip(*(v.tolist() for v in vs))) for vs in ((r.ai, r.as_, r.ae), (r.bi, r.bs, r.be)))
+                out.append(seam(codec, r.at_, a, r.bt, b) or (-1, [], -1))
+            yield pd.DataFrame(out, columns=["stay", "ids", "first"])
+
+    coded = hard.repartition(n, "key", "at").withColumn("t", encode("text"))
+    coded = materialise(coded.select("key", "at", "soft", "text", "t.*"), "bpe-hard-leaves")
+    a = coded.where("NOT soft").select("key", "at", F.col("text").alias("at_"), F.col("ids").alias("ai"), F.col("starts").alias("as_"), F.col("ends").alias("ae"))
+    b = coded.select("key", (F.col("at") - 1).alias("at"), F.col("text").alias("bt"), F.col("ids").alias("bi"), F.col("starts").alias("bs"), F.col("ends").alias("be"))
+    seams = a.join(b, ["key", "at"]).repartition(n, "key", "at").select("key", "at", sewn(F.struct("at_", "ai", "as_", "ae", "bt", "bi", "bs", "be")).alias("s"))
+    seams = materialise(seams.select("key", "at", "s.*"), "bpe-seams")
+    behind = seams.select("key", "at", "stay", F.col("ids").alias("between"))
+    ahead = seams.select("key", (F.col("at") + 1).alias("at"), "first")
+    parts = coded.drop("starts", "ends").join(behind, ["key", "at"], "left").join(ahead, ["key", "at"], "left")
+    # Without a seam on a side, that edge of the leaf lies beside a blank or ends the text.
+    parts = parts.withColumns({"stay": F.coalesce("stay", F.size("ids")), "first": F.coalesce("first", F.lit(0))})
+    parts = parts.withColumn("sound", F.expr("first >= 0 AND first < stay"))
+    kept = F.concat(F.slice("ids", F.col("first") + 1, F.col("stay") - F.col("first")), F.coalesce("between", F.array().cast("array<int>")))
+    unsound = parts.where("NOT sound").select("key", F.lit(True).alias("unsound")).distinct()
+    parts = parts.join(unsound, "key", "left")
+    return parts.select("key", "at", "soft", "sound", F.when(F.col("unsound"), F.col("text")).alias("text"), F.when(F.col("sound"), kept).alias("ids"))
 
 
 def apply(docs: DataFrame, schema: str, shape, vocab_path: str | None = None, text_col: str = "text", leaf: int = LEAF_CHARS) -> DataFrame:
