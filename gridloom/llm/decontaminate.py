@@ -11,8 +11,10 @@ item is leaked if each of its values maps to one value of the text throughout (a
 The benchmark's window table goes to every task only while it is small, which is measured
 (``BROADCAST_WINDOWS``); beyond that the windows of the texts are dealt by hash and joined in
 Spark.  Both ways give the same rows.  Items shorter than a window are matched by windows of
-their own length.  Windows with fewer than ``MIN_WORDS`` ordinary words say nothing and are
-left out on both sides; an item without any other window cannot be matched.
+their own length.  Windows with fewer than ``MIN_WORDS`` ordinary words say nothing as templates
+and are left out on both sides.  Items that lose more than half of their windows so (lists of
+names, sums) are matched by windows of their lower-cased tokens, values included, as well; those
+have a negative ``length`` and find copies with the same values only.
 
 Nulls: null texts and items count as empty and match nothing; repeated rows of a text or an
 item are reported once per id; rows with a null id are matched under that null id.  Texts that
@@ -114,35 +116,47 @@ class Templates:
         after_number[1:] = (kind[:-1] == NUMBER) & (doc[1:] == doc[:-1])
         kind = np.where((kind == UNIT) & ~after_number, WORD, kind)
         self.kind, self.doc = kind, doc
+        self.plain = np.array(lexicon.hash or [0], dtype=np.uint64)[code]
         self.hash = np.where(kind == WORD, np.array(lexicon.hash or [0], dtype=np.uint64)[code], _MARK[kind])
 
     def value(self, at: int) -> str:
         return _EDGE.sub("", self.raw[self.place[at]]).lower()
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, hashes) of all windows of ``n`` tokens that stay in one text and hold enough words."""
+        """(positions, hashes) of all windows of ``n`` tokens that stay in one text and hold enough words; of ``-n`` plain tokens if negative."""
+        plain, seed, n = n < 0, np.int64(n).view(np.uint64), abs(n)
         count = len(self.hash) - n + 1
         if count <= 0:
             return np.array([], dtype=np.int64), np.array([], dtype=np.uint64)
-        h = np.full(count, np.uint64(n))
+        tokens, h = self.plain if plain else self.hash, np.full(count, seed)
         for j in range(n):
-            h = (h ^ (h >> np.uint64(29))) * _MIX + self.hash[j : j + count]
+            h = (h ^ (h >> np.uint64(29))) * _MIX + tokens[j : j + count]
         words = np.concatenate(([0], np.cumsum(self.kind == WORD)))
         enough = words[n:] - words[:-n] >= min(MIN_WORDS, -(-n // 2))
-        at = np.nonzero(enough & (self.doc[n - 1 :] == self.doc[:count]))[0]
+        at = np.nonzero((enough | plain) & (self.doc[n - 1 :] == self.doc[:count]))[0]
         return at, h[at]
 
 
 class Item:
-    """One benchmark text: kinds and values of its tokens, length of its windows and how many it has."""
+    """One benchmark text: kinds and values of its tokens, and how many windows of each length it has."""
 
-    __slots__ = ("kinds", "values", "length", "total")
+    __slots__ = ("kinds", "values", "totals")
 
     def __init__(self, t: Templates):
         self.kinds = t.kind.tolist()
         self.values = [t.value(i) if k != WORD else "" for i, k in enumerate(self.kinds)]
-        self.length = min(WINDOW, len(self.kinds))
-        self.total = len(t.windows(self.length)[0]) if self.length else 0
+        self.totals = {n: len(at) for n, (at, _) in _windows_of(t).items() if len(at)}
+
+
+def _windows_of(t: Templates) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """length -> windows by which an item is matched."""
+    n = min(WINDOW, len(t.hash))
+    if not n:
+        return {}
+    found = {n: t.windows(n)}
+    if 2 * len(found[n][0]) < len(t.hash) - n + 1:
+        found[-n] = t.windows(-n)
+    return found
 
 
 def item_windows(bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -152,10 +166,8 @@ def item_windows(bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for x in batches:
             out = []
             for i, text in zip(x["item"], x["text"]):
-                t = Templates([text], Lexicon())
-                n = min(WINDOW, len(t.hash))
-                if n:
-                    out += [(i, n, int(a), int(np.uint64(h).view(np.int64))) for a, h in zip(*t.windows(n))]
+                for n, found in _windows_of(Templates([text], Lexicon())).items():
+                    out += [(i, n, int(a), int(np.uint64(h).view(np.int64))) for a, h in zip(*found)]
             yield pd.DataFrame(out, columns=["item", "length", "at", "h"])
 
     rows = bench.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("item")).agg(F.min(text_col).alias("text"))
@@ -174,11 +186,11 @@ def _verdict(item: Item, matched: set[int], slots: dict[int, str]) -> tuple[int,
     return len(slots), changed
 
 
-def _judge(item: Item, aligned: dict[int, dict[int, str]], starts: dict[int, set[int]]) -> tuple[int, int, int] | None:
+def _judge(item: Item, total: int, aligned: dict[int, dict[int, str]], starts: dict[int, set[int]]) -> tuple[int, int, int] | None:
     """Best consistent alignment: (matched windows, placeholders, changed)."""
     best = None
     for offset, at in starts.items():
-        if item.total and len(at) >= COVERAGE * item.total:
+        if total and len(at) >= COVERAGE * total:
             got = _verdict(item, at, aligned[offset])
             if got is not None and (best is None or (len(at), -got[1]) > (best[0], -best[2])):
                 best = (len(at), *got)
@@ -215,7 +227,7 @@ def _scan_broadcast(owners, items, lengths):
 
 
 def _hits(keys, t: Templates, ordered, owners, items, lengths) -> list[tuple]:
-    found: dict[tuple[int, int], dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
+    found: dict[tuple[int, int, int], dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
     begins = np.searchsorted(t.doc, np.arange(len(keys)))
     for n in lengths:
         at, h = t.windows(n)
@@ -224,17 +236,18 @@ def _hits(keys, t: Templates, ordered, owners, items, lengths) -> list[tuple]:
         for a, x in zip(at[hit].tolist(), h[hit].tolist()):
             d = int(t.doc[a])
             for item, w in owners[x]:
-                if items[item].length == n:
-                    found[d, item][a - int(begins[d]) - w].add(w)
+                if n in items[item].totals:
+                    found[d, item, n][a - int(begins[d]) - w].add(w)
     out = []
-    for (d, item), starts in found.items():
+    for (d, item, n), starts in found.items():
         it, base = items[item], int(begins[d])
-        if max(map(len, starts.values())) < COVERAGE * it.total:
+        total = it.totals[n]
+        if max(map(len, starts.values())) < COVERAGE * total:
             continue
-        aligned = {o: {w + j: t.value(base + o + w + j) for w in ws for j in range(it.length) if it.kinds[w + j] != WORD} for o, ws in starts.items()}
-        best = _judge(it, aligned, starts)
+        aligned = {o: {w + j: t.value(base + o + w + j) for w in ws for j in range(abs(n)) if it.kinds[w + j] != WORD} for o, ws in starts.items()}
+        best = _judge(it, total, aligned, starts)
         if best:
-            out.append((*keys[d], item, best[0], it.total, best[1], best[2]))
+            out.append((*keys[d], item, best[0], total, best[1], best[2]))
     return out
 
 
@@ -243,7 +256,7 @@ def _by_broadcast(docs: DataFrame, windows: DataFrame, bench: list) -> DataFrame
     for r in windows.collect():
         owners[int(np.int64(r["h"]).view(np.uint64))].append((r["item"], r["at"]))
     items = {i: Item(Templates([t], Lexicon())) for i, t in bench}
-    lengths = sorted({it.length for it in items.values() if it.total})
+    lengths = sorted({n for it in items.values() for n in it.totals})
     if not owners:
         return docs.sparkSession.createDataFrame([], _ROW + _LEAK)
     return docs.mapInPandas(_scan_broadcast(dict(owners), items, lengths), _ROW + _LEAK)
@@ -259,13 +272,13 @@ def _by_shuffle(docs: DataFrame, windows: DataFrame, bench: DataFrame) -> DataFr
             values = [t.value(int(p)) for p in places]
             for n in lengths:
                 at, h = t.windows(n)
-                lo, hi = np.searchsorted(places, at), np.searchsorted(places, at + n)
+                lo, hi = np.searchsorted(places, at), np.searchsorted(places, at + abs(n))
                 slots = [[f"{places[q] - a}={values[q]}" for q in range(p, r)] for a, p, r in zip(at.tolist(), lo.tolist(), hi.tolist())]
                 doc = t.doc[at]
                 yield pd.DataFrame({"id": pd.Series([keys[d][0] for d in doc.tolist()], dtype=object), "th": [keys[d][1] for d in doc.tolist()], "length": n, "pos": at - begins[doc], "h": h.view(np.int64), "slots": pd.Series(slots, dtype=object)})
 
     hits = docs.mapInPandas(cut, _ROW + "length int, pos long, h long, slots array<string>").join(windows, ["h", "length"])
-    lined = hits.groupBy("id", "th", "item", (F.col("pos") - F.col("at")).alias("offset"))
+    lined = hits.groupBy("id", "th", "item", "length", (F.col("pos") - F.col("at")).alias("offset"))
     # One alignment holds an item's windows at most, so the collected sets are as short as the item.
     lined = lined.agg(F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set(F.transform("slots", lambda s: F.concat(F.col("at").cast("string"), F.lit("+"), s))))).alias("slots"))
     rows = bench.groupBy("item").agg(F.min("text").alias("text"))
@@ -273,16 +286,17 @@ def _by_shuffle(docs: DataFrame, windows: DataFrame, bench: DataFrame) -> DataFr
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             out = []
-            for i, th, item, text, offset, ats, slots in zip(x["id"], x["th"], x["item"], x["text"], x["offset"], x["ats"], x["slots"]):
+            for i, th, item, length, text, ats, slots in zip(x["id"], x["th"], x["item"], x["length"], x["text"], x["ats"], x["slots"]):
                 it = Item(Templates([text], Lexicon()))
+                total = it.totals.get(length, 0)
                 place = {}
                 for s in slots:
                     where, _, value = s.partition("=")
                     a, _, b = where.partition("+")
                     place[int(a) + int(b)] = value
-                best = _judge(it, {0: place}, {0: set(ats)})
+                best = _judge(it, total, {0: place}, {0: set(ats)})
                 if best:
-                    out.append((i, th, item, best[0], it.total, best[1], best[2]))
+                    out.append((i, th, item, best[0], total, best[1], best[2]))
             yield pd.DataFrame(out, columns=["id", "th", "item", "matched", "total", "slots", "changed"])
 
     return lined.join(rows, "item").mapInPandas(judge, _ROW + _LEAK)
@@ -306,10 +320,10 @@ def _found(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_c
 def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """``(<id_col>, <item_col>, coverage, slots, changed, kind)``: one row for each id and each item that a text of it leaks."""
     found = _found(docs, bench, id_col, text_col, item_col, item_text, broadcast_windows)
-    best = found.groupBy("id", "item").agg(F.max(F.struct("matched", (-F.col("changed")).alias("same"), "slots", "total")).alias("b"))
+    best = found.groupBy("id", "item").agg(F.max(F.struct((F.col("matched") / F.col("total")).alias("coverage"), "matched", (-F.col("changed")).alias("same"), "slots", "total")).alias("b"))
     changed = -F.col("b.same")
     return best.select(
-        F.col("id").alias(id_col), F.col("item").alias(item_col), (F.col("b.matched") / F.col("b.total")).alias("coverage"),
+        F.col("id").alias(id_col), F.col("item").alias(item_col), "b.coverage",
         F.col("b.slots").alias("slots"), changed.alias("changed"), F.when(changed == 0, "verbatim").otherwise("reparameterised").alias("kind"),
     )
 
