@@ -23,6 +23,8 @@ g AS (SELECT row, col, CASE WHEN (row * 7 + col * 3) % 11 = 0 THEN NULL ELSE v E
 
 
 def _add(name: str, query, oracle: str | None = None) -> None:
+    if name in QUERIES:
+        raise ValueError(f"{name} is registered twice")
     QUERIES[name] = query
     if oracle:
         ORACLES[name] = oracle
@@ -350,7 +352,7 @@ SELECT ring, round(ring * 2 * pi() / {N}, 8) AS k, round(ln(avg(p)), 5) AS log_p
 # --- thresholds, crossings, sampling, depth estimates --------------------------------------
 
 _add(
-    "threshold_between", lambda s, d: _out(crossings.blank(_grid(s, d), "between", above=50_000.0, below=45_000.0)),
+    "blank_between", lambda s, d: _out(crossings.blank(_grid(s, d), "between", above=50_000.0, below=45_000.0)),
     _rounded(f"WITH {GRID_SQL} SELECT row, col, CASE WHEN v > 45000 AND v < 50000 THEN NULL ELSE v END AS v FROM g"),
 )
 
