@@ -1,8 +1,9 @@
 """BPE encoding and decoding with tree concatenation of long texts.
 
-Where the vocabulary's rule drops blanks and splits words before any merge, a text's pieces
-are encoded one by one, as their ids do not depend on their neighbours, and kept in a bounded
-cache of each task.  Other vocabularies, and rare characters, go through the library directly.
+Where the vocabulary's rule drops blanks and splits words before any merge, a text's pieces are
+encoded one by one, as their ids do not depend on their neighbours.  Each worker keeps the ids of
+the pieces that it has met, and their finished strings of ids and tokens, in a bounded cache.
+Other vocabularies, and rare characters, go through the library directly.
 
 A long text is halved again and again into leaves of bounded length, which are dealt over
 the cluster and encoded independently.  A cut beside a blank needs no work.  A cut inside
@@ -16,7 +17,8 @@ leaves of that unsplit stretch are joined in a tree in one task.
 
 Nulls: a null text counts as empty; an empty text has no ids and decodes to the empty string.
 Repeated rows each get their own result row.  Equal long texts are encoded once.  An empty
-table gives an empty result; columns other than the text are passed through untouched.
+table gives an empty result; columns other than the text are passed through untouched, whatever
+their names, except those named like a result column, which it replaces.
 """
 
 from __future__ import annotations
@@ -32,12 +34,13 @@ from itertools import chain
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from gridloom.llm.columns import free
 from gridloom.plans.scratch import materialise
 
 #: Texts of more characters than this go through tree concatenation, in leaves of at most this many.
 LEAF_CHARS = 32_768
 #: Pieces that one task remembers at most.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 300_000
 _FIRST_WINDOW = 32
 _SHARED_RUN = 3
 
@@ -62,6 +65,9 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 WORD_RULE = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Texts of these characters only (no special-token bracket) are split the same way by the plain rule below.
 _PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
+#: The characters that stand for the bytes of plain letters: printable bytes for themselves, others from U+0100 on.
+_SPARE = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_BYTES = {c: "".join(chr(256 + _SPARE.index(b)) if b in _SPARE else chr(b) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 _PLAIN_RULE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
 
 
@@ -69,7 +75,11 @@ class Codec:
     """Encodes and decodes within one task."""
 
     def __init__(self, vocab_path: str, cache_pieces: int = CACHE_PIECES):
-        self.tok, self.most, self.known = load(vocab_path), cache_pieces, {}
+        self.tok, self.most = load(vocab_path), cache_pieces
+        #: Of each piece met: its ids as decimal text, and its tokens as text.
+        self.known: dict[str, tuple[str, str]] = {}
+        #: The pieces met first, among them nearly all frequent ones, stay when the cache is full.
+        self.core: list[str] = []
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.token = [self.tok.id_to_token(i) or "" for i in range(size)]
         self.digits = [str(i) for i in range(size)]
@@ -78,35 +88,52 @@ class Codec:
         self.drops_blanks = first.get("pattern") == {"Regex": WORD_RULE} and first.get("invert") is True
         self.joins_tokens = rules["decoder"] is None
 
-    def _pieces(self, text: str) -> list[str]:
+    def _pieces(self, text: str) -> tuple[list[str], bool]:
         if _PLAIN.fullmatch(text) and "<|" not in text:
-            return _PLAIN_RULE.findall(text.lower())
-        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            return _PLAIN_RULE.findall(text.lower()), True
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "), False
 
-    def _learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.known]
+    def _learn(self, pieces: set[str], plain: bool) -> None:
+        """Plain pieces are what the library's merges start from; others take its whole way."""
+        new = list(pieces.difference(self.known))
         if len(self.known) + len(new) > self.most:
-            self.known, new = {}, list(pieces)
-        for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[p] = e.ids
-
-    def encode_many(self, texts: list[str | None]) -> Iterator[list[int]]:
-        """Exactly the library's ids of each text, in order."""
-        if not self.drops_blanks:
-            yield from (self.tok.encode(t or "", add_special_tokens=False).ids for t in texts)
-            return
+            self.known = {p: self.known[p] for p in self.core[: self.most // 2]}
+            new = list(pieces.difference(self.known))
+        if plain:
+            merge = self.tok.model.tokenize
+            coded = ([t.id for t in merge(p.translate(_BYTES))] for p in new)
+        else:
+            coded = (e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False))
+        for p, ids in zip(new, coded):
+            self.known[p] = " ".join([self.digits[i] for i in ids]), " ".join([self.token[i] for i in ids])
+        if len(self.core) < self.most // 2:
+            self.core += new
+
+    def _learnt(self, texts: list[str | None]) -> Iterator[list[tuple[str, str]]]:
+        """What is known of the pieces of each text; a few MB of text at a time."""
         at = 0
-        while at < len(texts):  # a few MB of text at a time
+        while at < len(texts):
             split, chars = [], 0
             while at + len(split) < len(texts) and chars < 2_000_000:
                 t = texts[at + len(split)] or ""
                 chars += len(t)
                 split.append(self._pieces(t))
-            self._learn(set(chain.from_iterable(split)))
-            for pieces in split:
-                yield list(chain.from_iterable(map(self.known.__getitem__, pieces)))
+            for plain in (True, False):
+                self._learn(set(chain.from_iterable(p for p, kind in split if kind == plain)), plain)
+                for k, (pieces, kind) in enumerate(split):
+                    if kind == plain:
+                        split[k] = list(map(self.known.__getitem__, pieces)), None
+            yield from (found for found, _ in split)
             at += len(split)
 
+    def encode_many(self, texts: list[str | None]) -> Iterator[list[int]]:
+        """Exactly the library's ids of each text, in order."""
+        if not self.drops_blanks:
+            yield from (self.tok.encode(t or "", add_special_tokens=False).ids for t in texts)
+            return
+        for found in self._learnt(texts):
+            yield list(map(int, " ".join([ids for ids, _ in found]).split()))
+
     def encode(self, text: str | None) -> list[int]:
         return next(self.encode_many([text]))
 
@@ -121,8 +148,20 @@ class Codec:
         return self.tok.decode(ids, skip_special_tokens=False)
 
     def digest(self, ids: list[int]) -> tuple[int, str, str]:
-        as_text = " ".join(map(self.digits.__getitem__, ids))
-        return len(ids), hashlib.sha256(as_text.encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest()
+        return len(ids), _sha256(" ".join(map(self.digits.__getitem__, ids))), _sha256(self.decode(ids))
+
+    def digest_many(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
+        """``digest`` of each text; put together from the finished strings of its pieces."""
+        if not (self.drops_blanks and self.joins_tokens):
+            yield from map(self.digest, self.encode_many(texts))
+            return
+        for found in self._learnt(texts):
+            ids = " ".join([ids for ids, _ in found if ids])
+            yield ids.count(" ") + bool(ids), _sha256(ids), _sha256(" ".join([tokens for _, tokens in found if tokens]))
+
+
+def _sha256(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
 
 
 @lru_cache(maxsize=2)
@@ -259,14 +298,16 @@ def encode_whole(codec: Codec, text: str | None, leaf: int = LEAF_CHARS) -> list
     return merge_tree(codec, [(t, soft, None) for t, soft in cut(text, leaf, codec.drops_blanks)])
 
 
-def _with_short(part: DataFrame, vocab: str, text_col: str, schema: str, shape) -> DataFrame:
+def _with_short(part: DataFrame, vocab: str, text_col: str, schema: str, many, name: str) -> DataFrame:
+    columns = [c.split()[0] for c in schema.split(", ")]
+
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = shared_codec(vocab)
         for texts in batches:
-            yield pd.DataFrame([shape(codec, ids) for ids in codec.encode_many(texts.tolist())], columns=[c.split()[0] for c in schema.split(", ")])
+            yield pd.DataFrame(list(many(codec, texts.tolist())), columns=columns)
 
-    return part.withColumn("_bpe", run(F.col(text_col)))
+    return part.withColumn(name, run(F.col(text_col)))
 
 
 def _long(texts: DataFrame, vocab: str, leaf: int, schema: str, shape) -> DataFrame:
@@ -359,23 +400,29 @@ def hard_parts(hard: DataFrame, vocab: str, n: int) -> DataFrame:
     return parts.select("key", "at", "soft", "sound", F.when(F.col("unsound"), F.col("text")).alias("text"), F.when(F.col("sound"), kept).alias("ids"))
 
 
-def apply(docs: DataFrame, schema: str, shape, vocab_path: str | None = None, text_col: str = "text", leaf: int = LEAF_CHARS) -> DataFrame:
-    """``docs`` with the columns of ``schema``, filled by ``shape(codec, ids)`` for each whole text."""
+def apply(docs: DataFrame, schema: str, shape, many, vocab_path: str | None = None, text_col: str = "text", leaf: int = LEAF_CHARS) -> DataFrame:
+    """``docs`` with the columns of ``schema``, which replace columns of the same names.
+
+    ``many(codec, texts)`` gives the values of texts up to the length of a leaf, ``shape(codec, ids)``
+    those of a longer text from its joined ids.
+    """
     vocab = vocab_path or vocabulary_path()
     names = [c.split()[0] for c in schema.split(", ")]
     long = F.length(F.coalesce(F.col(text_col), F.lit(""))) > leaf
-    keep = [c for c in docs.columns if c not in names]
-    short = _with_short(docs.where(~long), vocab, text_col, schema, shape).select(*keep, *[f"_bpe.{c}" for c in names])
-    keyed = docs.where(long).withColumn("_key", F.sha2(F.col(text_col), 256))
-    texts = keyed.groupBy(F.col("_key").alias("key")).agg(F.min(text_col).alias("text"))
-    done = materialise(_long(texts, vocab, leaf, schema, shape), "bpe-long").withColumnRenamed("key", "_key")
-    joined = keyed.join(done, "_key").select(*[keyed[c] for c in keep], *[done[c] for c in names])
+    keep = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
+    key, out = free(docs, "_key", "_bpe")
+    short = _with_short(docs.where(~long), vocab, text_col, schema, many, out).select(*keep, *[f"{out}.{c}" for c in names])
+    keyed = docs.where(long).withColumn(key, F.sha2(F.col(text_col), 256))
+    texts = keyed.groupBy(F.col(key).alias("key")).agg(F.min(text_col).alias("text"))
+    done = materialise(_long(texts, vocab, leaf, schema, shape), "bpe-long").withColumnRenamed("key", key)
+    joined = keyed.join(done, key).select(*[keyed[c] for c in keep], *[done[c] for c in names])
     return short.unionByName(joined)
 
 
 def encode(docs: DataFrame, vocab_path: str | None = None, text_col: str = "text", leaf: int = LEAF_CHARS) -> DataFrame:
     """``docs`` with ``ids array<int>``."""
-    return apply(docs, "ids array<int>", lambda codec, ids: (ids,), vocab_path, text_col, leaf)
+    many = lambda codec, texts: ((ids,) for ids in codec.encode_many(texts))
+    return apply(docs, "ids array<int>", lambda codec, ids: (ids,), many, vocab_path, text_col, leaf)
 
 
 def decode(coded: DataFrame, vocab_path: str | None = None, ids_col: str = "ids") -> DataFrame:
@@ -394,5 +441,5 @@ def decode(coded: DataFrame, vocab_path: str | None = None, ids_col: str = "ids"
 def digests(docs: DataFrame, vocab_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF_CHARS) -> DataFrame:
     """``(<id_col>, n_tokens, ids_sha256, decoded_sha256)`` of every whole text."""
     slim = docs.select(id_col, text_col)
-    out = apply(slim, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda codec, ids: codec.digest(ids), vocab_path, text_col, leaf)
+    out = apply(slim, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda codec, ids: codec.digest(ids), lambda codec, texts: codec.digest_many(texts), vocab_path, text_col, leaf)
     return out.drop(text_col)
