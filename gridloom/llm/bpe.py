@@ -31,6 +31,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -75,11 +76,7 @@ class Codec:
     """Encodes and decodes within one task."""
 
     def __init__(self, vocab_path: str, cache_pieces: int = CACHE_PIECES):
-        self.tok, self.most = load(vocab_path), cache_pieces
-        #: Of each piece met: its ids as decimal text, and its tokens as text.
-        self.known: dict[str, tuple[str, str]] = {}
-        #: The pieces met first, among them nearly all frequent ones, stay when the cache is full.
-        self.core: list[str] = []
+        self.tok = load(vocab_path)
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.token = [self.tok.id_to_token(i) or "" for i in range(size)]
         self.digits = [str(i) for i in range(size)]
@@ -87,8 +84,57 @@ class Codec:
         first = (rules["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
         self.drops_blanks = first.get("pattern") == {"Regex": WORD_RULE} and first.get("invert") is True
         self.joins_tokens = rules["decoder"] is None
+        texts = lambda ids: (" ".join([self.digits[i] for i in ids]), " ".join([self.token[i] for i in ids]))
+        #: Of each piece its ids as decimal text and its tokens as text, or its ids as four bytes each.
+        self.texts, self.packed = Pieces(self.tok, texts, cache_pieces), Pieces(self.tok, lambda ids: np.array(ids, "<u4").tobytes(), cache_pieces)
+
+    def pack_many(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Exactly the library's ids of each text, in order, as arrays."""
+        if not self.drops_blanks:
+            yield from (np.array(self.tok.encode(t or "", add_special_tokens=False).ids, "<u4") for t in texts)
+            return
+        for found in self.packed.of(texts):
+            yield np.frombuffer(b"".join(found), "<u4")
+
+    def encode_many(self, texts: list[str | None]) -> Iterator[list[int]]:
+        yield from (ids.tolist() for ids in self.pack_many(texts))
+
+    def encode(self, text: str | None) -> list[int]:
+        return next(self.encode_many([text]))
+
+    def encode_spans(self, text: str) -> list[tuple[int, int, int]]:
+        e = self.tok.encode(text, add_special_tokens=False)
+        return [(i, a, b) for i, (a, b) in zip(e.ids, e.offsets)]
+
+    def decode(self, ids: list[int]) -> str:
+        """As the library decodes: where the vocabulary names no decoder, token strings joined by blanks."""
+        if self.joins_tokens:
+            return " ".join(map(self.token.__getitem__, ids))
+        return self.tok.decode(ids, skip_special_tokens=False)
+
+    def digest(self, ids: list[int]) -> tuple[int, str, str]:
+        return len(ids), _sha256(" ".join(map(self.digits.__getitem__, ids))), _sha256(self.decode(ids))
+
+    def digest_many(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
+        """``digest`` of each text, put together from the finished strings of its pieces."""
+        if not (self.drops_blanks and self.joins_tokens):
+            yield from map(self.digest, self.encode_many(texts))
+            return
+        for found in self.texts.of(texts):
+            ids = " ".join([ids for ids, _ in found if ids])
+            yield ids.count(" ") + bool(ids), _sha256(ids), _sha256(" ".join([tokens for _, tokens in found if tokens]))
+
+
+class Pieces:
+    """Bounded cache of what is kept of the ids of each piece of text."""
 
-    def _pieces(self, text: str) -> tuple[list[str], bool]:
+    def __init__(self, tok, keep, most: int):
+        self.tok, self.keep, self.most = tok, keep, most
+        self.known: dict[str, object] = {}
+        #: The pieces met first, among them nearly all frequent ones, stay when the cache is full.
+        self.core: list[str] = []
+
+    def _cut(self, text: str) -> tuple[list[str], bool]:
         if _PLAIN.fullmatch(text) and "<|" not in text:
             return _PLAIN_RULE.findall(text.lower()), True
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "), False
@@ -105,60 +151,27 @@ class Codec:
         else:
             coded = (e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False))
         for p, ids in zip(new, coded):
-            self.known[p] = " ".join([self.digits[i] for i in ids]), " ".join([self.token[i] for i in ids])
+            self.known[p] = self.keep(ids)
         if len(self.core) < self.most // 2:
             self.core += new
 
-    def _learnt(self, texts: list[str | None]) -> Iterator[list[tuple[str, str]]]:
-        """What is known of the pieces of each text; a few MB of text at a time."""
+    def of(self, texts: list[str | None]) -> Iterator[list]:
+        """What is kept of the pieces of each text, in order; a few MB of text at a time."""
         at = 0
         while at < len(texts):
             split, chars = [], 0
             while at + len(split) < len(texts) and chars < 2_000_000:
                 t = texts[at + len(split)] or ""
                 chars += len(t)
-                split.append(self._pieces(t))
+                split.append(self._cut(t))
             for plain in (True, False):
-                self._learn(set(chain.from_iterable(p for p, kind in split if kind == plain)), plain)
+                self._learn(set(chain.from_iterable(p for p, kind in split if kind is plain)), plain)
                 for k, (pieces, kind) in enumerate(split):
-                    if kind == plain:
+                    if kind is plain:
                         split[k] = list(map(self.known.__getitem__, pieces)), None
             yield from (found for found, _ in split)
             at += len(split)
 
-    def encode_many(self, texts: list[str | None]) -> Iterator[list[int]]:
-        """Exactly the library's ids of each text, in order."""
-        if not self.drops_blanks:
-            yield from (self.tok.encode(t or "", add_special_tokens=False).ids for t in texts)
-            return
-        for found in self._learnt(texts):
-            yield list(map(int, " ".join([ids for ids, _ in found]).split()))
-
-    def encode(self, text: str | None) -> list[int]:
-        return next(self.encode_many([text]))
-
-    def encode_spans(self, text: str) -> list[tuple[int, int, int]]:
-        e = self.tok.encode(text, add_special_tokens=False)
-        return [(i, a, b) for i, (a, b) in zip(e.ids, e.offsets)]
-
-    def decode(self, ids: list[int]) -> str:
-        """As the library decodes: where the vocabulary names no decoder, token strings joined by blanks."""
-        if self.joins_tokens:
-            return " ".join(map(self.token.__getitem__, ids))
-        return self.tok.decode(ids, skip_special_tokens=False)
-
-    def digest(self, ids: list[int]) -> tuple[int, str, str]:
-        return len(ids), _sha256(" ".join(map(self.digits.__getitem__, ids))), _sha256(self.decode(ids))
-
-    def digest_many(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
-        """``digest`` of each text; put together from the finished strings of its pieces."""
-        if not (self.drops_blanks and self.joins_tokens):
-            yield from map(self.digest, self.encode_many(texts))
-            return
-        for found in self._learnt(texts):
-            ids = " ".join([ids for ids, _ in found if ids])
-            yield ids.count(" ") + bool(ids), _sha256(ids), _sha256(" ".join([tokens for _, tokens in found if tokens]))
-
 
 def _sha256(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
@@ -320,7 +333,7 @@ def _long(texts: DataFrame, vocab: str, leaf: int, schema: str, shape) -> DataFr
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = shared_codec(vocab)
         for values in batches:
-            yield pd.Series(list(codec.encode_many(values.tolist())), dtype=object)
+            yield pd.Series(list(codec.pack_many(values.tolist())), dtype=object)
 
     def merge(key, group: pd.DataFrame) -> pd.DataFrame:
         codec, ids, run = shared_codec(vocab), [], []
@@ -425,6 +438,12 @@ def encode(docs: DataFrame, vocab_path: str | None = None, text_col: str = "text
     return apply(docs, "ids array<int>", lambda codec, ids: (ids,), many, vocab_path, text_col, leaf)
 
 
+def packed(docs: DataFrame, dtype: str, vocab_path: str | None = None, text_col: str = "text", leaf: int = LEAF_CHARS) -> DataFrame:
+    """``docs`` with ``body binary``, the ids one after another as numbers of ``dtype``, which must hold every id."""
+    raw = lambda ids: (np.asarray(ids).astype(dtype).tobytes(),)
+    return apply(docs, "body binary", lambda codec, ids: raw(ids), lambda codec, texts: map(raw, codec.pack_many(texts)), vocab_path, text_col, leaf)
+
+
 def decode(coded: DataFrame, vocab_path: str | None = None, ids_col: str = "ids") -> DataFrame:
     """``coded`` with ``decoded string``; null ids decode to the empty string."""
     vocab = vocab_path or vocabulary_path()

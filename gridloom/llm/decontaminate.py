@@ -1,45 +1,60 @@
 """Benchmark decontamination by template windows.
 
-Texts are reduced to templates: numbers, units after a number and names (capitalised words
-inside a sentence) become typed placeholders, other words are lower-cased and stripped of
-punctuation.  Every window of ``WINDOW`` template tokens is hashed and joined with the
-windows of the benchmark.  Matches of one text and one item are lined up by their offset; if
-they cover enough of the item, the values that stand in the placeholders are compared: the
-item is leaked if each of its values maps to one value of the text throughout (all equal:
-``verbatim``, otherwise ``reparameterised``), and not if the values contradict each other.
-
-The benchmark's window table goes to every task only while it is small, which is measured
-(``BROADCAST_WINDOWS``); beyond that the windows of the texts are dealt by hash and joined in
-Spark.  Both ways give the same rows.  Items shorter than a window are matched by windows of
-their own length.  Windows with fewer than ``MIN_WORDS`` ordinary words say nothing as templates
-and are left out on both sides.  Items that lose more than half of their windows so (lists of
-names, sums) are matched by windows of their lower-cased tokens, values included, as well; those
-have a negative ``length`` and find copies with the same values only.
-
+Texts are reduced to templates: numbers, units after a number and names (capitalised words,
+those that begin a sentence only if they are no function word) become typed placeholders, and
+adjacent numbers or names one placeholder, so that "Paris" and "New York" or "25" and "twenty
+five" stand in the same slot; other words are lower-cased and stripped of punctuation.  Every
+window of ``WINDOW`` template tokens is hashed and joined with the windows of the benchmark.
+Matches of one text and one item are lined up by their offset; where words were put in or left
+out, matches that run on at an offset up to ``DRIFT`` tokens away are chained.  If an alignment
+covers enough of the item, the values that stand in the placeholders are compared: the item is
+leaked if each of its values maps to one value of the text throughout (all equal: ``verbatim``,
+otherwise ``reparameterised``), and not if the values contradict each other.
+
+The benchmark's windows and texts go to every task only while they are small, which is measured
+(``BROADCAST_WINDOWS``, ``BROADCAST_CHARS``); beyond that the windows of the texts are dealt by
+hash and joined in Spark.  Both ways give the same rows.  Items shorter than a window are matched
+by windows of their own length.  Windows with fewer than ``MIN_WORDS`` ordinary words say nothing
+as templates and are left out on both sides.  Every item is also matched by windows of its
+lower-cased tokens, values included, which find copies with the same values whatever their case
+(``PLAIN_COVERAGE`` of them), and items that are dense in names or numbers; those windows have a
+negative ``length``.
+
+Ties between alignments go to the one with more windows, then with fewer changed values.  Texts
+of any length are read whole, a few MB at a time.
 Nulls: null texts and items count as empty and match nothing; repeated rows of a text or an
 item are reported once per id; rows with a null id are matched under that null id.  Texts that
-share an id are judged one by one, each as its own row.  Empty tables give an empty result; other columns are ignored or passed through.
+share an id are judged one by one, each as its own row.  Empty tables give an empty result; other
+columns, whatever their names, are ignored or passed through.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gridloom.llm.columns import free
 from gridloom.plans.scratch import materialise
 
 WINDOW = 8
 MIN_WORDS = 4
 #: Share of an item's windows that must match on one alignment.
 COVERAGE = 0.6
-#: Largest benchmark window table that is sent to every task.
+#: The same for windows with values included, of items that can be told by their template.
+PLAIN_COVERAGE = 0.9
+#: Tokens by which an alignment may shift between one matched window and the next.
+DRIFT = 3
+#: Largest benchmark window table, and characters of benchmark text, that are sent to every task.
 BROADCAST_WINDOWS = 1_000_000
+BROADCAST_CHARS = 20_000_000
 #: Raw tokens that one task remembers at most.
 CACHE_TOKENS = 200_000
 _CHUNK_CHARS = 2_000_000
@@ -48,7 +63,17 @@ _CHUNK_CHARS = 2_000_000
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 UNITS = "km m cm mm mi mile miles ft foot feet inch inches kg g mg lb lbs pound pounds ounce ounces l ml litre litres liter liters gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years % percent dollar dollars euro euros cent cents usd eur mph kmh degrees degree celsius fahrenheit watt watts volt volts joule joules".split()
 
+# Words that are no names where they begin a sentence.
+FUNCTION_WORDS = frozenset(
+    "a an the this that these those he she it they we you i his her its their our your my who what when where which why how if then than as at by for from in into of on onto to with without over under after "
+    "before during while until since because so and or but nor not no yes is are was were be been has have had do does did can could may might must shall should will would there here each every all any some "
+    "many much more most few find compute calculate determine show prove given let suppose assume choose select answer question der die das ein eine und oder wenn wie was wer le la les un une et ou si el los "
+    "las una y o que de des du en im am auf von mit zu".split()
+)
+
 WORD, NAME, NUMBER, UNIT = 0, 1, 2, 3
+#: A function word with a capital: a name within a sentence only.
+MAYBE = 4
 _EDGE = re.compile(r"^[^\w%$€£]+|[^\w%]+$")
 _NUMERIC = re.compile(r"^[$€£]?[+-]?\d[\d.,:/]*[a-z%]{0,3}$", re.IGNORECASE)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -76,12 +101,12 @@ class Lexicon(dict):
         low = bare.lower()
         if not bare:
             low, kind = "", -1
-        elif _NUMERIC.match(bare) or low in NUMBER_WORDS:
+        elif _NUMERIC.match(bare) or all(part in NUMBER_WORDS for part in low.split("-")):
             kind = NUMBER
         elif low in UNITS:
             kind = UNIT
         elif bare[0].isupper() and bare[1:] == bare[1:].lower() and len(bare) > 1:
-            kind = NAME
+            kind = MAYBE if low in FUNCTION_WORDS else NAME
         else:
             kind = WORD
         at = len(self.hash)
@@ -100,63 +125,86 @@ class Templates:
 
     def __init__(self, texts: list[str | None], lexicon: Lexicon):
         raw = [(t or "").split() for t in texts]
-        code = np.fromiter((lexicon[w] for ws in raw for w in ws), np.int64, sum(map(len, raw)))
-        doc = np.repeat(np.arange(len(raw)), [len(ws) for ws in raw])
+        sizes = list(map(len, raw))
+        self.raw = list(chain.from_iterable(raw))
+        code = np.fromiter(map(lexicon.__getitem__, self.raw), np.int64, len(self.raw))
+        doc = np.repeat(np.arange(len(raw)), sizes)
         kind = np.array(lexicon.kind or [0], dtype=np.int8)[code]
         ends = np.array(lexicon.ends or [False])[code]
         first = np.ones(len(code), bool)
+        # A mark that stands alone still ends the sentence for the next token.
         first[1:] = (doc[1:] != doc[:-1]) | ends[:-1]
         real = kind >= 0
-        # A dropped mark still ends the sentence for the next token.
-        self.raw = [w for ws in raw for w in ws]
-        self.place = np.nonzero(real)[0]
+        place = np.nonzero(real)[0]
         kind, doc, first, code = kind[real], doc[real], first[real], code[real]
-        kind = np.where((kind == NAME) & first, WORD, kind)
+        kind = np.where(kind == MAYBE, np.where(first, WORD, NAME), kind)
         after_number = np.zeros(len(kind), bool)
         after_number[1:] = (kind[:-1] == NUMBER) & (doc[1:] == doc[:-1])
         kind = np.where((kind == UNIT) & ~after_number, WORD, kind)
-        self.kind, self.doc = kind, doc
-        self.plain = np.array(lexicon.hash or [0], dtype=np.uint64)[code]
-        self.hash = np.where(kind == WORD, np.array(lexicon.hash or [0], dtype=np.uint64)[code], _MARK[kind])
+        plain = np.array(lexicon.hash or [0], dtype=np.uint64)[code]
+        # Adjacent names, or numbers, of one sentence are one placeholder.
+        goes_on = np.zeros(len(kind), bool)
+        goes_on[1:] = (kind[1:] == kind[:-1]) & ((kind[1:] == NAME) | (kind[1:] == NUMBER)) & (doc[1:] == doc[:-1]) & ~first[1:]
+        begins = np.nonzero(~goes_on)[0]
+        self.kind, self.doc = kind[begins], doc[begins]
+        self.hash = np.where(self.kind == WORD, plain[begins], _MARK[self.kind])
+        self.place, self.until = place[begins], np.append(place[begins[1:] - 1], place[-1:]) + 1
+        #: The tokens as they stand, lower-cased and not folded, for windows with values included.
+        self.plain, self.plain_doc, self.plain_place = plain, doc, place
 
     def value(self, at: int) -> str:
-        return _EDGE.sub("", self.raw[self.place[at]]).lower()
+        return " ".join(filter(None, (_EDGE.sub("", w).lower() for w in self.raw[self.place[at] : self.until[at]])))
+
+    def size(self, n: int) -> int:
+        return len(self.hash) if n > 0 else len(self.plain)
+
+    def docs(self, n: int) -> np.ndarray:
+        """Which text each token belongs to, of the tokens that windows of length ``n`` are made of."""
+        return self.doc if n > 0 else self.plain_doc
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(positions, hashes) of all windows of ``n`` tokens that stay in one text and hold enough words; of ``-n`` plain tokens if negative."""
-        plain, seed, n = n < 0, np.int64(n).view(np.uint64), abs(n)
-        count = len(self.hash) - n + 1
+        tokens, doc, seed, size = (self.hash if n > 0 else self.plain), self.docs(n), np.int64(n).view(np.uint64), abs(n)
+        count = len(tokens) - size + 1
         if count <= 0:
             return np.array([], dtype=np.int64), np.array([], dtype=np.uint64)
-        tokens, h = self.plain if plain else self.hash, np.full(count, seed)
-        for j in range(n):
+        h = np.full(count, seed)
+        for j in range(size):
             h = (h ^ (h >> np.uint64(29))) * _MIX + tokens[j : j + count]
-        words = np.concatenate(([0], np.cumsum(self.kind == WORD)))
-        enough = words[n:] - words[:-n] >= min(MIN_WORDS, -(-n // 2))
-        at = np.nonzero((enough | plain) & (self.doc[n - 1 :] == self.doc[:count]))[0]
+        fine = doc[size - 1 :] == doc[:count]
+        if n > 0:
+            words = np.concatenate(([0], np.cumsum(self.kind == WORD)))
+            fine &= words[size:] - words[:-size] >= min(MIN_WORDS, -(-size // 2))
+        at = np.nonzero(fine)[0]
         return at, h[at]
 
 
 class Item:
     """One benchmark text: kinds and values of its tokens, and how many windows of each length it has."""
 
-    __slots__ = ("kinds", "values", "totals")
+    __slots__ = ("kinds", "values", "totals", "dense")
 
     def __init__(self, t: Templates):
         self.kinds = t.kind.tolist()
         self.values = [t.value(i) if k != WORD else "" for i, k in enumerate(self.kinds)]
-        self.totals = {n: len(at) for n, (at, _) in _windows_of(t).items() if len(at)}
+        found = _windows_of(t)
+        self.totals = {n: len(at) for n, (at, _) in found.items() if len(at)}
+        #: Most of its template windows hold too few words.
+        self.dense = any(n > 0 and 2 * len(at) < len(self.kinds) - n + 1 for n, (at, _) in found.items())
+
+    def least(self, n: int) -> float:
+        """Windows of length ``n`` that must match."""
+        return self.totals.get(n, 0) * (COVERAGE if n > 0 or self.dense else PLAIN_COVERAGE)
+
+    def slots(self, n: int, at: int) -> list[int]:
+        """Places of the placeholders within the item's window at ``at``."""
+        return [at + j for j in range(n) if self.kinds[at + j] != WORD] if n > 0 else []
 
 
 def _windows_of(t: Templates) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """length -> windows by which an item is matched."""
-    n = min(WINDOW, len(t.hash))
-    if not n:
-        return {}
-    found = {n: t.windows(n)}
-    if 2 * len(found[n][0]) < len(t.hash) - n + 1:
-        found[-n] = t.windows(-n)
-    return found
+    n, m = min(WINDOW, t.size(1)), min(WINDOW, t.size(-1))
+    return {k: t.windows(k) for k in (n, -m) if k}
 
 
 def item_windows(bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -174,7 +222,7 @@ def item_windows(bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInPandas(cut, "item long, length int, at int, h long")
 
 
-def _verdict(item: Item, matched: set[int], slots: dict[int, str]) -> tuple[int, int] | None:
+def _verdict(item: Item, slots: dict[int, str]) -> tuple[int, int] | None:
     """(placeholders, changed) if the values map consistently, else None."""
     maps: dict[tuple[int, str], str] = {}
     changed = 0
@@ -186,14 +234,55 @@ def _verdict(item: Item, matched: set[int], slots: dict[int, str]) -> tuple[int,
     return len(slots), changed
 
 
-def _judge(item: Item, total: int, aligned: dict[int, dict[int, str]], starts: dict[int, set[int]]) -> tuple[int, int, int] | None:
-    """Best consistent alignment: (matched windows, placeholders, changed)."""
-    best = None
-    for offset, at in starts.items():
-        if total and len(at) >= COVERAGE * total:
-            got = _verdict(item, at, aligned[offset])
-            if got is not None and (best is None or (len(at), -got[1]) > (best[0], -best[2])):
-                best = (len(at), *got)
+def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Longest run of (item place, text place) that rises in both; of equal ones the first found."""
+    tails: list[int] = []  # text place at the end of the best chain of each length
+    ends: list[int] = []
+    before: list[int] = []
+    ordered = sorted(pairs, key=lambda x: (x[0], -x[1]))
+    for k, (_, pos) in enumerate(ordered):
+        at = bisect_left(tails, pos)
+        before.append(ends[at - 1] if at else -1)
+        tails[at : at + 1], ends[at : at + 1] = [pos], [k]
+    out, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        out.append(ordered[k])
+        k = before[k]
+    return out[::-1]
+
+
+def _alignments(pairs: list[tuple[int, int]], least: float) -> Iterator[list[tuple[int, int]]]:
+    """Matched (item place, text place) at one offset, or chained around it, if there are at least ``least``."""
+    by_offset: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for w, pos in pairs:
+        by_offset[pos - w].append((w, pos))
+    for offset, exact in by_offset.items():
+        if len(exact) >= least:
+            yield exact
+            continue
+        band = [p for o in range(offset - DRIFT, offset + DRIFT + 1) for p in by_offset.get(o, ())]
+        if len({w for w, _ in band}) >= least:
+            chained = _chain(band)
+            if len(chained) >= least:
+                yield chained
+
+
+def _judge(item: Item, n: int, pairs: list[tuple[int, int]], values) -> tuple[int, int, int] | None:
+    """Best consistent alignment of distinct ``pairs``: (matched windows, placeholders, changed).
+
+    ``values(w, pos)`` gives the text's values in the placeholders of the window at ``pos``, the item's at ``w``.
+    """
+    least, best = item.least(n), None
+    if not least or len({w for w, _ in pairs}) < least:
+        return None
+    for aligned in _alignments(pairs, least):
+        slots: dict[int, str] = {}
+        for w, pos in aligned:
+            for place, value in zip(item.slots(n, w), values(w, pos)):
+                slots.setdefault(place, value)
+        got = _verdict(item, slots)
+        if got is not None and (best is None or (len(aligned), -got[1]) > (best[0], -best[2])):
+            best = (len(aligned), *got)
     return best
 
 
@@ -227,27 +316,22 @@ def _scan_broadcast(owners, items, lengths):
 
 
 def _hits(keys, t: Templates, ordered, owners, items, lengths) -> list[tuple]:
-    found: dict[tuple[int, int, int], dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-    begins = np.searchsorted(t.doc, np.arange(len(keys)))
+    found: dict[tuple[int, int, int], set[tuple[int, int]]] = defaultdict(set)
     for n in lengths:
         at, h = t.windows(n)
         near = np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)
         hit = ordered[near] == h
+        doc = t.docs(n)
         for a, x in zip(at[hit].tolist(), h[hit].tolist()):
-            d = int(t.doc[a])
             for item, w in owners[x]:
                 if n in items[item].totals:
-                    found[d, item, n][a - int(begins[d]) - w].add(w)
+                    found[int(doc[a]), item, n].add((w, a))
     out = []
-    for (d, item, n), starts in found.items():
-        it, base = items[item], int(begins[d])
-        total = it.totals[n]
-        if max(map(len, starts.values())) < COVERAGE * total:
-            continue
-        aligned = {o: {w + j: t.value(base + o + w + j) for w in ws for j in range(abs(n)) if it.kinds[w + j] != WORD} for o, ws in starts.items()}
-        best = _judge(it, total, aligned, starts)
+    for (d, item, n), pairs in found.items():
+        it = items[item]
+        best = _judge(it, n, sorted(pairs), lambda w, a: [t.value(a + p - w) for p in it.slots(n, w)])  # noqa: B023
         if best:
-            out.append((*keys[d], item, best[0], total, best[1], best[2]))
+            out.append((*keys[d], item, best[0], it.totals[n], best[1], best[2]))
     return out
 
 
@@ -267,36 +351,33 @@ def _by_shuffle(docs: DataFrame, windows: DataFrame, bench: DataFrame) -> DataFr
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for keys, t in _chunks(batches):
-            begins = np.searchsorted(t.doc, np.arange(len(keys)))
             places = np.nonzero(t.kind != WORD)[0]
             values = [t.value(int(p)) for p in places]
             for n in lengths:
                 at, h = t.windows(n)
-                lo, hi = np.searchsorted(places, at), np.searchsorted(places, at + abs(n))
-                slots = [[f"{places[q] - a}={values[q]}" for q in range(p, r)] for a, p, r in zip(at.tolist(), lo.tolist(), hi.tolist())]
-                doc = t.doc[at]
-                yield pd.DataFrame({"id": pd.Series([keys[d][0] for d in doc.tolist()], dtype=object), "th": [keys[d][1] for d in doc.tolist()], "length": n, "pos": at - begins[doc], "h": h.view(np.int64), "slots": pd.Series(slots, dtype=object)})
+                doc = t.docs(n)
+                begins = np.searchsorted(doc, np.arange(len(keys)))
+                lo, hi = (np.searchsorted(places, at), np.searchsorted(places, at + n)) if n > 0 else (np.zeros(len(at), int), np.zeros(len(at), int))
+                doc = doc[at]
+                yield pd.DataFrame({
+                    "id": pd.Series([keys[d][0] for d in doc.tolist()], dtype=object), "th": [keys[d][1] for d in doc.tolist()], "length": n, "pos": at - begins[doc], "h": h.view(np.int64),
+                    "slots": pd.Series([values[p:q] for p, q in zip(lo.tolist(), hi.tolist())], dtype=object),
+                })
 
     hits = docs.mapInPandas(cut, _ROW + "length int, pos long, h long, slots array<string>").join(windows, ["h", "length"])
-    lined = hits.groupBy("id", "th", "item", "length", (F.col("pos") - F.col("at")).alias("offset"))
-    # One alignment holds an item's windows at most, so the collected sets are as short as the item.
-    lined = lined.agg(F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set(F.transform("slots", lambda s: F.concat(F.col("at").cast("string"), F.lit("+"), s))))).alias("slots"))
+    # The matches of one text and one item are at most the text's windows times the places of a window in the item.
+    lined = hits.groupBy("id", "th", "item", "length").agg(F.collect_set(F.struct("at", "pos", "slots")).alias("hits"))
     rows = bench.groupBy("item").agg(F.min("text").alias("text"))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             out = []
-            for i, th, item, length, text, ats, slots in zip(x["id"], x["th"], x["item"], x["length"], x["text"], x["ats"], x["slots"]):
+            for i, th, item, length, text, met in zip(x["id"], x["th"], x["item"], x["length"], x["text"], x["hits"]):
                 it = Item(Templates([text], Lexicon()))
-                total = it.totals.get(length, 0)
-                place = {}
-                for s in slots:
-                    where, _, value = s.partition("=")
-                    a, _, b = where.partition("+")
-                    place[int(a) + int(b)] = value
-                best = _judge(it, total, {0: place}, {0: set(ats)})
+                values = {(m["at"], m["pos"]): list(m["slots"]) for m in met}
+                best = _judge(it, length, sorted(values), lambda w, pos: values[w, pos])  # noqa: B023
                 if best:
-                    out.append((i, th, item, best[0], total, best[1], best[2]))
+                    out.append((i, th, item, best[0], it.totals[length], best[1], best[2]))
             yield pd.DataFrame(out, columns=["id", "th", "item", "matched", "total", "slots", "changed"])
 
     return lined.join(rows, "item").mapInPandas(judge, _ROW + _LEAK)
@@ -311,10 +392,11 @@ def _found(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_c
     slim = docs.select(F.col(id_col).cast("long").alias("id"), _text_hash(text_col).alias("th"), F.col(text_col).alias("text"))
     items = bench.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).where("item IS NOT NULL")
     windows = materialise(item_windows(items, "item", "text"), "benchmark-windows")
-    if windows.count() > broadcast_windows:
+    texts = items.groupBy("item").agg(F.min("text").alias("text")).join(windows.select("item").distinct(), "item", "left_semi")
+    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    if windows.count() > broadcast_windows or size > BROADCAST_CHARS:
         return _by_shuffle(slim, windows, items)
-    texts = items.groupBy("item").agg(F.min("text").alias("text")).collect()
-    return _by_broadcast(slim, windows, [(r["item"], r["text"]) for r in texts])
+    return _by_broadcast(slim, windows, [(r["item"], r["text"]) for r in texts.collect()])
 
 
 def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -330,6 +412,7 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
 
 def keep_clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """``docs`` without the rows that leak a benchmark item; other rows of the same id stay."""
-    dirty = _found(docs, bench, id_col, text_col, "item_id", "text", broadcast_windows).select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct()
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_row_th") == F.col("_th"))
-    return docs.withColumn("_row_th", _text_hash(text_col)).join(dirty, same, "left_anti").select(*docs.columns)
+    row_id, row_th, own_th = free(docs, "_id", "_th", "_own")
+    dirty = _found(docs, bench, id_col, text_col, "item_id", "text", broadcast_windows).select(F.col("id").alias(row_id), F.col("th").alias(row_th)).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(row_id)) & (F.col(own_th) == F.col(row_th))
+    return docs.withColumn(own_th, _text_hash(text_col)).join(dirty, same, "left_anti").select(*docs.columns)

@@ -8,15 +8,20 @@ partition writes shards of ``SHARD_SLOTS`` consecutive slots with a fixed stride
 in shard ``s // SHARD_SLOTS`` at byte ``(s % SHARD_SLOTS) * STRIDE * id_bytes``, so reading is
 sequential and can resume anywhere.
 
-The default vocabulary is bytes (one id, one byte).  Numbers are given out in two levels: a
-task packs consecutive texts into packs of bounded size, the pack table is written once to
-the shared folder, and running sums over partitions and over the packs of each give the first
-number of every pack.  From then on all numbering reads that table, so lost executors change
-nothing.
+The ids are those of a BPE vocabulary of at most 65,536 tokens, two bytes each (:mod:`.bpe`);
+any other encoder and width can be given.  The encoded texts are written once and put in order
+by id, hash of the text and, among rows that agree in both, an arbitrary number that spreads
+them, so that the sequence numbers do not depend on how the input is split into files or dealt
+over tasks.  Numbers are given out in two levels: a task packs consecutive texts into packs of
+bounded size, the pack table is written once to the shared folder, and running sums over
+partitions and over the packs of each give the first number of every pack.  From then on all
+numbering reads that table, so lost executors change nothing.
 
 Nulls: a null text counts as empty, and an empty text has no sequences.  Rows with a null id
-are written under that null id; repeated rows are separate sequences.  An empty table gives no
-shards and an empty result; other columns are ignored.
+are written under that null id, after all others; repeated rows are separate sequences, which tie
+and may take each other's numbers.  A text of any length is cut into as many sequences as it
+needs.  An empty table gives no shards and an empty result; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from gridloom.llm import bpe
 from gridloom.plans.scratch import materialise
 
 STRIDE = 1024
@@ -82,12 +88,31 @@ class Permutation:
         return self._walk(slots, True)
 
 
-def byte_ids(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+#: Encoded bytes that one task packs.
+PART_BYTES = 64 * 1024 * 1024
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", encode=byte_ids, stride: int = STRIDE, pack_bytes: int = PACK_BYTES) -> DataFrame:
-    """Written table ``(part, at, n_seqs, doc_ids, lengths, body)`` of packs of token ids."""
+def bpe_bodies(slim: DataFrame, dtype: str) -> DataFrame:
+    return bpe.packed(slim, dtype)
+
+
+def byte_bodies(slim: DataFrame, dtype: str) -> DataFrame:
+    """Bytes as ids, one byte each."""
+    if np.dtype(dtype).itemsize != 1:
+        raise ValueError("bytes are written as uint8")
+    return slim.withColumn("body", F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+
+
+def encoded(docs: DataFrame, id_col: str, text_col: str, encode, dtype: str) -> DataFrame:
+    """Written table ``(last, id, th, uid, n_ids, body)`` of the texts that have ids; ``uid`` differs from row to row."""
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
+    n = (F.length("body") / np.dtype(dtype).itemsize).cast("long")
+    rows = encode(slim, dtype).select(F.col("id").isNull().alias("last"), "id", "th", F.monotonically_increasing_id().alias("uid"), n.alias("n_ids"), "body")
+    return materialise(rows.where("n_ids > 0"), "order-encoded", "zstd")
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", encode=bpe_bodies, dtype: str = "uint16", stride: int = STRIDE, pack_bytes: int = PACK_BYTES) -> DataFrame:
+    """Written table ``(part, at, n_seqs, doc_ids, lengths, body)`` of packs of token ids, in order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, at, ids, lengths, body, size = TaskContext.get().partitionId(), 0, [], [], [], 0
@@ -99,22 +124,23 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", encode
             return pd.DataFrame(row)
 
         for x in batches:
-            for i, text in zip(x["id"], x["text"]):
-                tokens = encode(text)
-                if not len(tokens):
-                    continue
+            for i, n, raw in zip(x["id"], x["n_ids"], x["body"]):
                 ids.append(None if pd.isna(i) else int(i))
-                lengths.append(len(tokens))
-                body.append(tokens.tobytes())
-                size += tokens.nbytes
+                lengths.append(int(n))
+                body.append(raw)
+                size += len(raw)
                 if size >= pack_bytes:
                     yield close()
                     at, ids, lengths, body, size = at + 1, [], [], [], 0
         if ids:
             yield close()
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return materialise(slim.mapInPandas(run, "part int, at int, n_seqs long, doc_ids array<long>, lengths array<int>, body binary"), "order-packs")
+    rows = encoded(docs, id_col, text_col, encode, dtype)
+    total = rows.agg(F.sum("n_ids")).first()[0] or 0
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism * 2, total * np.dtype(dtype).itemsize // PART_BYTES)
+    order = ["last", "id", "th", "uid"]
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "n_ids", "body")
+    return materialise(ordered.mapInPandas(run, "part int, at int, n_seqs long, doc_ids array<long>, lengths array<int>, body binary"), "order-packs")
 
 
 def numbered(packs: DataFrame) -> tuple[DataFrame, int]:
@@ -138,7 +164,7 @@ def numbered(packs: DataFrame) -> tuple[DataFrame, int]:
 _MOVED = "task int, slots array<long>, doc_ids array<long>, seq_nos array<int>, lengths array<int>, body binary"
 
 
-def assigned(packs: DataFrame, total: int, key: int = KEY, stride: int = STRIDE, shard_slots: int = SHARD_SLOTS, dtype: str = "uint8") -> DataFrame:
+def assigned(packs: DataFrame, total: int, key: int = KEY, stride: int = STRIDE, shard_slots: int = SHARD_SLOTS, dtype: str = "uint16") -> DataFrame:
     """Sequences with their slots, those of one pack and one writing task in one row, compressed together."""
     order, width, per_task = Permutation(total, key), np.dtype(dtype).itemsize, shard_slots * SHARDS_PER_TASK
 
@@ -166,7 +192,7 @@ def assigned(packs: DataFrame, total: int, key: int = KEY, stride: int = STRIDE,
     return packs.select("first", "doc_ids", "lengths", "body").mapInPandas(run, _MOVED)
 
 
-def shards(moved: DataFrame, total: int, stride: int = STRIDE, shard_slots: int = SHARD_SLOTS, dtype: str = "uint8") -> DataFrame:
+def shards(moved: DataFrame, total: int, stride: int = STRIDE, shard_slots: int = SHARD_SLOTS, dtype: str = "uint16") -> DataFrame:
     """Written table of shards, each a run of ``shard_slots`` slots of ``stride`` ids (the last may be shorter).
 
     A task owns a fixed range of slots, so it lays its sequences straight into a buffer of
@@ -204,12 +230,12 @@ def shards(moved: DataFrame, total: int, stride: int = STRIDE, shard_slots: int
     return materialise(moved.repartitionById(tasks, F.col("task")).mapInPandas(run, _SHARD), "order-shards", "zstd")
 
 
-def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: int = KEY, stride: int = STRIDE, shard_slots: int = SHARD_SLOTS, encode=byte_ids, dtype: str = "uint8") -> DataFrame:
-    packs, total = numbered(pack(docs, id_col, text_col, encode, stride))
+def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: int = KEY, stride: int = STRIDE, shard_slots: int = SHARD_SLOTS, encode=bpe_bodies, dtype: str = "uint16") -> DataFrame:
+    packs, total = numbered(pack(docs, id_col, text_col, encode, dtype, stride))
     return shards(assigned(packs, total, key, stride, shard_slots, dtype), total, stride, shard_slots, dtype)
 
 
-def read(written: DataFrame, from_slot: int = 0, stride: int = STRIDE, shard_slots: int = SHARD_SLOTS, dtype: str = "uint8") -> DataFrame:
+def read(written: DataFrame, from_slot: int = 0, stride: int = STRIDE, shard_slots: int = SHARD_SLOTS, dtype: str = "uint16") -> DataFrame:
     """``(slot, shard, doc_id, seq_no, n_ids, ids)`` from ``from_slot`` on; earlier shards are not read."""
     width = np.dtype(dtype).itemsize
 

@@ -5,7 +5,7 @@ import re
 import duckdb
 import numpy as np
 
-from gridloom.llm import chat, decontaminate, neighbours, order, pii, quality, toxicity, warc
+from gridloom.llm import bpe, chat, decontaminate, neighbours, order, pii, quality, toxicity, warc
 
 BENCH = [(1, "A train leaves Paris at 9 and travels 120 km in 2 hours so how fast does it go then"), (2, "short item of five"), (3, None), (3, "short item of five"), (None, "x")]
 
@@ -55,6 +55,15 @@ def test_pii_against_python_patterns(spark):
         want = base_spans(texts[r.doc_id] or "")
         assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest(), texts[r.doc_id][:80]
         assert set(filter(None, want.split(","))) <= set(r.spans.split(","))
+    planted = ["write to jo [at] mail [dot] com now", "host 2001:0db8:85a3:0000:0000:8a2e:0370:7334 up", "call (499) 555-6503 today", "visa 4111.1111.1111.1112 paid", 'api token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" set', "order 4234 5678 9012 3457 x"]
+    clean = ["x4111111111111112y", "build 999.999.999.999 out", "see the-long-name-of-section-3-here please", "sha 12345678901234567890123456789012345678901234567890"]
+    rows = [(i, t, "x", "y", "z") for i, t in enumerate((planted + clean) * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _base string, _spans string, _LOOSE string")
+    for r in pii.find(df).collect():
+        assert (r.n_added > 0) == (r.doc_id % 10 < 6), (rows[r.doc_id][1], r.spans)
+    redacted = pii.redact(df).collect()
+    assert redacted[0].asDict().keys() == dict.fromkeys(df.columns).keys() and {(r._base, r._spans, r._LOOSE) for r in redacted} == {("x", "y", "z")}
+    assert next(r.text for r in redacted if r.doc_id == 0) == "write to <EMAIL> now"
     clean = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame([(1, "é a@b.co, 1.2.3.4!"), (2, None)], "doc_id long, text string")).collect()}
     assert clean == {1: "é <EMAIL>, <IP>!", 2: None}
     assert pii.find(df.limit(0)).count() == 0
@@ -106,16 +115,26 @@ def test_order_is_a_dense_permutation(spark):
         p = order.Permutation(n)
         s = p.slots(np.arange(n))
         assert sorted(s.tolist()) == list(range(n)) and (p.numbers(s) == np.arange(n)).all()
-    texts = [None, "", "x" * 5000, "short", "short", "é" * 3000]
-    df = spark.createDataFrame([(i if i != 3 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    written = order.write(df, shard_slots=4)
-    got = order.read(written, shard_slots=4).collect()
-    assert sorted(r.slot for r in got) == list(range(len(got)))
-    back = {}
-    for r in sorted(got, key=lambda r: r.seq_no):
-        back[r.doc_id] = back.get(r.doc_id, b"") + r.ids
-    assert back == {i if i != 3 else None: t.encode() for i, t in enumerate(texts) if t}
-    assert min(r.slot for r in order.read(written, from_slot=6, shard_slots=4).collect()) == 6
+    codec = bpe.Codec(bpe.vocabulary_path())
+    texts = [None, "", "x1 " * 5000, "short", "short", "é" * 3000, "a word or two " * 4000]
+    df = spark.createDataFrame([(i if i != 3 else None, t, 1, 2) for i, t in enumerate(texts)] + [(6, texts[6], 1, 2)], "doc_id long, text string, id int, body int")
+    for encode, dtype, ids_of in ((order.bpe_bodies, "uint16", lambda t: np.array(codec.encode(t), "uint16").tobytes()), (order.byte_bodies, "uint8", str.encode)):
+        runs = []
+        for parts in (1, 7):
+            written = order.write(df.repartition(parts), shard_slots=4, encode=encode, dtype=dtype)
+            got = order.read(written, shard_slots=4, dtype=dtype).collect()
+            assert sorted(r.slot for r in got) == list(range(len(got)))
+            assert min(r.slot for r in order.read(written, from_slot=6, shard_slots=4, dtype=dtype).collect()) == 6
+            runs.append({r.slot: (r.doc_id, r.seq_no, r.n_ids, bytes(r.ids)) for r in got})
+        assert runs[0] == runs[1]
+        back = {}
+        for doc, seq, n, ids in runs[0].values():
+            back.setdefault((doc, seq), []).append(ids)
+        for i, t in enumerate(texts):
+            raw, step = ids_of(t or ""), order.STRIDE * np.dtype(dtype).itemsize
+            for seq, at in enumerate(range(0, len(raw), step)):
+                assert back.pop((i if i != 3 else None, seq)) == [raw[at : at + step]] * (2 if i == 6 else 1)
+        assert not back
     assert order.layout(df.limit(0)).count() == 0
 
 
