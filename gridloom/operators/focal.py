@@ -10,7 +10,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 Offsets = Iterable[tuple]
 
@@ -60,6 +62,13 @@ def gaussian(sigma: float) -> list[tuple[int, int, float]]:
     return [(r, c, w / total) for r, c, w in raw]
 
 
+def bell(sigma: float, truncate: float = 4.0) -> list[tuple[int, float]]:
+    """``(offset, weight)`` of a Gaussian that ends after ``truncate`` deviations and sums to 1."""
+    h = int(truncate * sigma + 0.5)
+    raw = [math.exp(-0.5 * (o / sigma) ** 2) for o in range(-h, h + 1)]
+    return [(o, w / sum(raw)) for o, w in zip(range(-h, h + 1), raw)]
+
+
 def normalised_convolution(grid: DataFrame, offsets: Offsets, nrows: int, ncols: int) -> DataFrame:
     """Weighted mean of the valid cells of a window, symmetric edge; fills NULL cells that have a valid neighbour."""
     valid = F.when(F.col("v").isNotNull(), F.col("w"))
@@ -136,11 +145,16 @@ def sun_simple(grid: DataFrame, nrows: int, ncols: int, altitude: float = 45.0,
     return d.select("row", "col", F.when(F.col("n") == 4, dot / F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2 + 1)).alias("v"))
 
 
+# Difference kernels of the published relief formula, applied as true convolutions.
+RELIEF_EAST = [[1, 0, -1], [2, 0, -2], [1, 0, -1]]
+RELIEF_NORTH = [[1, 2, 1], [0, 0, 0], [-1, -2, -1]]
+
+
 def relief(grid: DataFrame, nrows: int, ncols: int, altitude: float = 30.0, azimuth: float = 270.0, ns: float = 1.0, ew: float = 1.0, scale: float = 1.0, zscale: float = 1.0) -> DataFrame:
     """Shaded relief, 0..255, from slope and aspect by weighted 3 x 3 differences; NULL next to a NULL."""
     h, v = 4 * ew * scale / zscale, 4 * ns * scale / zscale
-    east = dict(((r, c), w / h) for r, c, w in kernel_offsets([[1, 0, -1], [2, 0, -2], [1, 0, -1]], False))
-    north = dict(((r, c), w / v) for r, c, w in kernel_offsets([[1, 2, 1], [0, 0, 0], [-1, -2, -1]], False))
+    east = dict(((r, c), w / h) for r, c, w in kernel_offsets(RELIEF_EAST))
+    north = dict(((r, c), w / v) for r, c, w in kernel_offsets(RELIEF_NORTH))
     offs = [(r, c, east[r, c], north[r, c]) for r, c in east]
     d = windows(grid, offs, nrows, ncols, "edge").groupBy("row", "col").agg(F.sum(F.col("w") * F.col("v")).alias("dx"), F.sum(F.col("w1") * F.col("v")).alias("dy"), F.count("v").alias("n"))
     slope = F.lit(math.pi / 2) - F.atan(F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2))
@@ -150,19 +164,28 @@ def relief(grid: DataFrame, nrows: int, ncols: int, altitude: float = 30.0, azim
     return d.select("row", "col", F.when(F.col("n") == 9, shade).alias("v"))
 
 
-def anisotropy(grid: DataFrame, nrows: int, ncols: int, window: int = 7) -> DataFrame:
-    """``(row, col, magnitude, orientation)`` of the structure tensor, smoothed over a box of ``window`` cells.
+def anisotropy(grid: DataFrame, nrows: int, ncols: int, window: int = 7, shape: str = "gaussian") -> DataFrame:
+    """``(row, col, magnitude, orientation)`` of the structure tensor, smoothed by a Gaussian of a sixth of ``window`` or a box.
 
     NULL cells count as zero and are restored; the magnitude is the eigenvalue difference over
     its 99th percentile, clipped to 0..1; the orientation is in degrees modulo 180.
     """
+    if shape not in ("gaussian", "box"):
+        raise ValueError(f"unknown window {shape}")
     filled = grid.select("row", "col", F.coalesce("v", F.lit(0.0)).alias("v"))
     gx = dict(((r, c), w) for r, c, w in kernel_offsets([[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]], False))
     gy = dict(((r, c), w) for r, c, w in kernel_offsets([[-1, -2, -1], [0, 0, 0], [1, 2, 1]], False))
     offs = [(r, c, gx[r, c], gy[r, c]) for r, c in gx]
     g = windows(filled, offs, nrows, ncols, "symmetric").groupBy("row", "col").agg(F.sum(F.col("w") * F.col("v")).alias("gx"), F.sum(F.col("w1") * F.col("v")).alias("gy"))
     packed = g.select("row", "col", F.struct((F.col("gx") * F.col("gx")).alias("xx"), (F.col("gy") * F.col("gy")).alias("yy"), (F.col("gx") * F.col("gy")).alias("xy")).alias("v"))
-    j = windows(packed, square(window), nrows, ncols, "symmetric").groupBy("row", "col").agg(*[F.avg(f"v.{k}").alias(k) for k in ("xx", "yy", "xy")])
+    if shape == "box":
+        j = windows(packed, square(window), nrows, ncols, "symmetric").groupBy("row", "col").agg(*[F.avg(f"v.{k}").alias(k) for k in ("xx", "yy", "xy")])
+    else:
+        j = packed
+        for offsets in ([(0, o, w) for o, w in bell(window / 6)], [(o, 0, w) for o, w in bell(window / 6)]):
+            sums = windows(j, offsets, nrows, ncols, "symmetric").groupBy("row", "col").agg(*[F.sum(F.col("w") * F.col(f"v.{k}")).alias(k) for k in ("xx", "yy", "xy")])
+            j = sums.select("row", "col", F.struct("xx", "yy", "xy").alias("v"))
+        j = j.select("row", "col", "v.*")
     j = j.withColumn("s", F.sqrt((F.col("xx") - F.col("yy")) ** 2 + 4 * F.col("xy") ** 2))
     top = j.agg(F.percentile("s", 0.99).alias("top"))
     theta = F.degrees(F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy")) / 2)
@@ -171,26 +194,52 @@ def anisotropy(grid: DataFrame, nrows: int, ncols: int, window: int = 7) -> Data
     return out.join(own, ["row", "col"]).select("row", "col", F.when(F.col("ok"), F.col("m")).alias("magnitude"), F.when(F.col("ok"), F.col("o")).alias("orientation"))
 
 
+def _nearest_row(f: np.ndarray) -> np.ndarray:
+    """For every place ``q`` the smallest ``p`` that minimises ``(q - p)^2 + f[p]``; ``f`` is -1 where nothing stands.
+
+    The lower envelope of the parabolas over all ``p``, in one pass over whole numbers.
+    """
+    hull: list[int] = []
+    until: list[int] = []  # the last q that the parabola before this one wins
+    for p in np.flatnonzero(f >= 0).tolist():
+        while hull:
+            a = hull[-1]
+            last = int((int(f[p]) + p * p - int(f[a]) - a * a) // (2 * (p - a)))
+            if len(hull) > 1 and last <= until[-1]:
+                hull.pop()
+                until.pop()
+            else:
+                break
+        until.append(last if hull else -1)
+        hull.append(p)
+    return np.array(hull)[np.searchsorted(np.array(until[1:]), np.arange(len(f)), side="left")]
+
+
 def fill_nearest(grid: DataFrame, nrows: int, ncols: int) -> DataFrame:
     """NULL cells take the nearest valid value (Euclidean in cells; ties: lowest row, then column).
 
-    Cells are looked up in tiles; a hole is settled once its nearest candidate among the
-    tiles around it lies within one tile's width, and the others go on with tiles twice as wide.
+    Two passes: along the rows every cell learns the nearest valid cell to its left or right;
+    down each column, the row whose cell so found is nearest is the lowest of the parabolas over
+    all rows.  Both passes hold one line of the grid, and no hole costs more than another.
     """
-    known = grid.where("v IS NOT NULL")
-    open_, done, size = grid.where("v IS NULL").select("row", "col"), known, 4
-    if known.isEmpty():
-        return grid
-    while True:
-        last = size >= 2 * max(nrows, ncols)
-        tile = lambda x: F.floor(F.col(x) / size)  # noqa: E731,B023
-        near = open_.select("row", "col", F.explode(F.array(*[F.struct((tile("row") + a).alias("tr"), (tile("col") + b).alias("tc")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("t")).select("row", "col", "t.*")
-        seen = known.select(F.col("row").alias("sr"), F.col("col").alias("sc"), "v", tile("row").alias("tr"), tile("col").alias("tc"))
-        d2 = (F.col("row") - F.col("sr")) ** 2 + (F.col("col") - F.col("sc")) ** 2
-        best = near.join(seen, ["tr", "tc"]).groupBy("row", "col").agg(F.min(F.struct(d2.alias("d2"), "sr", "sc", "v")).alias("b"))
-        settled = best if last else best.where(F.col("b.d2") <= size * size)
-        done = done.unionByName(settled.select("row", "col", F.col("b.v").alias("v")))
-        open_ = open_.join(settled, ["row", "col"], "left_anti")
-        if last or open_.isEmpty():
-            return done
-        size *= 2
+    before = Window.partitionBy("row").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("row").orderBy("col").rowsBetween(0, Window.unboundedFollowing)
+    own = F.when(F.col("v").isNotNull(), F.struct("col", "v"))
+    sides = grid.select("row", "col", F.col("v").cast("double").alias("v")).select("row", "col", "v", F.last(own, True).over(before).alias("a"), F.first(own, True).over(after).alias("b"))
+    left = F.col("a").isNotNull() & (F.col("b").isNull() | (F.col("col") - F.col("a.col") <= F.col("b.col") - F.col("col")))
+    near = F.when(left, F.col("a")).otherwise(F.col("b"))
+    known = sides.select("row", "col", F.col("v").isNull().alias("hole"), near.alias("n")).select("row", "col", "hole", F.abs(F.col("n.col") - F.col("col")).alias("d"), F.col("n.v").alias("v"))
+
+    def down(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("row")
+        v = group["v"].to_numpy(float)
+        if group["hole"].any() and not np.isnan(v).all():
+            rows, d = group["row"].to_numpy(np.int64), group["d"].to_numpy(float)
+            f = np.full(rows[-1] - rows[0] + 1, -1, np.int64)
+            value = np.full(len(f), np.nan)
+            valid = ~np.isnan(d)
+            f[rows[valid] - rows[0]], value[rows[valid] - rows[0]] = d[valid].astype(np.int64) ** 2, v[valid]
+            v = np.where(group["hole"], value[_nearest_row(f)][rows - rows[0]], v)
+        return pd.DataFrame({"row": group["row"], "col": group["col"], "v": v})
+
+    return known.groupBy("col").applyInPandas(down, "row int, col int, v double").select("row", "col", F.nanvl("v", F.lit(None).cast("double")).alias("v"))

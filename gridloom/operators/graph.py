@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.plans.scratch import checkpointed
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+#: Links between the active cells of a grid that one task solves; more are contracted in rounds.
+SMALL_EDGES = 200_000
+
+
+def connected_components(edges: DataFrame, small: int = 0) -> DataFrame:
     """``edges(src, dst)`` -> ``(node, component)``; component is the smallest node reachable.
 
     Every round points each node at its smallest neighbour, follows two pointers, renames the
@@ -15,22 +20,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
     their hash meanwhile: runs of falling hashes are short in any graph, so that the edge table
     shrinks by a factor each round, whereas a path numbered from end to end would lose a few
     nodes at a time.  Self loops are kept as one-node components; an empty edge table gives an
-    empty result.  Nodes may be of any ordered type; rows with nulls are ignored.
+    empty result.  Nodes may be of any ordered type; rows with nulls are ignored.  Edge tables of
+    at most ``small`` different edges, which are counted, are solved by one task instead.
     """
     hashed = lambda c: F.struct(F.xxhash64(c).alias("hash"), F.col(c).alias("id")).alias(c)
     e = edges.where("src IS NOT NULL AND dst IS NOT NULL").select(hashed("src"), hashed("dst"))
     e = checkpointed(e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
-    found = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    found = checkpointed(found.withColumn("component", F.col("node")))
+    found = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("component", F.col("node"))
     e = e.where("src <> dst")
-    while not e.isEmpty():
+    left = e.count()
+    if 0 < left <= small:
+        up = _roots(e)
+        found = found.join(up.select(F.col("n").alias("component"), "p"), "component", "left").select("node", F.coalesce("p", "component").alias("component"))
+        left = 0
+    elif left:
+        found = checkpointed(found)
+    while left:
         up = e.groupBy(F.col("dst").alias("n")).agg(F.min("src").alias("p"))
         up = checkpointed(up)  # every non-minimal node -> its smallest neighbour
-        hop = up.select(F.col("n").alias("p"), F.col("p").alias("q"))
-        up2 = up.join(hop, "p", "left").select("n", F.coalesce("q", "p").alias("p"))
-        up2 = checkpointed(up2)
-        hop2 = up2.select(F.col("n").alias("p"), F.col("p").alias("q"))
-        up4 = checkpointed(up2.join(hop2, "p", "left").select("n", F.coalesce("q", "p").alias("p")))
+        hop = lambda links: links.select(F.col("n").alias("p"), F.col("p").alias("q"))
+        up2 = up.join(hop(up), "p", "left").select("n", F.coalesce("q", "p").alias("p"))
+        up4 = checkpointed(up2.join(hop(up2), "p", "left").select("n", F.coalesce("q", "p").alias("p")))
         to = up4.select(F.col("n").alias("component"), F.col("p"))
         found = checkpointed(found.join(to, "component", "left").select("node", F.coalesce("p", "component").alias("component")))
         a = up4.select(F.col("n").alias("src"), F.col("p").alias("ps"))
@@ -38,10 +48,44 @@ def connected_components(edges: DataFrame) -> DataFrame:
         e = e.join(a, "src", "left").join(b, "dst", "left")
         e = e.select(F.coalesce("ps", "src").alias("x"), F.coalesce("pd", "dst").alias("y")).where("x <> y")
         e = checkpointed(e.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).distinct())
+        left = e.count()
     least = found.groupBy("component").agg(F.min("node.id").alias("least"))
     return found.join(least, "component").select(F.col("node.id").alias("node"), F.col("least").alias("component"))
 
 
+def _roots(edges: DataFrame) -> DataFrame:
+    """``(n, p)``: every node of a small table and the smallest node it reaches, by one task's union-find."""
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def run(batches):
+        number: dict = {}
+        parent: list[int] = []
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        names: list = []
+        for b in batches:
+            for ends in zip(b["src"].tolist(), b["dst"].tolist()):
+                at = []
+                for x in ends:
+                    key = (x["hash"], x["id"])
+                    if key not in number:
+                        number[key] = len(parent)
+                        parent.append(len(parent))
+                        names.append(key)
+                    at.append(root(number[key]))
+                low, high = (at[0], at[1]) if names[at[0]] <= names[at[1]] else (at[1], at[0])
+                parent[high] = low
+        shape = lambda i: {"hash": names[i][0], "id": names[i][1]}
+        yield pd.DataFrame({"n": [shape(i) for i in range(len(parent))], "p": [shape(root(i)) for i in range(len(parent))]}, columns=["n", "p"])
+
+    return edges.coalesce(1).mapInPandas(run, f"n {kind}, p {kind}")
+
+
 def grid_components(active: DataFrame, offsets: list[tuple[int, int]], link: Column | None = None) -> DataFrame:
     """``active(row, col, ..)`` with ``component`` (smallest member as row * 2^31 + col) and ``size``.
 
@@ -56,7 +100,7 @@ def grid_components(active: DataFrame, offsets: list[tuple[int, int]], link: Col
     met = met if link is None else met.where(link)
     edges = met.select(node("a.row", "a.col").alias("src"), node("b.row", "b.col").alias("dst"))
     loops = active.select(node("row", "col").alias("src"), node("row", "col").alias("dst"))
-    found = connected_components(edges.union(loops))
+    found = connected_components(edges.union(loops), SMALL_EDGES)
     sizes = found.groupBy("component").agg(F.count("*").alias("size"))
     named = active.withColumn("node", node("row", "col")).join(found, "node").join(sizes, "component")
     return named.select(*active.columns, "component", "size")

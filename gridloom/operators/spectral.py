@@ -1,22 +1,30 @@
 """Spectral filters on ``(row, col, v)`` grids.
 
-The transform is two passes of one-dimensional FFTs, over rows and then over columns, each a
-grouping by line and an Arrow-batched ``numpy.fft``; a line is bounded by the grid's side.
-Between the forward and inverse halves a filter is a pair of SQL expressions over ``kx``,
-``ky`` and ``k`` (radians per unit), so a forward pass serves any number of filters.
+The transform runs in two passes of one-dimensional FFTs.  Rows become arrays, are padded,
+tapered and transformed, and leave as blocks of a few columns; a block then holds all rows of
+its columns, is transformed downwards, multiplied by every response and transformed back, so
+that the spectrum is never exchanged cell by cell; a last pass takes the rows back.  A task
+holds a row or ``BLOCK_CELLS`` cells of a block, whatever the size of the grid.
+
+A response is a function of ``kx``, ``ky`` and ``k`` (radians per unit, numpy arrays of one
+block) that returns a real or complex factor.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from gridloom.operators.focal import fill_nearest
+from gridloom.plans.scratch import checkpointed
 
-Response = tuple[str, str]
+Response = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: Cells of the padded grid that one task holds while it transforms columns.
+BLOCK_CELLS = 1 << 21
 
 
 def smooth_size(n: int, pad: int) -> int:
@@ -32,178 +40,259 @@ def smooth_size(n: int, pad: int) -> int:
         size += 1
 
 
-def _tukey(i: Column, n: int, alpha: float = 0.5) -> Column:
-    x = i / F.lit(float(max(1, n - 1)))
-    up = 0.5 * (1 + F.cos(F.lit(2 * math.pi / alpha) * (x - alpha / 2)))
-    down = 0.5 * (1 + F.cos(F.lit(2 * math.pi / alpha) * (x - 1 + alpha / 2)))
-    return F.when(x < alpha / 2, up).when(x >= 1 - alpha / 2, down).otherwise(F.lit(1.0))
+def smooth_pads(n: int, pad: int) -> tuple[int, int]:
+    """Cells before and after ``n`` cells that make up the smooth size."""
+    more = smooth_size(n, pad) - n
+    return more // 2, more - more // 2
 
 
-def _padded(i: Column, n: int, left: int, right: int) -> Column:
-    """Array of (place in the padded axis, ramp factor)."""
-    one = lambda at, f: F.struct(at.cast("int").alias("at"), f.cast("double").alias("f"))
-    parts = [F.array(one(i + left, F.lit(1.0)))]
-    none = F.array().cast("array<struct<at:int,f:double>>")
-    if left:
-        ramp = F.transform(F.sequence(F.lit(0), F.lit(left - 1)), lambda j: one(j, j / left))
-        parts.append(F.when(i == 0, ramp).otherwise(none))
-    if right:
-        ramp = F.transform(F.sequence(F.lit(1), F.lit(right)), lambda j: one(j + (n - 1 + left), (right - j) / right))
-        parts.append(F.when(i == n - 1, ramp).otherwise(none))
-    return F.concat(*parts)
+def tukey(n: int, alpha: float = 0.5) -> np.ndarray:
+    """Taper over the share ``alpha`` of ``n`` places; none at 0, a Hann window from 1 on."""
+    if alpha <= 0:
+        return np.ones(n)
+    if alpha >= 1:
+        return np.hanning(n)
+    x = np.linspace(0, 1, n)
+    low, high = x < alpha / 2, x >= 1 - alpha / 2
+    w = np.ones(n)
+    w[low] = 0.5 + 0.5 * np.cos(2 * math.pi * (x[low] / alpha - 0.5))
+    w[high] = 0.5 + 0.5 * np.cos(2 * math.pi * ((x[high] - 1) / alpha + 0.5))
+    return w
 
 
-def _pass(df: DataFrame, keep: list[str], line: str, axis: str, out: str, inverse: bool) -> DataFrame:
-    """FFT along ``axis`` of every ``line``; ``axis`` becomes ``out``."""
+_WINDOWS = {"tukey": tukey, "hann": np.hanning, "none": np.ones}
+_EDGES = {
+    "ramp": lambda before, after: (np.arange(before) / max(before, 1), np.arange(after - 1, -1, -1) / max(after, 1)),
+    "edge": lambda before, after: (np.ones(before), np.ones(after)),
+    "zero": lambda before, after: (np.zeros(before), np.zeros(after)),
+}
 
-    @F.pandas_udf("struct<re:array<double>,im:array<double>>")
-    def fft(re: pd.Series, im: pd.Series) -> pd.DataFrame:
-        f = np.fft.ifft if inverse else np.fft.fft
-        got = [f(np.asarray(a) + 1j * np.asarray(b)) for a, b in zip(re, im)]
-        return pd.DataFrame({"re": [g.real for g in got], "im": [g.imag for g in got]})
 
-    lines = df.groupBy(*keep, line).agg(F.array_sort(F.collect_list(F.struct(axis, "re", "im"))).alias("z"))
-    done = lines.select(*keep, line, fft("z.re", "z.im").alias("z"))
-    spread = done.select(*keep, line, F.posexplode(F.arrays_zip("z.re", "z.im")).alias(out, "c"))
-    return spread.select(*keep, line, out, F.col("c.re").alias("re"), F.col("c.im").alias("im"))
+def _extended(a: np.ndarray, pads: tuple[int, int], edge: str, window: str) -> np.ndarray:
+    """``a`` padded along its first axis by multiples of its edges, and tapered."""
+    before, after = _EDGES[edge](*pads)
+    shape = (-1, *[1] * (a.ndim - 1))
+    out = np.concatenate([before.reshape(shape) * a[:1], a, after.reshape(shape) * a[-1:]])
+    return out * _WINDOWS[window](len(out)).reshape(shape)
 
 
 class Spectrum:
-    """Forward transform of one grid, and what is needed to come back."""
-
-    def __init__(self, grid: DataFrame, nrows: int, ncols: int, dx: float = 1.0, dy: float = 1.0, buffer: int = 0):
-        self.grid, self.n, self.m = grid, (nrows, ncols), (smooth_size(nrows, buffer), smooth_size(ncols, buffer))
-        self.left = tuple((m - n) // 2 for m, n in zip(self.m, self.n))
-        self.spacing = (dy, dx)
-        middle = grid.agg(F.percentile("v", 0.5)).first()[0]
-        self.median = 0.0 if middle is None else float(middle)
-        filled = fill_nearest(grid, nrows, ncols).select("row", "col", (F.coalesce("v", F.lit(self.median)) - self.median).alias("v"))
-        (mr, mc), (lr, lc) = self.m, self.left
-        wide = filled.select(F.explode(_padded(F.col("row"), nrows, lr, mr - nrows - lr)).alias("r"), "col", "v")
-        wide = wide.select("r", F.explode(_padded(F.col("col"), ncols, lc, mc - ncols - lc)).alias("c"), "v")
-        x = wide.select(F.col("r.at").alias("row"), F.col("c.at").alias("col"), (F.col("v") * F.col("r.f") * F.col("c.f")).alias("x"))
-        x = x.select("row", "col", (F.col("x") * _tukey(F.col("row"), mr) * _tukey(F.col("col"), mc)).alias("re"), F.lit(0.0).alias("im"))
-        half = _pass(x, [], "row", "col", "w", False)
-        spec = _pass(half, [], "w", "row", "u", False)
-        freq = lambda i, n, d: F.when(F.col(i) < (n + 1) // 2, F.col(i)).otherwise(F.col(i) - n) / F.lit(n * d)
-        spec = spec.withColumn("kx", 2 * math.pi * freq("w", mc, dx)).withColumn("ky", -2 * math.pi * freq("u", mr, dy))
-        self.spec = spec.withColumn("k", F.sqrt(F.col("kx") ** 2 + F.col("ky") ** 2))
-
-    def filtered(self, responses: dict[str, Response]) -> DataFrame:
-        """``(tag, row, col, v)`` of each response, without the median and with NULL cells still filled."""
-        forms = F.array(*[F.struct(F.lit(t).alias("tag"), F.expr(re).cast("double").alias("hr"), F.expr(im).cast("double").alias("hi")) for t, (re, im) in responses.items()])
-        h = self.spec.select("u", "w", "re", "im", F.explode(forms).alias("h")).select("u", "w", "re", "im", "h.*")
-        z = h.select("tag", "u", "w", (F.col("re") * F.col("hr") - F.col("im") * F.col("hi")).alias("re"), (F.col("re") * F.col("hi") + F.col("im") * F.col("hr")).alias("im"))
-        back = _pass(_pass(z, ["tag"], "w", "u", "row", True), ["tag"], "row", "w", "col", True)
-        (nr, nc), (lr, lc) = self.n, self.left
-        cut = back.select("tag", (F.col("row") - lr).alias("row"), (F.col("col") - lc).alias("col"), F.col("re").alias("v"))
-        return cut.where(F.col("row").between(0, nr - 1) & F.col("col").between(0, nc - 1))
-
-    def restored(self, out: DataFrame) -> DataFrame:
-        """NULL where the grid was."""
-        own = self.grid.select("row", "col", F.col("v").isNotNull().alias("_ok"))
-        names = [c for c in out.columns if c not in ("row", "col")]
-        return out.join(own, ["row", "col"]).select("row", "col", *[F.when(F.col("_ok"), F.col(c)).alias(c) for c in names])
+    """Forward transform of one grid, and what is needed to come back.
+
+    ``level`` (median, mean or none) is taken off first; NULL cells take their nearest value, or
+    the level if ``fill`` is ``level``.  ``pads`` are ``((top, bottom), (left, right))``.
+    """
+
+    def __init__(
+        self, grid: DataFrame, nrows: int, ncols: int, dx: float = 1.0, dy: float = 1.0, buffer: int = 0, pads: tuple | None = None,
+        edge: str = "ramp", window: str = "tukey", level: str = "median", fill: str = "nearest",
+    ):
+        self.grid, self.n, self.spacing = checkpointed(grid.select("row", "col", F.col("v").cast("double"))), (nrows, ncols), (dy, dx)
+        self.pads = pads or (smooth_pads(nrows, buffer), smooth_pads(ncols, buffer))
+        self.m = tuple(n + sum(p) for n, p in zip(self.n, self.pads))
+        self.edge, self.window = edge, window
+        how = {"median": F.percentile("v", 0.5), "mean": F.avg("v"), "none": F.lit(0.0)}[level]
+        of = self.grid.agg(how.alias("level"), F.count("v").alias("n")).first()
+        self.median = float(of["level"] or 0.0)
+        whole = self.grid if fill != "nearest" or of["n"] in (0, nrows * ncols) else fill_nearest(self.grid, nrows, ncols)
+        self.filled = whole.select("row", "col", (F.coalesce("v", F.lit(self.median)) - self.median).alias("v"))
+        lanes = grid.sparkSession.sparkContext.defaultParallelism * 2
+        self.width = max(1, min(BLOCK_CELLS // self.m[0], -(-self.m[1] // lanes)))
+
+    def _rows(self) -> DataFrame:
+        """``(block, row, z)``: each row's transform, cut into blocks of columns."""
+        width, pads, edge, window = self.width, self.pads[1], self.edge, self.window
+
+        def run(batches):
+            for b in batches:
+                out = []
+                for row, v in zip(b["row"], b["v"]):
+                    z = np.fft.fft(_extended(np.asarray(v, float), pads, edge, window))
+                    out += [(k // width, row, z[k : k + width].tobytes()) for k in range(0, len(z), width)]
+                yield pd.DataFrame(out, columns=["block", "row", "z"])
+
+        lines = self.filled.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "v"))).alias("z"))
+        return lines.select("row", F.col("z.v").alias("v")).mapInPandas(run, "block int, row int, z binary")
+
+    def columns(self, work: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
+        """Rows of ``work(block, spectrum of the block's columns, kx, ky, k)`` for every block."""
+        (mr, mc), (dy, dx), width, pads, edge, window = self.m, self.spacing, self.width, self.pads[0], self.edge, self.window
+
+        def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+            a = np.stack([np.frombuffer(z, complex) for z in group.sort_values("row")["z"]])
+            spectrum = np.fft.fft(_extended(a, pads, edge, window), axis=0)
+            kx = 2 * math.pi * np.fft.fftfreq(mc, dx)[key[0] * width : key[0] * width + a.shape[1]][None, :]
+            ky = -2 * math.pi * np.fft.fftfreq(mr, dy)[:, None]
+            return work(key[0], spectrum, *np.broadcast_arrays(kx, ky, np.sqrt(kx * kx + ky * ky)))
+
+        return self._rows().groupBy("block").applyInPandas(run, schema)
+
+    def filtered(self, responses: dict[str, Response], crop: bool = True, restore: bool = True) -> DataFrame:
+        """``(row, col, <one column per response>)`` without the level; NULL where the grid is, if ``restore``.
+
+        Without ``crop`` the padded grid is returned, its first cell at ``(-top, -left)``.
+        """
+        (top, _), (left, _) = self.pads
+        nr, nc = self.n if crop else self.m
+        first, at = (top if crop else 0), (0 if crop else -top)
+        names = list(responses)
+
+        def down(block: int, spectrum: np.ndarray, kx: np.ndarray, ky: np.ndarray, k: np.ndarray) -> pd.DataFrame:
+            out = {"row": np.arange(nr) + at, "block": block}
+            for name, response in responses.items():
+                a = np.fft.ifft(spectrum * response(kx, ky, k), axis=0)[first : first + nr]
+                out[name] = [line.tobytes() for line in np.ascontiguousarray(a)]
+            return pd.DataFrame(out)
+
+        def back(key: tuple, group: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values("block")
+            out = {"row": key[0], "col": np.arange(nc) + (0 if crop else -left)}
+            holes = own["col"][own["v"].isna()].to_numpy() if restore else np.array([], int)
+            for name in names:
+                z = np.fft.ifft(np.concatenate([np.frombuffer(x, complex) for x in group[name]])).real
+                out[name] = z[left : left + nc].copy() if crop else z
+                out[name][holes] = np.nan
+            return pd.DataFrame(out)
+
+        parts = self.columns(down, "row int, block int, " + ", ".join(f"{n} binary" for n in names))
+        own = self.grid if restore else self.grid.limit(0)
+        both = parts.groupBy("row").cogroup(own.groupBy("row"))
+        found = both.applyInPandas(lambda key, a, b: back(key, a, b), "row int, col int, " + ", ".join(f"{n} double" for n in names))
+        return found.select("row", "col", *[F.nanvl(n, F.lit(None).cast("double")).alias(n) for n in names])
 
     def apply(self, response: Response, keep_level: bool = True) -> DataFrame:
-        out = self.filtered({"x": response}).select("row", "col", (F.col("v") + (self.median if keep_level else 0.0)).alias("v"))
-        return self.restored(out)
+        return self.filtered({"v": response}).withColumn("v", F.col("v") + (self.median if keep_level else 0.0))
 
     def several(self, responses: dict[str, Response]) -> DataFrame:
-        """One column for each response, from one inverse pass."""
-        wide = self.filtered(responses).groupBy("row", "col").agg(*[F.max(F.when(F.col("tag") == t, F.col("v"))).alias(t) for t in responses])
-        return self.restored(wide)
-
-
-PI = "3.141592653589793"
+        """One column for each response, from one pass."""
+        return self.filtered(responses)
 
 
 def upward(h: float) -> Response:
-    return f"exp(-k * {h!r})", "0.0"
+    return lambda kx, ky, k: np.exp(-k * h)
 
 
 def downward(h: float) -> Response:
-    return f"exp(k * {h!r})", "0.0"
+    return lambda kx, ky, k: np.exp(k * h)
 
 
-def vertical_integration(least: float = 1e-4) -> Response:
-    return f"1.0 / greatest(k, {least:.10f})", "0.0"
+def vertical_integration(least: float = 1e-4, most: float | None = None) -> Response:
+    return lambda kx, ky, k: 1.0 / np.clip(k, least, most)
 
 
 def derivative(axis: str, order: float = 1.0) -> Response:
     """``(i kx)^p``, ``(i ky)^p`` or ``k^p``; the order need not be whole."""
     if axis == "z":
-        return f"power(k, {order!r})", "0.0"
-    k = f"k{axis}"
-    turn = f"{order!r} * {PI} / 2 * sign({k})"
-    return f"power(abs({k}), {order!r}) * cos({turn})", f"power(abs({k}), {order!r}) * sin({turn})"
+        return lambda kx, ky, k: k**order
+    return lambda kx, ky, k: (1j * (kx if axis == "x" else ky)) ** order
+
+
+def _edges(cutoff: float, width: float) -> tuple[float, float]:
+    """Wavenumbers at which the taper around a cut-off wavelength begins and ends."""
+    narrow = cutoff - width / 2
+    return 2 * math.pi / (cutoff + width / 2), 2 * math.pi / narrow if narrow > 0 else 3 * math.pi / cutoff
+
+
+def _rise(k: np.ndarray, a: float, b: float) -> np.ndarray:
+    """0 up to ``a``, 1 from ``b`` on, half a cosine between."""
+    return 0.5 - 0.5 * np.cos(math.pi * np.clip((k - a) / (b - a), 0.0, 1.0))
 
 
 def low_pass(cutoff: float, width: float | None = None) -> Response:
-    kc = 2 * math.pi / cutoff
     if not width or width <= 0:
-        return f"CASE WHEN k <= {kc!r} THEN 1.0 ELSE 0.0 END", "0.0"
-    a = 2 * math.pi / (cutoff + width / 2)
-    b = 2 * math.pi / (cutoff - width / 2) if cutoff - width / 2 > 0 else 1.5 * kc
-    return f"CASE WHEN k < {a!r} THEN 1.0 WHEN k <= {b!r} THEN 0.5 * (1 + cos({PI} * (k - {a!r}) / {b - a!r})) ELSE 0.0 END", "0.0"
+        return lambda kx, ky, k: k <= 2 * math.pi / cutoff
+    a, b = _edges(cutoff, width)
+    return lambda kx, ky, k: 1 - _rise(k, a, b)
 
 
 def high_pass(cutoff: float, width: float | None = None) -> Response:
-    kc, width = 2 * math.pi / cutoff, 0.2 * cutoff if width is None else width
+    width = 0.2 * cutoff if width is None else width
     if width <= 0:
-        return f"CASE WHEN k >= {kc!r} THEN 1.0 ELSE 0.0 END", "0.0"
-    a = 2 * math.pi / (cutoff + width / 2)
-    b = 2 * math.pi / (cutoff - width / 2) if cutoff - width / 2 > 0 else 1.5 * kc
-    return f"CASE WHEN k < {a!r} THEN 0.0 WHEN k <= {b!r} THEN 0.5 * (1 - cos({PI} * (k - {a!r}) / {b - a!r})) ELSE 1.0 END", "0.0"
+        return lambda kx, ky, k: k >= 2 * math.pi / cutoff
+    a, b = _edges(cutoff, width)
+    return lambda kx, ky, k: _rise(k, a, b)
+
+
+def band_pass(long_wavelength: float, short_wavelength: float, long_width: float | None = None, short_width: float | None = None) -> Response:
+    """Pass wavelengths between the two; where the tapers overlap the one at the short end wins.
+
+    A taper is a fifth of the *other* cut-off unless given; cut-offs within a thousandth of their
+    taper are moved up by a thousandth.
+    """
+    long_width = 0.2 * short_wavelength if long_width is None else long_width
+    short_width = 0.2 * long_wavelength if short_width is None else short_width
 
+    def clear(cutoff: float, width: float) -> float:
+        cutoff += 1e-3 if cutoff - width < 1e-3 else 0.0
+        cutoff += 1e-3 if abs(cutoff + width) < 1e-3 else 0.0
+        return cutoff or 1e-3
 
-def band_pass(long_wavelength: float, short_wavelength: float, long_width: float, short_width: float) -> Response:
-    """Pass wavelengths between the two; where the tapers overlap the one at the short end wins."""
-    if long_wavelength < short_wavelength:
-        raise ValueError("long_wavelength must not be shorter than short_wavelength")
-    edge = lambda w, d, s: 2 * math.pi / max(w + s * d / 2, 1e-9)
-    h0, h1 = edge(long_wavelength, long_width, 1), edge(long_wavelength, long_width, -1)
-    l0, l1 = edge(short_wavelength, short_width, 1), edge(short_wavelength, short_width, -1)
-    falling = f"WHEN k > {l0!r} AND k <= {l1!r} THEN 0.5 * (1 + cos({PI} * (k - {l0!r}) / {max(l1 - l0, 1e-12)!r}))"
-    rising = f"WHEN k >= {h0!r} AND k < {h1!r} THEN 0.5 * (1 - cos({PI} * (k - {h0!r}) / {max(h1 - h0, 1e-12)!r}))"
-    return f"CASE {falling} {rising} WHEN k >= {h1!r} AND k <= {l0!r} THEN 1.0 ELSE 0.0 END", "0.0"
+    h0, h1 = _edges(clear(long_wavelength, long_width), long_width)
+    l0, l1 = _edges(clear(short_wavelength, short_width), short_width)
+
+    def response(kx: np.ndarray, ky: np.ndarray, k: np.ndarray) -> np.ndarray:
+        out = np.where((k >= h1) & (k <= l0), 1.0, 0.0)
+        out = np.where((k >= h0) & (k < h1), _rise(k, h0, h1) if h1 > h0 else 0.0, out)
+        return np.where((k > l0) & (k <= l1), 1 - _rise(k, l0, l1) if l1 > l0 else 0.0, out)
+
+    return response
+
+
+def sharp_band(long_wavelength: float, short_wavelength: float) -> Response:
+    return lambda kx, ky, k: (k >= 2 * math.pi / long_wavelength) & (k <= 2 * math.pi / short_wavelength)
 
 
 def butterworth(long_wavelength: float, short_wavelength: float, order: int = 4) -> Response:
     kh, kl = 2 * math.pi / long_wavelength, 2 * math.pi / short_wavelength
-    return f"CASE WHEN k = 0 THEN 0.0 ELSE 1.0 / (1 + power({kh!r} / k, {2 * order})) / (1 + power(k / {kl!r}, {2 * order})) END", "0.0"
+
+    def response(kx: np.ndarray, ky: np.ndarray, k: np.ndarray) -> np.ndarray:
+        k = np.maximum(k, 1e-10)
+        return 1.0 / (1.0 + (kh / k) ** (2 * order)) / (1.0 + (k / kl) ** (2 * order))
+
+    return response
+
+
+def directional_cosine(azimuth: float, degree: float) -> Response:
+    return lambda kx, ky, k: np.abs(np.cos(np.arctan2(ky, kx) - math.radians(azimuth))) ** degree
 
 
 def directional_butterworth(long_wavelength: float, short_wavelength: float, azimuth: float, width: float = 20.0, order: int = 4) -> Response:
     """Band times a squared cosine around one direction; one half-plane only, so the real part has half amplitude."""
-    az, w = math.radians(azimuth), math.radians(width)
-    off = f"(atan2(ky, kx) - {az!r})"
-    wrapped = f"atan2(sin({off}), cos({off}))"
-    band = butterworth(long_wavelength, short_wavelength, order)[0]
-    return f"({band}) * CASE WHEN abs({wrapped}) <= {w!r} THEN power(cos({PI} * {wrapped} / {2 * w!r}), 2) ELSE 0.0 END", "0.0"
+    band, w = butterworth(long_wavelength, short_wavelength, order), math.radians(width)
+
+    def response(kx: np.ndarray, ky: np.ndarray, k: np.ndarray) -> np.ndarray:
+        off = np.angle(np.exp(1j * (np.arctan2(ky, kx) - math.radians(azimuth))))
+        return band(kx, ky, k) * np.where(np.abs(off) <= w, np.cos(math.pi * off / (2 * w)) ** 2, 0.0)
+
+    return response
+
+
+def _field_direction(kx: np.ndarray, ky: np.ndarray, k: np.ndarray, inclination: float, declination: float) -> np.ndarray:
+    i, d = math.radians(-inclination), math.radians(declination)
+    return -math.sin(i) * k + 1j * math.cos(i) * (math.sin(d) * kx + math.cos(d) * ky)
 
 
 def reduction_to_pole(inclination: float, declination: float) -> Response:
-    """k squared over the product of the field's and the magnetisation's direction terms, which are equal here."""
+    """k squared over the product of the field's and the magnetisation's direction terms, which are equal here; 0 at k = 0."""
     if inclination == 0:
         raise ValueError("reduction to the pole is undefined at inclination 0")
-    i, d = math.radians(-inclination), math.radians(declination)
-    east, north, down = math.cos(i) * math.sin(d), math.cos(i) * math.cos(d), -math.sin(i)
-    a, b = f"({down!r} * (k + 1e-10))", f"({east!r} * kx + {north!r} * ky)"
-    # 1 / (a + ib)^2 = ((a^2 - b^2) - 2iab) / (a^2 + b^2)^2
-    re = f"power(k + 1e-10, 2) * ({a} * {a} - {b} * {b}) / power({a} * {a} + {b} * {b}, 2)"
-    im = f"power(k + 1e-10, 2) * (-2 * {a} * {b}) / power({a} * {a} + {b} * {b}, 2)"
-    big = f"(sqrt(power({re}, 2) + power({im}, 2)) > 1e6)"
-    return f"CASE WHEN {big} THEN 0.0 ELSE {re} END", f"CASE WHEN {big} THEN 0.0 ELSE {im} END"
+
+    def response(kx: np.ndarray, ky: np.ndarray, k: np.ndarray) -> np.ndarray:
+        out = (kx * kx + ky * ky) / _field_direction(kx, ky, k + 1e-10, inclination, declination) ** 2
+        return np.where(np.abs(out) > 1e6, 0.0, out)
+
+    return response
 
 
 def reduction_to_equator(inclination: float, declination: float) -> Response:
     i, d = math.radians(inclination), math.radians(declination)
-    s, c0 = math.sin(i), math.cos(i)
-    c = f"cos({d!r} - atan2(kx, ky))"
-    den = f"({s * s!r} + {c0 * c0!r} * {c} * {c} * {s * s!r} + {c0 * c0!r} * {c} * {c} + 1e-10)"
-    # (s - i c0 c)^2 (-c^2): real and imaginary parts
-    return f"-({s * s!r} - {c0 * c0!r} * {c} * {c}) * {c} * {c} / {den}", f"({2 * s * c0!r} * {c}) * {c} * {c} / {den}"
+
+    def response(kx: np.ndarray, ky: np.ndarray, k: np.ndarray) -> np.ndarray:
+        c = np.cos(d - np.arctan2(kx, ky))
+        flat = (math.cos(i) * c) ** 2
+        return -((math.sin(i) - 1j * math.cos(i) * c) ** 2) * c * c / (math.sin(i) ** 2 * (1 + flat) + flat + 1e-10)
+
+    return response
 
 
 GRADIENT = {"dx": derivative("x"), "dy": derivative("y"), "dz": derivative("z")}
@@ -219,25 +308,44 @@ def analytic_signal(s: Spectrum) -> DataFrame:
     return g.select("row", "col", F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2 + F.col("dz") ** 2).alias("v"))
 
 
-def tilt_angle(s: Spectrum) -> DataFrame:
-    """Radians."""
+def tilt_angle(s: Spectrum, degrees: bool = False) -> DataFrame:
+    """Radians, or degrees."""
     g = s.several(GRADIENT)
-    return g.select("row", "col", F.atan2(F.col("dz"), F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2)).alias("v"))
+    angle = F.atan2(F.col("dz"), F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2))
+    return g.select("row", "col", (F.degrees(angle) if degrees else angle).alias("v"))
 
 
 def directional_clean(s: Spectrum, line_spacing: float, azimuth: float, scale: float) -> DataFrame:
-    """The grid minus the scaled directional band, whose level is that of the grid."""
-    band = s.apply(directional_butterworth(1e8, line_spacing, azimuth)).withColumnRenamed("v", "b")
+    """The grid minus the scaled directional band of wavelengths below the line spacing, whose level is that of the grid."""
+    band = s.apply(directional_butterworth(line_spacing, 1e-8, azimuth)).withColumnRenamed("v", "b")
     return s.grid.join(band, ["row", "col"]).select("row", "col", (F.col("v") - scale * F.col("b")).alias("v"))
 
 
 def radial_power(grid: DataFrame, nrows: int, ncols: int, dx: float = 1.0, dy: float = 1.0) -> DataFrame:
     """``(ring, k, log_power)``: mean power in rings as wide as one frequency step, NULL as 0, no taper."""
-    x = grid.select("row", "col", F.coalesce("v", F.lit(0.0)).alias("re"), F.lit(0.0).alias("im"))
-    z = _pass(_pass(x, [], "row", "col", "w", False), [], "w", "row", "u", False)
-    freq = lambda i, n, d: F.when(F.col(i) < (n + 1) // 2, F.col(i)).otherwise(F.col(i) - n) * F.lit(2 * math.pi / (n * d))
     step = max(2 * math.pi / (ncols * dx), 2 * math.pi / (nrows * dy))
     most = min((ncols - 1) // 2 * 2 * math.pi / (ncols * dx), (nrows - 1) // 2 * 2 * math.pi / (nrows * dy))
-    z = z.withColumn("k", F.sqrt(freq("w", ncols, dx) ** 2 + freq("u", nrows, dy) ** 2)).withColumn("ring", F.ceil(F.col("k") / step - 0.5).cast("int"))
-    rings = z.where(F.col("ring") * step <= most + 1e-9).groupBy("ring").agg(F.avg(F.col("re") ** 2 + F.col("im") ** 2).alias("p"))
-    return rings.select("ring", (F.col("ring") * step).alias("k"), F.log("p").alias("log_power"))
+    s = Spectrum(grid, nrows, ncols, dx, dy, pads=((0, 0), (0, 0)), window="none", level="none", fill="level")
+
+    def rings(block: int, spectrum: np.ndarray, kx: np.ndarray, ky: np.ndarray, k: np.ndarray) -> pd.DataFrame:
+        ring = np.ceil(k / step - 0.5).astype(np.int32).ravel()
+        power = pd.DataFrame({"ring": ring, "p": (np.abs(spectrum) ** 2).ravel()})
+        return power[ring * step <= most + 1e-9].groupby("ring", as_index=False).agg(n=("p", "size"), p=("p", "sum"))
+
+    sums = s.columns(rings, "ring int, n long, p double").groupBy("ring").agg((F.sum("p") / F.sum("n")).alias("p"))
+    return sums.select("ring", (F.col("ring") * step).alias("k"), F.log("p").alias("log_power"))
+
+
+def integer_radius_spectrum(grid: DataFrame, nrows: int, ncols: int, cell: float = 1.0) -> DataFrame:
+    """``(radius, k, log_power)``: mean power at whole distances from zero frequency, holes filled by their nearest value."""
+    s = Spectrum(grid, nrows, ncols, pads=((0, 0), (0, 0)), window="none", level="none")
+
+    def rings(block: int, spectrum: np.ndarray, kx: np.ndarray, ky: np.ndarray, k: np.ndarray) -> pd.DataFrame:
+        u, w = np.rint(ky * nrows / (2 * math.pi)), np.rint(kx * ncols / (2 * math.pi))
+        radius = np.floor(np.sqrt(u * u + w * w)).astype(np.int32).ravel()
+        power = pd.DataFrame({"radius": radius, "p": (np.abs(spectrum) ** 2).ravel()})
+        inside = (radius >= 1) & (radius < min(nrows // 2, ncols // 2))
+        return power[inside].groupby("radius", as_index=False).agg(n=("p", "size"), p=("p", "sum"))
+
+    sums = s.columns(rings, "radius int, n long, p double").groupBy("radius").agg((F.sum("p") / F.sum("n")).alias("p"))
+    return sums.select("radius", (F.col("radius") / (min(nrows, ncols) * cell)).alias("k"), F.log(F.col("p") + 1e-10).alias("log_power"))

@@ -13,19 +13,12 @@ from gridloom.plans.scratch import checkpointed
 CONCAVE, FLAT, CONVEX, CLIFF, NODATA = -1, 0, 1, 2, -15
 
 
-def bell(sigma: float, truncate: float = 4.0) -> list[tuple[int, float]]:
-    """``(offset, weight)`` of a Gaussian that ends after ``truncate`` deviations and sums to 1."""
-    h = int(truncate * sigma + 0.5)
-    raw = [math.exp(-0.5 * (o / sigma) ** 2) for o in range(-h, h + 1)]
-    return [(o, w / sum(raw)) for o, w in zip(range(-h, h + 1), raw)]
-
-
 def smooth(grid: DataFrame, sigma: float, nrows: int, ncols: int) -> DataFrame:
     """Gaussian by rows and then by columns, symmetric edge; a NULL in reach gives NULL.
 
     Two passes of ``8 sigma + 1`` offsets instead of their square.
     """
-    weights = bell(sigma)
+    weights = focal.bell(sigma)
     if weights[-1][0] > min(nrows, ncols):
         raise ValueError("sigma reaches beyond the opposite edge of the grid")
     for offsets in ([(0, o, w) for o, w in weights], [(o, 0, w) for o, w in weights]):

@@ -8,43 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridloom.functions import scalar
 from gridloom.operators import crossings, euler, focal, graph, lines, spectral, stats, surfaces, terrain
+from gridloom.plans.registry import CELLS as _CELLS, GRID_SQL, N, ORACLES, QUERIES, add as _add, grid as _grid, out as _out, rounded as _rounded
 from gridloom.sources import fixtures
 
-N = 48
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-_PRICES = f"SELECT CAST(l_partkey % {N} AS INTEGER) AS row, CAST(l_orderkey % {N} AS INTEGER) AS col, avg(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2"
-_CELLS = f"cells AS (SELECT CAST(r.range AS INTEGER) AS row, CAST(c.range AS INTEGER) AS col FROM range({N}) r, range({N}) c)"
-#: The price grid; ``full`` is dense, ``g`` has the regular holes too.
-GRID_SQL = f"""p AS ({_PRICES}), {_CELLS},
-full_ AS (SELECT cells.row, cells.col, p.v FROM cells LEFT JOIN p ON p.row = cells.row AND p.col = cells.col),
-g AS (SELECT row, col, CASE WHEN (row * 7 + col * 3) % 11 = 0 THEN NULL ELSE v END AS v FROM full_)"""
-
-
-def _add(name: str, query, oracle: str | None = None) -> None:
-    if name in QUERIES:
-        raise ValueError(f"{name} is registered twice")
-    QUERIES[name] = query
-    if oracle:
-        ORACLES[name] = oracle
-
-
-def _grid(spark: SparkSession, sf: str, holes: bool = True) -> DataFrame:
-    return fixtures.price_grid(spark, sf, N, holes)
-
-
-def _out(df: DataFrame, digits: int = 7, *cols: str) -> DataFrame:
-    """Rounded to what different summation orders leave alone; adding zero turns -0 into 0."""
-    cols = cols or ("v",)
-    keys = [c for c in df.columns if c not in cols]
-    return df.select(*keys, *[(F.round(c, digits) + 0.0).alias(c) for c in cols])
-
-
-def _rounded(sql: str, digits: int = 7, keys: str = "row, col", cols: tuple[str, ...] = ("v",)) -> str:
-    return f"SELECT {keys}, {', '.join(f'round({c}, {digits}) + 0.0 AS {c}' for c in cols)} FROM ({sql})"
-
-
 # --- windows -------------------------------------------------------------------------------
 
 _EDGE_SQL = {
@@ -55,26 +21,31 @@ _EDGE_SQL = {
 }
 
 
-def window_sql(offsets, edge: str, select: str, source: str = "g", where: str = "", more: str = "") -> str:
-    """Gather form: every cell joins the cells its window asks for."""
-    offs = [tuple(o) for o in offsets]
-    names = ["dr", "dc", *[f"w{k}" if k else "w" for k in range(len(offs[0]) - 2)]]
-    values = ", ".join("(" + ", ".join(repr(x) for x in o) + ")" for o in offs)
+def square_sql(h: int, columns: str = "1.0 AS w", where: str = "true") -> str:
+    """Relation ``o(dr, dc, ..)`` of the places within ``h`` of a cell."""
+    return f"SELECT dr, dc, {columns} FROM (SELECT CAST(a.range AS INTEGER) - {h} AS dr, CAST(b.range AS INTEGER) - {h} AS dc FROM range({2 * h + 1}) a, range({2 * h + 1}) b) WHERE {where}"
+
+
+def window_sql(o: str, edge: str, select: str, source: str = "g") -> str:
+    """Gather form: every cell joins the cells its window ``o`` asks for."""
     r, c = _EDGE_SQL[edge].format(i="(c.row + o.dr)"), _EDGE_SQL[edge].format(i="(c.col + o.dc)")
-    return f"""WITH {GRID_SQL}{more}, o({', '.join(names)}) AS (VALUES {values}),
-hit AS (SELECT c.row, c.col, o.*, s.v FROM cells c CROSS JOIN o JOIN {source} s ON s.row = {r} AND s.col = {c} {where})
+    return f"""WITH {GRID_SQL}, o AS ({o}), hit AS (SELECT c.row, c.col, o.*, s.v FROM cells c CROSS JOIN o JOIN {source} s ON s.row = {r} AND s.col = {c})
 SELECT row, col, {select} FROM hit GROUP BY row, col"""
 
 
 _CONV = "CASE WHEN sum(CASE WHEN v IS NOT NULL THEN w END) <> 0 THEN sum(w * v) / sum(CASE WHEN v IS NOT NULL THEN w END) END AS v"
 for size in (3, 5):
-    _add(f"focal_mean_{size}x{size}", lambda s, d, n=size: _out(focal.mean_filter(_grid(s, d), n, N, N)), _rounded(window_sql(focal.square(size), "symmetric", _CONV)))
-_add("focal_gaussian_s1", lambda s, d: _out(focal.gaussian_filter(_grid(s, d), 1.0, N, N)), _rounded(window_sql(focal.gaussian(1.0), "symmetric", _CONV)))
-_add("focal_median_3x3", lambda s, d: _out(focal.median_filter(_grid(s, d), 3, N, N), 9), _rounded(window_sql(focal.square(3), "none", "quantile_cont(v, 0.5) AS v"), 9))
-for way in focal.COMPASS:
+    _add(f"focal_mean_{size}x{size}", lambda s, d, n=size: _out(focal.mean_filter(_grid(s, d), n, N, N)), _rounded(window_sql(square_sql(size // 2), "symmetric", _CONV)))
+_add("focal_gaussian_s1", lambda s, d: _out(focal.gaussian_filter(_grid(s, d), 1.0, N, N)), _rounded(window_sql(square_sql(2, "exp(-(dr * dr + dc * dc) / 2.0) AS w"), "symmetric", _CONV)))
+_add("focal_median_3x3", lambda s, d: _out(focal.median_filter(_grid(s, d), 3, N, N), 9), _rounded(window_sql(square_sql(1), "none", "quantile_cont(v, 0.5) AS v"), 9))
+#: What a compass kernel weighs the neighbour at (dr, dc) with, once the convolution has turned it.
+_COMPASS_SQL = {
+    "n": "-dr", "s": "dr", "e": "-dc", "w": "dc", "ne": "sign(dc - dr)", "nw": "-sign(dr + dc)", "se": "sign(dr - dc)", "sw": "sign(dr + dc)",
+}
+for way, w in _COMPASS_SQL.items():
     _add(
-        f"dir_{way.lower()}", lambda s, d, w=way: _out(focal.directional(_grid(s, d), w, N, N)),
-        _rounded(window_sql(focal.kernel_offsets(focal.COMPASS[way]), "symmetric", "CASE WHEN count(v) = count(*) THEN sum(w * v) END AS v")),
+        f"dir_{way}", lambda s, d, w=way.upper(): _out(focal.directional(_grid(s, d), w, N, N)),
+        _rounded(window_sql(square_sql(1, f"{w} AS w"), "symmetric", "CASE WHEN count(v) = count(*) THEN sum(w * v) END AS v")),
     )
 _STATS = {
     "min": "min(v)", "max": "max(v)", "mean": "avg(v)", "median": "quantile_cont(v, 0.5)", "variance": "var_pop(v)", "std": "stddev_pop(v)",
@@ -84,40 +55,52 @@ for stat, sql in _STATS.items():
     digits = 6 if stat in ("skewness", "kurtosis") else 4 if stat == "variance" else 7
     _add(
         f"ss_{stat}", lambda s, d, st=stat, k=digits: _out(focal.windowed_stat(_grid(s, d), st, 5, N, N), k),
-        _rounded(window_sql(focal.disk(5), "none", f"CASE WHEN count(v) >= 3 AND max(CASE WHEN dr = 0 AND dc = 0 THEN v END) IS NOT NULL THEN {sql} END AS v"), digits),
+        _rounded(window_sql(square_sql(2, where="dr * dr + dc * dc <= 4"), "none", f"CASE WHEN count(v) >= 3 AND max(CASE WHEN dr = 0 AND dc = 0 THEN v END) IS NOT NULL THEN {sql} END AS v"), digits),
     )
 
-_A, _Z = math.radians(45), math.radians(315)
+# Altitude 45 and azimuth 315 degrees: the light's parts are 1/2, 1/2 and the root of 1/2.
 _add(
     "sun_simple", lambda s, d: _out(focal.sun_simple(_grid(s, d), N, N), 6),
-    f"SELECT row, col, round(CASE WHEN n = 4 THEN (-dx * {math.cos(_A) * math.sin(_Z)!r} - dy * {math.cos(_A) * math.cos(_Z)!r} + {math.sin(_A)!r}) / sqrt(dx*dx + dy*dy + 1) END, 6) + 0.0 AS v FROM ("
-    + window_sql([(0, 1, 1.0, 0.0), (0, -1, -1.0, 0.0), (1, 0, 0.0, 1.0), (-1, 0, 0.0, -1.0)], "wrap", "sum(w * v) / 2 AS dx, sum(w1 * v) / 2 AS dy, count(v) AS n") + ")",
+    "SELECT row, col, round(CASE WHEN n = 4 THEN (dx / 2 - dy / 2 + sqrt(0.5)) / sqrt(dx*dx + dy*dy + 1) END, 6) + 0.0 AS v FROM ("
+    + window_sql(square_sql(1, where="abs(dr) + abs(dc) = 1"), "wrap", "sum(dc * v) / 2 AS dx, sum(dr * v) / 2 AS dy, count(v) AS n") + ")",
 )
-_EAST = {(r, c): w / 4 for r, c, w in focal.kernel_offsets([[1, 0, -1], [2, 0, -2], [1, 0, -1]], False)}
-_NORTH = {(r, c): w / 4 for r, c, w in focal.kernel_offsets([[1, 2, 1], [0, 0, 0], [-1, -2, -1]], False)}
-_R = math.radians(30)
+# The difference kernels turned by the convolution: east minus west, and south minus north, both halves of the published formula.
 _add(
     "relief_grass", lambda s, d: _out(focal.relief(_grid(s, d), N, N), 4),
-    f"""SELECT row, col, round(CASE WHEN n = 9 THEN 255 * ({math.sin(_R)!r} * sin(sl) + {math.cos(_R)!r} * cos(sl) * cos({math.radians(360)!r} - asp)) END, 4) + 0.0 AS v FROM (
+    """SELECT row, col, round(CASE WHEN n = 9 THEN 255 * (0.5 * sin(sl) + sqrt(0.75) * cos(sl) * cos(2 * pi() - asp)) END, 4) + 0.0 AS v FROM (
 SELECT row, col, n, pi() / 2 - atan(sqrt(dx*dx + dy*dy)) AS sl, CASE WHEN dx = 0 AND dy = 0 THEN pi() / 180 ELSE atan2(dy, dx) END AS asp FROM ("""
-    + window_sql([(r, c, _EAST[r, c], _NORTH[r, c]) for r, c in _EAST], "edge", "sum(w * v) AS dx, sum(w1 * v) AS dy, count(v) AS n") + "))",
+    + window_sql(square_sql(1), "edge", "sum(dc * (2 - abs(dr)) * v) / 4 AS dx, sum(dr * (2 - abs(dc)) * v) / 4 AS dy, count(v) AS n") + "))",
 )
-_GX = {(r, c): w for r, c, w in focal.kernel_offsets([[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]], False)}
-_GY = {(r, c): w for r, c, w in focal.kernel_offsets([[-1, -2, -1], [0, 0, 0], [1, 2, 1]], False)}
-_SOBEL = ", ".join(f"({r}, {c}, {_GX[r, c]!r}, {_GY[r, c]!r})" for r, c in _GX)
-_BOX = ", ".join(f"({r}, {c})" for r, c, _ in focal.square(7))
 _sym = lambda i: _EDGE_SQL["symmetric"].format(i=i)
-ANISO_SQL = f"""{GRID_SQL}, so(dr, dc, w, w1) AS (VALUES {_SOBEL}), bo(dr, dc) AS (VALUES {_BOX}),
-gr AS (SELECT c.row, c.col, sum(w * coalesce(s.v, 0)) AS gx, sum(w1 * coalesce(s.v, 0)) AS gy FROM cells c CROSS JOIN so JOIN g s ON s.row = {_sym('(c.row + so.dr)')} AND s.col = {_sym('(c.col + so.dc)')} GROUP BY 1, 2),
-j AS (SELECT c.row, c.col, avg(gx * gx) AS xx, avg(gy * gy) AS yy, avg(gx * gy) AS xy FROM cells c CROSS JOIN bo JOIN gr s ON s.row = {_sym('(c.row + bo.dr)')} AND s.col = {_sym('(c.col + bo.dc)')} GROUP BY 1, 2),
+
+
+def aniso_sql(smooth: str) -> str:
+    """Saliency and orientation; ``smooth`` weighs the place (dr, dc) within nine of the cell."""
+    return f"""{GRID_SQL}, so AS ({square_sql(1)}), bo AS ({square_sql(5, f"{smooth} AS w", f"{smooth} > 0")}),
+gr AS (SELECT c.row, c.col, sum(dc * (2 - abs(dr)) * coalesce(s.v, 0)) AS gx, sum(dr * (2 - abs(dc)) * coalesce(s.v, 0)) AS gy FROM cells c CROSS JOIN so JOIN g s ON s.row = {_sym('(c.row + so.dr)')} AND s.col = {_sym('(c.col + so.dc)')} GROUP BY 1, 2),
+j AS (SELECT c.row, c.col, sum(w * gx * gx) / sum(w) AS xx, sum(w * gy * gy) / sum(w) AS yy, sum(w * gx * gy) / sum(w) AS xy FROM cells c CROSS JOIN bo JOIN gr s ON s.row = {_sym('(c.row + bo.dr)')} AND s.col = {_sym('(c.col + bo.dc)')} GROUP BY 1, 2),
 sal AS (SELECT row, col, sqrt((xx - yy) * (xx - yy) + 4 * xy * xy) AS s, ((degrees(atan2(2 * xy, xx - yy) / 2) % 180) + 180) % 180 AS o FROM j),
 an AS (SELECT sal.row, sal.col, CASE WHEN g.v IS NOT NULL THEN least(1.0, s / ((SELECT quantile_cont(s, 0.99) FROM sal) + 1e-10)) END AS magnitude, CASE WHEN g.v IS NOT NULL THEN o END AS orientation FROM sal JOIN g ON g.row = sal.row AND g.col = sal.col)"""
-_add("aniso_mag", lambda s, d: _out(focal.anisotropy(_grid(s, d), N, N).select("row", "col", F.col("magnitude").alias("v")), 6), f"WITH {ANISO_SQL} SELECT row, col, round(magnitude, 6) + 0.0 AS v FROM an")
-_add("aniso_orient", lambda s, d: _out(focal.anisotropy(_grid(s, d), N, N).select("row", "col", F.col("orientation").alias("v")), 4), f"WITH {ANISO_SQL} SELECT row, col, round(orientation, 4) + 0.0 AS v FROM an")
+
+
+_BOX_SQL = "(CASE WHEN abs(dr) <= 3 AND abs(dc) <= 3 THEN 1 ELSE 0 END)"
+#: Window 7: a deviation of 7/6, cut off after 4 deviations, at 5 cells.
+_BELL_SQL = "exp(-(dr * dr + dc * dc) * 18.0 / 49)"
+ANISO_SQL = aniso_sql(_BOX_SQL)
+for shape, smooth in (("box", _BOX_SQL), ("gaussian", _BELL_SQL)):
+    tail = "" if shape == "box" else "_gaussian"
+    _add(
+        f"aniso_mag{tail}", lambda s, d, k=shape: _out(focal.anisotropy(_grid(s, d), N, N, 7, k).select("row", "col", F.col("magnitude").alias("v")), 6),
+        f"WITH {aniso_sql(smooth)} SELECT row, col, round(magnitude, 6) + 0.0 AS v FROM an",
+    )
+    _add(
+        f"aniso_orient{tail}", lambda s, d, k=shape: _out(focal.anisotropy(_grid(s, d), N, N, 7, k).select("row", "col", F.col("orientation").alias("v")), 4),
+        f"WITH {aniso_sql(smooth)} SELECT row, col, round(orientation, 4) + 0.0 AS v FROM an",
+    )
 
 
 def _chain(s: SparkSession, d: str, threshold: float = 0.75, tolerance: float = 15.0) -> DataFrame:
-    an = focal.anisotropy(_grid(s, d), N, N).where(F.col("magnitude") >= threshold).select("row", "col", "orientation")
+    an = focal.anisotropy(_grid(s, d), N, N, 7, "box").where(F.col("magnitude") >= threshold).select("row", "col", "orientation")
     near = scalar.angle_between_axes(F.col("a.orientation"), F.col("b.orientation")) <= tolerance
     return graph.grid_components(an, graph.disk_offsets(2), near).select("row", "col", F.col("size").cast("long").alias("size"))
 
@@ -295,7 +278,7 @@ def _tukey_sql(i: str) -> str:
     return f"(CASE WHEN {x} < 0.25 THEN 0.5 * (1 + cos(4 * pi() * ({x} - 0.25))) WHEN {x} >= 0.75 THEN 0.5 * (1 + cos(4 * pi() * ({x} - 0.75))) ELSE 1.0 END)"
 
 
-def dft_sql(responses: dict[str, spectral.Response], final: str) -> str:
+def dft_sql(responses: dict[str, tuple[str, str]], final: str) -> str:
     """Separable discrete Fourier transform, filter and inverse; ``t(tag, row, col, v)`` feeds ``final``."""
     forms = " UNION ALL ".join(f"SELECT '{t}' AS tag, u, w, re, im, {re} AS hr, {im} AS hi FROM kk" for t, (re, im) in responses.items())
     ang = lambda a, b: f"2 * pi() * (({a} * {b}) % {N}) / {N}"
@@ -312,32 +295,78 @@ t AS (SELECT tag, row, i AS col, sum(re * cos({ang('w', 'i')}) - im * sin({ang('
 
 
 _ONE = "SELECT t.row, t.col, round(CASE WHEN g.v IS NOT NULL THEN t.v{level} END, {digits}) + 0.0 AS v FROM t JOIN g ON g.row = t.row AND g.col = t.col, med"
-_FILTERS = {
-    "upward": (spectral.upward(2.0), True), "downward": (spectral.downward(0.5), True), "vint": (spectral.vertical_integration(), True),
-    "dx1": (spectral.derivative("x"), False), "dy1": (spectral.derivative("y"), False), "dz1": (spectral.derivative("z"), False), "dz_frac": (spectral.derivative("z", 0.5), False),
-    "lowpass": (spectral.low_pass(8.0, 4.0), True), "lowpass_sharp": (spectral.low_pass(8.0), True), "highpass": (spectral.high_pass(12.0, 6.0), True),
-    "bandpass": (spectral.band_pass(16.0, 4.0, 4.0, 1.0), True), "butterworth": (spectral.butterworth(16.0, 4.0), True),
-    "dir_butterworth": (spectral.directional_butterworth(16.0, 4.0, 30.0, 25.0), True),
-    "rtp": (spectral.reduction_to_pole(-60.0, 5.0), True), "rte": (spectral.reduction_to_equator(-60.0, 5.0), True),
+
+
+def _taper_sql(short: float, long: float) -> str:
+    """Place within the taper that reaches from the longer to the shorter wavelength, 0..1."""
+    return f"((k - 2 * pi() / {long}) / (2 * pi() / {short} - 2 * pi() / {long}))"
+
+
+_BUTTER_SQL = "(CASE WHEN k = 0 THEN 0 ELSE 1 / (1 + power(2 * pi() / {long} / k, 8)) / (1 + power(k * {short} / (2 * pi()), 8)) END)"
+#: Angle between the wave and an azimuth in degrees, wrapped to +-pi.
+_OFF_SQL = "atan2(sin(atan2(ky, kx) - radians({az})), cos(atan2(ky, kx) - radians({az})))"
+_DIRECTED_SQL = "(" + _BUTTER_SQL + " * CASE WHEN abs(" + _OFF_SQL + ") <= radians({width}) THEN power(cos(pi() * " + _OFF_SQL + " / (2 * radians({width}))), 2) ELSE 0 END)"
+# Inclination -60: the field term is a + ib with a = -sin(60) k and b = cos(60) (sin 5 kx + cos 5 ky).
+_POLE_SQL = "(-sin(radians(60)) * (k + 1e-10))", "(cos(radians(60)) * (sin(radians(5)) * kx + cos(radians(5)) * ky))"
+_EQ_C = "cos(radians(5) - atan2(kx, ky))"
+_EQ_DEN = f"(0.75 + 0.25 * {_EQ_C} * {_EQ_C} * 0.75 + 0.25 * {_EQ_C} * {_EQ_C} + 1e-10)"
+_LONG, _SHORT = _taper_sql(14.0, 18.0), _taper_sql(3.5, 4.5)
+#: Real and imaginary part of each response, and whether the level comes back.
+_FILTERS: dict[str, tuple[spectral.Response, tuple[str, str], bool]] = {
+    "upward": (spectral.upward(2.0), ("exp(-2 * k)", "0"), True),
+    "downward": (spectral.downward(0.5), ("exp(k / 2)", "0"), True),
+    "vint": (spectral.vertical_integration(), ("1 / greatest(k, 0.0001)", "0"), True),
+    "vint_capped": (spectral.vertical_integration(0.3, 2.0), ("1 / least(greatest(k, 0.3), 2.0)", "0"), True),
+    "dx1": (spectral.derivative("x"), ("0", "kx"), False),
+    "dy1": (spectral.derivative("y"), ("0", "ky"), False),
+    "dz1": (spectral.derivative("z"), ("k", "0"), False),
+    "dx2": (spectral.derivative("x", 2.0), ("-kx * kx", "0"), False),
+    "dz_frac": (spectral.derivative("z", 0.5), ("sqrt(k)", "0"), False),
+    "lowpass": (spectral.low_pass(8.0, 4.0), (f"CASE WHEN k <= 2 * pi() / 10 THEN 1 WHEN k >= 2 * pi() / 6 THEN 0 ELSE 0.5 * (1 + cos(pi() * {_taper_sql(6.0, 10.0)})) END", "0"), True),
+    "lowpass_sharp": (spectral.low_pass(8.0), ("CASE WHEN k <= 2 * pi() / 8.0 THEN 1 ELSE 0 END", "0"), True),
+    "highpass": (spectral.high_pass(12.0, 6.0), (f"CASE WHEN k <= 2 * pi() / 15 THEN 0 WHEN k >= 2 * pi() / 9 THEN 1 ELSE 0.5 * (1 - cos(pi() * {_taper_sql(9.0, 15.0)})) END", "0"), True),
+    "bandpass": (
+        spectral.band_pass(16.0, 4.0, 4.0, 1.0),
+        (f"CASE WHEN k > 2 * pi() / 4.5 AND k <= 2 * pi() / 3.5 THEN 0.5 * (1 + cos(pi() * {_SHORT})) WHEN k >= 2 * pi() / 18 AND k < 2 * pi() / 14 THEN 0.5 * (1 - cos(pi() * {_LONG})) WHEN k >= 2 * pi() / 14 AND k <= 2 * pi() / 4.5 THEN 1 ELSE 0 END", "0"), True,
+    ),
+    # A taper of 10 around 4 passes wavelength 0: its upper edge falls back to 1.5 times the cut-off's wavenumber; 4 - 10 < 0.001 moves the cut-off by 0.001.
+    "bandpass_wide": (
+        spectral.band_pass(16.0, 4.0, 4.0, 10.0),
+        (f"CASE WHEN k > 2 * pi() / 9.001 AND k <= 3 * pi() / 4.001 THEN 0.5 * (1 + cos(pi() * (k - 2 * pi() / 9.001) / (3 * pi() / 4.001 - 2 * pi() / 9.001))) WHEN k >= 2 * pi() / 18 AND k < 2 * pi() / 14 THEN 0.5 * (1 - cos(pi() * {_LONG})) WHEN k >= 2 * pi() / 14 AND k <= 2 * pi() / 9.001 THEN 1 ELSE 0 END", "0"), True,
+    ),
+    "bandpass_sharp": (spectral.sharp_band(16.5, 4.5), ("CASE WHEN k >= 2 * pi() / 16.5 AND k <= 2 * pi() / 4.5 THEN 1 ELSE 0 END", "0"), True),
+    "butterworth": (spectral.butterworth(16.0, 4.0), (_BUTTER_SQL.format(long=16.0, short=4.0), "0"), True),
+    "dir_butterworth": (spectral.directional_butterworth(16.0, 4.0, 30.0, 25.0), (_DIRECTED_SQL.format(long=16.0, short=4.0, az=30, width=25), "0"), True),
+    "dir_cosine": (spectral.directional_cosine(30.0, 2.0), ("power(cos(atan2(ky, kx) - radians(30)), 2)", "0"), True),
+    "rtp": (
+        spectral.reduction_to_pole(-60.0, 5.0),
+        tuple(f"(k * k * {top} / power({a} * {a} + {b} * {b}, 2))" for a, b in [_POLE_SQL] for top in (f"({a} * {a} - {b} * {b})", f"(-2 * {a} * {b})")), True,
+    ),
+    "rte": (
+        spectral.reduction_to_equator(-60.0, 5.0),
+        (f"(-(0.75 - 0.25 * {_EQ_C} * {_EQ_C}) * {_EQ_C} * {_EQ_C} / {_EQ_DEN})", f"(-sqrt(0.75) * {_EQ_C} * {_EQ_C} * {_EQ_C} / {_EQ_DEN})"), True,
+    ),
 }
-for name, (response, level) in _FILTERS.items():
+for name, (response, forms, level) in _FILTERS.items():
     _add(
         name, lambda s, d, r=response, k=level: _out(spectral.Spectrum(_grid(s, d), N, N).apply(r, k), 3),
-        dft_sql({"x": response}, _ONE.format(level=" + med.m" if level else "", digits=3)),
+        dft_sql({"x": forms}, _ONE.format(level=" + med.m" if level else "", digits=3)),
     )
+_GRADIENT_SQL = {"dx": ("0", "kx"), "dy": ("0", "ky"), "dz": ("k", "0")}
 
 
 def _combined(expr: str, digits: int) -> str:
-    return dft_sql(spectral.GRADIENT, f"""SELECT g.row, g.col, round(CASE WHEN g.v IS NOT NULL THEN {expr} END, {digits}) + 0.0 AS v FROM
+    return dft_sql(_GRADIENT_SQL, f"""SELECT g.row, g.col, round(CASE WHEN g.v IS NOT NULL THEN {expr} END, {digits}) + 0.0 AS v FROM
 (SELECT row, col, max(CASE WHEN tag = 'dx' THEN v END) AS dx, max(CASE WHEN tag = 'dy' THEN v END) AS dy, max(CASE WHEN tag = 'dz' THEN v END) AS dz FROM t GROUP BY 1, 2) q JOIN g ON g.row = q.row AND g.col = q.col""")
 
 
 _add("thg", lambda s, d: _out(spectral.total_horizontal_gradient(spectral.Spectrum(_grid(s, d), N, N)), 3), _combined("sqrt(dx*dx + dy*dy)", 3))
 _add("analytic_signal", lambda s, d: _out(spectral.analytic_signal(spectral.Spectrum(_grid(s, d), N, N)), 3), _combined("sqrt(dx*dx + dy*dy + dz*dz)", 3))
+_add("tilt_degrees", lambda s, d: _out(spectral.tilt_angle(spectral.Spectrum(_grid(s, d), N, N), True), 4), _combined("degrees(atan2(dz, sqrt(dx*dx + dy*dy)))", 4))
 _add("tilt", lambda s, d: _out(spectral.tilt_angle(spectral.Spectrum(_grid(s, d), N, N)), 5), _combined("atan2(dz, sqrt(dx*dx + dy*dy))", 5))
 _add(
     "dir_clean", lambda s, d: _out(spectral.directional_clean(spectral.Spectrum(_grid(s, d), N, N), 8.0, 30.0, 0.5), 3),
-    dft_sql({"x": spectral.directional_butterworth(1e8, 8.0, 30.0)}, "SELECT t.row, t.col, round(g.v - 0.5 * (t.v + med.m), 3) + 0.0 AS v FROM t JOIN g ON g.row = t.row AND g.col = t.col, med"),
+    dft_sql({"x": (_DIRECTED_SQL.format(long=8.0, short=1e-8, az=30, width=20), "0")}, "SELECT t.row, t.col, round(g.v - 0.5 * (t.v + med.m), 3) + 0.0 AS v FROM t JOIN g ON g.row = t.row AND g.col = t.col, med"),
 )
 _add(
     "radial_spectrum", lambda s, d: spectral.radial_power(_grid(s, d), N, N).select("ring", F.round("k", 8).alias("k"), F.round("log_power", 5).alias("log_power")),
@@ -397,7 +426,7 @@ _add("euler_deconvolution", _depths)
 
 # --- gain control, terrain, gridding, colours, outlines ------------------------------------
 
-_GAIN, _PAD = terrain.bell(2.0), 6
+_PAD = 6
 
 
 def _mirror_sql(i: str) -> str:
@@ -406,10 +435,11 @@ def _mirror_sql(i: str) -> str:
     return f"(CASE WHEN {j} < 0 THEN -{j} WHEN {j} >= {N} THEN {2 * (N - 1)} - {j} ELSE {j} END)"
 
 
-_BELL = ", ".join(f"({o}, {w!r})" for o, w in _GAIN)
+#: Deviation 2, cut off at 8 cells.
+_BELL = "SELECT d, exp(-d * d / 8.0) / sum(exp(-d * d / 8.0)) OVER () AS w FROM (SELECT CAST(range AS INTEGER) - 8 AS d FROM range(17))"
 _add(
     "agc", lambda s, d: _out(terrain.gain_control(_grid(s, d), 2.0, N, N)),
-    f"""WITH {GRID_SQL}, {FILL_SQL}, o(d, w) AS (VALUES {_BELL}),
+    f"""WITH {GRID_SQL}, {FILL_SQL}, o AS ({_BELL}),
 a AS (SELECT c.row, c.col, sum(w * abs(s.v)) AS v FROM cells c CROSS JOIN o JOIN filled s ON s.row = c.row AND s.col = {_mirror_sql('(c.col + o.d)')} GROUP BY 1, 2),
 b AS (SELECT c.row, c.col, sum(w * s.v) AS v FROM cells c CROSS JOIN o JOIN a s ON s.col = c.col AND s.row = {_mirror_sql('(c.row + o.d)')} GROUP BY 1, 2)
 SELECT g.row, g.col, round(g.v / b.v, 7) + 0.0 AS v FROM g JOIN b ON b.row = g.row AND b.col = g.col""",
@@ -423,12 +453,15 @@ def _heights(s: SparkSession, d: str) -> DataFrame:
 
 
 def _sum_sql(name: str, source: str, values: str, select: str, on: str) -> str:
-    return f"{name} AS (SELECT c.row, c.col, {select} FROM cells c CROSS JOIN (VALUES {values}) o(dr, dc, w, w1) JOIN {source} s ON {on} GROUP BY 1, 2)"
+    return f"{name} AS (SELECT c.row, c.col, {select} FROM cells c CROSS JOIN ({values}) o JOIN {source} s ON {on} GROUP BY 1, 2)"
 
 
-_BELL1 = terrain.bell(1.0)
+#: Deviation 1, cut off at 4 cells.
+_BELL1 = "SELECT {0} AS dr, {1} AS dc, exp(-d * d / 2.0) / sum(exp(-d * d / 2.0)) OVER () AS w, 0.0 AS w1 FROM (SELECT CAST(range AS INTEGER) - 4 AS d FROM range(9))"
+#: Along over the squared distance, turned by the convolution; the absolute weights 1/2 and 1 sum to 4.
+_ODD = square_sql(1, "CASE WHEN dc = 0 THEN 0 ELSE -dc / (dr * dr + dc * dc) / 4.0 END AS w, CASE WHEN dr = 0 THEN 0 ELSE -dr / (dr * dr + dc * dc) / 4.0 END AS w1")
 _SYM_ON = f"s.row = {_EDGE_SQL['symmetric'].format(i='(c.row + o.dr)')} AND s.col = {_EDGE_SQL['symmetric'].format(i='(c.col + o.dc)')}"
-_WHOLE = f"CASE WHEN count(s.v) = {len(_BELL1)} THEN sum(w * s.v) END AS v"
+_WHOLE = "CASE WHEN count(s.v) = 9 THEN sum(w * s.v) END AS v"
 _DIFF = "({a} - {b}) / nullif((CASE WHEN lead({i}) OVER w{i} IS NULL THEN 0 ELSE 1 END) + (CASE WHEN lag({i}) OVER w{i} IS NULL THEN 0 ELSE 1 END), 0)"
 
 
@@ -441,9 +474,9 @@ TERRAIN_SQL = f"""{GRID_SQL},
 fn AS (SELECT h.row, h.col, arg_min(s.v, (h.row - s.row) * (h.row - s.row) + (h.col - s.col) * (h.col - s.col) + s.row / 1e4 + s.col / 1e7) AS v FROM full_ h, full_ s WHERE h.v IS NULL AND s.v IS NOT NULL GROUP BY 1, 2),
 ff AS (SELECT row, col, v FROM full_ WHERE v IS NOT NULL UNION ALL SELECT row, col, v FROM fn),
 h AS (SELECT row, col, CASE WHEN NOT (row % 16 = 5 AND col % 16 = 9) THEN v / 8000 END AS v FROM ff),
-{_sum_sql('s1', 'h', ', '.join(f'(0, {o}, {w!r}, 0.0)' for o, w in _BELL1), _WHOLE, _SYM_ON)},
-{_sum_sql('s2', 's1', ', '.join(f'({o}, 0, {w!r}, 0.0)' for o, w in _BELL1), _WHOLE, _SYM_ON)},
-{_sum_sql('d0', 's2', ', '.join(f'({a}, {b}, {x!r}, {y!r})' for a, b, x, y in terrain.gradient_offsets(3)), 'CASE WHEN count(s.v) = count(*) THEN sum(w * s.v) END AS dx, CASE WHEN count(s.v) = count(*) THEN sum(w1 * s.v) END AS dy', 's.row = c.row + o.dr AND s.col = c.col + o.dc')},
+{_sum_sql('s1', 'h', _BELL1.format('0', 'd'), _WHOLE, _SYM_ON)},
+{_sum_sql('s2', 's1', _BELL1.format('d', '0'), _WHOLE, _SYM_ON)},
+{_sum_sql('d0', 's2', _ODD, 'CASE WHEN count(s.v) = count(*) THEN sum(w * s.v) END AS dx, CASE WHEN count(s.v) = count(*) THEN sum(w1 * s.v) END AS dy', 's.row = c.row + o.dr AND s.col = c.col + o.dc')},
 d1 AS (SELECT row, col, dx, dy, {_diff_sql('dx', 'row')} AS dxx, {_diff_sql('dx', 'col')} AS dxy, {_diff_sql('dy', 'col')} AS dyy FROM d0 WINDOW wrow AS (PARTITION BY col ORDER BY row), wcol AS (PARTITION BY row ORDER BY col)),
 sc AS (SELECT row, col, degrees(atan(sqrt(dx*dx + dy*dy))) AS slope, (dx*dx*dxx + 2*dx*dy*dxy + dy*dy*dyy) / (CASE WHEN dx*dx + dy*dy > 0 THEN dx*dx + dy*dy ELSE power(2.0, -52) END * sqrt(power(dx*dx + dy*dy + 1, 3))) AS curvature FROM d1)"""
 _add(
@@ -473,10 +506,11 @@ _RGB = "CAST(l_quantity * 5 % 256 AS INTEGER) AS r, CAST(l_partkey * 3 % 256 AS
 _add(
     "rgb_to_scalar",
     lambda s, d: _out(surfaces.colour_to_scalar(fixtures.table(s, d, "lineitem").selectExpr("l_orderkey AS row", "l_linenumber AS col", *_RGB.split(", ")), _RAMP, 10.0, 90.0)),
-    f"""WITH px AS (SELECT l_orderkey AS row, l_linenumber AS col, {_RGB} FROM lineitem), lut(k, r, g, b) AS (VALUES {', '.join(f'({k}, {c[0]}, {c[1]}, {c[2]})' for k, c in enumerate(_RAMP))}),
+    f"""WITH px AS (SELECT l_orderkey AS row, l_linenumber AS col, {_RGB} FROM lineitem), t AS (SELECT CAST(range AS INTEGER) AS k, range * 3 / 127.0 AS t FROM range(128)),
+lut AS (SELECT k, CAST(floor(255 * least(1, greatest(0, t - 1)) + 1e-9) AS INTEGER) AS r, CAST(floor(255 * CASE WHEN t <= 1 THEN t WHEN t <= 2 THEN 1 ELSE 3 - t END + 1e-9) AS INTEGER) AS g, CAST(floor(255 * least(1, greatest(0, 2 - t)) + 1e-9) AS INTEGER) AS b FROM t),
 u AS (SELECT DISTINCT r, g, b FROM px WHERE NOT (r = g AND g = b AND r IN (0, 255))),
 n AS (SELECT u.r, u.g, u.b, min(((u.r - lut.r) * (u.r - lut.r) + (u.g - lut.g) * (u.g - lut.g) + (u.b - lut.b) * (u.b - lut.b)) * 1000 + k) % 1000 AS k FROM u, lut GROUP BY 1, 2, 3)
-SELECT row, col, round(10.0 + n.k * (80.0 / {len(_RAMP) - 1}), 7) + 0.0 AS v FROM px LEFT JOIN n ON n.r = px.r AND n.g = px.g AND n.b = px.b""",
+SELECT row, col, round(10.0 + n.k * (80.0 / 127), 7) + 0.0 AS v FROM px LEFT JOIN n ON n.r = px.r AND n.g = px.g AND n.b = px.b""",
 )
 _add(
     "boundary_edges", lambda s, d: surfaces.boundary_edges(_grid(s, d)),

@@ -65,7 +65,7 @@ def test_upward_continuation_against_numpy_with_padding(spark, sample):
     s = spectral.Spectrum(grid_of(spark, a), *a.shape, buffer=3)
     got = array_of(s.apply(spectral.upward(1.5)), a.shape)
     m = np.median(a)
-    (mr, mc), (lr, lc) = s.m, s.left
+    (mr, mc), (lr, lc) = s.m, (s.pads[0][0], s.pads[1][0])
     p = np.pad(a - m, ((lr, mr - a.shape[0] - lr), (lc, mc - a.shape[1] - lc)), mode="linear_ramp", end_values=0)
 
     def tukey(n, al=0.5):
