@@ -33,7 +33,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.llm.columns import free
 from gridloom.plans.scratch import materialise
@@ -341,11 +341,11 @@ def _long(texts: DataFrame, vocab: str, leaf: int, schema: str, shape) -> DataFr
             run.append(x)
             if x.soft:
                 if all(r.sound for r in run):
-                    ids.extend(i for r in run for i in r.ids.tolist())
+                    ids += [r.ids for r in run]
                 else:
-                    ids.extend(merge_tree(codec, [(r.text, r.soft, None) for r in run]))
+                    ids.append(merge_tree(codec, [(r.text, r.soft, None) for r in run]))
                 run = []
-        return pd.DataFrame([(key[0], *shape(codec, ids))], columns=["key", *columns])
+        return pd.DataFrame([(key[0], *shape(codec, np.concatenate(ids).astype("<u4")))], columns=["key", *columns])
 
     n = max(8, texts.sparkSession.sparkContext.defaultParallelism * 4)
     easy = rows.where("NOT hard").repartition(n, "key", "at")
@@ -413,35 +413,39 @@ def hard_parts(hard: DataFrame, vocab: str, n: int) -> DataFrame:
     return parts.select("key", "at", "soft", "sound", F.when(F.col("unsound"), F.col("text")).alias("text"), F.when(F.col("sound"), kept).alias("ids"))
 
 
+def is_long(text_col: str, leaf: int = LEAF_CHARS) -> Column:
+    return F.length(F.coalesce(F.col(text_col), F.lit(""))) > leaf
+
+
+def long_rows(docs: DataFrame, schema: str, shape, vocab: str, text_col: str, leaf: int) -> DataFrame:
+    """The rows of ``docs`` with a text longer than a leaf, and the columns of ``schema`` from ``shape(codec, ids)``."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    keep = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
+    key = free(docs, "_key")[0]
+    keyed = docs.where(is_long(text_col, leaf)).withColumn(key, F.sha2(F.col(text_col), 256))
+    texts = keyed.groupBy(F.col(key).alias("key")).agg(F.min(text_col).alias("text"))
+    done = materialise(_long(texts, vocab, leaf, schema, shape), "bpe-long").withColumnRenamed("key", key)
+    return keyed.join(done, key).select(*[keyed[c] for c in keep], *[done[c] for c in names])
+
+
 def apply(docs: DataFrame, schema: str, shape, many, vocab_path: str | None = None, text_col: str = "text", leaf: int = LEAF_CHARS) -> DataFrame:
     """``docs`` with the columns of ``schema``, which replace columns of the same names.
 
     ``many(codec, texts)`` gives the values of texts up to the length of a leaf, ``shape(codec, ids)``
-    those of a longer text from its joined ids.
+    those of a longer text from the array of its joined ids.
     """
     vocab = vocab_path or vocabulary_path()
     names = [c.split()[0] for c in schema.split(", ")]
-    long = F.length(F.coalesce(F.col(text_col), F.lit(""))) > leaf
     keep = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
-    key, out = free(docs, "_key", "_bpe")
-    short = _with_short(docs.where(~long), vocab, text_col, schema, many, out).select(*keep, *[f"{out}.{c}" for c in names])
-    keyed = docs.where(long).withColumn(key, F.sha2(F.col(text_col), 256))
-    texts = keyed.groupBy(F.col(key).alias("key")).agg(F.min(text_col).alias("text"))
-    done = materialise(_long(texts, vocab, leaf, schema, shape), "bpe-long").withColumnRenamed("key", key)
-    joined = keyed.join(done, key).select(*[keyed[c] for c in keep], *[done[c] for c in names])
-    return short.unionByName(joined)
+    out = free(docs, "_bpe")[0]
+    short = _with_short(docs.where(~is_long(text_col, leaf)), vocab, text_col, schema, many, out).select(*keep, *[f"{out}.{c}" for c in names])
+    return short.unionByName(long_rows(docs, schema, shape, vocab, text_col, leaf))
 
 
 def encode(docs: DataFrame, vocab_path: str | None = None, text_col: str = "text", leaf: int = LEAF_CHARS) -> DataFrame:
     """``docs`` with ``ids array<int>``."""
     many = lambda codec, texts: ((ids,) for ids in codec.encode_many(texts))
-    return apply(docs, "ids array<int>", lambda codec, ids: (ids,), many, vocab_path, text_col, leaf)
-
-
-def packed(docs: DataFrame, dtype: str, vocab_path: str | None = None, text_col: str = "text", leaf: int = LEAF_CHARS) -> DataFrame:
-    """``docs`` with ``body binary``, the ids one after another as numbers of ``dtype``, which must hold every id."""
-    raw = lambda ids: (np.asarray(ids).astype(dtype).tobytes(),)
-    return apply(docs, "body binary", lambda codec, ids: raw(ids), lambda codec, texts: map(raw, codec.pack_many(texts)), vocab_path, text_col, leaf)
+    return apply(docs, "ids array<int>", lambda codec, ids: (ids.tolist(),), many, vocab_path, text_col, leaf)
 
 
 def decode(coded: DataFrame, vocab_path: str | None = None, ids_col: str = "ids") -> DataFrame:
@@ -460,5 +464,5 @@ def decode(coded: DataFrame, vocab_path: str | None = None, ids_col: str = "ids"
 def digests(docs: DataFrame, vocab_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF_CHARS) -> DataFrame:
     """``(<id_col>, n_tokens, ids_sha256, decoded_sha256)`` of every whole text."""
     slim = docs.select(id_col, text_col)
-    out = apply(slim, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda codec, ids: codec.digest(ids), lambda codec, texts: codec.digest_many(texts), vocab_path, text_col, leaf)
+    out = apply(slim, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda codec, ids: codec.digest(ids.tolist()), lambda codec, texts: codec.digest_many(texts), vocab_path, text_col, leaf)
     return out.drop(text_col)

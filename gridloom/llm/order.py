@@ -9,10 +9,9 @@ in shard ``s // SHARD_SLOTS`` at byte ``(s % SHARD_SLOTS) * STRIDE * id_bytes``,
 sequential and can resume anywhere.
 
 The ids are those of a BPE vocabulary of at most 65,536 tokens, two bytes each (:mod:`.bpe`);
-any other encoder and width can be given.  The encoded texts are written once and put in order
-by id, hash of the text and, among rows that agree in both, an arbitrary number that spreads
-them, so that the sequence numbers do not depend on how the input is split into files or dealt
-over tasks.  Numbers are given out in two levels: a task packs consecutive texts into packs of
+any other encoder and width can be given.  The texts are put in order by id, hash of the text and,
+among rows that agree in both, an arbitrary number that spreads them, so that the sequence
+numbers do not depend on how the input is split into files or dealt over tasks.  Numbers are given out in two levels: a task packs consecutive texts into packs of
 bounded size, the pack table is written once to the shared folder, and running sums over
 partitions and over the packs of each give the first number of every pack.  From then on all
 numbering reads that table, so lost executors change nothing.
@@ -46,7 +45,7 @@ ROUNDS = 6
 BROADCAST_PACKS = 200_000
 KEY = 0x5EED
 #: Shards that one task writes.
-SHARDS_PER_TASK = 8
+SHARDS_PER_TASK = 4
 _SHARD = "shard long, first_slot long, n_slots int, payload binary, sha256 string, doc_ids array<long>, seq_nos array<int>, lengths array<int>"
 
 
@@ -88,31 +87,43 @@ class Permutation:
         return self._walk(slots, True)
 
 
-#: Encoded bytes that one task packs.
-PART_BYTES = 64 * 1024 * 1024
+#: Characters of text that one task encodes and packs.
+PART_CHARS = 64 * 1024 * 1024
 
 
-def bpe_bodies(slim: DataFrame, dtype: str) -> DataFrame:
-    return bpe.packed(slim, dtype)
+class BpeBodies:
+    """Ids of a BPE vocabulary, each a number of ``dtype``, which must hold every id."""
 
+    def __init__(self, dtype: str = "uint16", vocab_path: str | None = None, leaf: int = bpe.LEAF_CHARS):
+        self.dtype, self.vocab, self.leaf = dtype, vocab_path or bpe.vocabulary_path(), leaf
 
-def byte_bodies(slim: DataFrame, dtype: str) -> DataFrame:
-    """Bytes as ids, one byte each."""
-    if np.dtype(dtype).itemsize != 1:
-        raise ValueError("bytes are written as uint8")
-    return slim.withColumn("body", F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    def prepared(self, slim: DataFrame) -> DataFrame:
+        """``slim`` with ``body``, filled for long texts, whose ``text`` is dropped."""
+        short = slim.where(~bpe.is_long("text", self.leaf)).withColumn("body", F.lit(None).cast("binary"))
+        dtype = self.dtype
+        long = bpe.long_rows(slim, "body binary", lambda codec, ids: (ids.astype(dtype).tobytes(),), self.vocab, "text", self.leaf)
+        return short.unionByName(long.withColumn("text", F.lit(None).cast("string")))
 
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        return [ids.astype(self.dtype).tobytes() for ids in bpe.shared_codec(self.vocab).pack_many(texts)]
 
-def encoded(docs: DataFrame, id_col: str, text_col: str, encode, dtype: str) -> DataFrame:
-    """Written table ``(last, id, th, uid, n_ids, body)`` of the texts that have ids; ``uid`` differs from row to row."""
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
-    n = (F.length("body") / np.dtype(dtype).itemsize).cast("long")
-    rows = encode(slim, dtype).select(F.col("id").isNull().alias("last"), "id", "th", F.monotonically_increasing_id().alias("uid"), n.alias("n_ids"), "body")
-    return materialise(rows.where("n_ids > 0"), "order-encoded", "zstd")
 
+class ByteBodies:
+    """UTF-8 bytes as ids."""
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", encode=bpe_bodies, dtype: str = "uint16", stride: int = STRIDE, pack_bytes: int = PACK_BYTES) -> DataFrame:
+    dtype = "uint8"
+
+    def prepared(self, slim: DataFrame) -> DataFrame:
+        return slim.withColumn("body", F.lit(None).cast("binary"))
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", encoder=None, stride: int = STRIDE, pack_bytes: int = PACK_BYTES) -> DataFrame:
     """Written table ``(part, at, n_seqs, doc_ids, lengths, body)`` of packs of token ids, in order."""
+    encoder = encoder or BpeBodies()
+    width = np.dtype(encoder.dtype).itemsize
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, at, ids, lengths, body, size = TaskContext.get().partitionId(), 0, [], [], [], 0
@@ -124,9 +135,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", encode
             return pd.DataFrame(row)
 
         for x in batches:
-            for i, n, raw in zip(x["id"], x["n_ids"], x["body"]):
+            for i, known, raw in zip(x["id"], x["body"], encoder.many(x["text"].tolist())):
+                raw = raw if known is None else known
+                if not raw:
+                    continue
                 ids.append(None if pd.isna(i) else int(i))
-                lengths.append(int(n))
+                lengths.append(len(raw) // width)
                 body.append(raw)
                 size += len(raw)
                 if size >= pack_bytes:
@@ -135,11 +149,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", encode
         if ids:
             yield close()
 
-    rows = encoded(docs, id_col, text_col, encode, dtype)
-    total = rows.agg(F.sum("n_ids")).first()[0] or 0
-    parts = max(rows.sparkSession.sparkContext.defaultParallelism * 2, total * np.dtype(dtype).itemsize // PART_BYTES)
+    text = F.col(text_col)
+    # Rows that agree in id and text are dealt by a number of their place in the input, so that no range grows with their count.
+    slim = docs.select(F.col(id_col).isNull().alias("last"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.monotonically_increasing_id().alias("uid"), text.alias("text"))
+    total = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism * 4, total // PART_CHARS)
     order = ["last", "id", "th", "uid"]
-    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "n_ids", "body")
+    ordered = encoder.prepared(slim).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "text", "body")
     return materialise(ordered.mapInPandas(run, "part int, at int, n_seqs long, doc_ids array<long>, lengths array<int>, body binary"), "order-packs")
 
 
@@ -230,8 +246,10 @@ def shards(moved: DataFrame, total: int, stride: int = STRIDE, shard_slots: int
     return materialise(moved.repartitionById(tasks, F.col("task")).mapInPandas(run, _SHARD), "order-shards", "zstd")
 
 
-def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: int = KEY, stride: int = STRIDE, shard_slots: int = SHARD_SLOTS, encode=bpe_bodies, dtype: str = "uint16") -> DataFrame:
-    packs, total = numbered(pack(docs, id_col, text_col, encode, dtype, stride))
+def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: int = KEY, stride: int = STRIDE, shard_slots: int = SHARD_SLOTS, encoder=None) -> DataFrame:
+    encoder = encoder or BpeBodies()
+    dtype = encoder.dtype
+    packs, total = numbered(pack(docs, id_col, text_col, encoder, stride))
     return shards(assigned(packs, total, key, stride, shard_slots, dtype), total, stride, shard_slots, dtype)
 
 

@@ -15,7 +15,8 @@ every row and every character.
 
 Nulls: a null text counts as empty; an empty text has difference 0 and gets the curve's value
 there.  Without labels of both classes every score is 0.5, or the one class that is known.
-Repeated rows score alike; an empty table gives an empty result; other columns are ignored.
+Repeated rows and equal texts score alike; a score of exactly 0.5 counts as good.  An empty table
+gives an empty result; other columns, whatever their names, are ignored or passed through.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gridloom.llm.columns import free
 from gridloom.llm.sampling import held_out, labelled, per_class, with_texts
 from gridloom.plans.scratch import materialise
 
@@ -145,9 +147,10 @@ def _features(good: bytes, bad: bytes, text_col: str) -> Column:
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the probability that a text is good."""
-    z = F.col("_f.d") * F.lit(model.slope) + F.col("_f.density") * F.lit(model.density) + F.lit(model.offset)
+    f = free(docs, "_f")[0]
+    z = F.col(f"{f}.d") * F.lit(model.slope) + F.col(f"{f}.density") * F.lit(model.density) + F.lit(model.offset)
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
-    return docs.withColumn("_f", _features(model.good, model.bad, text_col)).withColumn(out, p).drop("_f")
+    return docs.withColumn(f, _features(model.good, model.bad, text_col)).withColumn(out, p).drop(f)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,5 +162,5 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that are predicted bad."""
-    model = train(docs, labels, id_col, text_col)
-    return with_score(docs, model, text_col, "_q").where("_q >= 0.5").drop("_q")
+    q = free(docs, "_q")[0]
+    return with_score(docs, train(docs, labels, id_col, text_col), text_col, q).where(F.col(q) >= 0.5).drop(q)

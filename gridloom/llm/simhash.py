@@ -16,7 +16,9 @@ expanded into all its pairs.
 Nulls: a null text counts as empty, an empty text has fingerprint zero and is linked like
 any other.  Rows with a null id get a fingerprint and a component, but never name one
 (a component of null ids only is null).  Repeated rows and equal texts share a component.
-An empty table gives an empty result; other columns of the input are not looked at.
+Texts of any length are
+read whole; ties between rows go to the smaller id.  An empty table gives an empty result; other
+columns of the input, whatever their names, are not looked at, and :func:`keep_one` passes them on.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gridloom.llm.columns import free
 from gridloom.operators.graph import connected_components
 from gridloom.plans.scratch import materialise
 
@@ -35,6 +38,8 @@ SHINGLE_WORDS = 3
 MAX_BITS = 3
 #: A cell with more fingerprints than this is contracted before the join.
 DENSE_CELL = 64
+#: A fingerprint of more rows than this is looked up by broadcast.
+HOT_ROWS = 10_000
 _BLOCK = 1 << 16
 
 
@@ -122,12 +127,15 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, max_bits:
     k, th = _row_key(docs, id_col, text_col)
     keyed = docs.select(F.col(id_col).alias("id"), k.alias("k"), th.alias("th"), F.col(text_col).alias("text"))
     marked = materialise(keyed.select("id", "k", "th", simhash_of("text", words).alias("fp")), "fingerprints")
-    fps = marked.groupBy("fp").agg(F.min("id").alias("least"))
+    fps = materialise(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("rows")), "fingerprint-counts")
     groups = connected_components(link_fingerprints(fps, max_bits)).withColumnRenamed("node", "fp")
     named = fps.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    lookup = named.join(least, "component").select("fp", "component", "component_id")
-    return marked.join(lookup, "fp")
+    lookup = materialise(named.join(least, "component").select("fp", "component", "component_id", "rows"), "fingerprint-groups")
+    # Fingerprints of many rows meet them by broadcast: there are at most as many as HOT_ROWS goes into all rows.
+    hot = F.broadcast(lookup.where(F.col("rows") > HOT_ROWS).drop("rows"))
+    rest = lookup.where(F.col("rows") <= HOT_ROWS).drop("rows")
+    return marked.join(hot, "fp").unionByName(marked.join(hot, "fp", "left_anti").join(rest, "fp"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
@@ -137,11 +145,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def take_rows(docs: DataFrame, best: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` that ``best(_k, _th)`` names, each once."""
+    """The rows of ``docs`` that ``best(k, th)`` names, each once."""
+    names = free(docs, "_k", "_th")
     k, th = _row_key(docs, id_col, text_col)
-    # The join leaves rows dealt by (_k, _th), so dropping repeats needs no further shuffle.
-    kept = docs.withColumns({"_k": k, "_th": th}).join(best, ["_k", "_th"])
-    return kept.dropDuplicates(["_k", "_th"]).select(*docs.columns)
+    # The join leaves rows dealt by key and hash, so dropping repeats needs no further shuffle.
+    kept = docs.withColumns(dict(zip(names, (k, th)))).join(best.toDF(*names), names)
+    return kept.dropDuplicates(names).select(*docs.columns)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
@@ -152,5 +161,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """
     rows = _grouped(docs, id_col, text_col, words, max_bits)
     first = F.struct(F.col("id").isNull().alias("none"), "id", "th", "k")
-    best = rows.groupBy("component").agg(F.min(first).alias("b")).select(F.col("b.k").alias("_k"), F.col("b.th").alias("_th"))
+    best = rows.groupBy("component").agg(F.min(first).alias("b")).select(F.col("b.k").alias("k"), F.col("b.th").alias("th"))
     return take_rows(docs, best, id_col, text_col)

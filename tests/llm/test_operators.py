@@ -118,10 +118,11 @@ def test_order_is_a_dense_permutation(spark):
     codec = bpe.Codec(bpe.vocabulary_path())
     texts = [None, "", "x1 " * 5000, "short", "short", "é" * 3000, "a word or two " * 4000]
     df = spark.createDataFrame([(i if i != 3 else None, t, 1, 2) for i, t in enumerate(texts)] + [(6, texts[6], 1, 2)], "doc_id long, text string, id int, body int")
-    for encode, dtype, ids_of in ((order.bpe_bodies, "uint16", lambda t: np.array(codec.encode(t), "uint16").tobytes()), (order.byte_bodies, "uint8", str.encode)):
+    for encoder, ids_of in ((order.BpeBodies(), lambda t: np.array(codec.encode(t), "uint16").tobytes()), (order.ByteBodies(), str.encode)):
+        dtype = encoder.dtype
         runs = []
         for parts in (1, 7):
-            written = order.write(df.repartition(parts), shard_slots=4, encode=encode, dtype=dtype)
+            written = order.write(df.repartition(parts), shard_slots=4, encoder=encoder)
             got = order.read(written, shard_slots=4, dtype=dtype).collect()
             assert sorted(r.slot for r in got) == list(range(len(got)))
             assert min(r.slot for r in order.read(written, from_slot=6, shard_slots=4, dtype=dtype).collect()) == 6
