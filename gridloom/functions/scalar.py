@@ -122,20 +122,15 @@ def geographic_of_utm(east: Column, north: Column, zone: Column, southern: Colum
     a, f = 6378137.0, 1 / 298.257223563
     n = f / (2 - f)
     radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    # Coefficients of the inverse series.
+    # Coefficients of the inverse series, and below of the one from conformal to geodetic latitude.
     beta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280]
     xi, eta = (north - F.when(southern, 1e7).otherwise(0.0)) / (0.9996 * radius), (east - 500000.0) / (0.9996 * radius)
     x = xi - sum(b * F.sin(2 * (k + 1) * xi) * F.cosh(2 * (k + 1) * eta) for k, b in enumerate(beta))
     e = eta - sum(b * F.cos(2 * (k + 1) * xi) * F.sinh(2 * (k + 1) * eta) for k, b in enumerate(beta))
-    conformal = F.tan(F.asin(F.sin(x) / F.cosh(e)))
-    ecc = math.sqrt(f * (2 - f))
-    tau = conformal
-    for _ in range(4):
-        sigma = F.sinh(ecc * F.atanh(ecc * tau / F.sqrt(1 + tau * tau)))
-        at = tau * F.sqrt(1 + sigma * sigma) - sigma * F.sqrt(1 + tau * tau)
-        slope = F.sqrt(1 + at * at) * F.sqrt(1 + tau * tau) * (1 - ecc**2) / (1 + (1 - ecc**2) * tau * tau)
-        tau = tau + (conformal - at) / slope
-    return {"lat": F.degrees(F.atan(tau)), "lon": zone * 6 - 183 + F.degrees(F.atan2(F.sinh(e), F.cos(x)))}
+    chi = F.asin(F.sin(x) / F.cosh(e))
+    delta = [2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630]
+    lat = chi + sum(d * F.sin(2 * (k + 1) * chi) for k, d in enumerate(delta))
+    return {"lat": F.degrees(lat), "lon": zone * 6 - 183 + F.degrees(F.atan2(F.sinh(e), F.cos(x)))}
 
 
 def utm_of_geographic(lat: Column, lon: Column, zone: Column) -> dict[str, Column]:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+
+from gridloom.plans.scratch import checkpointed
 
 
 def plane(grid: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -25,27 +28,51 @@ def detrend_plane(grid: DataFrame, by: list[str] | None = None) -> DataFrame:
     return both.select(*(by or []), "row", "col", (F.col("v") - F.col("a") * F.col("col") - F.col("b") * F.col("row") - F.col("c")).alias("v"))
 
 
-def polynomial(points: DataFrame, terms: list[Column], value: str) -> list[float]:
-    """Least-squares coefficients of the given terms, from the sums of one aggregation."""
-    named = points.where(F.col(value).isNotNull()).select(*[t.cast("double").alias(f"t{i}") for i, t in enumerate(terms)], F.col(value).alias("y"))
-    n = len(terms)
-    sums = [F.sum(F.col(f"t{i}") * F.col(f"t{j}")).alias(f"s{i}_{j}") for i in range(n) for j in range(i, n)]
-    r = named.agg(*sums, *[F.sum(F.col(f"t{i}") * F.col("y")).alias(f"r{i}") for i in range(n)]).first()
-    a = np.array([[r[f"s{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)])
-    return np.linalg.lstsq(a, np.array([r[f"r{i}"] or 0.0 for i in range(n)]), rcond=None)[0].tolist()
+_QUADRIC = ("cc", "rr", "cr", "c", "r", "one")
+
+
+def quadric(grid: DataFrame, nrows: int, ncols: int, by: list[str] | None = None) -> DataFrame:
+    """``(by.., w)``: weights of the least-squares quadric over centred and scaled places, from one aggregation.
+
+    The sums of each group are one row, and only the 6 x 6 solves run in numpy, a batch at a time.
+    """
+    by = by or []
+    terms = [F.expr(t) for t in ("c * c", "r * r", "c * r", "c", "r", "1.0D")]
+    g = grid.where("v IS NOT NULL").select(*by, ((F.col("col") - ncols / 2) / ncols).alias("c"), ((F.col("row") - nrows / 2) / nrows).alias("r"), "v")
+    pairs = [(i, j) for i in range(6) for j in range(i, 6)]
+    sums = g.groupBy(*by).agg(F.array(*[F.sum(terms[i] * terms[j]) for i, j in pairs]).alias("s"), F.array(*[F.sum(t * F.col("v")) for t in terms]).alias("t"))
+
+    @F.pandas_udf("array<double>")
+    def solve(s: pd.Series, t: pd.Series) -> pd.Series:
+        out = []
+        for left, right in zip(s, t):
+            if any(x is None or np.isnan(x) for x in left):
+                out.append([0.0] * 6)
+                continue
+            a = np.zeros((6, 6))
+            for (i, j), x in zip(pairs, left):
+                a[i, j] = a[j, i] = x
+            out.append(np.linalg.lstsq(a, np.array(right, float), rcond=None)[0].tolist())
+        return pd.Series(out)
+
+    return sums.select(*by, solve("s", "t").alias("w"))
 
 
-def detrend_quadric(grid: DataFrame, nrows: int, ncols: int) -> DataFrame:
-    """Minus the least-squares quadric; coordinates are centred and scaled for the solve."""
+def detrend_quadric(grid: DataFrame, nrows: int, ncols: int, by: list[str] | None = None) -> DataFrame:
+    """Minus the least-squares quadric; of each group if ``by`` is given."""
+    by = by or []
+    fit = quadric(grid, nrows, ncols, by)
+    both = grid.join(fit, by) if by else grid.crossJoin(F.broadcast(fit))  # one row when not grouped
     c, r = (F.col("col") - ncols / 2) / ncols, (F.col("row") - nrows / 2) / nrows
-    terms = [c * c, r * r, c * r, c, r, F.lit(1.0)]
-    w = polynomial(grid, terms, "v")
-    return grid.select("row", "col", (F.col("v") - sum((t * x for t, x in zip(terms[1:], w[1:])), terms[0] * w[0])).alias("v"))
+    trend = sum((t * F.col("w")[k] for k, t in enumerate([c * c, r * r, c * r, c, r, F.lit(1.0)])), F.lit(0.0))
+    return both.select(*by, "row", "col", (F.col("v") - trend).alias("v"))
 
 
-def normalise_grids(grids: DataFrame) -> DataFrame:
-    """Every grid detrended by a plane and scaled to the standard deviation of the first usable one."""
-    flat = detrend_plane(grids, ["grid_id"])
+def normalise_grids(grids: DataFrame, order: int = 1, nrows: int = 0, ncols: int = 0) -> DataFrame:
+    """Every grid detrended by a plane (order 1) or a quadric (2) and scaled to the standard deviation of the first usable one."""
+    if order not in (1, 2):
+        raise ValueError("order 1 takes off a plane, order 2 a quadric")
+    flat = detrend_plane(grids, ["grid_id"]) if order == 1 else detrend_quadric(grids, nrows, ncols, ["grid_id"])
     s = flat.groupBy("grid_id").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).where("s > 0")
     ref = s.agg(F.min_by("s", "grid_id").alias("ref"))
     out = flat.join(s, "grid_id").crossJoin(F.broadcast(ref))
@@ -67,10 +94,37 @@ def window_stats(estimates: DataFrame, south: float, west: float, height: float,
     )
 
 
-def window_summary(stats: DataFrame) -> DataFrame:
-    return stats.groupBy("si").agg(
+def window_summary(stats: DataFrame, total_windows: int | None = None) -> DataFrame:
+    """Second level per index: windows with data, of how many in all, estimates, mean and deviation of the windows' depths."""
+    out = stats.groupBy("si").agg(
         F.count("*").alias("windows_with_data"), F.sum("n_estimates").alias("total_estimates"), F.avg("mean_depth_km").alias("mean_depth_km"), F.stddev_pop("mean_depth_km").alias("std_depth_km"),
     )
+    return out if total_windows is None else out.withColumn("total_windows", F.lit(total_windows))
+
+
+def within(estimates: DataFrame, south: float, north: float, west: float, east: float) -> DataFrame:
+    """Estimates strictly inside a box."""
+    return estimates.where((F.col("y") > south) & (F.col("y") < north) & (F.col("x") > west) & (F.col("x") < east))
+
+
+def mean_places(estimates: DataFrame) -> DataFrame:
+    """``(si, mean_x_km, mean_y_km, mean_z_km)``."""
+    return estimates.groupBy("si").agg(*[(F.avg(c) / 1000).alias(f"mean_{c}_km") for c in "xyz"])
+
+
+def extreme_to_null(grid: DataFrame, least: float = -1e38) -> DataFrame:
+    """NULL for values below ``least``, by which some formats mean no data."""
+    return grid.withColumn("v", F.when(F.col("v") >= least, F.col("v")))
+
+
+def grid_frame(points: DataFrame, cell: float) -> DataFrame:
+    """``(x0, y0, ncols, nrows, centre_x, centre_y)`` of the grid that covers ``points(x, y)`` with cells of that size."""
+    box = points.agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("low_", F.min), ("high_", F.max))])
+    side = lambda c: F.floor((F.col(f"high_{c}") - F.col(f"low_{c}")) / cell).cast("long")
+    return box.select(
+        F.col("low_x").alias("x0"), F.col("low_y").alias("y0"), side("x").alias("ncols"), side("y").alias("nrows"),
+        ((F.col("low_x") + F.col("high_x")) / 2).alias("centre_x"), ((F.col("low_y") + F.col("high_y")) / 2).alias("centre_y"),
+    )
 
 
 def band_correlation(rows: DataFrame, bands: list[str]) -> list[list[float]]:
@@ -93,3 +147,40 @@ def principal_components(rows: DataFrame, bands: list[str], n: int | None = None
     scores = [sum((x * float(w) for x, w in zip(z[1:], l[1:])), z[0] * float(l[0])).alias(f"pc{k + 1}") for k, l in enumerate(load)]
     keep = [c for c in rows.columns if c not in bands]
     return ok.select(*keep, *scores), (values[order] / values.sum()).tolist(), load.tolist()
+
+
+def independent_components(rows: DataFrame, bands: list[str], n: int | None = None, rounds: int = 1000, tolerance: float = 1e-4, seed: int = 42) -> tuple[DataFrame, list[list[float]]]:
+    """Scores ``ic1..`` and the unmixing matrix over standardised bands: fixed-point iteration with the tanh contrast, all components at once.
+
+    Every round is one aggregation over the whitened rows (``n`` x ``n`` sums); only those reach
+    the driver, which makes the directions orthogonal.  Components are in order of their largest
+    weight's band, each with that weight positive.
+    """
+    ok = checkpointed(rows.dropna(subset=bands))
+    m = ok.agg(*[F.avg(b).alias(f"m_{b}") for b in bands], *[F.stddev_pop(b).alias(f"s_{b}") for b in bands]).first()
+    values, vectors = np.linalg.eigh(np.array(band_correlation(ok, bands)))
+    top = np.argsort(values)[::-1][: n or len(bands)]
+    whiten = vectors[:, top].T / np.sqrt(np.maximum(values[top], 1e-12))[:, None]
+    z = [(F.col(b) - m[f"m_{b}"]) / (m[f"s_{b}"] or 1.0) for b in bands]
+    mix = lambda weights, xs: sum((x * float(w) for w, x in zip(weights[1:], xs[1:])), xs[0] * float(weights[0]))
+    white = checkpointed(ok.select(*[c for c in rows.columns if c not in bands], *[mix(w, z).alias(f"z{k}") for k, w in enumerate(whiten)]))
+    size, zs = len(top), [F.col(f"z{k}") for k in range(len(top))]
+
+    def orthogonal(w: np.ndarray) -> np.ndarray:
+        u, _, v = np.linalg.svd(w)
+        return u @ v
+
+    w = orthogonal(np.random.default_rng(seed).normal(size=(size, size)))
+    for _ in range(rounds):
+        g = [F.tanh(mix(row, zs)) for row in w]
+        means = white.agg(*[F.avg(g[i] * zs[j]).alias(f"a{i}_{j}") for i in range(size) for j in range(size)], *[F.avg(1 - g[i] * g[i]).alias(f"d{i}") for i in range(size)]).first()
+        new = orthogonal(np.array([[means[f"a{i}_{j}"] - means[f"d{i}"] * w[i, j] for j in range(size)] for i in range(size)]))
+        moved, w = np.abs(np.abs((new * w).sum(axis=1)) - 1).max(), new
+        if moved < tolerance:
+            break
+    full = w @ whiten
+    order = np.argsort(np.abs(full).argmax(axis=1), kind="stable")
+    w, full = w[order], full[order]
+    sign = np.sign(full[np.arange(size), np.abs(full).argmax(axis=1)])
+    scores = [mix(row * s, zs).alias(f"ic{k + 1}") for k, (row, s) in enumerate(zip(w, sign))]
+    return white.select(*[c for c in rows.columns if c not in bands], *scores), (full * sign[:, None]).tolist()

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gridloom.plans.scratch import checkpointed
+
 
 def inverse_distance(points: DataFrame, nrows: int, ncols: int, radius: float, power: float = 2.0, x0: float = 0.0, y0: float = 0.0, cell: float = 1.0) -> DataFrame:
     """``(row, col, v, n)`` of the cells with a point of ``points(x, y, z)`` within ``radius`` of their centre.
@@ -50,6 +56,34 @@ def colour_to_scalar(pixels: DataFrame, table: list[tuple[int, int, int]], least
     return pixels.join(found, ["r", "g", "b"], "left").select("row", "col", "v")
 
 
+# Colour names of style sheets that a table of colours may use.
+COLOURS = {
+    "black": (0, 0, 0), "white": (255, 255, 255), "red": (255, 0, 0), "lime": (0, 255, 0), "blue": (0, 0, 255), "yellow": (255, 255, 0), "cyan": (0, 255, 255), "aqua": (0, 255, 255),
+    "magenta": (255, 0, 255), "fuchsia": (255, 0, 255), "silver": (192, 192, 192), "gray": (128, 128, 128), "grey": (128, 128, 128), "maroon": (128, 0, 0), "olive": (128, 128, 0),
+    "green": (0, 128, 0), "purple": (128, 0, 128), "teal": (0, 128, 128), "navy": (0, 0, 128), "orange": (255, 165, 0), "brown": (165, 42, 42), "pink": (255, 192, 203),
+}
+
+
+def parse_colours(text: str, entries: int = 1024) -> list[tuple[int, int, int]]:
+    """Colour table of ``(r,g,b),...``, plain numbers in threes or colour names, **last colour first**, as an even ramp.
+
+    Numbers are shares of one if none is above 1, else of 255.
+    """
+    names = re.findall(r"[A-Za-z]+", text)
+    if names:
+        unknown = [n for n in names if n.lower() not in COLOURS]
+        if unknown:
+            raise ValueError(f"unknown colour {unknown[0]}")
+        colours = [COLOURS[n.lower()] for n in names]
+    else:
+        numbers = [float(x) for x in re.findall(r"-?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?", text)]
+        if not numbers or len(numbers) % 3:
+            raise ValueError("colours are threes of numbers")
+        scale = 1.0 if max(numbers) > 1 else 255.0
+        colours = [tuple(int(x * scale) for x in numbers[k : k + 3]) for k in range(0, len(numbers), 3)]
+    return colour_ramp(colours[::-1], entries)
+
+
 def boundary_edges(grid: DataFrame) -> DataFrame:
     """``(row, col, axis)``: cell sides between a valid cell and a NULL cell or the outside.
 
@@ -80,3 +114,73 @@ def point_trend(points: DataFrame, degree: int) -> tuple[DataFrame, list[tuple[i
     weights = np.linalg.lstsq(np.array(left), np.array([sums[f"z{i}_{j}"] for i, j in terms]), rcond=None)[0].tolist()
     trend = sum((power(i, j) * w for (i, j), w in zip(terms[1:], weights[1:])), power(0, 0) * weights[0])
     return points.withColumn("trend", trend).withColumn("residual", F.col("z") - F.col("trend")), [(i, j, w) for (i, j), w in zip(terms, weights)]
+
+
+def b_spline(points: DataFrame, nrows: int, ncols: int, levels: int = 4, coarsest: int = 2, x0: float = 0.0, y0: float = 0.0, cell: float = 1.0) -> DataFrame:
+    """``(row, col, v)`` of all cells: multilevel cubic B-spline approximation of ``points(x, y, z)``.
+
+    Level k has ``coarsest * 2^k`` intervals on the longer side.  A point adds its residual to the
+    4 x 4 control values around it, weighted by their squared basis; the surface so far is taken
+    off before the next level.  Each level is one scatter and one join keyed by control place.
+    """
+    side = max(nrows, ncols) * cell
+    rest = points.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL").select(F.monotonically_increasing_id().alias("id"), ((F.col("x") - x0) / side).alias("s"), ((F.col("y") - y0) / side).alias("t"), F.col("z").cast("double").alias("z"))
+    rest = checkpointed(rest)
+    at = rest.sparkSession.range(nrows * ncols).select(F.col("id"), F.floor(F.col("id") / ncols).cast("int").alias("row"), (F.col("id") % ncols).cast("int").alias("col"))
+    at = at.select("id", "row", "col", ((F.col("col") + 0.5) * cell / side).alias("s"), ((F.col("row") + 0.5) * cell / side).alias("t"), F.lit(0.0).alias("v"))
+
+    def spread(places: DataFrame, n: int) -> DataFrame:
+        """The 16 control places of every row and their basis."""
+        base = lambda c: F.least(F.floor(F.col(c) * n), F.lit(n - 1))
+        p = places.withColumn("i", base("s")).withColumn("j", base("t"))
+        u, w = F.col("s") * n - F.col("i"), F.col("t") * n - F.col("j")
+        cubic = lambda x: [(1 - x) ** 3 / 6, (3 * x**3 - 6 * x**2 + 4) / 6, (-3 * x**3 + 3 * x**2 + 3 * x + 1) / 6, x**3 / 6]
+        ways = [F.struct((F.col("i") + a).alias("a"), (F.col("j") + b).alias("b"), (x * y).alias("w")) for a, x in enumerate(cubic(u)) for b, y in enumerate(cubic(w))]
+        return p.select("id", *[c for c in ("z",) if c in places.columns], F.explode(F.array(*ways)).alias("k")).select("id", *[c for c in ("z",) if c in places.columns], "k.*")
+
+    for level in range(levels):
+        n = coarsest << level
+        near = spread(rest.where("s BETWEEN 0 AND 1 AND t BETWEEN 0 AND 1"), n)
+        total = near.groupBy("id").agg(F.sum(F.col("w") ** 2).alias("total"))
+        phi = near.join(total, "id").groupBy("a", "b").agg((F.sum(F.col("w") ** 3 * F.col("z") / F.col("total")) / F.sum(F.col("w") ** 2)).alias("phi"))
+        phi = checkpointed(phi)
+        height = lambda places: spread(places, n).join(phi, ["a", "b"]).groupBy("id").agg(F.sum(F.col("w") * F.col("phi")).alias("h"))  # noqa: B023,E731
+        rest = checkpointed(rest.join(height(rest), "id", "left").select("id", "s", "t", (F.col("z") - F.coalesce("h", F.lit(0.0))).alias("z")))
+        at = checkpointed(at.join(height(at.drop("v")), "id", "left").select("id", "row", "col", "s", "t", (F.col("v") + F.coalesce("h", F.lit(0.0))).alias("v")))
+    return at.select("row", "col", "v")
+
+
+def _hull(xy: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Corners of the convex hull, clockwise in a plane whose y grows upwards."""
+    out: list[tuple[float, float]] = []
+    for half in (sorted(set(xy)), sorted(set(xy), reverse=True)):
+        side: list[tuple[float, float]] = []
+        for p in half:
+            while len(side) > 1 and (side[-1][0] - side[-2][0]) * (p[1] - side[-2][1]) - (side[-1][1] - side[-2][1]) * (p[0] - side[-2][0]) >= 0:
+                side.pop()
+            side.append(p)
+        out += side[:-1]
+    return out
+
+
+def hull_mask(points: DataFrame, nrows: int, ncols: int, x0: float = 0.0, y0: float = 0.0, cell: float = 1.0) -> DataFrame:
+    """``(row, col, inside)``: whether a cell's centre lies in the convex hull of ``points(x, y)``.
+
+    Every partition keeps the corners of its own hull, and only those meet for the hull of all;
+    its corners then go into a half-plane test that runs on the cells.
+    """
+
+    def corners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ring: list[tuple[float, float]] = []
+        for b in batches:
+            ring = _hull(ring + list(zip(b["x"].tolist(), b["y"].tolist())))
+        yield pd.DataFrame(ring, columns=["x", "y"])
+
+    p = points.where("x IS NOT NULL AND y IS NOT NULL").select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    parts = p.mapInPandas(corners, "x double, y double").coalesce(1).mapInPandas(corners, "x double, y double")
+    ring = _hull([(r["x"], r["y"]) for r in parts.collect()])
+    cells = points.sparkSession.range(nrows * ncols).select(F.floor(F.col("id") / ncols).cast("int").alias("row"), (F.col("id") % ncols).cast("int").alias("col"))
+    x, y = F.lit(x0) + (F.col("col") + 0.5) * cell, F.lit(y0) + (F.col("row") + 0.5) * cell
+    sides = F.array(*[F.struct(F.lit(ax).alias("ax"), F.lit(ay).alias("ay"), F.lit(bx - ax).alias("ux"), F.lit(by - ay).alias("uy")) for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1])])
+    inside = F.forall(sides, lambda s: (x - s["ax"]) * s["uy"] - (y - s["ay"]) * s["ux"] >= -1e-9) if len(ring) > 2 else F.lit(False)
+    return cells.select("row", "col", inside.alias("inside"))

@@ -31,7 +31,8 @@ def _around(value: str, across: str, along: str, step: int, keys: list[str]) ->
     """The value one place on (or back) along a line that closes on itself."""
     w = Window.partitionBy(*keys, across).orderBy(along)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return F.coalesce(F.lead(value).over(w), F.first(value).over(whole)) if step > 0 else F.coalesce(F.lag(value).over(w), F.last(value).over(whole))
+    near, far = (F.lead, F.first) if step > 0 else (F.lag, F.last)
+    return F.when(near(along).over(w).isNull(), far(value).over(whole)).otherwise(near(value).over(w))
 
 
 def wrapped_gradient(cells: DataFrame, value: str, x: str, y: str, dx: float = 1.0, dy: float = 1.0, keys: list[str] | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gridloom.functions import scalar
 from gridloom.operators import crossings, euler, focal, graph, lines, spectral, stats, surfaces, terrain
 from gridloom.plans.registry import CELLS as _CELLS, GRID_SQL, N, ORACLES, QUERIES, add as _add, grid as _grid, out as _out, rounded as _rounded
+from gridloom.plans import survey  # noqa: F401  registers its queries
 from gridloom.sources import fixtures
 
 # --- windows -------------------------------------------------------------------------------
@@ -205,7 +206,6 @@ _add(
 _PLANE = """m AS (SELECT {by} avg(col) AS mc, avg(row) AS mr, avg(v) AS mv, var_pop(col) AS cc, var_pop(row) AS rr, covar_pop(col, row) AS cr, covar_pop(col, v) AS cv, covar_pop(row, v) AS rv FROM {src} WHERE v IS NOT NULL {grp}),
 flat AS (SELECT {src}.*, {src}.v - mv - (cv * rr - rv * cr) / (cc * rr - cr * cr) * (col - mc) - (rv * cc - cv * cr) / (cc * rr - cr * cr) * (row - mr) AS d FROM {src}, m {on})"""
 _add("detrend_plane", lambda s, d: _out(stats.detrend_plane(_grid(s, d)), 3), f"WITH {GRID_SQL}, {_PLANE.format(by='', src='g', grp='', on='')} SELECT row, col, round(d, 3) + 0.0 AS v FROM flat")
-_add("detrend_quadric", lambda s, d: _out(stats.detrend_quadric(_grid(s, d), N, N), 3))
 _add(
     "normalise_grids", lambda s, d: _out(stats.normalise_grids(fixtures.grid_set(s, d, N)), 3),
     f"""WITH gs AS (SELECT l_linenumber AS grid_id, CAST(l_partkey % {N} AS INTEGER) AS row, CAST(l_orderkey % {N} AS INTEGER) AS col, avg(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2, 3),
