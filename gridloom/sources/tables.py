@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 # Column names that stand for coordinates, best first.
 X_NAMES = ("x", "easting", "east", "lon", "long", "longitude", "e")
@@ -117,24 +116,20 @@ def defined_data(spark: SparkSession, fields: list[dict], path: str) -> DataFram
             value = F.when(~same, value)
         return value if field["kind"] != "int" else value.cast("long")
 
+    def joined(part: Column, field: dict) -> Column:
+        return F.array_join(F.transform(part, lambda x: one(x, field).cast("string")), ";", "")
+
     out, at = [], 0
     for f in fields:
         if f["count"] == 1:
             out.append(one(F.get("t", F.lit(at)), f).alias(f["name"]))
         else:
-            part = F.slice("t", at + 1, f["count"])
-            out.append(F.array_join(F.transform(part, lambda x, f=f: one(x, f).cast("string")), ";", "").alias(f["name"]))
+            out.append(joined(F.slice("t", at + 1, f["count"]), f).alias(f["name"]))
         at += f["count"]
     comment = F.filter(F.slice("t", at + 1, F.greatest(F.size("t") - at, F.lit(0))), lambda x: x.startswith("*"))
     return rows.select(*out, F.array_join(comment, " ").alias("COMMENTS"))
 
 
-def schema_of(fields: list[dict]) -> StructType:
-    kinds = {"int": "long"}
-    text = lambda f: f["kind"] == "string" or f["count"] > 1
-    return StructType([StructField(f["name"], StringType() if text(f) else DoubleType() if f["kind"] == "double" else StructType.fromDDL(f"x {kinds['int']}")["x"].dataType) for f in fields])
-
-
 def short_names(names: list[str], length: int = 10) -> list[str]:
     """Names cut to ``length`` characters; a number takes the place of the end of one that is already there."""
     out: list[str] = []
