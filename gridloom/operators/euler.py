@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from gridloom.operators.spectral import Spectrum
 from gridloom.plans.scratch import checkpointed
 
 _SUMS = ("aa", "ab", "ac", "a", "bb", "bc", "b", "cc", "c", "fa", "fb", "fc", "f", "va", "vb", "vc", "v")
@@ -32,6 +33,15 @@ def _solve(s: pd.DataFrame, si: pd.Series, n: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["x", "y", "z", "base"])
 
 
+def derivatives(grid: DataFrame, nrows: int, ncols: int, cell: float = 1.0) -> DataFrame:
+    """``(row, col, v, dx, dy, dz)`` of a grid without taper, its edge values kept out to the next power of two of the longer side."""
+    size = 1 << (max(nrows, ncols) - 1).bit_length()
+    pad = lambda n: ((size - n) // 2, (size - n) // 2)
+    s = Spectrum(grid, nrows, ncols, cell, cell, pads=(pad(nrows), pad(ncols)), edge="edge", window="none", level="none")
+    ways = {"v": lambda kx, ky, k: np.ones_like(k), "dx": lambda kx, ky, k: 1j * kx, "dy": lambda kx, ky, k: -1j * ky, "dz": lambda kx, ky, k: k}
+    return s.filtered(ways)
+
+
 def deconvolve(field: DataFrame, indices: list[float], size: int, nrows: int, ncols: int, cell: float = 1.0, height: float = 0.0) -> DataFrame:
     """``(si, row, col, x, y, z, base, stdz)`` of each full window of ``field(row, col, v, dx, dy, dz)``.
 

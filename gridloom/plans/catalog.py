@@ -413,15 +413,61 @@ SELECT p_partkey, x, y, round(g.v, 7) + 0.0 AS v FROM pt LEFT JOIN g ON g.row =
 )
 
 
+#: Edge values out to 64 cells, transformed without taper; ``d(row, col, v, dx, dy, dz)`` are the field and its derivatives.
+_E = 64
+_eang = lambda a, b: f"2 * pi() * (({a} * {b}) % {_E}) / {_E}"
+_efreq = lambda i: f"2 * pi() * (CASE WHEN {i} < {_E // 2} THEN {i} ELSE {i} - {_E} END) / {_E}"
+DERIVATIVE_SQL = f"""{GRID_SQL}, {FILL_SQL}, i AS (SELECT CAST(range AS INTEGER) AS i FROM range({_E})),
+x AS (SELECT r.i AS row, c.i AS col, s.v AS x FROM i r, i c, filled s WHERE s.row = least(greatest(r.i - 8, 0), {N - 1}) AND s.col = least(greatest(c.i - 8, 0), {N - 1})),
+a1 AS (SELECT row, i AS w, sum(x * cos({_eang('col', 'i')})) AS re, -sum(x * sin({_eang('col', 'i')})) AS im FROM x, i GROUP BY 1, 2),
+s AS (SELECT i AS u, w, sum(re * cos({_eang('row', 'i')}) + im * sin({_eang('row', 'i')})) AS re, sum(im * cos({_eang('row', 'i')}) - re * sin({_eang('row', 'i')})) AS im FROM a1, i GROUP BY 1, 2),
+z AS (SELECT 'dx' AS tag, u, w, -im * {_efreq('w')} AS re, re * {_efreq('w')} AS im FROM s UNION ALL SELECT 'dy', u, w, -im * {_efreq('u')}, re * {_efreq('u')} FROM s
+ UNION ALL SELECT 'dz', u, w, re * sqrt(power({_efreq('w')}, 2) + power({_efreq('u')}, 2)), im * sqrt(power({_efreq('w')}, 2) + power({_efreq('u')}, 2)) FROM s),
+b AS (SELECT tag, i AS row, w, sum(re * cos({_eang('u', 'i')}) - im * sin({_eang('u', 'i')})) / {_E} AS re, sum(im * cos({_eang('u', 'i')}) + re * sin({_eang('u', 'i')})) / {_E} AS im FROM z, i GROUP BY 1, 2, 3),
+t AS (SELECT tag, row - 8 AS row, i - 8 AS col, sum(re * cos({_eang('w', 'i')}) - im * sin({_eang('w', 'i')})) / {_E} AS v FROM b, i GROUP BY 1, 2, 3),
+d AS (SELECT f.row, f.col, any_value(f.v) AS v, max(CASE WHEN tag = 'dx' THEN t.v END) AS dx, max(CASE WHEN tag = 'dy' THEN t.v END) AS dy, max(CASE WHEN tag = 'dz' THEN t.v END) AS dz FROM filled f JOIN t ON t.row = f.row AND t.col = f.col GROUP BY 1, 2)"""
+
+
+def _filled(s: SparkSession, d: str) -> DataFrame:
+    return focal.fill_nearest(_grid(s, d), N, N)
+
+
+_add(
+    "euler_derivatives", lambda s, d: _out(_out(euler.derivatives(_filled(s, d), N, N), 6, "v"), 3, "dx", "dy", "dz"),
+    f"WITH {DERIVATIVE_SQL} SELECT row, col, round(v, 6) + 0.0 AS v, round(dx, 3) + 0.0 AS dx, round(dy, 3) + 0.0 AS dy, round(dz, 3) + 0.0 AS dz FROM d",
+)
+
+
+def _det(rows: list[list[str]]) -> str:
+    """Determinant as SQL, along the first row."""
+    if len(rows) == 1:
+        return rows[0][0]
+    return "(" + " ".join(f"{'-' if k % 2 else '+'} {x} * {_det([r[:k] + r[k + 1:] for r in rows[1:]])}" for k, x in enumerate(rows[0])) + ")"
+
+
+_LEFT = [["aa", "ab", "ac", "k * a"], ["ab", "bb", "bc", "k * b"], ["ac", "bc", "cc", "k * c"], ["k * a", "k * b", "k * c", "k * k * 49"]]
+_LEFT = [[f"({x})" for x in row] for row in _LEFT]
+_RIGHT = ["(fa + k * va)", "(fb + k * vb)", "(fc + k * vc)", "(k * (f + k * v))"]
+_SOLVED = [_det([row[:j] + [y] + row[j + 1:] for row, y in zip(_LEFT, _RIGHT)]) for j in range(4)]
+
+
 def _depths(s: SparkSession, d: str) -> DataFrame:
-    """The tenth of all windows with the most varied vertical derivative, for four structural indices."""
-    grid = focal.fill_nearest(_grid(s, d), N, N)
-    spectrum = spectral.Spectrum(grid, N, N)
-    field = grid.select("row", "col", "v").join(spectrum.several(spectral.GRADIENT), ["row", "col"])
-    return euler.keep_most_varied(euler.deconvolve(field, [0.001, 1.0, 2.0, 3.0], 7, N, N), 0.1)
+    """The tenth of all windows with the most varied vertical derivative, for three structural indices."""
+    field = euler.derivatives(_filled(s, d), N, N)
+    found = euler.keep_most_varied(euler.deconvolve(field, [1.0, 2.0, 3.0], 7, N, N), 0.1)
+    return _out(found.withColumn("base", F.round("base", 0) + 0.0), 2, "x", "y", "z", "stdz")
 
 
-_add("euler_deconvolution", _depths)
+_add(
+    "euler_deconvolution", _depths,
+    f"""WITH {DERIVATIVE_SQL}, o AS (SELECT CAST(a.range AS INTEGER) AS p, CAST(b.range AS INTEGER) AS q FROM range(7) a, range(7) b), si AS (SELECT unnest([1.0, 2.0, 3.0])::DOUBLE AS k),
+h AS (SELECT d.row - p AS r0, d.col - q AS c0, d.v, dx AS a, dy AS b, dz AS c, dx * q + dy * p AS f FROM d, o WHERE d.row - p BETWEEN 0 AND {N - 7} AND d.col - q BETWEEN 0 AND {N - 7}),
+w AS (SELECT r0, c0, sum(a*a) AS aa, sum(a*b) AS ab, sum(a*c) AS ac, sum(a) AS a, sum(b*b) AS bb, sum(b*c) AS bc, sum(b) AS b, sum(c*c) AS cc, sum(c) AS c, sum(f*a) AS fa, sum(f*b) AS fb, sum(f*c) AS fc, sum(f) AS f,
+ sum(v*a) AS va, sum(v*b) AS vb, sum(v*c) AS vc, sum(v) AS v, stddev_samp(c) AS stdz FROM h GROUP BY 1, 2),
+e AS (SELECT k AS si, r0 AS row, c0 AS col, {_det(_LEFT)} AS det, {', '.join(f'{x} AS p{j}' for j, x in enumerate(_SOLVED))}, stdz FROM w, si),
+n AS (SELECT *, row_number() OVER (PARTITION BY si ORDER BY stdz DESC, row, col) AS k, count(*) OVER (PARTITION BY si) AS n FROM e)
+SELECT si, row, col, round(p0 / det + col, 2) + 0.0 AS x, round(p1 / det + row, 2) + 0.0 AS y, round(p2 / det, 2) + 0.0 AS z, round(p3 / det, 0) + 0.0 AS base, round(stdz, 2) + 0.0 AS stdz FROM n WHERE k <= floor(n * 0.1)""",
+)
 
 
 # --- gain control, terrain, gridding, colours, outlines ------------------------------------
