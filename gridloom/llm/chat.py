@@ -6,13 +6,15 @@ is hashed together with its place; the running sums of those hashes (four 32-bit
 proper prefix of another one is dropped by an anti-join, of equal ones the smallest id stays,
 and the rest are rendered.
 
-Running sums are built in two levels, over blocks of ``BLOCK`` consecutive turn numbers and
-within them, and long conversations are rendered in parts of ``BLOCK`` turns, so that no task
-ever holds one conversation of unbounded length.
+Running sums are built in two levels: rows are dealt by ranges of (conversation, turn, role,
+text), which no conversation and no turn number can crowd, and sums run over the ranges of a
+conversation and within each.  Long conversations are rendered in parts of ``BLOCK`` turns.  So
+no task ever holds one conversation of unbounded length.
 
 Nulls: a null role counts as ``user``, a null text as empty, a null turn as 0; rows with a
 null conversation id are left out.  Repeated rows count once; turns that share a number are
-ordered by role, then text.  An empty table gives an empty result; other columns are ignored.
+ordered by role, then text.  A text of any length is one
+line.  An empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ def numbered(turns: DataFrame) -> DataFrame:
     t = turns.where("conv_id IS NOT NULL").select(
         "conv_id", F.coalesce(F.col("turn"), F.lit(0)).cast("long").alias("turn"),
         F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
-    ).distinct().withColumn("block", F.floor(F.col("turn") / BLOCK))
-    t = materialise(t, "chat-turns")
+    ).distinct()
+    t = materialise(t.repartitionByRange("conv_id", "turn", "role", "text").withColumn("block", F.spark_partition_id()), "chat-turns")
     sizes = t.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
     by_block = Window.partitionBy("conv_id").orderBy("block")
     sizes = sizes.select("conv_id", "block", (F.sum("n").over(by_block) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy("conv_id")).alias("length"))
@@ -52,17 +54,20 @@ def numbered(turns: DataFrame) -> DataFrame:
 
 
 def maximal(placed: DataFrame) -> DataFrame:
-    """``(conv_id, n_copies)`` of the conversations that are no proper prefix of another, one of each."""
+    """``(conv_id, length, n_copies)`` of the conversations that are no proper prefix of another, one of each."""
     key = ["pos", *_PARTS]
     whole = placed.where("pos = length").groupBy(*key).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
     shorter = placed.where("pos < length").select(*key).distinct()
-    return whole.join(shorter, key, "left_anti").select("conv_id", "n_copies")
+    return whole.join(shorter, key, "left_anti").select("conv_id", F.col("pos").alias("length"), "n_copies")
 
 
 def render(turns: DataFrame) -> DataFrame:
     """``(conv_id, part, n_turns, n_copies, rendered)``: maximal conversations in chat markup, parts from 0."""
     placed = materialise(numbered(turns), "chat-prefixes")
-    kept = placed.join(maximal(placed), "conv_id").withColumn("part", F.floor((F.col("pos") - 1) / BLOCK).cast("int"))
+    part = lambda n: F.floor((F.col(n) - 1) / BLOCK).cast("int")
+    # A row for each part of a conversation: the join, too, meets at most BLOCK turns under one key.
+    whole = maximal(placed).select("conv_id", "n_copies", F.explode(F.sequence(F.lit(0), part("length"))).alias("part"))
+    kept = placed.withColumn("part", part("pos")).join(whole, ["conv_id", "part"])
     line = F.concat(F.lit(START), F.col("role"), F.lit("\n"), F.col("text"), F.lit(END + "\n"))
     parts = kept.groupBy("conv_id", "part").agg(
         F.count("*").alias("n_turns"), F.max("n_copies").alias("n_copies"),

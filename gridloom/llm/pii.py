@@ -304,8 +304,8 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = Non
 
     build = F.aggregate(spans_col, begin, walk, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["pos"] + 1)))
     changed = F.size(spans_col) > 0
-    replaced = {text_col: F.when(changed, build).otherwise(F.col(text_col))}
+    out = marked.withColumn(text_col, F.when(changed, build).otherwise(F.col(text_col)))
     if length_col:
-        n = F.length(replaced[text_col]).cast(docs.schema[length_col].dataType)
-        replaced[length_col] = F.when(changed, n).otherwise(F.col(length_col))
-    return marked.withColumns(replaced).select(*docs.columns)
+        n = F.length(text_col).cast(docs.schema[length_col].dataType)
+        out = out.withColumn(length_col, F.when(changed, n).otherwise(F.col(length_col)))
+    return out.select(*docs.columns)

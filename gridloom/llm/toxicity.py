@@ -13,7 +13,9 @@ the largest log-likelihood ratio.  Scoring covers every row and every sentence.
 
 Nulls: a null text counts as empty; a text without sentences scores as one with an empty
 sentence.  Without labels of both classes the vocabulary is empty and all scores are near 0.
-Repeated rows score alike; an empty table gives an empty result; other columns are ignored.
+Repeated rows and equal texts score alike; of equally bad sentences the first is named; a score
+of exactly 0.5 counts as toxic.  Texts of any length are scored whole, a sentence at a time.  An
+empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -161,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = labelled(docs, labels, label, id_col, FOLDS, FOLD)
     share = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     sample = materialise(with_texts(docs, rows, id_col, text_col, FIT_DOCS, 3), "toxicity-sample").repartition(rows.sparkSession.sparkContext.defaultParallelism * 2, "id")
-    taken = {k: min(FIT_DOCS, share.get(k, 0)) for k in (0, 1)}
+    taken = {0: 0, 1: 0} | {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = choose_terms(sample, taken)
     if not chosen:
         return Model()

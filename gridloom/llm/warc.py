@@ -12,8 +12,9 @@ complete ``.warc.zst`` file.
 Of records with equal payloads the one with the smallest id is a response, the others are
 revisits that refer to it.  Nulls: a null payload counts as empty; a null id is larger than
 any other, is written without an identifier of its own and can't be looked up.  Repeated rows
-with the smallest id are all responses.  An empty table gives no bundles and no rows; other
-columns are ignored.
+with the smallest id are all responses.  A payload of any length is one record, in a frame of its
+own if it is longer than one.  An empty table gives no bundles and no rows; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from gridloom.plans.scratch import materialise
 FRAME_BYTES = 256 * 1024
 BUNDLE_BYTES = 4 * 1024 * 1024
 LEVEL = 3
+#: A payload of more pages than this is looked up by broadcast.
+HOT_PAGES = 10_000
 # Magic numbers of the seekable format.
 SKIPPABLE = 0x184D2A5E
 SEEKABLE = 0x8F92EAB1
@@ -150,8 +153,13 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str =
     """``(page_id, url, html, refers_to)``: the smallest id with an equal payload, null for that one itself."""
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(payload_col, F.lit("")).alias("html"))
     slim = p.where(F.octet_length("html") >= min_bytes).select("page_id", F.sha1(F.col("html").cast("binary")).alias("sha"))
-    firsts = slim.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    keyed = p.withColumn("sha", F.sha1(F.col("html").cast("binary"))).join(firsts, "sha", "left")
+    firsts = slim.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = materialise(firsts, "equal-payloads")
+    # Payloads of many pages meet them by broadcast (there are at most as many as HOT_PAGES goes into all pages); those pages pass the join under keys of their own.
+    hot = F.broadcast(firsts.where(F.col("n") > HOT_PAGES).select("sha", F.col("first").alias("hot")))
+    keyed = p.withColumn("sha", F.sha1(F.col("html").cast("binary"))).join(hot, "sha", "left")
+    keyed = keyed.withColumn("k", F.when(F.col("hot").isNull(), F.col("sha")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))))
+    keyed = keyed.join(firsts.where(F.col("n") <= HOT_PAGES).select(F.col("sha").alias("k"), "first"), "k", "left").withColumn("first", F.coalesce("hot", "first"))
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return keyed.select("page_id", "url", "html", F.when(again, F.col("first")).alias("refers_to"))
 
@@ -206,13 +214,19 @@ def read(bundles: DataFrame, payloads: bool = False) -> DataFrame:
 def fetch(bundles: DataFrame, wanted: DataFrame) -> DataFrame:
     """Records of ``wanted(record_id)`` with payloads; only their frames are decompressed."""
     places = index(bundles).join(wanted.select("record_id").distinct(), "record_id")
-    rows = places.join(bundles.select("bundle", "body"), "bundle").select("body", "frame", "at")
+    # One row for each bundle, so that its body moves once however many of its records are wanted.
+    per = places.groupBy("bundle").agg(F.array_sort(F.collect_list(F.struct("frame", "at"))).alias("places"))
+    rows = per.join(bundles.select("bundle", "body"), "bundle").select("body", "places")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            for body, frame, at in zip(x["body"], x["frame"], x["at"]):
-                _, head, payload = next(read_records(read_frame(body, frame)[at:]))
-                yield _frame_of([_row(head, payload, True)])
+            for body, places in zip(x["body"], x["places"]):
+                last, content = None, b""
+                for place in places:
+                    if place["frame"] != last:
+                        last, content = place["frame"], read_frame(body, place["frame"])
+                    _, head, payload = next(read_records(content[place["at"] :]))
+                    yield _frame_of([_row(head, payload, True)])
 
     return rows.mapInPandas(scan, _READ)
 

@@ -1,9 +1,11 @@
+import base64
 import hashlib
 import random
 import re
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, chat, decontaminate, neighbours, order, pii, quality, toxicity, warc
 
@@ -69,22 +71,33 @@ def test_pii_against_python_patterns(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
-def test_warc_round_trip(spark):
+def test_warc_round_trip(spark, monkeypatch):
     pages = [(3, "u", "same"), (1, "u\n2", "same"), (2, None, None), (5, "v", ""), (None, "w", "same"), (7, "x", "é" * 400_000)]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    df = spark.createDataFrame([(*p, "a", "b") for p in pages], "page_id long, url string, html string, sha string, first string")
     got = {r.page_id: r for r in warc.round_trip(df).collect()}
+    monkeypatch.setattr(warc, "HOT_PAGES", 1)
+    assert {r.page_id: r for r in warc.round_trip(df).collect()} == got
+    many = [(i, f"u{i}", f"text {i % 90}" if i % 3 else "one text for a third") for i in range(600)]
+    first = {}
+    for i, _, t in many:
+        first.setdefault(t, i)
+    for r in warc.round_trip(spark.createDataFrame(many, "page_id long, url string, html string")).collect():
+        t = many[r.page_id][2].encode()
+        want = (len(t), base64.b32encode(hashlib.sha1(t).digest()).decode(), None if first[t.decode()] == r.page_id else first[t.decode()])
+        assert (r.payload_bytes, r.payload_digest, r.refers_to) == want and (r.record_type == "response") == (want[2] is None)
     assert got[1].record_type == "response" and got[3].refers_to == 1 and got[None].refers_to == 1 and got[5].refers_to == 2
     assert got[7].payload_bytes == 800_000 and got[7].payload_digest == warc.payload_digest(("é" * 400_000).encode())
     bundles = warc.write(df)
-    one = warc.fetch(bundles, warc.index(bundles).where("page_id = 7")).collect()
-    assert len(one) == 1 and one[0].payload.decode() == "é" * 400_000
+    two = {r.page_id: r for r in warc.fetch(bundles, warc.index(bundles).where("page_id IN (1, 7)")).collect()}
+    assert two[7].payload.decode() == "é" * 400_000 and two[1].payload == b"same"
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
 def test_chat_against_sql(spark):
     rows = [(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (4, 0, None, None), (4, 0, None, None), (None, 0, "user", "z")]
     rows += [(9, t, "user", f"turn {t}") for t in range(700)] + [(8, t, "user", f"turn {t}") for t in range(300)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    rows += [(20, 0, "user", f"same number {t}") for t in range(600)] + [(21, None, "user", "long " * 50_000)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "conv_id long, turn long, role string, text string, pos int, block int")
     con = duckdb.connect()
     conversations = df.toPandas()
     con.register("conversations", conversations)
@@ -140,10 +153,16 @@ def test_order_is_a_dense_permutation(spark):
 
 
 def test_classifiers_on_held_out_rows(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    """Recall and precision of both classes, and a Brier score below that of the share alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     for module, label in ((quality, "quality"), (toxicity, "toxic")):
-        rows = module.score(docs, labels).join(labels, "doc_id").where("held_out").select("predicted", label).collect()
-        assert np.mean([r[0] == r[1] for r in rows]) > 0.85
-    odd = spark.createDataFrame([(1, None), (None, ""), (1, None)], "doc_id long, text string")
+        clash = docs.select("doc_id", "text", F.lit("x").alias("_text"), F.lit("x").alias("_f"), F.lit("x").alias("y"), F.lit("x").alias("th"), F.lit(1).alias("held_out"))
+        rows = module.score(clash, labels).join(labels, "doc_id").where("held_out").select("predicted", label, "score").collect()
+        p, y, score = (np.array([r[k] for r in rows], float) for k in range(3))
+        for c in (0, 1):
+            assert ((p == c) & (y == c)).sum() > 0.8 * (y == c).sum() and ((p == c) & (y == c)).sum() > 0.8 * (p == c).sum()
+        assert ((score - y) ** 2).mean() < ((y.mean() - y) ** 2).mean() / 2
+    odd = spark.createDataFrame([(1, None), (None, ""), (1, None), (2, "word " * 200_000)], "doc_id long, text string")
     assert all(0 <= r.score <= 1 for m in (quality, toxicity) for r in m.score(odd, labels.limit(0)).collect())
+    assert all(m.score(odd.limit(0), labels).count() == 0 for m in (quality, toxicity))
