@@ -123,6 +123,28 @@ def test_neighbours_recall_and_edge_cases(spark):
     assert hits >= 0.9 * 60 and [got[100][k][0] for k in range(1, 11)] == list(range(50, 60))
 
 
+def test_neighbours_recall_on_a_whole_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [r for r in table.select("vec_id", "embedding").collect() if r.embedding is not None]
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    fine = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+    ids, x = ids[fine], x[fine]
+    clash = table.select("vec_id", "embedding", F.lit(1).alias("query_id"), F.lit(1).alias("rank"), F.lit(1).alias("packed"), F.lit(1).alias("cell"))
+    got = {}
+    for r in neighbours.search(clash).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    assert set(got) == set(ids[ids % 100 == 0].tolist())
+    hits = 0
+    for q, found in got.items():
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
+        order = np.lexsort((ids, d))
+        want = [int(i) for i in ids[order] if i != q][:10]
+        hits += len(set(want) & {v for v, _ in found.values()})
+        at = dict(zip(ids.tolist(), d.tolist()))
+        assert all(abs(at[v] - s) < 1e-9 for v, s in found.values())
+    assert hits >= 0.9 * 10 * len(got)
+
+
 def test_order_is_a_dense_permutation(spark):
     for n in (1, 2, 3, 1000):
         p = order.Permutation(n)
