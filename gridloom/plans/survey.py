@@ -151,13 +151,13 @@ def _utm(s: SparkSession, d: str) -> DataFrame:
 
 
 add(
-    "utm", lambda s, d: out(_utm(s, d).select("c_custkey", "east", "north"), 1, "east", "north"),
+    "utm", lambda s, d: out(_utm(s, d).select("c_custkey", "east", "north"), 0, "east", "north"),
     f"""WITH p AS (SELECT c_custkey, radians({_LL}) AS b, radians(c_custkey * 53 % 600 / 100.0 + 114 - 117) AS dl, 6378137.0 AS a, 0.0066943799901413165 AS e2 FROM customer),
 q AS (SELECT *, e2 / (1 - e2) AS ep, a / sqrt(1 - e2 * sin(b) * sin(b)) AS v, tan(b) * tan(b) AS t, e2 / (1 - e2) * cos(b) * cos(b) AS c, dl * cos(b) AS g,
  a * ((1 - e2 / 4 - 3 * e2 * e2 / 64 - 5 * power(e2, 3) / 256 - 175 * power(e2, 4) / 16384) * b - (3 * e2 / 8 + 3 * e2 * e2 / 32 + 45 * power(e2, 3) / 1024 + 105 * power(e2, 4) / 4096) * sin(2 * b)
  + (15 * e2 * e2 / 256 + 45 * power(e2, 3) / 1024 + 525 * power(e2, 4) / 16384) * sin(4 * b) - (35 * power(e2, 3) / 3072 + 175 * power(e2, 4) / 12288) * sin(6 * b) + 315 * power(e2, 4) / 131072 * sin(8 * b)) AS m FROM p)
-SELECT c_custkey, round(500000 + 0.9996 * v * (g + (1 - t + c) * power(g, 3) / 6 + (5 - 18 * t + t * t + 14 * c - 58 * t * c + 13 * c * c) * power(g, 5) / 120 + (61 - 479 * t + 179 * t * t - power(t, 3)) * power(g, 7) / 5040), 1) + 0.0 AS east,
-round(CASE WHEN b < 0 THEN 10000000 ELSE 0 END + 0.9996 * (m + v * tan(b) * (g * g / 2 + (5 - t + 9 * c + 4 * c * c) * power(g, 4) / 24 + (61 - 58 * t + t * t + 270 * c - 330 * t * c + 445 * c * c) * power(g, 6) / 720 + (1385 - 3111 * t + 543 * t * t - power(t, 3)) * power(g, 8) / 40320)), 1) + 0.0 AS north FROM q""",
+SELECT c_custkey, round(500000 + 0.9996 * v * (g + (1 - t + c) * power(g, 3) / 6 + (5 - 18 * t + t * t + 14 * c - 58 * t * c + 13 * c * c) * power(g, 5) / 120 + (61 - 479 * t + 179 * t * t - power(t, 3)) * power(g, 7) / 5040), 0) + 0.0 AS east,
+round(CASE WHEN b < 0 THEN 10000000 ELSE 0 END + 0.9996 * (m + v * tan(b) * (g * g / 2 + (5 - t + 9 * c + 4 * c * c) * power(g, 4) / 24 + (61 - 58 * t + t * t + 270 * c - 330 * t * c + 445 * c * c) * power(g, 6) / 720 + (1385 - 3111 * t + 543 * t * t - power(t, 3)) * power(g, 8) / 40320)), 0) + 0.0 AS north FROM q""",
 )
 
 
