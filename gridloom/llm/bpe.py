@@ -86,7 +86,8 @@ class Codec:
         self.joins_tokens = rules["decoder"] is None
         texts = lambda ids: (" ".join([self.digits[i] for i in ids]), " ".join([self.token[i] for i in ids]))
         #: Of each piece its ids as decimal text and its tokens as text, or its ids as four bytes each.
-        self.texts, self.packed = Pieces(self.tok, texts, cache_pieces), Pieces(self.tok, lambda ids: np.array(ids, "<u4").tobytes(), cache_pieces)
+        # Texts take about four times the memory of packed ids, so half as many are kept.
+        self.texts, self.packed = Pieces(self.tok, texts, cache_pieces // 2), Pieces(self.tok, lambda ids: np.array(ids, "<u4").tobytes(), cache_pieces)
 
     def pack_many(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Exactly the library's ids of each text, in order, as arrays."""
