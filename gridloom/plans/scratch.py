@@ -29,6 +29,17 @@ def materialise(df: DataFrame, tag: str, compression: str | None = None) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a table that ``materialise`` has written and nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    base = path(shared_dir(spark)).toUri().getPath()
+    for folder in {str(path(f).getParent().toString()) for f in df.inputFiles()}:
+        where = path(folder)
+        if where.toUri().getPath().startswith(f"{base.rstrip('/')}/"):
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint for small tables of an iteration; freed when no longer referenced."""
     shared_dir(df.sparkSession)
