@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, chat, decontaminate, neighbours, order, pii, quality, simhash, toxicity, warc
+from gridloom.llm import alignment, bpe, chat, clusters, decontaminate, line_dedup, neighbours, order, pii, quality, simhash, toxicity, warc
 from gridloom.plans.scratch import bounded_batches
 
 
@@ -53,6 +53,18 @@ def op10_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.layout(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_warc, op4_pii, op5_simhash, op6_toxicity, op7_quality, op8_chat, op9_neighbours, op10_order)}
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(_table(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {"op8_chat": chat.ORACLE_SQL}
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digests(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_warc, op4_pii, op5_simhash, op6_toxicity, op7_quality, op8_chat, op9_neighbours, op10_order, op11_lines, op12_clusters, op13_alignment)}
+
+ORACLES: dict[str, str] = {"op8_chat": chat.ORACLE_SQL, "op11_lines": line_dedup.ORACLE_SQL, "op12_clusters": clusters.ORACLE_SQL}
