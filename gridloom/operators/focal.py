@@ -14,6 +14,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gridloom.operators.quantiles import quantiles
+from gridloom.plans.scratch import checkpointed
+
 Offsets = Iterable[tuple]
 
 
@@ -187,9 +190,10 @@ def anisotropy(grid: DataFrame, nrows: int, ncols: int, window: int = 7, shape:
             j = sums.select("row", "col", F.struct("xx", "yy", "xy").alias("v"))
         j = j.select("row", "col", "v.*")
     j = j.withColumn("s", F.sqrt((F.col("xx") - F.col("yy")) ** 2 + 4 * F.col("xy") ** 2))
-    top = j.agg(F.percentile("s", 0.99).alias("top"))
+    j = checkpointed(j)
+    top = F.lit(quantiles(j, "s", [0.99])[0])
     theta = F.degrees(F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy")) / 2)
-    out = j.crossJoin(F.broadcast(top)).select("row", "col", F.least(F.lit(1.0), F.col("s") / (F.col("top") + 1e-10)).alias("m"), F.pmod(theta, F.lit(180.0)).alias("o"))
+    out = j.select("row", "col", F.least(F.lit(1.0), F.col("s") / (top + 1e-10)).alias("m"), F.pmod(theta, F.lit(180.0)).alias("o"))
     own = grid.select("row", "col", F.col("v").isNotNull().alias("ok"))
     return out.join(own, ["row", "col"]).select("row", "col", F.when(F.col("ok"), F.col("m")).alias("magnitude"), F.when(F.col("ok"), F.col("o")).alias("orientation"))
 

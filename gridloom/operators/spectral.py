@@ -14,12 +14,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.operators.focal import fill_nearest
+from gridloom.operators.quantiles import quantiles
 from gridloom.plans.scratch import checkpointed
 
 Response = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -68,47 +70,136 @@ _EDGES = {
 }
 
 
-def _extended(a: np.ndarray, pads: tuple[int, int], edge: str, window: str) -> np.ndarray:
-    """``a`` padded along its first axis by multiples of its edges, and tapered."""
-    before, after = _EDGES[edge](*pads)
-    shape = (-1, *[1] * (a.ndim - 1))
-    out = np.concatenate([before.reshape(shape) * a[:1], a, after.reshape(shape) * a[-1:]])
-    return out * _WINDOWS[window](len(out)).reshape(shape)
+class Padding:
+    """How a line of ``n`` values becomes one of the padded length: multiples of its edges, then a taper."""
+
+    def __init__(self, pads: tuple[tuple[int, int], tuple[int, int]], edge: str, window: str):
+        self.pads, self.edge, self.window = pads, edge, window
+
+    def _extended(self, a: np.ndarray, pads: tuple[int, int]) -> np.ndarray:
+        before, after = _EDGES[self.edge](*pads)
+        shape = (-1, *[1] * (a.ndim - 1))
+        out = np.concatenate([before.reshape(shape) * a[:1], a, after.reshape(shape) * a[-1:]])
+        return out * _WINDOWS[self.window](len(out)).reshape(shape)
+
+    def along(self, v: np.ndarray) -> np.ndarray:
+        """``[part, place]``: a row in parts that add up to its padded form, each padded downwards in its own way."""
+        return self._extended(v, self.pads[1])[None]
+
+    def down(self, parts: np.ndarray) -> np.ndarray:
+        """Sum of the parts ``[row, part, column]`` of all rows, padded downwards."""
+        return self._extended(parts[:, 0], self.pads[0])
+
+
+class MirrorPadding(Padding):
+    """Square of the next power of two, edges mirrored under half a sine wave that falls to 0 at the border.
+
+    Beyond the corners the first and last row are carried on under the same weights.  At the far
+    end, columns are mirrored one place nearer than rows are, so that the last column and the rows
+    beyond it are weighed too; an odd gap leaves one line of zeros behind the last value.
+    """
+
+    def __init__(self, nrows: int, ncols: int):
+        size = 1 << (max(nrows, ncols) - 1).bit_length()
+        first = [(size - n) // 2 for n in (nrows, ncols)]
+        super().__init__(tuple((f, size - n - f) for f, n in zip(first, (nrows, ncols))), "mirror", "none")
+        self.body = (first[1], first[1] + ncols - 1)  # columns that mirror their rows
+        self.across = self._mirrored(ncols, size, first[1], 2)
+        self.rows = self._mirrored(nrows, size, first[0], 1), self._carried(nrows, size, first[0])
+
+    @staticmethod
+    def _lines(n: int, size: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        source, weight = np.full(size, -1), np.zeros(size)
+        source[first : first + n], weight[first : first + n] = np.arange(n), 1.0
+        return source, weight, 0.5 * (1 + np.sin(np.arange(first) * math.pi / max(first, 1) - math.pi / 2))
+
+    @classmethod
+    def _mirrored(cls, n: int, size: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        source, weight, w = cls._lines(n, size, first)
+        k = np.arange(first)
+        for to, of in ((k, 2 * first - 1 - k), (size - last - k, size - 2 * first + k)):
+            source[to], weight[to] = source[of], weight[of] * w
+        return source, weight
+
+    @classmethod
+    def _carried(cls, n: int, size: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+        source, weight, w = cls._lines(n, size, first)
+        k = np.arange(first)
+        for to, of in ((k, first), (size - 2 - k, size - first - 1)):
+            source[to], weight[to] = source[of], weight[of] * w
+        return source, weight
+
+    def along(self, v: np.ndarray) -> np.ndarray:
+        source, weight = self.across
+        line = v[source] * weight  # a source of -1 has no weight
+        body = np.zeros((2, len(line)))
+        inner = slice(*self.body)
+        body[0, inner], body[1] = line[inner], line
+        body[1, inner] = 0
+        return body
+
+    def down(self, parts: np.ndarray) -> np.ndarray:
+        return sum(parts[source, k] * weight[:, None] for k, (source, weight) in enumerate(self.rows))
+
+
+def plain_waves(m: int, spacing: float) -> np.ndarray:
+    return 2 * math.pi * np.fft.fftfreq(m, spacing)
+
+
+def whole_waves(m: int, spacing: float) -> np.ndarray:
+    """Numbers counted from 1 instead of 0 on both sides, in steps of a whole turn over ``m - 1`` places."""
+    k = np.arange(m)
+    return np.where(k < m // 2, k + 1, k - m) * 2 * math.pi / (m - 1)
 
 
 class Spectrum:
     """Forward transform of one grid, and what is needed to come back.
 
     ``level`` (median, mean or none) is taken off first; NULL cells take their nearest value, or
-    the level if ``fill`` is ``level``.  ``pads`` are ``((top, bottom), (left, right))``.
+    the level if ``fill`` is ``level``.  ``pads`` are ``((top, bottom), (left, right))``.  Nothing
+    runs before a result is asked for.
     """
 
     def __init__(
         self, grid: DataFrame, nrows: int, ncols: int, dx: float = 1.0, dy: float = 1.0, buffer: int = 0, pads: tuple | None = None,
-        edge: str = "ramp", window: str = "tukey", level: str = "median", fill: str = "nearest",
+        edge: str = "ramp", window: str = "tukey", level: str = "median", fill: str = "nearest", padding: Padding | None = None, waves: Callable[[int, float], np.ndarray] = plain_waves,
     ):
-        self.grid, self.n, self.spacing = checkpointed(grid.select("row", "col", F.col("v").cast("double"))), (nrows, ncols), (dy, dx)
-        self.pads = pads or (smooth_pads(nrows, buffer), smooth_pads(ncols, buffer))
+        self._given, self.n, self.spacing = grid, (nrows, ncols), (dy, dx)
+        self.padding = padding or Padding(pads or (smooth_pads(nrows, buffer), smooth_pads(ncols, buffer)), edge, window)
+        self.pads, self.waves = self.padding.pads, waves
         self.m = tuple(n + sum(p) for n, p in zip(self.n, self.pads))
-        self.edge, self.window = edge, window
-        how = {"median": F.percentile("v", 0.5), "mean": F.avg("v"), "none": F.lit(0.0)}[level]
-        of = self.grid.agg(how.alias("level"), F.count("v").alias("n")).first()
-        self.median = float(of["level"] or 0.0)
-        whole = self.grid if fill != "nearest" or of["n"] in (0, nrows * ncols) else fill_nearest(self.grid, nrows, ncols)
-        self.filled = whole.select("row", "col", (F.coalesce("v", F.lit(self.median)) - self.median).alias("v"))
+        self.level, self.fill = level, fill
         lanes = grid.sparkSession.sparkContext.defaultParallelism * 2
         self.width = max(1, min(BLOCK_CELLS // self.m[0], -(-self.m[1] // lanes)))
 
+    @cached_property
+    def grid(self) -> DataFrame:
+        return checkpointed(self._given.select("row", "col", F.col("v").cast("double")))
+
+    @cached_property
+    def median(self) -> float:
+        """The level taken off."""
+        if self.level == "none":
+            return 0.0
+        of = self.grid.agg(F.avg("v")).first()[0] if self.level == "mean" else quantiles(self.grid, "v", [0.5])[0]
+        return float(of or 0.0)
+
+    @cached_property
+    def filled(self) -> DataFrame:
+        n = self.grid.agg(F.count("v")).first()[0] if self.fill == "nearest" else 0
+        whole = self.grid if n in (0, self.n[0] * self.n[1]) else fill_nearest(self.grid, *self.n)
+        return whole.select("row", "col", (F.coalesce("v", F.lit(self.median)) - self.median).alias("v"))
+
     def _rows(self) -> DataFrame:
         """``(block, row, z)``: each row's transform, cut into blocks of columns."""
-        width, pads, edge, window = self.width, self.pads[1], self.edge, self.window
+        width, padding = self.width, self.padding
 
         def run(batches):
             for b in batches:
                 out = []
                 for row, v in zip(b["row"], b["v"]):
-                    z = np.fft.fft(_extended(np.asarray(v, float), pads, edge, window))
-                    out += [(k // width, row, z[k : k + width].tobytes()) for k in range(0, len(z), width)]
+                    z = np.fft.fft(padding.along(np.asarray(v, float)))
+                    out += [(k // width, row, z[:, k : k + width].tobytes()) for k in range(0, z.shape[1], width)]
                 yield pd.DataFrame(out, columns=["block", "row", "z"])
 
         lines = self.filled.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "v"))).alias("z"))
@@ -116,13 +207,14 @@ class Spectrum:
 
     def columns(self, work: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
         """Rows of ``work(block, spectrum of the block's columns, kx, ky, k)`` for every block."""
-        (mr, mc), (dy, dx), width, pads, edge, window = self.m, self.spacing, self.width, self.pads[0], self.edge, self.window
+        (mr, mc), (dy, dx), width, padding, waves = self.m, self.spacing, self.width, self.padding, self.waves
+        turned = -1 if waves is plain_waves else 1
 
         def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-            a = np.stack([np.frombuffer(z, complex) for z in group.sort_values("row")["z"]])
-            spectrum = np.fft.fft(_extended(a, pads, edge, window), axis=0)
-            kx = 2 * math.pi * np.fft.fftfreq(mc, dx)[key[0] * width : key[0] * width + a.shape[1]][None, :]
-            ky = -2 * math.pi * np.fft.fftfreq(mr, dy)[:, None]
+            kx = waves(mc, dx)[key[0] * width : (key[0] + 1) * width][None, :]
+            a = np.stack([np.frombuffer(z, complex).reshape(-1, kx.shape[1]) for z in group.sort_values("row")["z"]])
+            spectrum = np.fft.fft(padding.down(a), axis=0)
+            ky = turned * waves(mr, dy)[:, None]
             return work(key[0], spectrum, *np.broadcast_arrays(kx, ky, np.sqrt(kx * kx + ky * ky)))
 
         return self._rows().groupBy("block").applyInPandas(run, schema)
@@ -297,6 +389,82 @@ def reduction_to_equator(inclination: float, declination: float) -> Response:
     return response
 
 
+def corner_angles(nrows: int, ncols: int, corners: tuple[float, float, float, float], centre: float | None = None) -> Column:
+    """An angle over ``(row, col)``, row 0 in the north: bilinear between its values in the north-west, north-east, south-west and south-east corner.
+
+    A value at the centre is met by a bump that leaves the corners alone.
+    """
+    if nrows < 2 or ncols < 2:
+        raise ValueError("corners need two rows and two columns")
+    x, y = F.col("col") / F.lit(ncols - 1.0), 1 - F.col("row") / F.lit(nrows - 1.0)
+    nw, ne, sw, se = map(float, corners)
+    flat = (nw * (1 - x) + ne * x) * y + (sw * (1 - x) + se * x) * (1 - y)
+    return flat if centre is None else flat + (centre - (nw + ne + sw + se) / 4) * 16 * x * (1 - x) * y * (1 - y)
+
+
+def whole_wave_pole(inclination: float, declination: float) -> Response:
+    """Reduction to the pole (radians) for waves counted from 1, real and imaginary part over a common denominator; 0 where that is 0."""
+    along = math.cos(declination) * math.cos(inclination), math.sin(declination) * math.cos(inclination)
+    down = math.sin(inclination)
+
+    def response(kx: np.ndarray, ky: np.ndarray, k: np.ndarray) -> np.ndarray:
+        t, flat = kx * kx + ky * ky, along[0] * ky + along[1] * kx
+        top = down * down * t - flat * flat
+        under = top * top + 4 * down * down * flat * flat * t
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(under == 0, 0, (t * top - 2j * down * flat * t**1.5) / under)
+
+    return response
+
+
+#: Step of the angle differences in radians, and what the first three of them are multiplied with.
+ANGLE_STEP, TAYLOR = 0.01, (1.0, 0.5, 0.1666666)
+
+
+def variable_reduction_to_pole(grid: DataFrame, nrows: int, ncols: int, inclination: Column, declination: Column) -> DataFrame:
+    """``(row, col, v, base, inclination, declination)``: reduction to the pole under angles that vary over the grid.
+
+    The angles are degrees, given as columns over the columns of ``grid`` (``corner_angles``, or
+    columns of the table); row 0 is the north.  ``base`` is the reduction under the angles at the
+    centre.  For either angle three passes take the difference of two reductions an ``ANGLE_STEP``
+    apart, each of the result before, and a Taylor sum of the cell's own difference from the centre
+    corrects the base.  Holes take their nearest value for the base and the mean for the
+    differences, and are NULL in the end.
+    """
+    own = grid.select((nrows - 1 - F.col("row")).alias("row"), "col", F.col("v").cast("double").alias("v"), inclination.cast("double").alias("inclination"), declination.cast("double").alias("declination"))
+    own = checkpointed(own)
+    centre = own.where((F.col("row") == nrows // 2) & (F.col("col") == ncols // 2)).first()
+    if centre is None or centre.inclination is None or centre.declination is None:
+        raise ValueError("no angles at the centre of the grid")
+    inc, dec = math.radians(centre.inclination), math.radians(centre.declination)
+    pole = whole_wave_pole(inc, dec)
+    steps = {"inc": whole_wave_pole(inc + ANGLE_STEP, dec), "dec": whole_wave_pole(inc, dec + ANGLE_STEP)}
+    change = lambda moved: lambda kx, ky, k: (moved(kx, ky, k) - pole(kx, ky, k)) / ANGLE_STEP
+    rates = {name: change(moved) for name, moved in steps.items()}
+    spectrum = lambda cells: Spectrum(cells, nrows, ncols, level="none", padding=MirrorPadding(nrows, ncols), waves=whole_waves)
+    flat = own.agg(F.avg("v")).first()[0]
+    whole = own.select("row", "col", F.coalesce("v", F.lit(flat), F.lit(0.0)).alias("v"))
+    named = lambda df, name, at: df.select("row", "col", F.lit(at).alias("at"), F.col(name).alias("x"))
+    parts = [named(spectrum(own).filtered({"base": pole}, restore=False), "base", "base")]
+    first = checkpointed(spectrum(whole).filtered(rates, restore=False))
+    for name, rate in rates.items():
+        last = first.select("row", "col", F.col(name).alias("v"))
+        parts.append(named(last, "v", f"{name}0"))
+        for k in (1, 2):
+            s = spectrum(last)
+            last = checkpointed(s.filtered({"v": rate}, restore=False))
+            parts.append(named(last, "v", f"{name}{k}"))
+    union = parts[0]
+    for p in parts[1:]:
+        union = union.unionByName(p)
+    wide = union.groupBy("row", "col").agg(*[F.max(F.when(F.col("at") == c, F.col("x"))).alias(c) for c in ("base", *(f"{n}{k}" for n in rates for k in range(3)))])
+    both = own.join(wide, ["row", "col"])
+    off = {"inc": F.radians("inclination") - inc, "dec": F.radians("declination") - dec}
+    taylor = sum((TAYLOR[k] * F.col(f"{n}{k}") * off[n] ** (k + 1) for n in rates for k in range(3)), F.col("base"))
+    seen = lambda c: F.when(F.col("v").isNotNull(), c)
+    return both.select((nrows - 1 - F.col("row")).alias("row"), "col", seen(taylor).alias("v"), seen(F.col("base")).alias("base"), "inclination", "declination")
+
+
 GRADIENT = {"dx": derivative("x"), "dy": derivative("y"), "dz": derivative("z")}
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from gridloom.operators.quantiles import quantiles
 from gridloom.plans.scratch import checkpointed
 
 
@@ -81,7 +82,8 @@ def normalise_grids(grids: DataFrame, order: int = 1, nrows: int = 0, ncols: int
 
 def summary(grid: DataFrame) -> DataFrame:
     """``(n, mean, std, least, most, median)`` of the valid cells."""
-    return grid.agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("least"), F.max("v").alias("most"), F.percentile("v", 0.5).alias("median"))
+    median = F.lit(quantiles(grid, "v", [0.5])[0]).cast("double")
+    return grid.agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("least"), F.max("v").alias("most")).withColumn("median", median)
 
 
 def window_stats(estimates: DataFrame, south: float, west: float, height: float, width: float) -> DataFrame:

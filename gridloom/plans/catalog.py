@@ -7,9 +7,9 @@ import math
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridloom.functions import scalar
-from gridloom.operators import crossings, euler, focal, graph, lines, spectral, stats, surfaces, terrain
+from gridloom.operators import crossings, euler, focal, graph, lines, quantiles, spectral, stats, surfaces, terrain
 from gridloom.plans.registry import CELLS as _CELLS, GRID_SQL, N, ORACLES, QUERIES, add as _add, grid as _grid, out as _out, rounded as _rounded
-from gridloom.plans import formats, survey  # noqa: F401  they register their queries
+from gridloom.plans import formats, poles, survey  # noqa: F401  they register their queries
 from gridloom.sources import fixtures
 
 # --- windows -------------------------------------------------------------------------------
@@ -120,7 +120,7 @@ SELECT row, col, size FROM act JOIN lab USING (id) JOIN n USING (root)""",
 def _regions(s: SparkSession, d: str) -> DataFrame:
     """8-connected regions of cells above the grid's third quartile, with their shape."""
     g = _grid(s, d)
-    cut = g.agg(F.percentile("v", 0.75)).first()[0]
+    cut = quantiles.quantiles(g, "v", [0.75])[0]
     found = graph.grid_components(g.where(F.col("v") >= cut).select("row", "col"), [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)])
     shape = found.groupBy("component").agg(F.count("*").alias("area"), F.var_pop("row").alias("vr"), F.var_pop("col").alias("vc"), F.covar_pop("row", "col").alias("cov"))
     label = (F.floor(F.col("component") / (1 << 31)) * N + F.col("component") % (1 << 31)).cast("long")
