@@ -86,6 +86,63 @@ def _roots(edges: DataFrame) -> DataFrame:
     return edges.coalesce(1).mapInPandas(run, f"n {kind}, p {kind}")
 
 
+def minimum_spanning_forest(edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
+    """``edges(src, dst, weight)`` -> the ``(src, dst, weight)``, ``src < dst``, of the forest of least weight.
+
+    Every round each part of the forest takes its lightest edge to another part and the parts so
+    joined become one, which leaves at most half as many.  Equal weights are told apart by their
+    nodes, so that the forest is the only one of least weight in that order.  Loops, rows with nulls
+    and heavier copies of an edge are left out; an empty table gives an empty forest.  Parts are
+    joined by ``connected_components``, which solves at most ``small`` edges in one task.
+    """
+    e = edges.where("src IS NOT NULL AND dst IS NOT NULL AND weight IS NOT NULL AND src <> dst")
+    e = e.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min("weight").alias("weight"))
+    e = checkpointed(e.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.struct("weight", "src", "dst").alias("edge")))
+    forest = e.select("edge.src", "edge.dst", "edge.weight").limit(0)
+    while not e.isEmpty():
+        ends = e.select("a", "b", "edge").union(e.select(F.col("b"), F.col("a"), F.col("edge")))
+        taken = ends.groupBy("a").agg(F.min(F.struct("edge", "b")).alias("t"))
+        taken = checkpointed(taken.select("a", F.col("t.b").alias("b"), F.col("t.edge").alias("edge")))
+        forest = checkpointed(forest.union(taken.select("edge.src", "edge.dst", "edge.weight").distinct()))
+        part = checkpointed(connected_components(taken.select(F.col("a").alias("src"), F.col("b").alias("dst")), small))
+        for end in "ab":
+            e = e.join(part.select(F.col("node").alias(end), F.col("component").alias(f"p{end}")), end, "left")
+        e = e.select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"), "edge").where("a <> b")
+        # Of all edges between the same two parts only the lightest can be taken.
+        e = checkpointed(e.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("edge").alias("edge")))
+    return forest
+
+
+def forest_paths(forest: DataFrame) -> DataFrame:
+    """``forest(src, dst)`` -> ``(start, stop, seq, src, dst)``: its edges along paths between ends and branches.
+
+    A path's inner nodes have two edges, its ends have one or several; ``start < stop`` name it, as no
+    two paths of a forest share both.  ``seq`` counts its edges from 0, each pointing from ``src`` to
+    ``dst`` towards ``stop``.  Each way of an edge looks twice as far along the path in every round.
+    The edges must not hold a cycle; for such the rounds would not end, so they stop with an error.
+    """
+    ways = forest.select("src", "dst").union(forest.select(F.col("dst"), F.col("src")))
+    nodes = ways.groupBy("src").agg(F.count("*").alias("degree")).withColumnRenamed("src", "node")
+    onward = ways.select(F.col("src").alias("dst"), F.col("dst").alias("then"))
+    inner = nodes.where("degree = 2").select(F.col("node").alias("dst"))
+    ahead = ways.join(inner, "dst").join(onward, "dst").where("then <> src").select("src", "dst", F.struct(F.col("dst").alias("s"), F.col("then").alias("d")).alias("next"))
+    way = F.struct(F.col("src").alias("s"), F.col("dst").alias("d")).alias("way")
+    last = F.coalesce("next", F.struct(F.col("src").alias("s"), F.col("dst").alias("d"))).alias("last")
+    state = ways.join(ahead, ["src", "dst"], "left").select(way, last, F.col("next").isNotNull().cast("long").alias("hops"), F.col("next").isNull().alias("done"))
+    state = checkpointed(state)
+    most, rounds = state.count(), 0
+    while not state.where("NOT done").isEmpty():
+        if 1 << rounds > most:
+            raise ValueError("the edges hold a cycle")
+        rounds += 1
+        far = state.select(F.col("way").alias("last"), F.col("last").alias("beyond"), F.col("hops").alias("more"), F.col("done").alias("ended"))
+        open_ = state.where("NOT done").join(far, "last").select("way", F.col("beyond").alias("last"), (F.col("hops") + F.col("more")).alias("hops"), F.col("ended").alias("done"))
+        state = checkpointed(state.where("done").unionByName(open_))
+    back = state.select(F.struct(F.col("way.d").alias("s"), F.col("way.s").alias("d")).alias("way"), F.col("last.d").alias("start"), F.col("hops").alias("seq"))
+    both = state.select("way", F.col("last.d").alias("stop")).join(back, "way").where("start < stop")
+    return both.select("start", "stop", "seq", F.col("way.s").alias("src"), F.col("way.d").alias("dst"))
+
+
 def grid_components(active: DataFrame, offsets: list[tuple[int, int]], link: Column | None = None) -> DataFrame:
     """``active(row, col, ..)`` with ``component`` (smallest member as row * 2^31 + col) and ``size``.
 

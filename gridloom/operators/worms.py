@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gridloom.operators.graph import connected_components
+from gridloom.operators.graph import connected_components, forest_paths, minimum_spanning_forest
 from gridloom.operators.spectral import Spectrum, upward
 
 
@@ -121,6 +121,34 @@ def clusters(points: DataFrame, eps: float, least_z: float = 1.0) -> DataFrame:
     return use.join(found, "id").join(sizes, "cluster").select("z", "id", "x", "y", "cluster")
 
 
+def neighbour_links(cells: DataFrame, keys: list[str] | None = None, most: int = 2) -> DataFrame:
+    """``(src, dst, weight)``: ids of each of ``cells(keys.., id, row, col)`` and of its ``most`` nearest cells among the eight around it.
+
+    Of equally near ones the lower row, then the lower column counts.
+    """
+    keys = keys or []
+    around = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r in (-1, 0, 1) for c in (-1, 0, 1) if (r, c) != (0, 0)])
+    a = cells.select(*keys, F.col("id").alias("src"), "row", "col", F.explode(around).alias("o"))
+    a = a.select(*keys, "src", (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"), (F.col("o.dr") ** 2 + F.col("o.dc") ** 2).alias("d2"))
+    met = a.join(cells.select(*keys, F.col("id").alias("dst"), "row", "col"), [*keys, "row", "col"])
+    near = met.groupBy("src").agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "row", "col", "dst"))), 1, most).alias("n"))  # at most eight
+    return near.select("src", F.explode("n").alias("n")).select("src", "n.dst", F.sqrt("n.d2").alias("weight"))
+
+
+def edge_segments(cells: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``(segment, seq, id)``: unbranched stretches of the least tree over ``neighbour_links`` of edge cells, from end to end.
+
+    Levels are told apart by ``keys``, but no level is a group of its own; ids are unique over all
+    levels.  Each link of the tree is in one segment, a cell where it branches in several; a cell
+    without neighbours is in none.  A segment is named by its first and last id.
+    """
+    tree = minimum_spanning_forest(neighbour_links(cells, keys))
+    path = forest_paths(tree)
+    name = F.concat_ws("-", "start", "stop").alias("segment")
+    first = path.where("seq = 0").select(name, F.lit(0).cast("long").alias("seq"), F.col("src").alias("id"))
+    return first.unionByName(path.select(name, (F.col("seq") + 1).alias("seq"), F.col("dst").alias("id")))
+
+
 _NEAREST = 10
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridloom.functions import scalar
-from gridloom.operators import field, focal, lines, outlines, stats, streamlines, surfaces, wavelet, worms
+from gridloom.operators import field, focal, graph, lines, outlines, stats, streamlines, surfaces, wavelet, worms
 from gridloom.plans.registry import CELLS, GRID_SQL, N, add, grid, out, rounded
 from gridloom.sources import fixtures
 
@@ -371,11 +371,53 @@ n AS (SELECT c.root, count(*) AS cells, sum(CASE WHEN r.id IS NOT NULL THEN 1 EL
  FROM cell c LEFT JOIN ok r ON r.row = c.row AND r.col = c.col + 1 LEFT JOIN ok u ON u.row = c.row + 1 AND u.col = c.col LEFT JOIN ok x ON x.row = c.row + 1 AND x.col = c.col + 1 GROUP BY 1)
 SELECT CAST(cells AS DOUBLE) AS area, CAST(1 - (cells - pairs + quads) AS BIGINT) AS holes, count(*) AS n FROM n GROUP BY 1, 2""",
 )
+def _peaks(s: SparkSession, d: str) -> DataFrame:
+    """Cells that stand out by two measures; ids are unique over both."""
+    g = grid(s, d)
+    level = g.agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"))  # one row
+    levels = F.explode(F.array(*[F.struct(F.lit(z).alias("z"), F.lit(k).alias("k")) for z, k in ((0, 0.9), (1, 1.2))])).alias("l")
+    cells = g.crossJoin(F.broadcast(level)).select("row", "col", "v", "m", "sd", levels).where(F.col("v") > F.col("m") + F.col("l.k") * F.col("sd"))
+    return cells.select("l.z", (F.col("l.z") * N * N + F.col("row") * N + F.col("col")).cast("long").alias("id"), "row", "col")
+
+
+#: Of all links in the order of weight and ids, those whose ends no earlier links connect.
+_TREE = f"""{GRID_SQL}, pk AS (SELECT z, CAST(z * {N * N} + row * {N} + col AS BIGINT) AS id, row, col FROM g, (VALUES (0, 0.9), (1, 1.2)) l(z, k) WHERE v > (SELECT avg(v) FROM g) + k * (SELECT stddev_pop(v) FROM g)),
+nb AS (SELECT a.id AS x, b.id AS y, (a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col) AS d, row_number() OVER (PARTITION BY a.id ORDER BY (a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col), b.row, b.col) AS k
+  FROM pk a JOIN pk b ON a.z = b.z AND a.id <> b.id AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1),
+li AS MATERIALIZED (SELECT x, y, d, row_number() OVER (ORDER BY d, x, y) AS o FROM (SELECT DISTINCT least(x, y) AS x, greatest(x, y) AS y, d FROM nb WHERE k <= 2)),
+way AS MATERIALIZED (SELECT x AS a, y AS b, o FROM li UNION ALL SELECT y, x, o FROM li),
+met(o, id) AS (SELECT o, x FROM li UNION SELECT met.o, way.b FROM met JOIN way ON way.a = met.id AND way.o < met.o),
+tree AS MATERIALIZED (SELECT x AS src, y AS dst, sqrt(d) AS weight FROM li WHERE NOT EXISTS (SELECT 1 FROM met WHERE met.o = li.o AND met.id = li.y))"""
+add(
+    "worm_tree", lambda s, d: out(graph.minimum_spanning_forest(worms.neighbour_links(_peaks(s, d), ["z"])), 7, "weight"),
+    f"WITH RECURSIVE {_TREE} SELECT src, dst, round(weight, 7) AS weight FROM tree",
+)
+add(
+    "worm_segments", lambda s, d: worms.edge_segments(_peaks(s, d), ["z"]),
+    f"""WITH RECURSIVE {_TREE}, arc AS (SELECT src AS a, dst AS b FROM tree UNION ALL SELECT dst, src FROM tree), deg AS (SELECT a AS id, count(*) AS n FROM arc GROUP BY a),
+walk(start, path, prev, id) AS (SELECT a, [a, b], a, b FROM arc JOIN deg ON deg.id = a WHERE n <> 2
+  UNION ALL SELECT start, list_append(path, arc.b), walk.id, arc.b FROM walk JOIN deg ON deg.id = walk.id AND deg.n = 2 JOIN arc ON arc.a = walk.id AND arc.b <> walk.prev)
+SELECT start || '-' || id AS segment, CAST(generate_subscripts(path, 1) - 1 AS BIGINT) AS seq, unnest(path) AS id FROM walk JOIN deg USING (id) WHERE n <> 2 AND start < id""",
+)
 add(
     "outline_corners", lambda s, d: outlines.rings(_islands(s, d)).groupBy("row", "col").agg((F.sum(F.when(F.col("seq") > 0, 1).otherwise(0))).alias("n")),
     f"""WITH {_ISLANDS}, side AS (SELECT row + dr AS row, col + dc AS col FROM ok CROSS JOIN (VALUES (-1, 0, 0, 0), (0, 1, 0, 1), (1, 0, 1, 1), (0, -1, 1, 0)) w(nr, nc, dr, dc) WHERE NOT EXISTS (SELECT 1 FROM ok o WHERE o.row = ok.row + nr AND o.col = ok.col + nc))
 SELECT row, col, count(*) AS n FROM side GROUP BY 1, 2""",
 )
+# Walks from every side that could be its ring's smallest; those that meet a smaller one on the way are given up.
+add(
+    "outline_wkt", lambda s, d: outlines.polygons(_islands(s, d), 100.0, 50.0, 2.0, -1.5),
+    f"""WITH RECURSIVE {_ISLANDS}, {_REACH},
+side AS MATERIALIZED (SELECT (row + dr) * 1000 + (col + dc) * 4 + d AS id, row + dr AS r, col + dc AS c, row + er AS r1, col + ec AS c1, d, root
+  FROM ok JOIN lab USING (id) CROSS JOIN (VALUES (-1, 0, 0, 0, 0, 1, 0), (0, 1, 0, 1, 1, 1, 1), (1, 0, 1, 1, 1, 0, 2), (0, -1, 1, 0, 0, 0, 3)) w(nr, nc, dr, dc, er, ec, d)
+  WHERE NOT EXISTS (SELECT 1 FROM ok o WHERE o.row = ok.row + nr AND o.col = ok.col + nc)),
+nxt AS MATERIALIZED (SELECT a.id, arg_min(b.id, CASE WHEN b.d = (a.d + 1) % 4 THEN 0 ELSE 1 END) AS to_ FROM side a JOIN side b ON b.r = a.r1 AND b.c = a.c1 GROUP BY a.id),
+walk(start, seq, id, home) AS (SELECT id, 0, id, false FROM side WHERE d < 2 UNION ALL SELECT start, seq + 1, to_, to_ = start FROM walk JOIN nxt USING (id) WHERE NOT home AND to_ >= start),
+ring AS (SELECT w.start, string_agg(CAST(100.0 + c * 2.0 AS DOUBLE) || ' ' || CAST(50.0 - r * 1.5 AS DOUBLE), ', ' ORDER BY seq) AS text, any_value(root) AS root, sum(c * r1 - c1 * r) FILTER (WHERE NOT home) < 0 AS hole
+  FROM walk w JOIN side ON side.id = w.id WHERE w.start IN (SELECT start FROM walk WHERE home) GROUP BY 1),
+size_ AS (SELECT root, count(*) AS n FROM lab GROUP BY 1), poly AS (SELECT root, min(start) FILTER (WHERE NOT hole) AS place, count(*) - 1 AS holes, string_agg('(' || text || ')', ', ' ORDER BY hole, start) AS text FROM ring GROUP BY 1)
+SELECT row_number() OVER (ORDER BY place) AS id, 'Multipolygon boundary' AS type, CAST(n AS DOUBLE) AS area, holes, 'POLYGON (' || text || ')' AS wkt FROM poly JOIN size_ USING (root)""",
+)
 add("streamline_length", lambda s, d: out(streamlines.streamline_length(focal.anisotropy(grid(s, d), N, N), N, N, most=40)))
 add("b_spline", lambda s, d: out(surfaces.b_spline(fixtures.stations(s, d), N, N, 4), 4))
 add(
