@@ -5,9 +5,10 @@ tokenizer B.  All tokens of both are sorted together by their starts and the run
 their ends is taken: a group ends where a start reaches that maximum.  Within a group, every token
 behind the first overlaps the newest token of the other side, which lists each overlapping pair once.
 
-Both tokenizers end a token where white space begins, so texts are cut there and equal stretches
-are encoded and aligned once per worker; a bounded number of them is remembered.  A vocabulary
-with merges over white space is taken text by text instead.
+Both tokenizers end a token where white space begins (but for the few characters of it that stand
+inside B's pieces), so texts are cut there and equal stretches are encoded and aligned once per
+worker; a bounded number of them is remembered.  Vocabularies with merges over blanks are taken text
+by text instead.
 
 How often a pair of ids is linked is counted over the whole corpus: counts per document are summed
 per pair.  Pairs with more than one in ``HOT_SHARE`` of all links, fewer than ``HOT_SHARE`` by that
@@ -22,6 +23,7 @@ Columns named like a result column are replaced; all others but the text pass th
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from collections.abc import Iterator
@@ -37,15 +39,13 @@ from gridloom.llm.columns import free
 from gridloom.plans.scratch import materialise
 
 #: Stretches of at most this many characters are remembered, and so many of them by a worker.
-SHORT, REMEMBERED = 48, 150_000
+SHORT, REMEMBERED = 48, 300_000
 #: Characters that are aligned at a time.
 CHUNK_CHARS = 2_000_000
 #: Pairs with more than one in this many links are broadcast, so at most this many.
 HOT_SHARE = 400_000
 _FIELDS = "n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<struct<pair:long,n:long>>"
 _B_BITS = 32
-#: White space and what follows it.  The text in front of a match never ends in white space.
-_STRETCH = re.compile(r"\s+\S*")
 
 
 def _bytes_of_letters() -> dict[str, int]:
@@ -90,12 +90,18 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_len, self.b_len = (np.array([len(t) for t in x], dtype=np.int64) for x in (self.a_bytes, self.b_bytes))
+        #: Bits of B's ids and of a pair; a text's number takes the rest of 63.
+        self.b_bits = len(pieces).bit_length()
+        self.pair_bits = self.b_bits + size.bit_length()
         self.blank = self.b.piece_to_id("▁")
         rules = json.loads(self.a.to_str())
         first = rules["pre_tokenizer"] or {}
         by_words = rules["normalizer"] is None and first.get("type") == "ByteLevel" and first.get("use_regex") is True and not first.get("add_prefix_space")
         whole = [p for i, p in enumerate(pieces) if not self.b.is_byte(i) and len(p) > 1]
-        self.cuts = by_words and not any("▁" in p.lstrip("▁") or any(c.isspace() for c in p) for p in whole)
+        #: White space and what follows it, up to white space that may begin a stretch.
+        glued = re.escape("".join(sorted({c for p in whole for c in p[1:] if c.isspace()})))
+        self.stretch = re.compile(rf"[^\S{glued}]\s*\S*" + (rf"(?:[{glued}]\s*\S*)*" if glued else ""))
+        self.cuts = by_words and not any("▁" in p.lstrip("▁") for p in whole)
         #: Decimal ids with what may follow: , within a kind of a group, | before B, ; behind a group.
         self.cells = [f"{i}{c}" for c in ",|" for i in range(size)] + [f"{i}{c}" for c in ",;" for i in range(len(pieces))]
         self.remembered, self.core = remembered, 0
@@ -119,13 +125,22 @@ class Aligner:
         found = self.b.encode([c[1:] if blank else c for c, blank in zip(stretches, blanks)], num_threads=1)
         return [(ids or [self.blank]) if blank else ids[1:] for ids, blank in zip(found, blanks)]
 
+    def _spelt(self, raw: list[bytes], ids: list[list[int]], table: list[bytes]) -> bool:
+        """Whether the tokens of every stretch spell it: all of them together, and each to its length."""
+        upto = np.cumsum([len(x) for x in ids])
+        flat = list(map(table.__getitem__, chain.from_iterable(ids)))
+        ends = np.append(0, np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat))))[upto]
+        return bool((ends == np.cumsum([len(r) for r in raw])).all()) and b"".join(flat) == b"".join(raw)
+
     def _learn(self, stretches: list[str]) -> None:
         """Encode and align new stretches, all in one sweep over their bytes laid end to end."""
         a = [e.ids for e in self.a.encode_batch_fast(stretches, add_special_tokens=False)]
         b = self._b_ids(stretches)
         raw = [c.encode() for c in stretches]
-        good = np.array([b"".join(map(self.a_bytes.__getitem__, x)) == r == b"".join(map(self.b_bytes.__getitem__, y)) for r, x, y in zip(raw, a, b)], dtype=bool)
-        a, b = ([x if g else [] for x, g in zip(ids, good)] for ids in (a, b))
+        good = np.ones(len(raw), dtype=bool)
+        if not all(self._spelt(raw, x, y) for x, y in ((a, self.a_bytes), (b, self.b_bytes))):
+            good = np.array([b"".join(map(self.a_bytes.__getitem__, x)) == r == b"".join(map(self.b_bytes.__getitem__, y)) for r, x, y in zip(raw, a, b)], dtype=bool)
+            a, b = ([x if g else [] for x, g in zip(ids, good)] for ids in (a, b))
         n_a, n_b = (np.array([len(x) for x in ids], dtype=np.int64) for ids in (a, b))
         ids = [np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b)]
         ends = [np.cumsum(size[x]) for size, x in zip((self.a_len, self.b_len), ids)]
@@ -139,7 +154,7 @@ class Aligner:
         facts = np.stack([n_a, n_b, n_groups, np.where(good, n_links, -1)], axis=1)
         self.facts = np.concatenate([self.facts, facts])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(n_links)])
-        self.pairs = np.concatenate([self.pairs, both[left] << _B_BITS | both[right]])
+        self.pairs = np.concatenate([self.pairs, both[left] << self.b_bits | both[right]])
         # Within a group first all of A, then all of B, each by start.
         by = np.lexsort((kinds[order], group))
         token, g = order[by], group[by]
@@ -152,7 +167,7 @@ class Aligner:
 
     def _places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(places of all stretches of the texts among the known ones, how many each text has)."""
-        split = [_STRETCH.findall(f" {t}") if self.cuts else [f" {t}"] if t else [] for t in texts]
+        split = [self.stretch.findall(f" {t}") if self.cuts else [f" {t}"] if t else [] for t in texts]
         new = list(dict.fromkeys(c for c in chain.from_iterable(split) if c not in self.known))
         new.sort(key=lambda c: len(c) > SHORT)
         self.fresh_short = len(self.text) + sum(len(c) <= SHORT for c in new)
@@ -164,6 +179,16 @@ class Aligner:
 
     def align(self, texts: list[str | None]) -> pa.StructArray:
         """``n_a, n_b, n_groups, n_links, groups, pairs`` of each text; a pair is A's id times 2^32 plus B's."""
+        # Many small lists and no cycles: searching them for garbage takes a quarter of the time.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._aligned(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _aligned(self, texts: list[str | None]) -> pa.StructArray:
         full = [t or "" for t in texts]
         place, count = self._places(full)
         doc = np.repeat(np.arange(len(full)), count)
@@ -180,12 +205,14 @@ class Aligner:
         n = facts[:, 3]
         where = np.repeat(self.at[place] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         pair, owner = self.pairs[where], np.repeat(doc, n)
-        by = np.lexsort((pair, owner))
-        pair, owner = pair[by], owner[by]
-        first = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (owner[1:] != owner[:-1]))) if len(pair) else np.zeros(0, np.int64)
-        times = np.diff(first, append=len(pair))
-        offsets = np.searchsorted(owner[first], np.arange(len(full) + 1)).astype(np.int32)
-        items = pa.StructArray.from_arrays([pa.array(pair[first]), pa.array(times)], names=["pair", "n"])
+        key = np.sort(owner << self.pair_bits | pair)
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        times = np.diff(first, append=len(key))
+        key = key[first]
+        offsets = np.searchsorted(key >> self.pair_bits, np.arange(len(full) + 1)).astype(np.int32)
+        pair = key & (1 << self.pair_bits) - 1
+        pair = pair >> self.b_bits << _B_BITS | pair & (1 << self.b_bits) - 1
+        items = pa.StructArray.from_arrays([pa.array(pair), pa.array(times)], names=["pair", "n"])
         self._trim()
         return pa.StructArray.from_arrays([*[pa.array(x) for x in sums], pa.array(groups, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), items)], names=["n_a", "n_b", "n_groups", "n_links", "groups", "pairs"])
 
