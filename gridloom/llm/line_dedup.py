@@ -96,7 +96,9 @@ def dedup(docs: DataFrame, min_docs: int = 2, min_chars: int = 10, id_col: str =
     """``docs`` with its texts without shared lines, and ``n_lines long`` (before), ``n_dropped long``."""
     keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     k1, k2, gone = free(docs, "_d1", "_d2", "_dropped")
-    lost = materialise(dropped_positions(keyed_lines(docs, min_chars, id_col, text_col), min_docs), "lines-lost")
+    # Read three times; splitting the texts costs more than writing hashes and positions once.
+    lines = materialise(keyed_lines(docs, min_chars, id_col, text_col), "lines")
+    lost = materialise(dropped_positions(lines, min_docs), "lines-lost")
     d1, d2 = _two(F.col(id_col), _text(text_col))
     rows = docs.withColumns({k1: d1, k2: d2}).join(lost.toDF(k1, k2, gone), [k1, k2], "left")
     text = _text(text_col)
