@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from gridloom.plans.scratch import checkpointed
+
 _HAT = 2 / (math.sqrt(3) * math.pi**0.25)
 _REACH = 8.0
 
@@ -19,54 +22,97 @@ def _kernel(scale: float) -> np.ndarray:
     return np.diff(_HAT * edge * np.exp(-edge * edge / 2)) * math.sqrt(scale)
 
 
-def transform(points: DataFrame, n_scales: int = 10, scales: list[float] | None = None) -> DataFrame:
+#: Samples of a line that one row of the transform holds.
+BLOCK = 1 << 16
+_DIRECT = 1 << 24
+
+
+def _response(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """``np.convolve(x, kernel)``; by a transform where that is many products."""
+    if len(x) * len(kernel) <= _DIRECT:
+        return np.convolve(x, kernel)
+    n = len(x) + len(kernel) - 1
+    m = 1 << (n - 1).bit_length()
+    return np.fft.irfft(np.fft.rfft(x, m) * np.fft.rfft(kernel, m), m)[:n]
+
+
+def transform(points: DataFrame, n_scales: int = 10, scales: list[float] | None = None, block: int = BLOCK) -> DataFrame:
     """``(line_id, scale_no, scale, pos, w)`` of ``points(line_id, pos, v)``, ``pos`` from 0 without gaps.
 
     Values are scaled to 0..1 along each line; beyond its ends they count as 0.  Without given
-    scales there are ``n_scales`` from 1 to a quarter of the line's length, at even ratios.  A line
-    is one group; lines of fewer than two samples or of one value have no transform.
-    """
+    scales there are ``n_scales`` from 1 to a quarter of the line's length, at even ratios.  Lines of
+    fewer than two samples or of one value have no transform.
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        v = group.sort_values("pos")["v"].to_numpy(float)
-        span = v.max() - v.min() if len(v) > 1 else 0.0
-        out = []
-        if span > 0:
-            x = (v - v.min()) / span
-            for k, a in enumerate(scales or np.logspace(0, math.log10(max(len(x) / 4, 1.0)), n_scales).tolist()):
-                kernel = _kernel(a)
-                h = len(kernel) // 2
-                w = np.convolve(x, kernel)[h : h + len(x)]
-                out.append(pd.DataFrame({"line_id": key[0], "scale_no": k, "scale": a, "pos": np.arange(len(x)), "w": w}))
-        return pd.concat(out) if out else pd.DataFrame({"line_id": [], "scale_no": [], "scale": [], "pos": [], "w": []})
-
-    ok = points.where("v IS NOT NULL").select("line_id", "pos", "v")
-    return ok.groupBy("line_id").applyInPandas(run, "line_id long, scale_no int, scale double, pos int, w double")
-
-
-def peaks(rows: DataFrame, keys: list[str], value: str, least: float = 0.0, distance: int = 1) -> DataFrame:
+    Lines are cut into blocks; a task makes one stretch of one line on one scale from the blocks
+    within the wavelet's reach of eight scales.  Stretches grow with the scale, so that a block is
+    sent to about three of them: fine scales of a long line are many tasks, and the coarsest ones
+    hold the line's packed values.
+    """
+    ok = points.where("v IS NOT NULL").select("line_id", "pos", F.col("v").cast("double").alias("v"), F.floor(F.col("pos") / block).alias("b"))
+    blocks = ok.groupBy("line_id", "b").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("p"))
+    blocks = checkpointed(blocks.select("line_id", "b", F.col("p.v").alias("v")))
+    spans = blocks.groupBy("line_id").agg(F.sum(F.size("v")).alias("n"), F.min(F.array_min("v")).alias("low"), F.max(F.array_max("v")).alias("high")).where("n > 1 AND high > low")
+    if scales is None:
+        top, steps = F.log10(F.greatest(F.col("n") / 4, F.lit(1.0))), max(n_scales - 1, 1)
+        all_ = F.transform(F.sequence(F.lit(0), F.lit(n_scales - 1)), lambda k: F.struct(k.alias("scale_no"), F.pow(F.lit(10.0), k * top / steps).alias("scale")))
+    else:
+        all_ = F.array(*[F.struct(F.lit(k).alias("scale_no"), F.lit(float(a)).alias("scale")) for k, a in enumerate(scales)])
+    each = blocks.join(spans, "line_id").select("line_id", "b", "n", "low", "high", "v", F.explode(all_).alias("s")).select("*", "s.scale_no", "s.scale")
+    reach = F.ceil(F.lit(_REACH) * F.col("scale"))
+    span = (F.greatest(F.lit(1), F.ceil(reach / block)) * block).cast("long")
+    first = F.greatest(F.lit(0), F.floor((F.col("b") * block - reach) / span)).cast("long")
+    last = F.least(F.floor((F.col("n") - 1) / span), F.floor((F.col("b") * block + block - 1 + reach) / span)).cast("long")
+    parts = each.select("line_id", "scale_no", "scale", "n", "low", "high", "b", "v", span.alias("span"), F.explode(F.sequence(first, last)).alias("part"))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("b")
+        head = group.iloc[0]
+        v = np.concatenate([np.asarray(x, float) for x in group["v"]])
+        x = (v - head.low) / (head.high - head.low)
+        kernel = _kernel(float(head.scale))
+        at, to = int(head.part * head.span), int(min((head.part + 1) * head.span, head.n))
+        skip = len(kernel) // 2 + at - int(head.b) * block
+        w = _response(x, kernel)[skip : skip + to - at]
+        return pd.DataFrame({"line_id": head.line_id, "scale_no": np.int32(head.scale_no), "scale": head.scale, "pos": np.arange(at, to), "w": w})
+
+    return parts.groupBy("line_id", "scale_no", "part").applyInPandas(run, "line_id long, scale_no int, scale double, pos int, w double")
+
+
+def peaks(rows: DataFrame, keys: list[str], value: str, least: float = 0.0, distance: int = 1, block: int = BLOCK) -> DataFrame:
     """Rows of ``(keys.., pos, value)`` above both neighbours (one at an end) and above ``least`` times the group's maximum.
 
     Of peaks closer than ``distance`` only the highest stays, by going down from the highest; of
-    equal ones the later place goes first.
+    equal ones the later place goes first.  A group is cut into blocks of places; what a block needs
+    of others (the value before and behind it, the group's maximum) is one row for each block.
+    Peaks are thinned block by block, those of blocks together whose outermost peaks are closer than
+    ``distance``.
     """
-    w = Window.partitionBy(*keys).orderBy("pos")
-    rise = lambda c: F.coalesce(F.col(value) > c, F.lit(True))
-    top = F.max(value).over(Window.partitionBy(*keys))
-    found = rows.withColumn("_up", rise(F.lag(value).over(w)) & rise(F.lead(value).over(w))).withColumn("_top", top)
-    found = found.where(F.col("_up") & ((F.col(value) > F.col("_top") * least) if least > 0 else F.lit(True))).drop("_up", "_top")
+    own = lambda c: F.coalesce(F.col(value) > c, F.lit(True))
+    cut = rows.withColumn("_b", F.floor(F.col("pos") / block))
+    edges = cut.groupBy(*keys, "_b").agg(F.min_by(value, "pos").alias("_first"), F.max_by(value, "pos").alias("_last"), F.max(value).alias("_top"))
+    line = Window.partitionBy(*keys).orderBy("_b")
+    edges = edges.select(*keys, "_b", F.lag("_last").over(line).alias("_before"), F.lead("_first").over(line).alias("_behind"), F.max("_top").over(Window.partitionBy(*keys)).alias("_top"))
+    w = Window.partitionBy(*keys, "_b").orderBy("pos")
+    found = cut.join(edges, [*keys, "_b"]).withColumn("_up", own(F.coalesce(F.lag(value).over(w), "_before")) & own(F.coalesce(F.lead(value).over(w), "_behind")))
+    found = found.where(F.col("_up") & ((F.col(value) > F.col("_top") * least) if least > 0 else F.lit(True))).select(*rows.columns, "_b")
     if distance <= 1:
-        return found
+        return found.drop("_b")
+    found = checkpointed(found)
+    ends = found.groupBy(*keys, "_b").agg(F.min("pos").alias("_first"), F.max("pos").alias("_last"))
+    free = F.coalesce(F.col("_first") - F.lag("_last").over(line) >= distance, F.lit(True))
+    runs = ends.select(*keys, "_b", free.cast("int").alias("_free")).select(*keys, "_b", F.sum("_free").over(line).alias("_run"))
+
+    names = rows.columns
 
     def thin(group: pd.DataFrame) -> pd.DataFrame:
-        order = group.sort_values([value, "pos"], ascending=False)
-        places: list[int] = []
-        for p in order["pos"]:
-            if all(abs(p - q) >= distance for q in places):
-                places.append(p)
-        return group[group["pos"].isin(places)]
+        kept: list[int] = []
+        for p in group.sort_values([value, "pos"], ascending=False)["pos"].tolist():
+            k = bisect_left(kept, p)
+            if (k == 0 or p - kept[k - 1] >= distance) and (k == len(kept) or kept[k] - p >= distance):
+                kept.insert(k, p)
+        return group[group["pos"].isin(kept)][names]
 
-    return found.groupBy(*keys).applyInPandas(thin, found.schema)
+    return found.join(runs, [*keys, "_b"]).groupBy(*keys, "_run").applyInPandas(thin, rows.schema)
 
 
 def modulus_maxima(coefficients: DataFrame, least: float = 0.05, distance: int = 3) -> DataFrame:
@@ -85,15 +131,21 @@ def chains(maxima: DataFrame, reach: float = 2.0) -> DataFrame:
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         levels = [g.sort_values("pos") for _, g in group.groupby("scale")]
-        kept = [[row] for row in levels[0].itertuples(index=False)] if levels and levels[0]["scale_no"].iloc[0] == 0 else []
-        for before, level in zip(levels, levels[1:]):
+        start = levels[0] if levels and levels[0]["scale_no"].iloc[0] == 0 else group.iloc[:0]
+        here, parts = start["pos"].to_numpy(float), [start.assign(chain=np.arange(len(start)))]
+        for before, level in zip(levels, levels[1:] if len(start) else []):
             near, at = reach * level["scale"].iloc[0] / before["scale"].iloc[0], level["pos"].to_numpy(float)
-            for chain in kept:
-                d = np.abs(at - chain[-1].pos)
-                if d.min() < near:
-                    chain.append(next(level.iloc[[int(d.argmin())]].itertuples(index=False)))
-        rows = [(key[0], c, r.scale_no, r.scale, r.pos, r.value) for c, chain in enumerate(k for k in kept if len(k) > 1) for r in chain]
-        return pd.DataFrame(rows, columns=["line_id", "chain", "scale_no", "scale", "pos", "value"])
+            right = np.minimum(np.searchsorted(at, here), len(at) - 1)
+            left = np.maximum(right - 1, 0)
+            best = np.where(np.abs(at[left] - here) <= np.abs(at[right] - here), left, right)
+            met = np.flatnonzero(np.abs(at[best] - here) < near)
+            parts.append(level.iloc[best[met]].assign(chain=met))
+            here[met] = at[best[met]]
+        rows = pd.concat(parts)
+        long_ = rows.groupby("chain")["pos"].transform("size") > 1 if len(rows) else np.zeros(0, bool)
+        rows = rows[long_]
+        names = np.unique(rows["chain"])
+        return rows.assign(line_id=key[0], chain=np.searchsorted(names, rows["chain"]))[["line_id", "chain", "scale_no", "scale", "pos", "value"]]
 
     return maxima.groupBy("line_id").applyInPandas(run, "line_id long, chain int, scale_no int, scale double, pos int, value double")
 

@@ -312,11 +312,10 @@ SELECT line_id, k, round(b.x + coalesce((b.x1 - b.x) * (d - b.d0) / nullif(b.ste
 
 
 def _signals(s: SparkSession, d: str) -> DataFrame:
-    p = lines.along(fixtures.survey_lines(s, d)).select("line_id", (F.col("pos") - 1).alias("pos"), "v")
-    return p.where("line_id % 5 = 0")
+    return lines.along(fixtures.survey_lines(s, d)).select("line_id", (F.col("pos") - 1).alias("pos"), "v")
 
 
-_SIG = """pts AS (SELECT user_id AS line_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS pos, value AS v FROM events WHERE user_id % 5 = 0),
+_SIG = """pts AS (SELECT user_id AS line_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS pos, value AS v FROM events),
 mm AS (SELECT line_id, min(v) AS lo, max(v) AS hi, count(*) AS n FROM pts GROUP BY 1), sg AS (SELECT pts.line_id, pos, (v - lo) / (hi - lo) AS x FROM pts JOIN mm USING (line_id) WHERE hi > lo),
 sc AS (SELECT line_id, CAST(k.range AS INTEGER) AS scale_no, power(10, k.range * log10(greatest(n / 4.0, 1)) / 4) AS scale FROM mm, range(5) k WHERE hi > lo),
 kk AS (SELECT sc.*, b.pos, sum(a.x * sqrt(scale) * 2 / sqrt(3) / power(pi(), 0.25) * (
@@ -335,8 +334,27 @@ def _maxima(s: SparkSession, d: str) -> DataFrame:
 _MAX = f"""{_SIG}, ab AS (SELECT *, abs(w) AS a, max(abs(w)) OVER (PARTITION BY line_id, scale_no) AS top, lag(abs(w)) OVER o AS l, lead(abs(w)) OVER o AS r FROM kk WINDOW o AS (PARTITION BY line_id, scale_no ORDER BY pos)),
 mx AS (SELECT line_id, scale_no, scale, pos, a AS value FROM ab WHERE a > coalesce(l, -1) AND a > coalesce(r, -1) AND a > 0.05 * top)"""
 add("wavelet_maxima", lambda s, d: out(_maxima(s, d).select("line_id", "scale_no", "pos", "value"), 6, "value"), f"WITH {_MAX} SELECT line_id, scale_no, pos, round(value, 6) AS value FROM mx")
-add("wavelet_maxima_apart", lambda s, d: out(wavelet.modulus_maxima(wavelet.transform(_signals(s, d), 5)).select("line_id", "scale_no", "pos", "value"), 6, "value"))
-add("wavelet_chains", lambda s, d: out(wavelet.chains(_maxima(s, d)).select("line_id", "chain", "scale_no", "pos", "value"), 6, "value"))
+# Peaks closer than three places, from the highest down, the later of equal ones first.
+add(
+    "wavelet_maxima_apart", lambda s, d: out(wavelet.modulus_maxima(wavelet.transform(_signals(s, d), 5)).select("line_id", "scale_no", "pos", "value"), 6, "value"),
+    f"""WITH {_MAX}, kept AS (SELECT line_id, scale_no, unnest(list_reduce(list([pos] ORDER BY value DESC, pos DESC), lambda a, p: CASE WHEN len(list_filter(a, lambda q: abs(q - p[1]) < 3)) > 0 THEN a ELSE list_concat(a, p) END)) AS pos FROM mx GROUP BY 1, 2)
+SELECT line_id, scale_no, pos, round(value, 6) AS value FROM mx JOIN kept USING (line_id, scale_no, pos)""",
+)
+
+
+def _chains_sql() -> str:
+    """Each scale's maxima nearest to where the chains stand, in one relation per scale."""
+    sql = f"""WITH {_MAX}, lv AS MATERIALIZED (SELECT *, dense_rank() OVER (PARTITION BY line_id ORDER BY scale_no) AS k FROM mx),
+c1 AS (SELECT line_id, pos AS start, pos AS here, 1 AS k, scale FROM lv WHERE scale_no = 0)"""
+    for k in range(2, 6):
+        sql += f""", n{k} AS (SELECT c.line_id, c.start, arg_min(lv.pos, (abs(lv.pos - c.here), lv.pos)) AS pos FROM c{k - 1} c JOIN lv ON lv.line_id = c.line_id AND lv.k = {k} AND abs(lv.pos - c.here) < 2.0 * lv.scale / c.scale GROUP BY 1, 2),
+c{k} AS (SELECT c.line_id, c.start, coalesce(n.pos, c.here) AS here, {k} AS k, coalesce(s.scale, c.scale) AS scale FROM c{k - 1} c LEFT JOIN n{k} n USING (line_id, start) LEFT JOIN (SELECT line_id, any_value(scale) AS scale FROM lv WHERE k = {k} GROUP BY 1) s USING (line_id))"""
+    met = " UNION ALL ".join(["SELECT line_id, start, 1 AS k, start AS pos FROM c1", *(f"SELECT line_id, start, {k}, pos FROM n{k}" for k in range(2, 6))])
+    return sql + f""", p AS (SELECT *, count(*) OVER (PARTITION BY line_id, start) AS n FROM ({met})), q AS (SELECT *, dense_rank() OVER (PARTITION BY line_id ORDER BY start) - 1 AS chain FROM p WHERE n > 1)
+SELECT q.line_id, CAST(chain AS INTEGER) AS chain, lv.scale_no, q.pos, round(lv.value, 6) AS value FROM q JOIN lv ON lv.line_id = q.line_id AND lv.k = q.k AND lv.pos = q.pos"""
+
+
+add("wavelet_chains", lambda s, d: out(wavelet.chains(_maxima(s, d)).select("line_id", "chain", "scale_no", "pos", "value"), 6, "value"), _chains_sql())
 add(
     "singularity_spectrum", lambda s, d: out(wavelet.singularity_spectrum(_maxima(s, d), [-2.0, -1.0, 0.0, 1.0, 2.0]), 5, "tau", "h", "d"),
     f"""WITH {_MAX}, qs AS (SELECT unnest([-2.0, -1.0, 0.0, 1.0, 2.0])::DOUBLE AS q), z AS (SELECT line_id, q, scale_no, ln(sum(power(value, q))) AS z, ln(min(scale)) AS a FROM mx, qs GROUP BY 1, 2, 3),
