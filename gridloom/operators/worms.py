@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gridloom.operators.graph import connected_components, forest_paths, minimum_spanning_forest
+from gridloom.operators.graph import SMALL_EDGES, connected_components, forest_paths, minimum_spanning_forest
 from gridloom.operators.spectral import Spectrum, upward
+from gridloom.plans.scratch import checkpointed
 
 
 def _pad(n: int) -> int:
@@ -109,14 +111,49 @@ def near_pairs(points: DataFrame, eps: float, keys: list[str]) -> DataFrame:
     return met.where((F.col("src") < F.col("dst")) & ((F.col("ax") - F.col("x")) ** 2 + (F.col("ay") - F.col("y")) ** 2 <= eps * eps)).select("src", "dst")
 
 
+#: Cells on a side of the squares in which close points are joined.
+_FINE = 8
+
+
+def near_links(points: DataFrame, eps: float, keys: list[str]) -> DataFrame:
+    """``(src, dst)`` links that connect the same points of the same ``keys`` as steps of at most ``eps`` do.
+
+    The points of a square whose diagonal is ``eps`` are all linked to its smallest id.  Two squares
+    need one step between them, which the boxes around the points of their cells decide: one pair of
+    boxes that lies wholly within ``eps`` links them, and only where there is none but some pair
+    might, the points of those cells are compared.  Crowded squares are never expanded into pairs.
+    """
+    side = eps / 1.4143
+    at = lambda c, n: F.floor(F.col(c) / (side / n)).alias(f"{c}{n}")
+    p = points.select(*keys, "id", "x", "y", at("x", 1), at("y", 1), at("x", _FINE), at("y", _FINE))
+    square, cell = [*keys, "x1", "y1"], [f"x{_FINE}", f"y{_FINE}"]
+    heads = p.groupBy(*square).agg(F.min("id").alias("head"))
+    stars = p.join(heads, square).select(F.col("head").alias("src"), F.col("id").alias("dst"))
+    boxes = p.groupBy(*square, *cell).agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("low_", F.min), ("high_", F.max))])
+    boxes = checkpointed(boxes.join(heads, square))
+    half = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3) if (i, j) > (0, 0)])
+    a = boxes.withColumn("o", F.explode(half)).select(*keys, (F.col("x1") + F.col("o.i")).alias("x1"), (F.col("y1") + F.col("o.j")).alias("y1"), *[F.col(c).alias(f"a_{c}") for c in boxes.columns if c not in square])
+    met = a.join(boxes, square)
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"low_{c}") - F.col(f"a_high_{c}"), F.col(f"a_low_{c}") - F.col(f"high_{c}"))
+    span = lambda c: F.greatest(F.abs(F.col(f"high_{c}") - F.col(f"a_low_{c}")), F.abs(F.col(f"a_high_{c}") - F.col(f"low_{c}")))
+    limit, a_cell = eps * eps, [f"a_{c}" for c in cell]
+    met = met.select(*keys, "a_head", "head", *a_cell, *cell, (span("x") ** 2 + span("y") ** 2 <= limit).alias("sure"), (gap("x") ** 2 + gap("y") ** 2 <= limit).alias("may")).where("may")
+    met = checkpointed(met)
+    linked = met.where("sure").select(F.col("a_head").alias("src"), F.col("head").alias("dst")).distinct()
+    open_ = met.join(linked, (F.col("a_head") == F.col("src")) & (F.col("head") == F.col("dst")), "left_anti")
+    where = p.select(*keys, *cell, "x", "y")
+    first = open_.join(where.select(*keys, *[F.col(c).alias(f"a_{c}") for c in cell], F.col("x").alias("ax"), F.col("y").alias("ay")), [*keys, *a_cell])
+    both = first.join(where, [*keys, *cell]).where((F.col("ax") - F.col("x")) ** 2 + (F.col("ay") - F.col("y")) ** 2 <= limit)
+    return stars.union(linked).union(both.select("a_head", "head").distinct())
+
+
 def clusters(points: DataFrame, eps: float, least_z: float = 1.0) -> DataFrame:
     """``points(z, id, x, y)`` with ``cluster``: the smallest id reachable over steps of at most ``eps`` within a level.
 
     Levels below ``least_z`` and single points take no part.
     """
     use = points.where(F.col("z") >= least_z)
-    loops = use.select(F.col("id").alias("src"), F.col("id").alias("dst"))
-    found = connected_components(near_pairs(use, eps, ["z"]).union(loops)).withColumnRenamed("node", "id").withColumnRenamed("component", "cluster")
+    found = connected_components(near_links(use, eps, ["z"]), SMALL_EDGES).withColumnRenamed("node", "id").withColumnRenamed("component", "cluster")
     sizes = found.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1")
     return use.join(found, "id").join(sizes, "cluster").select("z", "id", "x", "y", "cluster")
 
@@ -152,38 +189,93 @@ def edge_segments(cells: DataFrame, keys: list[str] | None = None) -> DataFrame:
 _NEAREST = 10
 
 
+class _Squares:
+    """Points in squares that hold about two of them each, for the nearest ones of a place."""
+
+    def __init__(self, xy: np.ndarray, eps: float):
+        box = np.maximum(np.ptp(xy, axis=0), eps)
+        self.side = max(min(eps, math.sqrt(2 * box[0] * box[1] / len(xy))), eps / 32)
+        self.rings = math.ceil(eps / self.side)
+        self.eps, self.xy = eps, [tuple(p) for p in xy.tolist()]
+        self.at = list(map(tuple, np.floor(xy / self.side).astype(np.int64).tolist()))
+        self.all: dict[tuple[int, int], list[int]] = {}
+        for k, s in enumerate(self.at):
+            self.all.setdefault(s, []).append(k)
+        self.open = {s: set(ks) for s, ks in self.all.items()}
+
+    def close(self, k: int) -> None:
+        left = self.open[self.at[k]]
+        left.discard(k)
+        if not left:
+            del self.open[self.at[k]]
+
+    def _ring(self, s: tuple[int, int], n: int):
+        a, b = s
+        if n == 0:
+            yield s
+            return
+        for j in range(-n, n + 1):
+            yield a - n, b + j
+            yield a + n, b + j
+        for i in range(-n + 1, n):
+            yield a + i, b - n
+            yield a + i, b + n
+
+    def nearest(self, k: int, most: int, index: dict) -> list[tuple[float, int]]:
+        """The ``most`` nearest points of ``index`` by distance, then number, complete within ``eps``."""
+        x, y = self.xy[k]
+        found: list[tuple[float, int]] = []
+        for n in range(self.rings + 1):
+            few = n > 2 and len(index) < 8 * n  # so few squares are left that going through them is shorter
+            for s in list(index) if few else self._ring(self.at[k], n):
+                for j in index.get(s, ()):
+                    found.append((math.hypot(self.xy[j][0] - x, self.xy[j][1] - y), j))
+            if few:
+                return sorted(set(found))[:most]
+            if len(found) >= most:
+                found.sort()
+                if found[most - 1][0] < n * self.side:  # nothing nearer lies further out
+                    return found[:most]
+        found.sort()
+        return found[:most]
+
+
 def _path(xy: np.ndarray, eps: float) -> list[int]:
-    """Order in which points are visited: the nearest open one among the ten nearest if within ``eps``, else the open one nearest to any visited."""
-    squares: dict[tuple[int, int], list[int]] = {}
-    at = np.floor(xy / eps).astype(int)
-    for k, (a, b) in enumerate(at.tolist()):
-        squares.setdefault((a, b), []).append(k)
-    open_, order = np.ones(len(xy), bool), [0]
-    open_[0] = False
-    while open_.any():
+    """Order in which points are visited: the nearest open one among the ten nearest if within ``eps``, else the open one nearest to any visited.
+
+    Points are those of one cluster, so some visited point always has an open one within ``eps``.
+    Where the walk ends dead, visited points wait in a heap under the distance to their nearest open
+    point when last looked at, which can only grow; the first whose point is still open wins.
+    """
+    squares = _Squares(xy, eps)
+    order, is_open = [0], [True] * len(xy)
+    is_open[0] = False
+    squares.close(0)
+    waiting: list[tuple[float, int, int]] = [(0.0, -1, 0)]
+    while len(order) < len(xy):
         here = order[-1]
-        a, b = at[here].tolist()
-        close = np.array([k for i in (-1, 0, 1) for j in (-1, 0, 1) for k in squares.get((a + i, b + j), ())])
-        d = np.hypot(*(xy[close] - xy[here]).T)
-        ranked = close[np.lexsort((close, d))][:_NEAREST]
-        step = [k for k in ranked.tolist() if open_[k] and math.dist(xy[k], xy[here]) <= eps]
-        if step:
-            nxt = step[0]
-        else:
-            rest = np.flatnonzero(open_)
-            gap = np.full(len(rest), np.inf)
-            for k in order:
-                gap = np.minimum(gap, np.hypot(*(xy[rest] - xy[k]).T))
-            nxt = int(rest[gap.argmin()])
-        open_[nxt] = False
+        nxt = next((k for d, k in squares.nearest(here, _NEAREST, squares.all) if is_open[k] and d <= eps), -1)
+        while nxt < 0:
+            d, k, of = heapq.heappop(waiting)
+            if k >= 0 and is_open[k]:
+                nxt = k
+                heapq.heappush(waiting, (d, k, of))
+            else:
+                again = squares.nearest(of, 1, squares.open)
+                if again and again[0][0] <= 2 * eps:
+                    heapq.heappush(waiting, (*again[0], of))
+        is_open[nxt] = False
+        squares.close(nxt)
         order.append(nxt)
+        heapq.heappush(waiting, (0.0, -1, nxt))
     return order
 
 
 def polylines(points: DataFrame, eps: float) -> DataFrame:
     """``(z, cluster, line, seq, x, y)``: points of each cluster in the order of a greedy walk, cut at steps longer than ``eps``.
 
-    The walk is sequential, so a cluster is one group; clusters are as long as one connected edge.
+    The walk is sequential, so a cluster is one group; clusters are as long as one connected edge, and
+    time grows with their points but for a logarithm.
     It begins at the point with the smallest id; a line of one point is dropped, as is a first
     part of a single step before a cut.
     """

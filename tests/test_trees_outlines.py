@@ -145,3 +145,35 @@ def test_pieces_make_up_the_texts(spark):
     assert (whole[2].area, whole[2].holes, whole[1].area) == (39.0, 2, 1.0)
     assert whole[1].wkt == "POLYGON ((26.0 20.0, 28.0 20.0, 28.0 19.0, 26.0 19.0, 26.0 20.0))"
     assert whole[2].wkt.count("(") == 4 and whole[2].wkt.startswith("POLYGON ((12.0 19.0, ")
+
+
+def test_close_points_link_like_all_pairs(spark):
+    rng = np.random.default_rng(12)
+    xy = np.concatenate([rng.random((150, 2)) * 12, rng.normal(20, 0.05, (200, 2)), rng.normal(20, 0.05, (150, 2)) + [1.05, 0], [[30, 30], [31, 30], [30, 31.0001]], rng.random((40, 2)) - 3])
+    df = spark.createDataFrame([(float(z), int(i + 1000 * z), float(x), float(y)) for z in (1, 2) for i, (x, y) in enumerate(xy)], "z double, id long, x double, y double")
+    for eps in (0.6, 1.0):
+        pairs = graph.connected_components(worms.near_pairs(df, eps, ["z"])).collect()
+        links = worms.near_links(df, eps, ["z"])
+        assert {(r.node, r.component) for r in graph.connected_components(links).collect() if r.node in {p.node for p in pairs}} == {(r.node, r.component) for r in pairs}
+        assert links.count() < 12 * df.count()
+
+
+def test_walk_of_many_points_keeps_the_rule():
+    rng = np.random.default_rng(13)
+    for xy, eps in ((np.cumsum(rng.normal(size=(300, 2)), axis=0), 3.0), (rng.normal(size=(200, 2)), 4.0), (np.round(rng.random((120, 2)) * 8), 1.5)):
+        order, is_open = worms._path(xy, eps), np.ones(len(xy), bool)
+        assert sorted(order) == list(range(len(xy)))
+        is_open[order[0]] = False
+        for k in range(1, len(order)):
+            d = np.hypot(*(xy - xy[order[k - 1]]).T)
+            ranked = sorted(range(len(xy)), key=lambda j: (d[j], j))[:10]
+            step = [j for j in ranked if is_open[j] and d[j] <= eps]
+            if step:
+                assert order[k] == step[0]
+            else:
+                gap = np.hypot(*np.moveaxis(xy[:, None] - xy[None, order[:k]], 2, 0)).min(axis=1)
+                want = min((gap[j], j) for j in np.flatnonzero(is_open))
+                assert want[0] > eps or order[k] == want[1]
+                if want[0] > eps:  # not one cluster: the test's points end here
+                    break
+            is_open[order[k]] = False
