@@ -22,8 +22,9 @@ negative ``length``.
 
 Ties between alignments go to the one with more windows, then with fewer changed values.  Texts
 of any length are read whole, a few MB at a time.
-Nulls: null texts and items count as empty and match nothing; repeated rows of a text or an
-item are reported once per id; rows with a null id are matched under that null id.  Texts that
+Nulls: null texts and items count as empty and match nothing; different texts under one item id
+are searched one by one and reported under that id, as are texts without an id under a null one;
+repeated rows of a text or an item are reported once per id; rows with a null id are matched under that null id.  Texts that
 share an id are judged one by one, each as its own row.  Empty tables give an empty result; other
 columns, whatever their names, are ignored or passed through.
 """
@@ -207,8 +208,14 @@ def _windows_of(t: Templates) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {k: t.windows(k) for k in (n, -m) if k}
 
 
-def item_windows(bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(item, length, at, h)`` of the distinct benchmark texts."""
+def numbered(bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(item, item_id, text)`` of the different pairs of id and text: each text of an id is an item of its own, and so is one without an id."""
+    rows = bench.select(F.col(id_col).cast("long").alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).distinct()
+    return rows.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text")
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """``(item, length, at, h)`` of ``items(item, text)``."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -218,8 +225,7 @@ def item_windows(bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     out += [(i, n, int(a), int(np.uint64(h).view(np.int64))) for a, h in zip(*found)]
             yield pd.DataFrame(out, columns=["item", "length", "at", "h"])
 
-    rows = bench.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("item")).agg(F.min(text_col).alias("text"))
-    return rows.mapInPandas(cut, "item long, length int, at int, h long")
+    return items.select("item", "text").mapInPandas(cut, "item long, length int, at int, h long")
 
 
 def _verdict(item: Item, slots: dict[int, str]) -> tuple[int, int] | None:
@@ -367,7 +373,7 @@ def _by_shuffle(docs: DataFrame, windows: DataFrame, bench: DataFrame) -> DataFr
     hits = docs.mapInPandas(cut, _ROW + "length int, pos long, h long, slots array<string>").join(windows, ["h", "length"])
     # The matches of one text and one item are at most the text's windows times the places of a window in the item.
     lined = hits.groupBy("id", "th", "item", "length").agg(F.collect_set(F.struct("at", "pos", "slots")).alias("hits"))
-    rows = bench.groupBy("item").agg(F.min("text").alias("text"))
+    rows = bench.select("item", "text")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -387,12 +393,11 @@ def _text_hash(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def _found(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, broadcast_windows: int) -> DataFrame:
-    """``(id, th, item, ..)``: leaks of each row, which its id and its text's hash name."""
+def _found(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, broadcast_windows: int) -> DataFrame:
+    """``(id, th, item, ..)``: leaks of each row, which its id and its text's hash name, of ``numbered`` items."""
     slim = docs.select(F.col(id_col).cast("long").alias("id"), _text_hash(text_col).alias("th"), F.col(text_col).alias("text"))
-    items = bench.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).where("item IS NOT NULL")
-    windows = materialise(item_windows(items, "item", "text"), "benchmark-windows")
-    texts = items.groupBy("item").agg(F.min("text").alias("text")).join(windows.select("item").distinct(), "item", "left_semi")
+    windows = materialise(item_windows(items), "benchmark-windows")
+    texts = items.select("item", "text").join(windows.select("item").distinct(), "item", "left_semi")
     size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     if windows.count() > broadcast_windows or size > BROADCAST_CHARS:
         return _by_shuffle(slim, windows, items)
@@ -401,11 +406,12 @@ def _found(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_c
 
 def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """``(<id_col>, <item_col>, coverage, slots, changed, kind)``: one row for each id and each item that a text of it leaks."""
-    found = _found(docs, bench, id_col, text_col, item_col, item_text, broadcast_windows)
-    best = found.groupBy("id", "item").agg(F.max(F.struct((F.col("matched") / F.col("total")).alias("coverage"), "matched", (-F.col("changed")).alias("same"), "slots", "total")).alias("b"))
+    items = materialise(numbered(bench, item_col, item_text), "benchmark-items")
+    found = _found(docs, items, id_col, text_col, broadcast_windows).join(items.select("item", "item_id"), "item")
+    best = found.groupBy("id", "item_id").agg(F.max(F.struct((F.col("matched") / F.col("total")).alias("coverage"), "matched", (-F.col("changed")).alias("same"), "slots", "total")).alias("b"))
     changed = -F.col("b.same")
     return best.select(
-        F.col("id").alias(id_col), F.col("item").alias(item_col), "b.coverage",
+        F.col("id").alias(id_col), F.col("item_id").alias(item_col), "b.coverage",
         F.col("b.slots").alias("slots"), changed.alias("changed"), F.when(changed == 0, "verbatim").otherwise("reparameterised").alias("kind"),
     )
 
@@ -413,6 +419,7 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
 def keep_clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """``docs`` without the rows that leak a benchmark item; other rows of the same id stay."""
     row_id, row_th, own_th = free(docs, "_id", "_th", "_own")
-    dirty = _found(docs, bench, id_col, text_col, "item_id", "text", broadcast_windows).select(F.col("id").alias(row_id), F.col("th").alias(row_th)).distinct()
+    items = materialise(numbered(bench, "item_id", "text"), "benchmark-items")
+    dirty = _found(docs, items, id_col, text_col, broadcast_windows).select(F.col("id").alias(row_id), F.col("th").alias(row_th)).distinct()
     same = F.col(id_col).cast("long").eqNullSafe(F.col(row_id)) & (F.col(own_th) == F.col(row_th))
     return docs.withColumn(own_th, _text_hash(text_col)).join(dirty, same, "left_anti").select(*docs.columns)

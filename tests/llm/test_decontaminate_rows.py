@@ -15,3 +15,15 @@ def test_clean_rows_of_a_leaking_id_stay(spark):
         assert left.columns == docs.columns
         assert sorted(left.collect(), key=str) == sorted([r for r in docs.collect() if r.text is None or ITEM not in r.text], key=str)
         assert {r.doc_id for r in decontaminate.leaks(docs, bench, broadcast_windows=windows).collect()} == {None, 7}
+
+
+def test_every_text_of_an_item_is_searched(spark):
+    texts = ["Anna walks nine miles to the river and comes back by the old road before it is dark again", "which of these seven metals would melt first when all of them are heated in the same furnace"]
+    lone = "how many blue stones remain in the basket after both of the brothers have taken their share of them"
+    bench = spark.createDataFrame([(7, texts[0]), (7, texts[1]), (7, texts[1]), (None, lone), (7, None)], "item_id long, text string")
+    rows = [(1, texts[0]), (2, "before it " + texts[1] + " and behind"), (3, lone), (4, "nothing of the kind is said in here at all by anyone of them")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for windows in (decontaminate.BROADCAST_WINDOWS, 0):
+        found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench, broadcast_windows=windows).collect()}
+        assert found == {(1, 7), (2, 7), (3, None)}
+        assert [r.doc_id for r in decontaminate.keep_clean(docs, bench, broadcast_windows=windows).collect()] == [4]
