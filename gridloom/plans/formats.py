@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
+import zlib
+from itertools import accumulate
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridloom.plans.registry import GRID_SQL, N, add, grid
 from gridloom.plans.scratch import shared_dir
-from gridloom.sources import files, fixtures, raster, tables
+from gridloom.sources import blocks, files, fixtures, raster, tables
 
 
 def _folder(s: SparkSession, name: str) -> str:
@@ -31,9 +35,8 @@ def _line(*parts: Column) -> Column:
 
 def _saved(s: SparkSession, cells: DataFrame, bands: list[str], **how) -> str:
     tall = cells.select("row", "col", F.posexplode(F.array(*[F.col(b).cast("double") for b in bands])).alias("band", "v"))
-    tall = tall.select(F.lit("grid.tif").alias("file"), (F.col("band") + 1).alias("band"), "row", "col", "v")
     folder = _folder(s, "tiff")
-    raster.save_files(raster.to_files(tall, N, N, **how), folder)
+    raster.write(tall.select((F.col("band") + 1).alias("band"), "row", "col", "v"), folder + "/grid.tif", N, N, len(bands), **how)
     return folder
 
 
@@ -63,6 +66,79 @@ add(
 -60.0 AS inclination, 5.0 AS declination, 55000.0 AS intensity FROM lineitem GROUP BY 1, 2""",
 )
 
+
+
+def _pieces_of_a_mosaic(s: SparkSession, d: str) -> DataFrame:
+    """Four files that overlap by four columns and rows, the later ones by name 1000 higher each; cells within a box."""
+    folder, g = _folder(s, "mosaic"), grid(s, d).select(F.lit(1).alias("band"), "row", "col", "v").cache()
+    half = N // 2
+    for k, (r, c) in enumerate(((0, 0), (0, half - 4), (half - 4, 0), (half - 4, half - 4))):
+        part = g.where(F.col("row").between(r, r + half + 3) & F.col("col").between(c, c + half + 3)).select("band", (F.col("row") - r).alias("row"), (F.col("col") - c).alias("col"), (F.col("v") + 1000 * k).alias("v"))
+        raster.write(part, f"{folder}/part{k}.tif", half + 4, half + 4, transform=(100.0 + 10 * c, 10.0, 0.0, 900.0 - 10 * r, 0.0, -10.0))
+    cells = raster.mosaic(raster.block_table(s, folder + "/*.tif"), box=(150.0, 500.0, 520.0, 850.0))
+    return cells.select("row", "col", "x", "y", F.round("v", 2).alias("v"))
+
+
+_HALF = N // 2
+_INSIDE = [f"(row BETWEEN {r} AND {r + _HALF + 3} AND col BETWEEN {c} AND {c + _HALF + 3})" for r, c in ((0, 0), (0, _HALF - 4), (_HALF - 4, 0), (_HALF - 4, _HALF - 4))]
+add(
+    "tiff_mosaic", _pieces_of_a_mosaic,
+    f"""WITH {GRID_SQL} SELECT row, col, 105 + 10.0 * col AS x, 895 - 10.0 * row AS y, round(CAST(CAST(v + CASE {' '.join(f'WHEN {_INSIDE[k]} THEN {1000 * k}' for k in (3, 2, 1, 0))} END AS FLOAT) AS DOUBLE), 2) AS v
+FROM g WHERE 105 + 10 * col BETWEEN 150 AND 520 AND 895 - 10 * row BETWEEN 500 AND 850""",
+)
+
+
+def _rows_of_bands(s: SparkSession, d: str) -> DataFrame:
+    """Ten rows of the second of three bands; the file is stored from the south up and in strips of seven rows."""
+    q = fixtures.table(s, d, "lineitem").groupBy((F.col("l_partkey") % N).cast("int").alias("row"), (F.col("l_orderkey") % N).cast("int").alias("col"))
+    b = q.agg(F.avg("l_quantity").alias("p"), F.max("l_discount").alias("q"), F.count("*").alias("n"))
+    folder = _saved(s, b, ["p", "q", "n"], transform=(0.0, 1.0, 0.0, 0.0, 0.0, 2.0), tags={"made by": "a < b & c"})
+    cells = raster.read(s, folder + "/*.tif", rows=(20, 30), bands=[2]).where("v IS NOT NULL")
+    tags = raster.describe(s, folder + "/*.tif").select(F.col("tags")["made by"].alias("note"))
+    return cells.crossJoin(F.broadcast(tags)).select("band", "row", "col", "x", "y", F.round("v", 4).alias("v"), "note")
+
+
+add(
+    "tiff_rows", _rows_of_bands,
+    f"""WITH q AS (SELECT CAST(l_partkey % {N} AS INTEGER) AS r, CAST(l_orderkey % {N} AS INTEGER) AS col, max(l_discount) AS v FROM lineitem GROUP BY 1, 2)
+SELECT 2 AS band, {N - 1} - r AS row, col, col + 0.5 AS x, (r + 0.5) * 2 AS y, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 4) AS v, 'a < b & c' AS note FROM q WHERE {N - 1} - r BETWEEN 20 AND 29""",
+)
+
+
+def _grd(s: SparkSession, d: str) -> str:
+    """The price grid as a compressed GRD file in blocks of five vectors, values in quarters above 30000."""
+    path, per = _folder(s, "grd") + "/grid.grd", 5
+    g = grid(s, d).select(F.floor(F.col("row") / per).alias("k"), "row", "col", F.coalesce(F.round((F.col("v") - 30000) * 4), F.lit(-1e32)).alias("v"))
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        body = group.sort_values(["row", "col"])["v"].to_numpy("<f4").tobytes()
+        return pd.DataFrame({"k": [key[0]], "body": [bytes(16) + zlib.compress(body)]})
+
+    def head(lengths: list[int]) -> tuple[bytes, int]:
+        first = struct.pack("<5i7d", 4 + 1024, 2, N, N, 1, 25.0, 50.0, 1000.0, 2000.0, 0.0, 30000.0, 4.0).ljust(512, b"\0")
+        start = 512 + 16 + 12 * len(lengths)
+        offsets = [start + n for n in accumulate(lengths[:-1], initial=0)]
+        return first + struct.pack("<4i", 0, 0, len(lengths), per) + struct.pack(f"<{len(lengths)}q", *offsets) + struct.pack(f"<{len(lengths)}i", *lengths), start
+
+    blocks.write_pieces(g.groupBy("k").applyInPandas(run, "k long, body binary"), path, head, -(-N // per))
+    return path
+
+
+def _converted(s: SparkSession, d: str) -> DataFrame:
+    path = _grd(s, d)
+    files.grd_to_tiff(s, path, path + ".tif", epsg=32750)
+    return raster.read(s, path + ".tif").select("row", "col", "x", "y", "v")
+
+
+add(
+    "grd_cells", lambda s, d: files.grd(s, _grd(s, d)).select("row", "col", "x", "y", "v"),
+    f"WITH {GRID_SQL} SELECT row, col, 1000 + 25.0 * col AS x, 2000 + 50.0 * row AS y, round((v - 30000) * 4) / 4 + 30000 AS v FROM g",
+)
+add(
+    "grd_to_tiff", _converted,
+    f"WITH {GRID_SQL} SELECT {N - 1} - row AS row, col, 1000 + 25.0 * col AS x, 2000 + 50.0 * row AS y, round((v - 30000) * 4) / 4 + 30000 AS v FROM g",
+)
+
 # --- text -----------------------------------------------------------------------------------
 
 

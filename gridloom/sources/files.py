@@ -1,20 +1,23 @@
 """Readers of survey files: line XYZ, modelled ASCII grids, binary GRD grids, harmonic coefficients.
 
 Each reader takes a path or glob and gives one row per point or cell, with the file's name as
-``file``.  A file is read by one task; many files are read in parallel.  Values that mean
-"no data" become NULL.
+``file``.  A text file is read by one task, a binary grid block by block by many; many files are
+read in parallel.  Values that mean "no data" become NULL.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from gridloom.sources import blocks, raster
+
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """``(file, at, line)``: trimmed lines with their number from 0."""
@@ -71,48 +74,89 @@ _DUMMY = {"i1": -127, "u1": 255, "i2": -32767, "u2": 65535, "i4": -2147483647, "
 _HEADER = 512
 
 
-def _values(raw: bytes, size: int) -> tuple[bytes, int]:
-    """Element bytes behind the header, inflated block by block where the size says so."""
-    if size <= 1024:
-        return raw[_HEADER:], size
-    blocks = struct.unpack_from("<i", raw, _HEADER + 8)[0]
-    starts = struct.unpack_from(f"<{blocks}q", raw, _HEADER + 16)
-    lengths = struct.unpack_from(f"<{blocks}i", raw, _HEADER + 16 + 8 * blocks)
-    return b"".join(zlib.decompress(raw[a + 16 : a + n]) for a, n in zip(starts, lengths)), size - 1024
+#: Bytes of an uncompressed grid that one block holds.
+_PLAIN_BYTES = 1 << 22
+_HEAD = "file string, length int, vectors int, turned boolean, de double, dv double, x0 double, y0 double, rotation double, base double, factor double, kind string, packed boolean, "
+_GRD_BLOCK = _HEAD + "first int, n int, at long, size long"
 
 
-def decode_grd(raw: bytes) -> pd.DataFrame:
-    """``row, col, x, y, v`` of one binary grid; y grows with the row before rotation."""
+def _grd_blocks(read: Callable[[int, int], bytes]) -> tuple[tuple, list[tuple[int, int, int, int]]]:
+    """What all blocks share, and (first vector, vectors, offset, size) of each; only the head is read."""
+    raw = read(0, _HEADER + 16)
     size, sign, length, vectors, order = struct.unpack_from("<5i", raw, 0)
     de, dv, x0, y0, rotation, base, factor = struct.unpack_from("<7d", raw, 20)
+    packed = size > 1024
+    width = size - 1024 if packed else size
     if order not in (-1, 1):
         raise ValueError(f"unknown ordering {order}")
-    data, width = _values(raw, size)
     if (width, sign) not in _TYPES:
         raise ValueError(f"unknown element type: size {width}, sign flag {sign}")
-    kind = _TYPES[width, sign]
-    a = np.frombuffer(data, "<" + kind, count=length * vectors)
-    v = a.astype(float) / factor + base
-    v[a <= _DUMMY[kind] if kind[0] == "f" else a == _DUMMY[kind]] = np.nan
-    v = v.reshape(vectors, length)
-    if order == -1:  # vectors are columns
-        v, de, dv = v.T, dv, de
-    row, col = (i.ravel() for i in np.indices(v.shape))
-    t, east, north = np.deg2rad(rotation), col * de, row * dv
-    return pd.DataFrame({"row": row, "col": col, "x": x0 + east * np.cos(t) - north * np.sin(t), "y": y0 + east * np.sin(t) + north * np.cos(t), "v": v.ravel()})
+    if packed:
+        count, per = struct.unpack_from("<2i", raw, _HEADER + 8)
+        table = read(_HEADER + 16, 12 * count)
+        places = zip(struct.unpack_from(f"<{count}q", table), struct.unpack_from(f"<{count}i", table, 8 * count))
+        cut = [(k * per, min(per, vectors - k * per), a + 16, n - 16) for k, (a, n) in enumerate(places)]
+    else:
+        line = length * width
+        per = max(1, _PLAIN_BYTES // max(1, line))
+        cut = [(k, min(per, vectors - k), _HEADER + k * line, min(per, vectors - k) * line) for k in range(0, vectors, per)]
+    return (length, vectors, order == -1, de, dv, x0, y0, rotation, base, factor, _TYPES[width, sign], packed), cut
+
+
+def _grd_cells(raw: bytes, block) -> pd.DataFrame:
+    """``row, col, x, y, v`` of one block; y grows with the row before rotation, and vectors are columns if ``turned``."""
+    a = np.frombuffer(zlib.decompress(raw) if block.packed else raw, "<" + block.kind, count=block.length * block.n)
+    v = a.astype(float) / block.factor + block.base
+    v[a <= _DUMMY[block.kind] if block.kind[0] == "f" else a == _DUMMY[block.kind]] = np.nan
+    vector, place = (i.ravel() for i in np.indices((block.n, block.length)))
+    vector = vector + block.first
+    row, col, de, dv = (place, vector, block.dv, block.de) if block.turned else (vector, place, block.de, block.dv)
+    t, east, north = np.deg2rad(block.rotation), col * de, row * dv
+    return pd.DataFrame({"file": block.file, "row": row.astype(np.int32), "col": col.astype(np.int32), "x": block.x0 + east * np.cos(t) - north * np.sin(t), "y": block.y0 + east * np.sin(t) + north * np.cos(t), "v": v})
+
+
+def grd_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, .., first, n, at, size)``: which vectors lie where in which binary GRD grid; a compressed one is as its writer cut it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for file in b["file"]:
+                with blocks.opened(file) as f:
+                    head, cut = _grd_blocks(blocks.ranged(f))
+                yield pd.DataFrame([(file, *head, *x) for x in cut], columns=[c.split()[0] for c in _GRD_BLOCK.split(", ")])
+
+    return blocks.listed(spark, path).mapInPandas(run, _GRD_BLOCK)
 
 
-def grd(spark: SparkSession, path: str, rows_out: int = 100_000) -> DataFrame:
-    """``(file, row, col, x, y, v)`` of binary GRD grids, plain or compressed."""
+def grd(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, row, col, x, y, v)`` of binary GRD grids, plain or compressed, each block read and inflated by the task it is dealt to."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for file, raw in zip(b["path"], b["content"]):
-                cells = decode_grd(bytes(raw))
-                cells.insert(0, "file", file)
-                for k in range(0, len(cells), rows_out):
-                    yield cells.iloc[k : k + rows_out]
-
-    found = spark.read.format("binaryFile").load(path).select("path", "content")
-    cells = found.mapInPandas(run, "file string, row int, col int, x double, y double, v double")
-    return cells.withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+            for file, group in b.sort_values(["file", "at"]).groupby("file", sort=False):
+                with blocks.opened(file) as f:
+                    read = blocks.ranged(f)
+                    for x in group.itertuples():
+                        yield _grd_cells(read(x.at, x.size), x)
+
+    found = blocks.dealt(grd_blocks(spark, path)).mapInPandas(run, "file string, row int, col int, x double, y double, v double")
+    return found.withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+
+
+def grd_to_tiff(spark: SparkSession, path: str, out: str, epsg: int | None = None, nodata: float | None = None, deflate: bool = True) -> None:
+    """Write one GRD grid as a TIFF with its row 0 in the north; a rotated grid keeps its rotation in the placement.
+
+    Raises unless ``path`` names exactly one grid.
+    """
+    heads = grd_blocks(spark, path).drop("first", "n", "at", "size").distinct().take(2)
+    if len(heads) != 1:
+        raise ValueError(f"one grid is needed at {path}")
+    h = heads[0]
+    nrows, ncols, dx, dy = (h.length, h.vectors, h.dv, h.de) if h.turned else (h.vectors, h.length, h.de, h.dv)
+    t = math.radians(h.rotation)
+    # Cell centres of row r from the south: x0 + col dx cos - r dy sin, y0 + col dx sin + r dy cos.
+    east, north = (dx * math.cos(t), dx * math.sin(t)), (-dy * math.sin(t), dy * math.cos(t))
+    x0 = h.x0 + (nrows - 0.5) * north[0] - 0.5 * east[0]
+    y0 = h.y0 + (nrows - 0.5) * north[1] - 0.5 * east[1]
+    cells = grd(spark, path).select(F.lit(1).alias("band"), "row", "col", "v")
+    raster.write(cells, out, nrows, ncols, 1, (x0, east[0], -north[0], y0, east[1], -north[1]), epsg, nodata, flip=True, deflate=deflate)
