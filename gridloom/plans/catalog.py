@@ -572,3 +572,6 @@ m AS (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz, var_pop(x) AS xx, var_pop
 t AS (SELECT x, y, z, mz + (xz * yy - yz * xy) / (xx * yy - xy * xy) * (x - mx) + (yz * xx - xz * xy) / (xx * yy - xy * xy) * (y - my) AS trend FROM pt, m)
 SELECT x, y, round(z, 5) + 0.0 AS z, round(trend, 5) + 0.0 AS trend, round(z - trend, 5) + 0.0 AS residual FROM t""",
 )
+
+
+from gridloom.plans import ridges  # noqa: E402, F401  its queries need the transform above
