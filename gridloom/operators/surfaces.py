@@ -116,37 +116,73 @@ def point_trend(points: DataFrame, degree: int) -> tuple[DataFrame, list[tuple[i
     return points.withColumn("trend", trend).withColumn("residual", F.col("z") - F.col("trend")), [(i, j, w) for (i, j), w in zip(terms, weights)]
 
 
-def b_spline(points: DataFrame, nrows: int, ncols: int, levels: int = 4, coarsest: int = 2, x0: float = 0.0, y0: float = 0.0, cell: float = 1.0) -> DataFrame:
+#: Control values of a lattice that is sent whole to every task; larger ones meet the places in a join.
+DENSE_LATTICE = 1 << 16
+
+
+def _cubic(x):
+    """The four basis values of a uniform cubic B-spline at ``x`` within an interval, for columns and arrays."""
+    return [(1 - x) ** 3 / 6, (3 * x**3 - 6 * x**2 + 4) / 6, (-3 * x**3 + 3 * x**2 + 3 * x + 1) / 6, x**3 / 6]
+
+
+def _spread(places: DataFrame, n: int, keep: str) -> DataFrame:
+    """``(<keep>, a, b, w, total)``: the 16 control places around each ``(s, t)`` on a lattice of ``n`` intervals, their weights and the sum of all squared ones."""
+    base = lambda c: F.least(F.floor(F.col(c) * n), F.lit(n - 1))
+    p = places.select(keep, base("s").alias("i"), base("t").alias("j"), (F.col("s") * n - base("s")).alias("u"), (F.col("t") * n - base("t")).alias("v"))
+    p = p.select(keep, "i", "j", F.array(*_cubic(F.col("u"))).alias("x"), F.array(*_cubic(F.col("v"))).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"))
+    squares = lambda c: F.aggregate(c, F.lit(0.0), lambda s, w: s + w * w)
+    a, b = F.floor(F.col("k") / 4).cast("int"), F.col("k") % 4
+    return p.select(keep, (F.col("i") + a).alias("a"), (F.col("j") + b).alias("b"), (F.get("x", a) * F.get("y", b)).alias("w"), (squares("x") * squares("y")).alias("total"))
+
+
+def _lattice(points: DataFrame, n: int) -> DataFrame:
+    """``(a, b, phi)``: control values of ``points(s, t, z)`` within the lattice; sums are combined before they are shuffled."""
+    near = _spread(points.where("s BETWEEN 0 AND 1 AND t BETWEEN 0 AND 1"), n, "z")
+    return near.groupBy("a", "b").agg((F.sum(F.col("w") ** 3 * F.col("z") / F.col("total")) / F.sum(F.col("w") ** 2)).alias("phi"))
+
+
+def _with_height(places: DataFrame, phi: DataFrame, n: int, dense: int) -> DataFrame:
+    """``places(id, s, t, ..)`` with the height ``h`` of the surface over them; control places without a value count as 0."""
+    if (n + 3) ** 2 > dense:
+        h = _spread(places, n, "id").join(phi, ["a", "b"]).groupBy("id").agg(F.sum(F.col("w") * F.col("phi")).alias("h"))
+        return places.join(h, "id", "left").withColumn("h", F.coalesce("h", F.lit(0.0)))
+    lattice = np.zeros((n + 3, n + 3))  # at most ``dense`` values
+    for r in phi.collect():
+        if 0 <= r.a < n + 3 and 0 <= r.b < n + 3:
+            lattice[r.a, r.b] = r.phi
+
+    @F.pandas_udf("double")
+    def height(s: pd.Series, t: pd.Series) -> pd.Series:
+        s, t = s.to_numpy(float), t.to_numpy(float)
+        i, j = (np.minimum(np.floor(x * n), n - 1).astype(int) for x in (s, t))
+        out = np.zeros(len(s))
+        inside = (i >= 0) & (j >= 0)
+        i, j, u, w = i[inside], j[inside], (s * n - i)[inside], (t * n - j)[inside]
+        out[inside] = sum(x * y * lattice[i + a, j + b] for a, x in enumerate(_cubic(u)) for b, y in enumerate(_cubic(w)))
+        return pd.Series(out)
+
+    return places.withColumn("h", height("s", "t"))
+
+
+def b_spline(points: DataFrame, nrows: int, ncols: int, levels: int = 4, coarsest: int = 2, x0: float = 0.0, y0: float = 0.0, cell: float = 1.0, dense: int = DENSE_LATTICE) -> DataFrame:
     """``(row, col, v)`` of all cells: multilevel cubic B-spline approximation of ``points(x, y, z)``.
 
     Level k has ``coarsest * 2^k`` intervals on the longer side.  A point adds its residual to the
     4 x 4 control values around it, weighted by their squared basis; the surface so far is taken
-    off before the next level.  Each level is one scatter and one join keyed by control place.
+    off before the next level.  Lattices of at most ``dense`` control values go to all tasks, so that
+    the few control places of coarse levels are no keys of a join; finer ones are joined by place.
     """
     side = max(nrows, ncols) * cell
     rest = points.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL").select(F.monotonically_increasing_id().alias("id"), ((F.col("x") - x0) / side).alias("s"), ((F.col("y") - y0) / side).alias("t"), F.col("z").cast("double").alias("z"))
     rest = checkpointed(rest)
     at = rest.sparkSession.range(nrows * ncols).select(F.col("id"), F.floor(F.col("id") / ncols).cast("int").alias("row"), (F.col("id") % ncols).cast("int").alias("col"))
     at = at.select("id", "row", "col", ((F.col("col") + 0.5) * cell / side).alias("s"), ((F.col("row") + 0.5) * cell / side).alias("t"), F.lit(0.0).alias("v"))
-
-    def spread(places: DataFrame, n: int) -> DataFrame:
-        """The 16 control places of every row and their basis."""
-        base = lambda c: F.least(F.floor(F.col(c) * n), F.lit(n - 1))
-        p = places.withColumn("i", base("s")).withColumn("j", base("t"))
-        u, w = F.col("s") * n - F.col("i"), F.col("t") * n - F.col("j")
-        cubic = lambda x: [(1 - x) ** 3 / 6, (3 * x**3 - 6 * x**2 + 4) / 6, (-3 * x**3 + 3 * x**2 + 3 * x + 1) / 6, x**3 / 6]
-        ways = [F.struct((F.col("i") + a).alias("a"), (F.col("j") + b).alias("b"), (x * y).alias("w")) for a, x in enumerate(cubic(u)) for b, y in enumerate(cubic(w))]
-        return p.select("id", *[c for c in ("z",) if c in places.columns], F.explode(F.array(*ways)).alias("k")).select("id", *[c for c in ("z",) if c in places.columns], "k.*")
-
     for level in range(levels):
         n = coarsest << level
-        near = spread(rest.where("s BETWEEN 0 AND 1 AND t BETWEEN 0 AND 1"), n)
-        total = near.groupBy("id").agg(F.sum(F.col("w") ** 2).alias("total"))
-        phi = near.join(total, "id").groupBy("a", "b").agg((F.sum(F.col("w") ** 3 * F.col("z") / F.col("total")) / F.sum(F.col("w") ** 2)).alias("phi"))
-        phi = checkpointed(phi)
-        height = lambda places: spread(places, n).join(phi, ["a", "b"]).groupBy("id").agg(F.sum(F.col("w") * F.col("phi")).alias("h"))  # noqa: B023,E731
-        rest = checkpointed(rest.join(height(rest), "id", "left").select("id", "s", "t", (F.col("z") - F.coalesce("h", F.lit(0.0))).alias("z")))
-        at = checkpointed(at.join(height(at.drop("v")), "id", "left").select("id", "row", "col", "s", "t", (F.col("v") + F.coalesce("h", F.lit(0.0))).alias("v")))
+        phi = checkpointed(_lattice(rest, n))
+        at = checkpointed(_with_height(at, phi, n, dense).select("id", "row", "col", "s", "t", (F.col("v") + F.col("h")).alias("v")))
+        if level + 1 < levels:
+            rest = checkpointed(_with_height(rest, phi, n, dense).select("id", "s", "t", (F.col("z") - F.col("h")).alias("z")))
     return at.select("row", "col", "v")
 
 

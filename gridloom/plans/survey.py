@@ -437,7 +437,28 @@ size_ AS (SELECT root, count(*) AS n FROM lab GROUP BY 1), poly AS (SELECT root,
 SELECT row_number() OVER (ORDER BY place) AS id, 'Multipolygon boundary' AS type, CAST(n AS DOUBLE) AS area, holes, 'POLYGON (' || text || ')' AS wkt FROM poly JOIN size_ USING (root)""",
 )
 add("streamline_length", lambda s, d: out(streamlines.streamline_length(focal.anisotropy(grid(s, d), N, N), N, N, most=40)))
-add("b_spline", lambda s, d: out(surfaces.b_spline(fixtures.stations(s, d), N, N, 4), 4))
+
+
+def _spline_sql(levels: int = 4) -> str:
+    """Level by level: control values from the points' residuals, then heights of points and cells."""
+    basis = lambda k, u: f"(CASE {k} WHEN 0 THEN power(1 - {u}, 3) WHEN 1 THEN 3 * power({u}, 3) - 6 * {u} * {u} + 4 WHEN 2 THEN 3 * {u} * {u} + 3 * {u} + 1 - 3 * power({u}, 3) ELSE power({u}, 3) END / 6)"
+    sql = f"""WITH {CELLS}, r0 AS (SELECT row_number() OVER (ORDER BY x, y) AS id, x / {N} AS s, y / {N} AS t, z FROM (SELECT CAST(p_partkey % 50 AS DOUBLE) AS x, CAST(p_size AS DOUBLE) AS y, avg(p_retailprice) AS z FROM part GROUP BY 1, 2)),
+a0 AS (SELECT row, col, (col + 0.5) / {N} AS s, (row + 0.5) / {N} AS t, 0.0 AS v FROM cells), k4(m, n) AS (SELECT a.range, b.range FROM range(4) a, range(4) b)"""
+    for k in range(levels):
+        n = 2 << k
+        cut = lambda source, keep: f"SELECT {keep}, CAST(least(floor(s * {n}), {n - 1}) AS INTEGER) AS i, CAST(least(floor(t * {n}), {n - 1}) AS INTEGER) AS j, s, t FROM {source}"  # noqa: B023, E731
+        around = lambda source, keep: f"SELECT {keep}, i + m AS a, j + n AS b, {basis('m', f'(s * {n} - i)')} * {basis('n', f'(t * {n} - j)')} AS w FROM ({source}), k4"  # noqa: B023, E731
+        sql += f""", q{k} AS MATERIALIZED ({around(cut(f'r{k}', 'id, z'), 'id, z, s, t')}),
+f{k} AS MATERIALIZED (SELECT a, b, sum(w * w * w * z / total) / sum(w * w) AS phi FROM (SELECT *, sum(w * w) OVER (PARTITION BY id) AS total FROM q{k} WHERE s BETWEEN 0 AND 1 AND t BETWEEN 0 AND 1) GROUP BY 1, 2),
+r{k + 1} AS MATERIALIZED (SELECT id, s, t, z - coalesce(h, 0) AS z FROM r{k} LEFT JOIN (SELECT id, sum(w * phi) AS h FROM q{k} JOIN f{k} USING (a, b) GROUP BY 1) USING (id)),
+g{k} AS ({around(cut(f'a{k}', 'row, col'), 'row, col')}),
+a{k + 1} AS MATERIALIZED (SELECT row, col, s, t, v + coalesce(h, 0) AS v FROM a{k} LEFT JOIN (SELECT row, col, sum(w * phi) AS h FROM g{k} JOIN f{k} USING (a, b) GROUP BY 1, 2) USING (row, col))"""
+    return sql + f" SELECT row, col, round(v, 4) + 0.0 AS v FROM a{levels}"
+
+
+add("b_spline", lambda s, d: out(surfaces.b_spline(fixtures.stations(s, d), N, N, 4), 4), _spline_sql())
+# The same with every lattice joined by place.
+add("b_spline_joined", lambda s, d: out(surfaces.b_spline(fixtures.stations(s, d), N, N, 3, dense=0), 4), _spline_sql(3))
 add(
     "hull_mask", lambda s, d: surfaces.hull_mask(fixtures.stations(s, d).where("x + y BETWEEN 20 AND 70 AND y < x + 25"), N, N),
     f"WITH {CELLS}, p AS (SELECT DISTINCT CAST(p_partkey % 50 AS DOUBLE) AS x, CAST(p_size AS DOUBLE) AS y FROM part WHERE p_partkey % 50 + p_size BETWEEN 20 AND 70 AND p_size < p_partkey % 50 + 25), w AS (SELECT cos(2 * pi() * range / 7200) AS c, sin(2 * pi() * range / 7200) AS s FROM range(7200)),"
