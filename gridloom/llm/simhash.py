@@ -38,8 +38,8 @@ SHINGLE_WORDS = 3
 MAX_BITS = 3
 #: A cell with more fingerprints than this is contracted before the join.
 DENSE_CELL = 64
-#: A fingerprint of more rows than this is looked up by broadcast.
-HOT_ROWS = 10_000
+#: Fingerprints of more than one in this many rows are looked up by broadcast, so fewer than this many.
+HOT_SHARE = 10_000
 _BLOCK = 1 << 16
 
 
@@ -132,9 +132,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, max_bits:
     named = fps.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     lookup = materialise(named.join(least, "component").select("fp", "component", "component_id", "rows"), "fingerprint-groups")
-    # Fingerprints of many rows meet them by broadcast: there are at most as many as HOT_ROWS goes into all rows.
-    hot = F.broadcast(lookup.where(F.col("rows") > HOT_ROWS).drop("rows"))
-    rest = lookup.where(F.col("rows") <= HOT_ROWS).drop("rows")
+    # Fingerprints of a large share of the rows meet them by broadcast, fewer than HOT_SHARE whatever the data.
+    total = lookup.agg(F.sum("rows")).first()[0] or 0
+    is_hot = F.col("rows") * HOT_SHARE > total
+    hot, rest = F.broadcast(lookup.where(is_hot).drop("rows")), lookup.where(~is_hot).drop("rows")
     return marked.join(hot, "fp").unionByName(marked.join(hot, "fp", "left_anti").join(rest, "fp"))
 
 

@@ -35,8 +35,8 @@ from gridloom.plans.scratch import materialise
 FRAME_BYTES = 256 * 1024
 BUNDLE_BYTES = 4 * 1024 * 1024
 LEVEL = 3
-#: A payload of more pages than this is looked up by broadcast.
-HOT_PAGES = 10_000
+#: Payloads of more than one in this many of the pages that share theirs are looked up by broadcast, so fewer than this many.
+HOT_SHARE = 10_000
 # Magic numbers of the seekable format.
 SKIPPABLE = 0x184D2A5E
 SEEKABLE = 0x8F92EAB1
@@ -155,11 +155,13 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str =
     slim = p.where(F.octet_length("html") >= min_bytes).select("page_id", F.sha1(F.col("html").cast("binary")).alias("sha"))
     firsts = slim.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     firsts = materialise(firsts, "equal-payloads")
-    # Payloads of many pages meet them by broadcast (there are at most as many as HOT_PAGES goes into all pages); those pages pass the join under keys of their own.
-    hot = F.broadcast(firsts.where(F.col("n") > HOT_PAGES).select("sha", F.col("first").alias("hot")))
+    # Payloads of a large share of the pages meet them by broadcast, fewer than HOT_SHARE whatever the data; those pages pass the join under keys of their own.
+    shared = firsts.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") * HOT_SHARE > shared
+    hot = F.broadcast(firsts.where(is_hot).select("sha", F.col("first").alias("hot")))
     keyed = p.withColumn("sha", F.sha1(F.col("html").cast("binary"))).join(hot, "sha", "left")
     keyed = keyed.withColumn("k", F.when(F.col("hot").isNull(), F.col("sha")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))))
-    keyed = keyed.join(firsts.where(F.col("n") <= HOT_PAGES).select(F.col("sha").alias("k"), "first"), "k", "left").withColumn("first", F.coalesce("hot", "first"))
+    keyed = keyed.join(firsts.where(~is_hot).select(F.col("sha").alias("k"), "first"), "k", "left").withColumn("first", F.coalesce("hot", "first"))
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return keyed.select("page_id", "url", "html", F.when(again, F.col("first")).alias("refers_to"))
 

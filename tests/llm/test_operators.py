@@ -75,7 +75,7 @@ def test_warc_round_trip(spark, monkeypatch):
     pages = [(3, "u", "same"), (1, "u\n2", "same"), (2, None, None), (5, "v", ""), (None, "w", "same"), (7, "x", "é" * 400_000)]
     df = spark.createDataFrame([(*p, "a", "b") for p in pages], "page_id long, url string, html string, sha string, first string")
     got = {r.page_id: r for r in warc.round_trip(df).collect()}
-    monkeypatch.setattr(warc, "HOT_PAGES", 1)
+    monkeypatch.setattr(warc, "HOT_SHARE", 2)
     assert {r.page_id: r for r in warc.round_trip(df).collect()} == got
     many = [(i, f"u{i}", f"text {i % 90}" if i % 3 else "one text for a third") for i in range(600)]
     first = {}
