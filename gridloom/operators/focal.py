@@ -8,7 +8,7 @@ combining serves any stencil of up to a few hundred offsets.  NULL is nodata.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
@@ -123,11 +123,14 @@ def directional(grid: DataFrame, direction: str, nrows: int, ncols: int) -> Data
     return convolve(grid, COMPASS[direction], nrows, ncols)
 
 
-def windowed_stat(grid: DataFrame, stat: str, size: int, nrows: int, ncols: int) -> DataFrame:
-    """Statistic over a disk of odd diameter; NULL with fewer than three valid cells or where the cell itself is."""
+def windowed_stat(grid: DataFrame, stat: str | Callable[[Column], Column], size: int, nrows: int, ncols: int) -> DataFrame:
+    """Statistic over a disk of odd diameter; NULL with fewer than three valid cells or where the cell itself is.
+
+    ``stat`` is a name or a function from the column of the window's values to an aggregate.
+    """
     if size % 2 == 0:
         raise ValueError("the window must be odd")
-    how = {
+    how = stat(F.col("v")) if callable(stat) else {
         "min": F.min("v"), "max": F.max("v"), "mean": F.avg("v"), "median": F.percentile("v", 0.5), "variance": F.var_pop("v"),
         "std": F.stddev_pop("v"), "skewness": F.skewness("v"), "kurtosis": F.kurtosis("v"),
     }[stat]

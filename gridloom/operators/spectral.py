@@ -71,16 +71,20 @@ _EDGES = {
 
 
 class Padding:
-    """How a line of ``n`` values becomes one of the padded length: multiples of its edges, then a taper."""
+    """How a line of ``n`` values becomes one of the padded length: multiples of its edges, then a taper.
 
-    def __init__(self, pads: tuple[tuple[int, int], tuple[int, int]], edge: str, window: str):
+    ``window`` is a name or a function from a length to that many weights.
+    """
+
+    def __init__(self, pads: tuple[tuple[int, int], tuple[int, int]], edge: str, window: str | Callable[[int], np.ndarray]):
         self.pads, self.edge, self.window = pads, edge, window
 
     def _extended(self, a: np.ndarray, pads: tuple[int, int]) -> np.ndarray:
         before, after = _EDGES[self.edge](*pads)
         shape = (-1, *[1] * (a.ndim - 1))
         out = np.concatenate([before.reshape(shape) * a[:1], a, after.reshape(shape) * a[-1:]])
-        return out * _WINDOWS[self.window](len(out)).reshape(shape)
+        taper = self.window if callable(self.window) else _WINDOWS[self.window]
+        return out * taper(len(out)).reshape(shape)
 
     def along(self, v: np.ndarray) -> np.ndarray:
         """``[part, place]``: a row in parts that add up to its padded form, each padded downwards in its own way."""
@@ -162,7 +166,7 @@ class Spectrum:
 
     def __init__(
         self, grid: DataFrame, nrows: int, ncols: int, dx: float = 1.0, dy: float = 1.0, buffer: int = 0, pads: tuple | None = None,
-        edge: str = "ramp", window: str = "tukey", level: str = "median", fill: str = "nearest", padding: Padding | None = None, waves: Callable[[int, float], np.ndarray] = plain_waves,
+        edge: str = "ramp", window: str | Callable[[int], np.ndarray] = "tukey", level: str = "median", fill: str = "nearest", padding: Padding | None = None, waves: Callable[[int, float], np.ndarray] = plain_waves,
     ):
         self._given, self.n, self.spacing = grid, (nrows, ncols), (dy, dx)
         self.padding = padding or Padding(pads or (smooth_pads(nrows, buffer), smooth_pads(ncols, buffer)), edge, window)

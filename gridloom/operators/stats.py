@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -151,12 +153,14 @@ def principal_components(rows: DataFrame, bands: list[str], n: int | None = None
     return ok.select(*keep, *scores), (values[order] / values.sum()).tolist(), load.tolist()
 
 
-def independent_components(rows: DataFrame, bands: list[str], n: int | None = None, rounds: int = 1000, tolerance: float = 1e-4, seed: int = 42) -> tuple[DataFrame, list[list[float]]]:
+def independent_components(rows: DataFrame, bands: list[str], n: int | None = None, rounds: int = 200, tolerance: float = 1e-4, seed: int = 42, starts: int = 5) -> tuple[DataFrame, list[list[float]]]:
     """Scores ``ic1..`` and the unmixing matrix over standardised bands: fixed-point iteration with the tanh contrast, all components at once.
 
     Every round is one aggregation over the whitened rows (``n`` x ``n`` sums); only those reach
-    the driver, which makes the directions orthogonal.  Components are in order of their largest
-    weight's band, each with that weight positive.
+    the driver, which makes the directions orthogonal.  Where ``rounds`` do not settle, another of
+    ``starts`` random directions is tried; if none settles, as for bands that are nearly Gaussian, a
+    warning says so and the last one counts.  Components are in order of their largest weight's band,
+    each with that weight positive.
     """
     ok = checkpointed(rows.dropna(subset=bands))
     m = ok.agg(*[F.avg(b).alias(f"m_{b}") for b in bands], *[F.stddev_pop(b).alias(f"s_{b}") for b in bands]).first()
@@ -172,14 +176,18 @@ def independent_components(rows: DataFrame, bands: list[str], n: int | None = No
         u, _, v = np.linalg.svd(w)
         return u @ v
 
-    w = orthogonal(np.random.default_rng(seed).normal(size=(size, size)))
-    for _ in range(rounds):
+    random = np.random.default_rng(seed)
+    for turn in range(rounds * starts):
+        if turn % rounds == 0:
+            w = orthogonal(random.normal(size=(size, size)))
         g = [F.tanh(mix(row, zs)) for row in w]
         means = white.agg(*[F.avg(g[i] * zs[j]).alias(f"a{i}_{j}") for i in range(size) for j in range(size)], *[F.avg(1 - g[i] * g[i]).alias(f"d{i}") for i in range(size)]).first()
         new = orthogonal(np.array([[means[f"a{i}_{j}"] - means[f"d{i}"] * w[i, j] for j in range(size)] for i in range(size)]))
         moved, w = np.abs(np.abs((new * w).sum(axis=1)) - 1).max(), new
         if moved < tolerance:
             break
+    else:
+        warnings.warn(f"the components did not settle in {starts} times {rounds} rounds", stacklevel=2)
     full = w @ whiten
     order = np.argsort(np.abs(full).argmax(axis=1), kind="stable")
     w, full = w[order], full[order]

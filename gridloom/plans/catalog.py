@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gridloom.functions import scalar
 from gridloom.operators import crossings, euler, focal, graph, lines, quantiles, spectral, stats, surfaces, terrain
 from gridloom.plans.registry import CELLS as _CELLS, GRID_SQL, N, ORACLES, QUERIES, add as _add, grid as _grid, out as _out, rounded as _rounded
-from gridloom.plans import formats, poles, survey  # noqa: F401  they register their queries
+from gridloom.plans import formats, frames, poles, survey  # noqa: F401  they register their queries
 from gridloom.sources import fixtures
 
 # --- windows -------------------------------------------------------------------------------

@@ -151,6 +151,29 @@ def _csv(s: SparkSession, d: str) -> DataFrame:
     return tables.points(s, path).select("x", "y", F.col("p_partkey").cast("long").alias("p_partkey"), "p_brand", "p_retailprice")
 
 
+_LEGACY = """DEFN   ST=RECD,RT=COMM;RT:A4;COMMENTS:A76
+DEFN 3 ST=RECD,RT=;NET:F12.2:UNIT=nT,NAME=Net price
+DEFN 1 ST=RECD,RT=;ORDER:I10
+DEFN 2 ST=RECD,RT=;LINE:I4
+DEFN 4 ST=RECD,RT=;FLAG:A1;END DEFN
+PROJ GDA94 / MGA Zone 51"""
+
+
+def _legacy(s: SparkSession, d: str) -> DataFrame:
+    """Line items in the older form; every eleventh row lacks its last fields, every seventh price is a word."""
+    q = fixtures.table(s, d, "lineitem")
+    price = F.when(F.col("l_partkey") % 7 == 0, "none").otherwise(F.col("l_extendedprice").cast("string"))
+    line = F.when(F.col("l_orderkey") % 11 == 0, _line(F.col("l_orderkey"), F.col("l_linenumber"))).otherwise(F.concat(F.lit("DATA"), _line(F.lit(" "), F.col("l_orderkey"), F.col("l_linenumber"), price, F.col("l_returnflag"))))
+    path = _folder(s, "legacy")
+    q.select(line.alias("line")).write.text(path)
+    fields, epsg, typed = tables.legacy_definitions(_LEGACY)
+    return tables.legacy_data(s, fields, path, typed).withColumn("epsg", F.lit(epsg))
+
+
+add(
+    "legacy_fields", _legacy,
+    """SELECT l_orderkey AS "ORDER", CAST(l_linenumber AS BIGINT) AS "LINE", CASE WHEN l_partkey % 7 <> 0 THEN l_extendedprice END AS "Net price", l_returnflag AS "FLAG", 28351 AS epsg FROM lineitem WHERE l_orderkey % 11 <> 0""",
+)
 add("csv_points", _csv, "SELECT p_partkey * 1.5 AS x, CAST(p_size AS DOUBLE) AS y, p_partkey, p_brand, p_retailprice FROM part WHERE p_partkey % 7 <> 0")
 
 

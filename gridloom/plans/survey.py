@@ -288,7 +288,35 @@ c AS (SELECT corr(b1, b2) AS x, corr(b1, b3) AS y, corr(b2, b3) AS z FROM q), p
 a AS (SELECT p, acos(least(1, greatest(-1, h / power(p, 3)))) / 3 AS a FROM p)
 SELECT k, round((1 + 2 * p * cos(a + CASE k WHEN 1 THEN 0 WHEN 2 THEN 4 ELSE 2 END * pi() / 3)) / 3, 7) AS ratio FROM a, (SELECT unnest([1, 2, 3]) AS k)""",
 )
-add("ica_scores", lambda s, d: out(stats.independent_components(_bands(s, d), ["b1", "b2", "b3"], rounds=25)[0], 3, "ic1", "ic2", "ic3"))
+
+
+def _mixed(s: SparkSession, d: str) -> DataFrame:
+    """Two mixtures of two columns that know nothing of each other."""
+    q = fixtures.table(s, d, "lineitem")
+    return q.select("l_orderkey", "l_linenumber", (F.col("l_discount") * 10 + F.col("l_quantity") / 100).cast("double").alias("b1"), (F.col("l_quantity") / 25 - F.col("l_discount") * 7).cast("double").alias("b2"))
+
+
+def _ica_sql(rounds: int = 14) -> str:
+    """Two bands: whitened along the diagonals, turned by the orthogonal matrix nearest to the moments, from another start."""
+    sql = """WITH q AS (SELECT l_orderkey, l_linenumber, CAST(l_discount * 10 + l_quantity / 100 AS DOUBLE) AS b1, CAST(l_quantity / 25 - l_discount * 7 AS DOUBLE) AS b2 FROM lineitem),
+m AS (SELECT avg(b1) AS m1, avg(b2) AS m2, stddev_pop(b1) AS s1, stddev_pop(b2) AS s2, corr(b1, b2) AS r FROM q),
+x AS MATERIALIZED (SELECT l_orderkey, l_linenumber, r, ((b1 - m1) / s1 + (b2 - m2) / s2) / sqrt(2 * (1 + r)) AS p, ((b1 - m1) / s1 - (b2 - m2) / s2) / sqrt(2 * (1 - r)) AS n FROM q, m),
+w0 AS (SELECT cos(0.3) AS a, sin(0.3) AS b, -sin(0.3) AS c, cos(0.3) AS d)"""
+    for k in range(rounds):
+        sql += f""",
+h{k} AS (SELECT avg(g * p) - avg(1 - g * g) * any_value(a) AS a, avg(g * n) - avg(1 - g * g) * any_value(b) AS b, avg(e * p) - avg(1 - e * e) * any_value(c) AS c, avg(e * n) - avg(1 - e * e) * any_value(d) AS d
+  FROM (SELECT x.*, w.*, (exp(2 * (a * p + b * n)) - 1) / (exp(2 * (a * p + b * n)) + 1) AS g, (exp(2 * (c * p + d * n)) - 1) / (exp(2 * (c * p + d * n)) + 1) AS e FROM x, w{k} w)),
+w{k + 1} AS MATERIALIZED (SELECT CASE WHEN a * d > b * c THEN (a + d) / t ELSE (a - d) / t END AS a, CASE WHEN a * d > b * c THEN (b - c) / t ELSE (b + c) / t END AS b,
+  CASE WHEN a * d > b * c THEN (c - b) / t ELSE (b + c) / t END AS c, CASE WHEN a * d > b * c THEN (a + d) / t ELSE (d - a) / t END AS d
+  FROM (SELECT *, CASE WHEN a * d > b * c THEN sqrt((a + d) * (a + d) + (b - c) * (b - c)) ELSE sqrt((a - d) * (a - d) + (b + c) * (b + c)) END AS t FROM h{k}))"""
+    # Weights over the bands: the component that leans on the first band comes first, its largest weight positive.
+    return sql + f""",
+f AS (SELECT w.*, a / sqrt(2 * (1 + r)) + b / sqrt(2 * (1 - r)) AS f11, a / sqrt(2 * (1 + r)) - b / sqrt(2 * (1 - r)) AS f12, c / sqrt(2 * (1 + r)) + d / sqrt(2 * (1 - r)) AS f21, c / sqrt(2 * (1 + r)) - d / sqrt(2 * (1 - r)) AS f22 FROM w{rounds} w, m),
+y AS (SELECT l_orderkey, l_linenumber, (a * p + b * n) * sign(CASE WHEN abs(f11) >= abs(f12) THEN f11 ELSE f12 END) AS u, (c * p + d * n) * sign(CASE WHEN abs(f21) >= abs(f22) THEN f21 ELSE f22 END) AS v, abs(f11) >= abs(f12) AS lead FROM x, f)
+SELECT l_orderkey, l_linenumber, round(CASE WHEN lead THEN u ELSE v END, 4) + 0.0 AS ic1, round(CASE WHEN lead THEN v ELSE u END, 4) + 0.0 AS ic2 FROM y"""
+
+
+add("ica_scores", lambda s, d: out(stats.independent_components(_mixed(s, d), ["b1", "b2"], tolerance=1e-14)[0], 4, "ic1", "ic2"), _ica_sql())
 
 # --- lines and wavelets ---------------------------------------------------------------------
 

@@ -130,6 +130,60 @@ def defined_data(spark: SparkSession, fields: list[dict], path: str) -> DataFram
     return rows.select(*out, F.array_join(comment, " ").alias("COMMENTS"))
 
 
+def _system(text: str) -> int | None:
+    """The code that a projection text of the older form implies: a zone of GDA94, or WGS84."""
+    if "GDA94" in text and "zone" in text.lower():
+        zone = re.match(r"\s*(\S+)", text.lower().split("zone")[1])
+        digits = re.sub(r"\D", "", zone.group(1)) if zone else ""
+        return 28300 + int(digits) if digits and 49 <= int(digits) <= 56 else None
+    return 4326 if "WGS84" in text else None
+
+
+def legacy_definitions(text: str, projection: str | None = None) -> tuple[list[dict], int | None, bool]:
+    """Fields of a definition file of the older form, the EPSG code, and whether rows carry their record type as a field.
+
+    A line defines one field, the first of its parts with a name and a format; numbered lines are put
+    in order.  The code comes from ``projection``, the text of the projection file, before the definitions.
+    """
+    fields = []
+    for line in map(str.strip, text.splitlines()):
+        if not line.startswith("DEFN") or not ("ST=RECD,RT=;" in line or "ST=RECD,RT=DATA;" in line):
+            continue
+        number = re.match(r"DEFN (\d+)\s", line)
+        for part in line.split(";"):
+            name, _, form = part.partition(":")
+            given = re.search(r"NAME=([^,]*)", part)
+            if form.strip()[:1] in tuple("FIDA"):
+                kind = {"I": "int", "A": "string"}.get(form.strip()[0], "double")
+                fields.append({"name": (given.group(1) if given else name).strip(), "kind": kind, "number": int(number.group(1)) if number else None})
+                break
+    if all(f["number"] is not None for f in fields):
+        fields.sort(key=lambda f: f["number"])
+    epsg = _system(projection or "")
+    return fields, _system(text) if epsg is None else epsg, "ST=RECD,RT=DATA;RT:A4;" in text
+
+
+def legacy_data(spark: SparkSession, fields: list[dict], path: str, typed_rows: bool) -> DataFrame:
+    """Rows of a data file of the older form: tokens between blanks, one for each field, more are ignored.
+
+    Rows with fewer tokens than fields are left out.  A leading ``DATA`` is dropped, as a token of its
+    own where rows carry their type (``typed_rows``; too short rows are left out then as well), and as the
+    first four letters otherwise.  A token that is no number is NULL in a field of numbers.
+    """
+    cut = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
+    line = F.trim(F.regexp_replace("value", r"\s+", " "))
+    rows = spark.read.text(path).select(line.alias("line")).where("line <> ''").select("line", F.split("line", " ").alias("t")).where(F.size("t") >= len(fields))
+    if typed_rows:
+        first = F.col("t")[0] == "DATA"
+        rows = rows.where(~first | (F.size("t") > len(fields)))
+        own = F.when(first, F.slice("t", 2, F.size("t"))).when(F.col("line").startswith("DATA"), cut(F.substring("line", 5, 1 << 30))).otherwise(F.col("t"))
+    else:
+        own = F.when(F.col("line").startswith("DATA"), cut(F.substring("line", 5, 1 << 30))).otherwise(F.col("t"))
+    rows = rows.select(own.alias("t"))
+    of = {"string": lambda t: t, "int": lambda t: t.try_cast("long"), "double": lambda t: t.try_cast("double")}
+    return rows.select(*[of[f["kind"]](F.get("t", F.lit(k))).alias(f["name"]) for k, f in enumerate(fields)])
+
+
 def short_names(names: list[str], length: int = 10) -> list[str]:
     """Names cut to ``length`` characters; a number takes the place of the end of one that is already there."""
     out: list[str] = []
