@@ -72,3 +72,12 @@ def test_chains_against_a_plain_search(spark):
         if len(chain) > 1:
             want.append(chain)
     assert [sorted(got[k]) for k in sorted(got)] == want
+
+
+def _by_group(df):
+    return "FlatMapGroups" in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_many_short_lines_share_batches(spark):
+    df = spark.createDataFrame([r for k in range(5) for r in line(spark, [0, 3, 1, 4], k)], "line_id long, pos int, v double")
+    assert not _by_group(wavelet.transform(df, 3)) and wavelet.transform(df, 3).count() == 5 * 3 * 4
