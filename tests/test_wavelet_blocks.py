@@ -81,3 +81,5 @@ def _by_group(df):
 def test_many_short_lines_share_batches(spark):
     df = spark.createDataFrame([r for k in range(5) for r in line(spark, [0, 3, 1, 4], k)], "line_id long, pos int, v double")
     assert not _by_group(wavelet.transform(df, 3)) and wavelet.transform(df, 3).count() == 5 * 3 * 4
+    apart = wavelet.peaks(df.withColumnRenamed("v", "value"), ["line_id"], "value", 0.0, 3)
+    assert not _by_group(apart) and sorted((r.line_id, r.pos) for r in apart.collect()) == [(k, 3) for k in range(5)]
