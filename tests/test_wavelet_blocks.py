@@ -83,3 +83,6 @@ def test_many_short_lines_share_batches(spark):
     assert not _by_group(wavelet.transform(df, 3)) and wavelet.transform(df, 3).count() == 5 * 3 * 4
     apart = wavelet.peaks(df.withColumnRenamed("v", "value"), ["line_id"], "value", 0.0, 3)
     assert not _by_group(apart) and sorted((r.line_id, r.pos) for r in apart.collect()) == [(k, 3) for k in range(5)]
+    levels = [(k, s, 2.0**s, p, 1.0) for k in range(5) for s in (0, 1) for p in (3, 8)]
+    followed = wavelet.chains(spark.createDataFrame(levels, "line_id long, scale_no int, scale double, pos int, value double"))
+    assert not _by_group(followed) and followed.count() == 5 * 2 * 2
