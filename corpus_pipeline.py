@@ -19,7 +19,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word similarity of 0.8 or more)."""
+    """One document of each group of near duplicates: by SimHash first, then by minimum hashes, each link of five-word similarity 0.8 or more."""
     bounded_batches(spark)
     return jaccard.keep_one(docs)
 

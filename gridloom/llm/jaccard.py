@@ -1,6 +1,9 @@
 """Near-duplicate groups by five-word Jaccard similarity, confirmed on the exact shingle sets.
 
-Texts are sets of hashed word shingles; equal sets are one node.  ``BANDS`` bands of ``ROWS``
+Texts are sets of hashed word shingles; equal sets are one node.  Nodes whose SimHash fingerprints
+differ in at most three bits meet first, by the grid join over segment popcounts of
+:mod:`gridloom.llm.simhash`, and are linked if their exact sets agree.  Pairs at 0.8 may differ in
+more bits, so what is left meets by minimum hashes: ``BANDS`` bands of ``ROWS``
 minimum hashes each name the keys under which nodes meet: two sets of similarity 0.8 share none
 of them with a probability of (1 - 0.8^5)^32 = 3e-6.  Pairs that meet are dropped by their sizes
 or by 128 one-bit minima that differ in more than ``MOST_BITS`` (0.8 gives 12.8 on average,
@@ -72,20 +75,20 @@ def sketch(h: np.ndarray) -> tuple[np.ndarray, int, int]:
 
 
 def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(node, n, bands, s0, s1, first)`` of the distinct shingle sets; ``first`` names the row to keep."""
+    """``(node, n, fp, bands, s0, s1, first)`` of the distinct shingle sets; ``first`` names the row to keep."""
 
-    @F.pandas_udf("node long, n int, bands array<long>, s0 long, s1 long")
+    @F.pandas_udf("node long, n int, fp long, bands array<long>, s0 long, s1 long")
     def mark(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
             for h in map(shingles, texts):
-                rows.append((int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 7)).view(np.int64)), len(h), *sketch(h)))
-            yield pd.DataFrame(rows, columns=["node", "n", "bands", "s0", "s1"])
+                rows.append((int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 7)).view(np.int64)), len(h), int(np.uint64(simhash.of_hashes(h)).view(np.int64)), *sketch(h)))
+            yield pd.DataFrame(rows, columns=["node", "n", "fp", "bands", "s0", "s1"])
 
     k, th = simhash._row_key(docs, id_col, text_col)
     first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), th.alias("th"), k.alias("k")).alias("first")
     marked = docs.select(first, mark(F.col(text_col)).alias("m")).select("first", "m.*")
-    same = [F.first(c).alias(c) for c in ("n", "bands", "s0", "s1")]
+    same = [F.first(c).alias(c) for c in ("n", "fp", "bands", "s0", "s1")]
     return materialise(marked.groupBy("node").agg(*same, F.min("first").alias("first")), "shingle-sets")
 
 
@@ -153,20 +156,32 @@ def _prefix_pairs(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select(F.col("a_node").alias("src"), F.col("b_node").alias("dst")).distinct()
 
 
+def grid_pairs(nodes: DataFrame) -> DataFrame:
+    """``(src, dst)`` of ``nodes(node, fp)`` whose components are those of 'at most three bits of the fingerprints differ'."""
+    fps = materialise(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "set-fingerprints")
+    end = lambda c: fps.select(F.col("fp").alias(c), F.col("rep").alias(f"{c}_rep"))
+    near = simhash.link_fingerprints(fps.select("fp")).join(end("src"), "src").join(end("dst"), "dst").select(F.col("src_rep").alias("src"), F.col("dst_rep").alias("dst"))
+    return near.union(nodes.join(fps, "fp").where("node <> rep").select(F.col("node").alias("src"), F.col("rep").alias("dst")))
+
+
 def _links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(src, dst)`` whose components are those of 'similarity at least 0.8'."""
     rows = nodes.select("node", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     met = materialise(rows.join(shared.select("key"), "key"), "shared-bands")
-    sets = _sets(met.select("node").distinct(), nodes, docs, id_col, text_col)
+    grid = materialise(grid_pairs(nodes.select("node", "fp")), "grid-pairs")
+    asked = met.select("node").union(grid.select("src")).union(grid.select("dst")).distinct()
+    sets = _sets(asked, nodes, docs, id_col, text_col)
     size = lambda at: sets.select(F.col("node").alias(at), *[F.col(c).alias(f"{at}_{c}") for c in ("n", "s0", "s1")])
     # In the rounds a node takes on the class of the leading node it is linked with; nodes of one class are always linked, if not the other way round.
-    known, links = met.withColumn("cls", F.col("node")), None
+    links = materialise(_confirmed(grid, sets), "near-in-grid")
+    classes = connected_components(links).withColumnRenamed("component", "cls")
+    known = materialise(met.join(classes, "node", "left").select("key", "node", F.coalesce("cls", "node").alias("cls")), "band-classes")
     for salt in range(STAR_ROUNDS):
         pairs = _hub_pairs(_mixed(known), salt).join(size("src"), "src").join(size("dst"), "dst")
         tried = materialise(pairs.where(_can_be_near("src_", "dst_")).select("src", "dst", "dst_cls"), "tried-pairs")
         found = materialise(tried.join(_confirmed(tried.select("src", "dst"), sets), ["src", "dst"]), "near-hubs")
-        links = found.select("src", "dst") if links is None else links.union(found.select("src", "dst"))
+        links = links.union(found.select("src", "dst"))
         moved = found.select(F.col("src").alias("node"), "dst_cls")
         known = materialise(known.join(moved, "node", "left").select("key", "node", F.coalesce("dst_cls", "cls").alias("cls")), "band-classes")
     classes = connected_components(links).withColumnRenamed("component", "cls")

@@ -64,6 +64,14 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big")
 
 
+def of_hashes(h: np.ndarray) -> int:
+    """Unsigned SimHash of shingle hashes; 0 for none."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(h), _BLOCK):
+        votes += np.unpackbits(h[at : at + _BLOCK].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(votes * 2 > len(h)).tobytes(), "big")
+
+
 def simhash_of(text_col: str, words: int = SHINGLE_WORDS) -> Column:
     """Column expression: the fingerprint as a signed long."""
 

@@ -43,3 +43,22 @@ def test_stage_keeps_one_of_texts_at_five_word_similarity(spark):
     both = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (None, "g")], "doc_id long, text string")
     assert sorted(r.text for r in jaccard.keep_one(both).collect()) == ["a b c d e f", "g"]
     assert jaccard.keep_one(df.limit(0)).count() == 0
+
+
+def test_fingerprints_meet_on_the_grid_first(spark):
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(400)]
+    rows = [(k, " ".join(base[:-k] + [f"end{k}-{i}" for i in range(k)] if k else base)) for k in range(40)] + [(90, ""), (91, "far from all others here today")]
+    nodes = jaccard._nodes(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    fps = {r.node: r.fp % (1 << 64) for r in nodes.collect()}
+    found = [(r.src, r.dst) for r in jaccard.grid_pairs(nodes.select("node", "fp")).collect()]
+
+    def groups(pairs):
+        label = {n: n for n in fps}
+        for _ in fps:
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    near = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3]
+    assert groups(found) == groups(near) and len(near) > 10
