@@ -182,7 +182,10 @@ def _xyz(s: SparkSession, d: str) -> DataFrame:
     e = fixtures.table(s, d, "events")
     station = e.select(F.col("user_id").alias("l"), F.lit(1).alias("k"), F.col("event_id").alias("e"), _line(F.col("event_id") % 1000, F.col("event_id") % 77, F.col("value")).alias("line"))
     mark = e.select("user_id").distinct().select(F.col("user_id").alias("l"), F.lit(0).alias("k"), F.lit(0).cast("long").alias("e"), F.concat(F.when(F.col("user_id") % 4 == 0, "TIE:").otherwise("LINE:"), F.col("user_id").cast("string")).alias("line"))
-    found = files.xyz(s, _text(station.union(mark), "xyz", ["l", "k", "e"]), ties=False)
+    # Files of whole lines: all rows of a user are in one range, behind their marker.
+    path = _folder(s, "xyz")
+    station.union(mark).repartitionByRange("l").sortWithinPartitions("l", "k", "e").select("line").write.text(path)
+    found = files.xyz(s, path, ties=False)
     return found.select(F.col("line_id").cast("long").alias("line_id"), "x", "y", F.round(F.col("data")[0], 6).alias("v"))
 
 

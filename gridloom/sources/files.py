@@ -1,8 +1,8 @@
 """Readers of survey files: line XYZ, modelled ASCII grids, binary GRD grids, harmonic coefficients.
 
 Each reader takes a path or glob and gives one row per point or cell, with the file's name as
-``file``.  A text file is read by one task, a binary grid block by block by many; many files are
-read in parallel.  Values that mean "no data" become NULL.
+``file``.  Text files are read in Spark's splits, line files are taken up split by split and binary
+grids block by block, each by many tasks; many files are read in parallel.  Values that mean "no data" become NULL.
 """
 
 from __future__ import annotations
@@ -14,27 +14,48 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gridloom.sources import blocks, raster
 
 
+def _splits(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``(file, split, k, line)``: trimmed lines with their number from 1 in the split that they begin in, and ``(file, split, n)``: the lines of each."""
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value")
+    # A split is read in order by one task, so that these ids rise along it.
+    text = text.withColumn("id", F.monotonically_increasing_id())
+    p = text.withColumn("k", F.row_number().over(Window.partitionBy("file", "split").orderBy("id")))
+    p = p.select("file", "split", "k", F.trim(F.regexp_replace("value", r"\s+", " ")).alias("line"))
+    return p, text.groupBy("file", "split").agg(F.count("*").alias("n"))
+
+
+def _first_line(splits: DataFrame) -> Column:
+    """The number, from 0, of the first line of each of ``splits(file, split, n)``."""
+    return F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """``(file, at, line)``: trimmed lines with their number from 0."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    cut = whole.select("file", F.posexplode(F.split("value", "\r\n|\r|\n")).alias("at", "line"))
-    return cut.withColumn("line", F.trim(F.regexp_replace("line", r"\s+", " ")))
+    p, splits = _splits(spark, path)
+    first = splits.select("file", "split", _first_line(splits).alias("first"))
+    return p.join(F.broadcast(first), ["file", "split"]).select("file", (F.col("first") + F.col("k") - 1).cast("int").alias("at"), "line")
 
 
 def xyz(spark: SparkSession, path: str, ties: bool = True) -> DataFrame:
     """``(file, line_id, seq, x, y, data)``: stations below ``LINE:n`` and, if wanted, ``TIE:n`` markers.
 
-    Rows that are not all numbers, have fewer than two, or come before any marker are left out.
+    Rows that are not all numbers, have fewer than two, or come before any marker are left out.  A
+    split's stations before its first marker belong to the last one of the splits before it.
     """
     number = F.regexp_extract("line", r"^(?:LINE|TIE):\D*(\d+)", 1).cast("int")
     mark = F.when(F.col("line").startswith("LINE:"), number).when(F.col("line").startswith("TIE:"), number if ties else F.lit(-1))
-    w = Window.partitionBy("file").orderBy("at")
-    p = _lines(spark, path).withColumn("mark", mark).withColumn("line_id", F.last("mark", True).over(w))
+    p, splits = _splits(spark, path)
+    p = p.withColumn("mark", mark)
+    w = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    marks = p.where("mark IS NOT NULL").groupBy("file", "split").agg(F.max_by("mark", "k").alias("last"))
+    heads = splits.join(marks, ["file", "split"], "left").select("file", "split", _first_line(splits).alias("first"), F.last("last", True).over(w).alias("open"))
+    p = p.withColumn("own", F.last("mark", True).over(Window.partitionBy("file", "split").orderBy("k")))
+    p = p.join(F.broadcast(heads), ["file", "split"]).withColumn("line_id", F.coalesce("own", "open")).withColumn("at", (F.col("first") + F.col("k") - 1).cast("int"))
     p = p.where("mark IS NULL AND line_id >= 0").withColumn("d", F.transform(F.split("line", " "), lambda t: t.try_cast("double")))
     p = p.where((F.size("d") >= 2) & ~F.exists("d", lambda v: v.isNull()))
     return p.select("file", "line_id", F.col("at").alias("seq"), F.col("d")[0].alias("x"), F.col("d")[1].alias("y"), F.slice("d", 3, F.size("d")).alias("data"))

@@ -82,3 +82,30 @@ def test_grd(spark, tmp_path, packed, order):
     one = got[0, 2] if order == 1 else got[2, 0]
     assert one.v == 6.0 and (one.x, one.y) == ((1020.0, 2000.0) if order == 1 else (1000.0, 2020.0))
     assert (got[1, 2] if order == 1 else got[2, 1]).v is None
+
+
+def test_xyz_over_splits(spark, tmp_path):
+    text, want, line, seq = "", [], None, 0
+    for k in range(400):
+        if k % 90 == 20:
+            line = k if k % 180 == 20 else -1
+            text, seq = text + ("LINE:%d\r\n" % k if line > 0 else "TIE:%d\n" % k), seq + 1
+        text += f"{k}  {k + 0.5} {k * 2}" + ("\n", "\r\n", "\r")[k % 3]
+        if line and line > 0:
+            want.append((line, seq, float(k), k + 0.5, [2.0 * k]))
+        seq += 1
+    (tmp_path / "long.xyz").write_bytes(text.encode())
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {c: spark.conf.get(c) for c in keys}
+    try:
+        for c, v in zip(keys, ("300", "1")):
+            spark.conf.set(c, v)
+        p, splits = files._splits(spark, str(tmp_path / "long.xyz"))
+        assert splits.count() > 10
+        got = files.xyz(spark, str(tmp_path / "long.xyz"), ties=False).orderBy("seq").collect()
+        assert [(r.line_id, r.seq, r.x, r.y, r.data) for r in got] == want
+        lines = files._lines(spark, str(tmp_path / "long.xyz")).orderBy("at").collect()
+        assert [r.at for r in lines] == list(range(seq)) and lines[0].line == "0 0.5 0"
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
