@@ -10,10 +10,11 @@ or by 128 one-bit minima that differ in more than ``MOST_BITS`` (0.8 gives 12.8
 standard deviation 3.4), and all others are decided on their exact sets.
 
 Keys that many nodes share are not expanded into all pairs.  In ``STAR_ROUNDS`` rounds every node
-is compared with one leading node of its keys, of another class than its own; that joins groups
-of copies however large they are.  What is left in keys of several classes goes through a prefix
-join on the exact sets: only nodes that share one of their rarest shingles meet, which loses no
-pair of similarity 0.8.
+is compared with one leading node of its keys, of another class than its own, in the first round
+the one that shares keys with most others; that joins groups of copies however large they are.  What is left in keys of several classes goes through a prefix
+join on the exact sets: only nodes that share one of their rarest shingles meet, and only where
+enough shingles follow it in both, which loses no pair of similarity 0.8.  Shingles held by the same
+nodes count as one there, so that a pair of long texts does not meet once for each of them.
 
 Nulls: a null text counts as empty; texts without words are one group.  A text shorter than a
 shingle is one shingle.  An empty table gives an empty result; other columns pass through,
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridloom.llm import simhash
 from gridloom.operators.graph import connected_components
@@ -39,6 +40,10 @@ BANDS, ROWS = 32, 5
 MOST_BITS = 34
 #: Rounds in which nodes are tried against leading nodes of their bands, before all pairs that may still be missing are.
 STAR_ROUNDS = 3
+#: Ratio of the sizes between which nodes are told apart before they meet.
+SIZE_STEP = 1.02
+#: Earlier lists of a node that are looked at to tell whether a pair has met before; where more come first, it may be reported again.
+EARLIER_LISTS = 16
 #: Most texts whose keys are sent to every task when their sets are needed.
 BROADCAST_TEXTS = 100_000
 _BLOCK = 1 << 9
@@ -128,32 +133,63 @@ def _mixed(known: DataFrame) -> DataFrame:
     return known.join(some, "key")
 
 
-def _hub_pairs(mixed: DataFrame, salt: int) -> DataFrame:
-    """``(src, dst, dst_cls)``: every node with one node of another class that leads one of its bands, in an order that ``salt`` shuffles."""
-    rank = F.struct(F.xxhash64("node", F.lit(salt)).alias("h"), "node", "cls")
+def _hub_pairs(mixed: DataFrame, order: Column) -> DataFrame:
+    """``(src, dst, dst_cls)``: every node with one node of another class that leads one of its bands, the least by ``order``."""
+    rank = F.struct(order.alias("h"), "node", "cls")
     hubs = mixed.groupBy("key").agg(F.min(rank).alias("hub"))
     ends = mixed.join(hubs, "key").where("cls <> hub.cls").groupBy("node").agg(F.min("hub").alias("hub"))
     return ends.select(F.col("node").alias("src"), F.col("hub.node").alias("dst"), F.col("hub.cls").alias("dst_cls"))
 
 
-def _prefix_pairs(mixed: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(src, dst)`` of different classes that may reach 0.8: they share a shingle among the rarest fifth of each set.
+def _lists(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(p0, p1, node, cls, n, s0, s1, rest, before)``: the lists of nodes under the shingles of each node.
 
-    Two sets of similarity 0.8 must share one of the first ``n - ceil(0.8 n) + 1`` shingles of
-    each under any common order.  Rarest first keeps the groups under a shingle small, and what
-    is in one set only takes up places there without making a pair.
+    A list is all nodes of ``mixed`` that hold a shingle, named by ``p0, p1``; shingles with the
+    same list count as one, lists of one class are left out.  Rare ones first, ``rest`` is how
+    many shingles of the node lie in this list or a later one, ``before`` names the first of its
+    earlier lists.
     """
     nodes = mixed.groupBy("node").agg(F.first("cls").alias("cls"))
-    tokens = sets.join(nodes, "node").select("node", F.explode("set").alias("t"))
-    counts = tokens.groupBy("t").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("node").orderBy("df", "t")
-    ranked = tokens.join(counts, "t").withColumn("place", F.row_number().over(order)).where("df > 1")
-    about = sets.select("node", "n", "s0", "s1").join(nodes, "node")
-    first = ranked.join(about, "node").where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1)
-    first = materialise(first.select("t", "node", "cls", "n", "s0", "s1"), "rare-shingles")
-    a, b = (first.select("t", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "cls", "n", "s0", "s1")]) for x in ("a", "b"))
-    met = a.join(b, "t").where((F.col("a_node") < F.col("b_node")) & (F.col("a_cls") != F.col("b_cls")) & _can_be_near("a_", "b_"))
-    return met.select(F.col("a_node").alias("src"), F.col("b_node").alias("dst")).distinct()
+    about = sets.join(nodes, "node")
+    tokens = about.select("node", "cls", F.explode("set").alias("t"))
+    named = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"p{i}") for i in (0, 1)]
+    held = tokens.groupBy("t").agg(F.count("*").alias("df"), *named, F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b")
+    lists = tokens.join(held.select("t", "df", "p0", "p1"), "t").groupBy("node", "df", "p0", "p1").agg(F.count("*").alias("k"))
+    at = Window.partitionBy("node").orderBy("df", "p0", "p1")
+    lists = lists.withColumn("at", F.row_number().over(at))
+    lists = lists.withColumn("rest", F.sum("k").over(at.rowsBetween(0, Window.unboundedFollowing)))
+    first = F.collect_list(F.when(F.col("at") <= EARLIER_LISTS, F.col("p0"))).over(at.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    lists = lists.select("node", "p0", "p1", "rest", F.slice(first, 1, F.col("at") - 1).alias("before"))
+    about = about.select("node", "cls", F.col("n").cast("long").alias("n"), "s0", "s1")
+    # Any partner has at least 4 / 5 of the node's shingles, and at most ``rest`` of them can be shared.
+    return lists.join(about, "node").where("rest * 9 >= n * 4 + (n * 4 + 4) div 5 * 4")
+
+
+def _prefix_meetings(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(src, dst)``, some of them repeated, of different classes that may reach 0.8: they share a shingle early in both.
+
+    Two sets of ``a`` and ``b`` shingles and similarity 0.8 share at least 4 / 9 of ``a + b``.  Under
+    any common order as many of each lie at or after the first that they share, which also is the
+    first of its list; so they meet there if ``rest`` of both is that large.  Shingles of one class
+    take up the first places without making a pair, so that variants of one text do not meet by
+    what all of them hold unless few enough of their own shingles precede it.  The larger set looks
+    only into steps of size that its ``rest`` leaves room for.  Where they share an early list that comes before,
+    they have met there.
+    """
+    lists = materialise(_lists(mixed, sets), "rare-lists")
+    step = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(SIZE_STEP)))
+    of = lambda x, rows: rows.select("p0", "p1", "step", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "cls", "n", "s0", "s1", "rest", "before")])
+    small = of("a", lists.where("rest * 9 >= n * 8").withColumn("step", step(F.col("n"))))
+    least, most = F.expr("(n * 4 + 4) div 5"), F.least("n", F.expr("(rest * 9 - n * 4) div 4"))
+    large = of("b", lists.withColumn("step", F.explode(F.sequence(step(least), step(most)))))
+    met = small.join(large, ["p0", "p1", "step"])
+    met = met.where("a_cls <> b_cls AND (a_n < b_n OR a_n = b_n AND a_node < b_node) AND least(a_rest, b_rest) * 9 >= (a_n + b_n) * 4 AND NOT arrays_overlap(a_before, b_before)")
+    return met.where(_can_be_near("a_", "b_")).select(F.col("a_node").alias("src"), F.col("b_node").alias("dst"))
+
+
+def _prefix_pairs(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """The different pairs of ``_prefix_meetings``; all of similarity 0.8 and different classes are among them but for the sketches."""
+    return _prefix_meetings(mixed, sets).distinct()
 
 
 def grid_pairs(nodes: DataFrame) -> DataFrame:
@@ -167,8 +203,11 @@ def grid_pairs(nodes: DataFrame) -> DataFrame:
 def _links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(src, dst)`` whose components are those of 'similarity at least 0.8'."""
     rows = nodes.select("node", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    met = materialise(rows.join(shared.select("key"), "key"), "shared-bands")
+    shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    met = materialise(rows.join(shared.select("key", "size"), "key"), "shared-bands")
+    # Whoever shares bands with most others lies in the middle of its variants and leads in the first round.
+    reach = met.groupBy("node").agg(F.sum("size").alias("reach"))
+    met = met.drop("size")
     grid = materialise(grid_pairs(nodes.select("node", "fp")), "grid-pairs")
     asked = met.select("node").union(grid.select("src")).union(grid.select("dst")).distinct()
     sets = _sets(asked, nodes, docs, id_col, text_col)
@@ -178,7 +217,9 @@ def _links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Dat
     classes = connected_components(links).withColumnRenamed("component", "cls")
     known = materialise(met.join(classes, "node", "left").select("key", "node", F.coalesce("cls", "node").alias("cls")), "band-classes")
     for salt in range(STAR_ROUNDS):
-        pairs = _hub_pairs(_mixed(known), salt).join(size("src"), "src").join(size("dst"), "dst")
+        mixed = _mixed(known)
+        leading = _hub_pairs(mixed, F.xxhash64("node", F.lit(salt))) if salt else _hub_pairs(mixed.join(reach, "node"), -F.col("reach"))
+        pairs = leading.join(size("src"), "src").join(size("dst"), "dst")
         tried = materialise(pairs.where(_can_be_near("src_", "dst_")).select("src", "dst", "dst_cls"), "tried-pairs")
         found = materialise(tried.join(_confirmed(tried.select("src", "dst"), sets), ["src", "dst"]), "near-hubs")
         links = links.union(found.select("src", "dst"))

@@ -62,3 +62,37 @@ def test_fingerprints_meet_on_the_grid_first(spark):
 
     near = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3]
     assert groups(found) == groups(near) and len(near) > 10
+
+
+def test_variants_of_one_text_do_not_meet_by_what_all_hold(spark):
+    rnd = random.Random(3)
+    word = lambda: f"w{rnd.randrange(10**9)}"
+    met = {}
+    for size in (60, 240):
+        base = [word() for _ in range(150)]
+        rows = [(0, " ".join(base))]
+        for i in range(1, size):
+            text = list(base)
+            for _ in range(rnd.randint(2, 9)):
+                text[rnd.randrange(150)] = word()
+            rows.append((i, " ".join(text)))
+            if i % 5 == 0:  # a variant of a variant, seldom near the text that all come from
+                text[rnd.randrange(150)] = word()
+                rows.append((1000 + i, " ".join(text[: rnd.randint(138, 150)])))
+        shared = [word() for _ in range(2000)]  # long texts with many shingles in common meet once
+        rows += [(9000 + i, " ".join(shared + [word() for _ in range(150)])) for i in range(3)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        nodes = jaccard._nodes(df, "doc_id", "text")
+        node = {r.id: r.node for r in nodes.select("first.id", "node").collect()}
+        held = jaccard._sets(nodes.select("node"), nodes, df, "doc_id", "text")
+        s = {node[i]: sets(t) for i, t in rows}
+        like = lambda a, b: 9 * len(s[a] & s[b]) >= 4 * (len(s[a]) + len(s[b]))
+        cls = {n: node[0] if like(n, node[0]) else n for n in s}  # as the rounds leave them
+        mixed = spark.createDataFrame([(1, n, c) for n, c in cls.items()], "key long, node long, cls long")
+        found = [frozenset(r) for r in jaccard._prefix_pairs(mixed, held).collect()]
+        want = {frozenset((a, b)) for a in s for b in s if a < b and cls[a] != cls[b] and like(a, b)}
+        assert want and want <= set(found) and len(want) > size // 20 and len(set(cls.values())) > size // 4
+        assert len(found) == len(set(found)) <= 2 * len(s)
+        met[size] = jaccard._prefix_meetings(mixed, held).count()
+        assert met[size] <= 4 * len(s)
+    assert met[240] <= 12 * met[60]
