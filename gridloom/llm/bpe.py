@@ -2,7 +2,8 @@
 
 Where the vocabulary's rule drops blanks and splits words before any merge, a text's pieces are
 encoded one by one, as their ids do not depend on their neighbours.  Each worker keeps the ids of
-the pieces that it has met, and their finished strings of ids and tokens, in a bounded cache.
+the pieces that it has met, and their finished strings of ids and tokens, in a bounded cache;
+where only ids are asked for, also those of whole words of plain text.
 Other vocabularies, and rare characters, go through the library directly.
 
 A long text is halved again and again into leaves of bounded length, which are dealt over
@@ -40,8 +41,10 @@ from gridloom.plans.scratch import materialise
 
 #: Texts of more characters than this go through tree concatenation, in leaves of at most this many.
 LEAF_CHARS = 32_768
-#: Pieces that one task remembers at most.
+#: Pieces that one task remembers at most: half of it as texts, twice as packed ids, and as many whole words.
 CACHE_PIECES = 300_000
+#: Longer words of plain text are put together from their pieces each time.
+WORD_CHARS = 64
 _FIRST_WINDOW = 32
 _SHARED_RUN = 3
 
@@ -86,8 +89,8 @@ class Codec:
         self.joins_tokens = rules["decoder"] is None
         texts = lambda ids: (" ".join([self.digits[i] for i in ids]), " ".join([self.token[i] for i in ids]))
         #: Of each piece its ids as decimal text and its tokens as text, or its ids as four bytes each.
-        # Texts take about four times the memory of packed ids, so half as many are kept.
-        self.texts, self.packed = Pieces(self.tok, texts, cache_pieces // 2), Pieces(self.tok, lambda ids: np.array(ids, "<u4").tobytes(), cache_pieces)
+        # Texts take about four times the memory of packed ids, so a quarter as many are kept.
+        self.texts, self.packed = Pieces(self.tok, texts, cache_pieces // 2), Pieces(self.tok, _four_bytes, 2 * cache_pieces, b"".join)
 
     def pack_many(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Exactly the library's ids of each text, in order, as arrays."""
@@ -126,17 +129,43 @@ class Codec:
             yield ids.count(" ") + bool(ids), _sha256(ids), _sha256(" ".join([tokens for _, tokens in found if tokens]))
 
 
+def _four_bytes(ids: list[int]) -> bytes:
+    return b"".join([i.to_bytes(4, "little") for i in ids])
+
+
+class Words(dict):
+    """What is kept of each lower-cased word of plain text, put together by ``join`` from its pieces; those met first stay."""
+
+    def __init__(self, pieces: Pieces, join, most: int):
+        super().__init__()
+        self.pieces, self.join, self.most = pieces, join, most
+
+    def __missing__(self, word: str):
+        pieces = _PLAIN_RULE.findall(word)
+        if not self.pieces.known.keys() >= set(pieces):
+            self.pieces._learn(set(pieces), True)
+        found = self.join(map(self.pieces.known.__getitem__, pieces))
+        if len(word) <= WORD_CHARS:
+            if len(self) < self.most:
+                self[word] = found
+        return found
+
+
 class Pieces:
-    """Bounded cache of what is kept of the ids of each piece of text."""
+    """Bounded cache of what is kept of the ids of each piece of text; with ``join`` also of whole words of plain texts."""
 
-    def __init__(self, tok, keep, most: int):
+    def __init__(self, tok, keep, most: int, join=None):
         self.tok, self.keep, self.most = tok, keep, most
+        self.words = Words(self, join, most // 2) if join else None
         self.known: dict[str, object] = {}
         #: The pieces met first, among them nearly all frequent ones, stay when the cache is full.
         self.core: list[str] = []
 
-    def _cut(self, text: str) -> tuple[list[str], bool]:
+    def _cut(self, text: str) -> tuple[list, bool | None]:
+        """(pieces, whether they are plain), or what is kept of the words and None."""
         if _PLAIN.fullmatch(text) and "<|" not in text:
+            if self.words is not None:  # no piece of plain text reaches over a blank
+                return list(map(self.words.__getitem__, text.lower().split())), None
             return _PLAIN_RULE.findall(text.lower()), True
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "), False
 
@@ -148,7 +177,7 @@ class Pieces:
             new = list(pieces.difference(self.known))
         if plain:
             merge = self.tok.model.tokenize
-            coded = ([t.id for t in merge(p.translate(_BYTES))] for p in new)
+            coded = ([t.id for t in merge(p if p.isascii() else p.translate(_BYTES))] for p in new)
         else:
             coded = (e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False))
         for p, ids in zip(new, coded):

@@ -26,3 +26,23 @@ def test_leaves_without_shared_tokens_fall_back(spark):
     for r in rows:
         ids = tok.encode(texts[r.doc_id], add_special_tokens=False).ids
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_whole_words_are_looked_up_and_stay_bounded():
+    import random
+
+    rnd = random.Random(2)
+    parts = ["Straße", "it's", "naïve,", "(a)", "12", "...", "'ve", "x" * 200, "\t", "\r\n", "’t", "<|", "ÀÉ!", "and", "[SEP]"]
+    texts = ["".join(rnd.choice(parts) + rnd.choice(["", " ", " ", "\n"]) for _ in range(rnd.randint(0, 40))) for _ in range(300)]
+    texts += [None, "", "and and\tAND\nand"]
+    tok = bpe.load(bpe.vocabulary_path())
+    want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for most in (bpe.CACHE_PIECES, 40):
+        codec = bpe.Codec(bpe.vocabulary_path(), most)
+        for _ in range(2):
+            assert list(codec.encode_many(texts)) == want
+        words = codec.packed.words
+        assert 0 < len(words) <= most and max(map(len, words)) <= bpe.WORD_CHARS
+        if most > 40:
+            codec.packed.known.clear()  # a word that was met needs no piece again
+            assert codec.encode("And and") == tok.encode("and and", add_special_tokens=False).ids and not codec.packed.known
