@@ -2,8 +2,9 @@
 
 Where the vocabulary's rule drops blanks and splits words before any merge, a text's pieces are
 encoded one by one, as their ids do not depend on their neighbours.  Each worker keeps the ids of
-the pieces that it has met, and their finished strings of ids and tokens, in a bounded cache;
-where only ids are asked for, also those of whole words of plain text.
+the pieces that it has met, and their finished strings of ids and tokens, in a bounded cache.
+Where only ids are asked for, it keeps those of whole words of plain text instead, and the words
+that a batch of texts brings along are merged together, one merge of each word at a time.
 Other vocabularies, and rare characters, go through the library directly.
 
 A long text is halved again and again into leaves of bounded length, which are dealt over
@@ -30,10 +31,12 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.llm.columns import free
@@ -41,10 +44,12 @@ from gridloom.plans.scratch import materialise
 
 #: Texts of more characters than this go through tree concatenation, in leaves of at most this many.
 LEAF_CHARS = 32_768
-#: Pieces that one task remembers at most: half of it as texts, twice as packed ids, and as many whole words.
-CACHE_PIECES = 300_000
-#: Longer words of plain text are put together from their pieces each time.
+#: Whole words that one task remembers at most; besides half as many pieces as packed ids and a quarter as many as texts.
+CACHE_PIECES = 600_000
+#: Longer words of plain text are put together from their pieces each time; longer pieces go through the library.
 WORD_CHARS = 64
+#: New words that are merged together.
+MERGED_WORDS = 16_384
 _FIRST_WINDOW = 32
 _SHARED_RUN = 3
 
@@ -71,8 +76,12 @@ WORD_RULE = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 #: The characters that stand for the bytes of plain letters: printable bytes for themselves, others from U+0100 on.
 _SPARE = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
-_BYTES = {c: "".join(chr(256 + _SPARE.index(b)) if b in _SPARE else chr(b) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 _PLAIN_RULE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
+#: The same, with the line ends between words as pieces of their own.
+_PLAIN_LINES = re.compile(_PLAIN_RULE.pattern + "|\n")
+#: The character by which byte-level vocabularies name each byte.
+_NAMES = [chr(256 + _SPARE.index(b)) if b in _SPARE else chr(b) for b in range(256)]
+_BYTES = {c: "".join(_NAMES[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
 class Codec:
@@ -88,17 +97,29 @@ class Codec:
         self.drops_blanks = first.get("pattern") == {"Regex": WORD_RULE} and first.get("invert") is True
         self.joins_tokens = rules["decoder"] is None
         texts = lambda ids: (" ".join([self.digits[i] for i in ids]), " ".join([self.token[i] for i in ids]))
-        #: Of each piece its ids as decimal text and its tokens as text, or its ids as four bytes each.
-        # Texts take about four times the memory of packed ids, so a quarter as many are kept.
-        self.texts, self.packed = Pieces(self.tok, texts, cache_pieces // 2), Pieces(self.tok, _four_bytes, 2 * cache_pieces, b"".join)
+        self.id_dtype = "<u2" if size <= 1 << 16 else "<u4"
+        words = Words(Merges(rules["model"], self.id_dtype), self.tok.model.tokenize, cache_pieces) if self.drops_blanks and Merges.hold(rules["model"]) else None
+        #: Of each piece its ids as decimal text and its tokens as text, or its ids as two or four bytes each.
+        # Texts take several times the memory of packed ids, so fewer are kept.
+        self.texts, self.packed = Pieces(self.tok, texts, cache_pieces // 4), Pieces(self.tok, lambda ids: np.array(ids, self.id_dtype).tobytes(), cache_pieces // 2, words)
 
     def pack_many(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """Exactly the library's ids of each text, in order, as arrays."""
+        """Exactly the library's ids of each text, in order, as arrays of ``id_dtype``."""
         if not self.drops_blanks:
-            yield from (np.array(self.tok.encode(t or "", add_special_tokens=False).ids, "<u4") for t in texts)
+            yield from (np.array(self.tok.encode(t or "", add_special_tokens=False).ids, self.id_dtype) for t in texts)
             return
-        for found in self.packed.of(texts):
-            yield np.frombuffer(b"".join(found), "<u4")
+        at, words = 0, self.packed.words
+        while at < len(texts):
+            some, chars = [], 0
+            while at + len(some) < len(texts) and chars < 4_000_000:
+                some.append(texts[at + len(some)] or "")
+                chars += len(some[-1])
+            whole = [words is not None and _is_plain(t) for t in some]
+            plain = iter(words.of([t for t, w in zip(some, whole) if w]) if any(whole) else [])
+            other = self.packed.of([t for t, w in zip(some, whole) if not w])
+            for w in whole:
+                yield next(plain) if w else np.frombuffer(b"".join(next(other)), self.id_dtype)
+            at += len(some)
 
     def encode_many(self, texts: list[str | None]) -> Iterator[list[int]]:
         yield from (ids.tolist() for ids in self.pack_many(texts))
@@ -129,43 +150,120 @@ class Codec:
             yield ids.count(" ") + bool(ids), _sha256(ids), _sha256(" ".join([tokens for _, tokens in found if tokens]))
 
 
-def _four_bytes(ids: list[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+def _is_plain(text: str) -> bool:
+    return _PLAIN.fullmatch(text) is not None and "<|" not in text
+
+
+class Merges:
+    """Merges of a byte-level vocabulary on many pieces at once: each step merges, in every piece, the first of its best pairs."""
+
+    def __init__(self, model: dict, dtype: str):
+        ids, pairs, end = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]], model["end_of_word_suffix"] or ""
+        self.dtype, self.size, self.none = dtype, 1 + max(ids.values()), len(pairs)
+        #: Ids of the bytes 0 to 255 inside a piece, then of the same bytes at its end.
+        self.bytes = np.array([ids[c + e] for e in ("", end) for c in _NAMES])
+        self.made = np.array([ids[a + b] for a, b in pairs])
+        keys = np.array([ids[a] * self.size + ids[b] for a, b in pairs])
+        self.rank = np.append(np.argsort(keys), self.none)
+        self.keys = np.append(keys[self.rank[:-1]], self.size**2)
+        self.byte_ranks = self._ranks(np.repeat(self.bytes, 512), np.tile(self.bytes, 512)).astype("<i4")
+
+    @staticmethod
+    def hold(model: dict) -> bool:
+        """Whether the library does nothing but such merges, each of which makes another token."""
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+        plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "ignore_merges"))
+        named = all(c + e in model["vocab"] for c in _NAMES for e in ("", model.get("end_of_word_suffix") or ""))
+        return model.get("type") == "BPE" and plain and named and 0 < len(pairs) == len({a + b for a, b in pairs})
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a * self.size + b
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.rank[at], self.none)
+
+    def merged(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids after all merges, number of piece of each), given the bytes of pieces of ``size`` bytes each, 256 added to each last."""
+        piece, start, done, ids = np.arange(len(size)), np.cumsum(size) - size, [], self.bytes[data]
+        rank = np.append(self.byte_ranks[data[:-1] * 512 + data[1:]].astype(np.int64), self.none)
+        rank[start[1:] - 1] = self.none
+        while len(size):
+            best = np.minimum.reduceat(rank << 32 | np.arange(len(ids)), start)
+            live = best >> 32 < self.none
+            stay = np.repeat(live, size)
+            done.append((ids[~stay], np.repeat(piece[~live], size[~live])))
+            at = best[live] & 0xFFFFFFFF
+            ids[at] = self.made[best[live] >> 32]
+            stay[at + 1] = False
+            at -= start[live]
+            ids, rank, piece, size = ids[stay], rank[stay], piece[live], size[live] - 1
+            start = np.cumsum(size) - size
+            rank[start + at] = self.none
+            for here in ((start + at)[at + 1 < size], (start + at - 1)[at > 0]):
+                rank[here] = self._ranks(ids[here], ids[here + 1])
+        ids, piece = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(piece, kind="stable")
+        return ids[order], piece[order]
+
+    def of(self, words: list[str]) -> list[bytes]:
+        """Packed ids of each lower-cased word of plain text."""
+        text = np.frombuffer("\t".join(_PLAIN_LINES.findall("\n".join(words) + "\n")).encode() + b"\t", np.uint8)
+        last = np.append(text[1:] == 9, False)
+        byte = (text != 9) & (text != 10)
+        if not byte.any():
+            return [b""] * len(words)
+        size = np.diff(np.nonzero(last[byte])[0], prepend=-1)
+        ids, piece = self.merged((text + 256 * last.astype(np.int64))[byte], size)
+        word = np.cumsum(text == 10)[byte & last]
+        ends = np.cumsum(np.bincount(word[piece], minlength=len(words))) * np.dtype(self.dtype).itemsize
+        packed = ids.astype(self.dtype).tobytes()
+        return [packed[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
 
 class Words(dict):
-    """What is kept of each lower-cased word of plain text, put together by ``join`` from its pieces; those met first stay."""
+    """Packed ids of each lower-cased word of plain text; those met first stay."""
 
-    def __init__(self, pieces: Pieces, join, most: int):
+    def __init__(self, merges: Merges, whole, most: int):
         super().__init__()
-        self.pieces, self.join, self.most = pieces, join, most
-
-    def __missing__(self, word: str):
-        pieces = _PLAIN_RULE.findall(word)
-        if not self.pieces.known.keys() >= set(pieces):
-            self.pieces._learn(set(pieces), True)
-        found = self.join(map(self.pieces.known.__getitem__, pieces))
-        if len(word) <= WORD_CHARS:
-            if len(self) < self.most:
-                self[word] = found
-        return found
+        self.merges, self.whole, self.most = merges, whole, most
+
+    def of(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of plain texts.  No piece of a plain text reaches over a blank."""
+        split = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(texts, "string")))
+        coded = split.flatten().dictionary_encode()
+        found = self.packed(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids, which = np.frombuffer(b"".join(found), self.merges.dtype), coded.indices.to_numpy()
+        size = np.fromiter(map(len, found), np.int64, len(found)) // ids.itemsize
+        many = size[which]
+        end = np.cumsum(many)
+        ids = ids[np.repeat((np.cumsum(size) - size)[which] - (end - many), many) + np.arange(many.sum())]
+        return np.split(ids, np.append(0, end)[split.offsets.to_numpy()[1:-1]])
+
+    def packed(self, words: list[str]) -> list[bytes]:
+        """What is kept of different words; new ones are merged together."""
+        found = list(map(self.get, words))
+        new = [w for w, ids in zip(words, found) if ids is None]
+        pieces = {w: _PLAIN_RULE.findall(w) for w in new if len(w) > WORD_CHARS}
+        parts = set(chain.from_iterable(pieces.values()))
+        long = {p: np.array([t.id for t in self.whole(p.translate(_BYTES))], self.merges.dtype).tobytes() for p in parts if len(p) > WORD_CHARS}
+        short = list(dict.fromkeys([w for w in new if w not in pieces] + [p for p in parts if p not in long]))
+        met = dict(zip(short, chain.from_iterable(self.merges.of(short[k : k + MERGED_WORDS]) for k in range(0, len(short), MERGED_WORDS))))
+        self.update(islice(met.items(), max(0, self.most - len(self))))
+        met |= long
+        met |= {w: b"".join([met[p] for p in ps]) for w, ps in pieces.items()}
+        return [met[w] if ids is None else ids for w, ids in zip(words, found)]
 
 
 class Pieces:
-    """Bounded cache of what is kept of the ids of each piece of text; with ``join`` also of whole words of plain texts."""
+    """Bounded cache of what is kept of the ids of each piece of text; plain texts may be looked up in ``words`` instead."""
 
-    def __init__(self, tok, keep, most: int, join=None):
-        self.tok, self.keep, self.most = tok, keep, most
-        self.words = Words(self, join, most // 2) if join else None
+    def __init__(self, tok, keep, most: int, words: Words | None = None):
+        self.tok, self.keep, self.most, self.words = tok, keep, most, words
         self.known: dict[str, object] = {}
         #: The pieces met first, among them nearly all frequent ones, stay when the cache is full.
         self.core: list[str] = []
 
-    def _cut(self, text: str) -> tuple[list, bool | None]:
-        """(pieces, whether they are plain), or what is kept of the words and None."""
-        if _PLAIN.fullmatch(text) and "<|" not in text:
-            if self.words is not None:  # no piece of plain text reaches over a blank
-                return list(map(self.words.__getitem__, text.lower().split())), None
+    def _cut(self, text: str) -> tuple[list[str], bool]:
+        if _is_plain(text):
             return _PLAIN_RULE.findall(text.lower()), True
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "), False
 
@@ -363,7 +461,7 @@ def _long(texts: DataFrame, vocab: str, leaf: int, schema: str, shape) -> DataFr
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = shared_codec(vocab)
         for values in batches:
-            yield pd.Series(list(codec.pack_many(values.tolist())), dtype=object)
+            yield pd.Series([ids.astype("<i4") for ids in codec.pack_many(values.tolist())], dtype=object)
 
     def merge(key, group: pd.DataFrame) -> pd.DataFrame:
         codec, ids, run = shared_codec(vocab), [], []

@@ -105,7 +105,7 @@ class BpeBodies:
         return short.unionByName(long.withColumn("text", F.lit(None).cast("string")))
 
     def many(self, texts: list[str | None]) -> list[bytes]:
-        return [ids.astype(self.dtype).tobytes() for ids in bpe.shared_codec(self.vocab).pack_many(texts)]
+        return [ids.astype(self.dtype, copy=False).tobytes() for ids in bpe.shared_codec(self.vocab).pack_many(texts)]
 
 
 class ByteBodies:
