@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridloom.llm import simhash
-from gridloom.operators.graph import connected_components
+from gridloom.operators.graph import SMALL_EDGES, connected_components
 from gridloom.plans.scratch import materialise
 
 SHINGLE_WORDS = 5
@@ -120,11 +120,11 @@ def _sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs(src, dst)`` whose exact similarity is at least 0.8."""
+    """Those rows of ``pairs(src, dst, ..)`` whose exact similarity is at least 0.8."""
     a, b = (sets.select(F.col("node").alias(c), F.col("set").alias(s)) for c, s in (("src", "a"), ("dst", "b")))
     # i / (na + nb - i) >= 4 / 5 in whole numbers
     near = F.size(F.array_intersect("a", "b")) * 9 >= (F.size("a") + F.size("b")) * 4
-    return pairs.join(a, "src").join(b, "dst").where(near).select("src", "dst")
+    return pairs.join(a, "src").join(b, "dst").where(near).select(*pairs.columns)
 
 
 def _mixed(known: DataFrame) -> DataFrame:
@@ -133,11 +133,11 @@ def _mixed(known: DataFrame) -> DataFrame:
     return known.join(some, "key")
 
 
-def _hub_pairs(mixed: DataFrame, order: Column) -> DataFrame:
+def _hub_pairs(known: DataFrame, order: Column) -> DataFrame:
     """``(src, dst, dst_cls)``: every node with one node of another class that leads one of its bands, the least by ``order``."""
     rank = F.struct(order.alias("h"), "node", "cls")
-    hubs = mixed.groupBy("key").agg(F.min(rank).alias("hub"))
-    ends = mixed.join(hubs, "key").where("cls <> hub.cls").groupBy("node").agg(F.min("hub").alias("hub"))
+    hubs = known.groupBy("key").agg(F.min(rank).alias("hub"), F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("key", "hub")
+    ends = known.join(hubs, "key").where("cls <> hub.cls").groupBy("node").agg(F.min("hub").alias("hub"))
     return ends.select(F.col("node").alias("src"), F.col("hub.node").alias("dst"), F.col("hub.cls").alias("dst_cls"))
 
 
@@ -196,45 +196,45 @@ def grid_pairs(nodes: DataFrame) -> DataFrame:
     """``(src, dst)`` of ``nodes(node, fp)`` whose components are those of 'at most three bits of the fingerprints differ'."""
     fps = materialise(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "set-fingerprints")
     end = lambda c: fps.select(F.col("fp").alias(c), F.col("rep").alias(f"{c}_rep"))
-    near = simhash.link_fingerprints(fps.select("fp")).join(end("src"), "src").join(end("dst"), "dst").select(F.col("src_rep").alias("src"), F.col("dst_rep").alias("dst"))
+    near = simhash.link_fingerprints(fps.select("fp"), small=SMALL_EDGES).join(end("src"), "src").join(end("dst"), "dst").select(F.col("src_rep").alias("src"), F.col("dst_rep").alias("dst"))
     return near.union(nodes.join(fps, "fp").where("node <> rep").select(F.col("node").alias("src"), F.col("rep").alias("dst")))
 
 
-def _links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(src, dst)`` whose components are those of 'similarity at least 0.8'."""
+def _classes(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(node, cls)`` of the nodes that have links: the components of 'similarity at least 0.8'."""
+    grouped = lambda links: connected_components(links, SMALL_EDGES).withColumnRenamed("component", "cls")
     rows = nodes.select("node", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
     met = materialise(rows.join(shared.select("key", "size"), "key"), "shared-bands")
-    # Whoever shares bands with most others lies in the middle of its variants and leads in the first round.
-    reach = met.groupBy("node").agg(F.sum("size").alias("reach"))
-    met = met.drop("size")
+    named = lambda classes: met.join(classes, "node", "left").withColumn("cls", F.coalesce("cls", "node"))
     grid = materialise(grid_pairs(nodes.select("node", "fp")), "grid-pairs")
     asked = met.select("node").union(grid.select("src")).union(grid.select("dst")).distinct()
     sets = _sets(asked, nodes, docs, id_col, text_col)
     size = lambda at: sets.select(F.col("node").alias(at), *[F.col(c).alias(f"{at}_{c}") for c in ("n", "s0", "s1")])
     # In the rounds a node takes on the class of the leading node it is linked with; nodes of one class are always linked, if not the other way round.
     links = materialise(_confirmed(grid, sets), "near-in-grid")
-    classes = connected_components(links).withColumnRenamed("component", "cls")
-    known = materialise(met.join(classes, "node", "left").select("key", "node", F.coalesce("cls", "node").alias("cls")), "band-classes")
+    # Whoever shares bands with most others lies in the middle of its variants and leads in the first round.
+    known = named(grouped(links)).withColumn("reach", F.sum("size").over(Window.partitionBy("node")))
+    known = materialise(known.select("key", "node", "cls", "reach"), "band-classes")
     for salt in range(STAR_ROUNDS):
-        mixed = _mixed(known)
-        leading = _hub_pairs(mixed, F.xxhash64("node", F.lit(salt))) if salt else _hub_pairs(mixed.join(reach, "node"), -F.col("reach"))
+        leading = _hub_pairs(known, F.xxhash64("node", F.lit(salt)) if salt else -F.col("reach"))
         pairs = leading.join(size("src"), "src").join(size("dst"), "dst")
         tried = materialise(pairs.where(_can_be_near("src_", "dst_")).select("src", "dst", "dst_cls"), "tried-pairs")
-        found = materialise(tried.join(_confirmed(tried.select("src", "dst"), sets), ["src", "dst"]), "near-hubs")
+        found = materialise(_confirmed(tried, sets), "near-hubs")
         links = links.union(found.select("src", "dst"))
-        moved = found.select(F.col("src").alias("node"), "dst_cls")
-        known = materialise(known.join(moved, "node", "left").select("key", "node", F.coalesce("dst_cls", "cls").alias("cls")), "band-classes")
-    classes = connected_components(links).withColumnRenamed("component", "cls")
-    known = met.join(classes, "node", "left").withColumn("cls", F.coalesce("cls", "node"))
+        if salt < STAR_ROUNDS - 1:
+            moved = found.select(F.col("src").alias("node"), "dst_cls")
+            known = materialise(known.join(moved, "node", "left").select("key", "node", F.coalesce("dst_cls", "cls").alias("cls")), "band-classes")
+    classes = grouped(links)
+    known = materialise(named(classes).select("key", "node", "cls"), "band-classes")
     rest = materialise(_prefix_pairs(materialise(_mixed(known), "mixed-bands"), sets), "other-pairs")
-    return links if rest.isEmpty() else links.union(_confirmed(rest, sets))
+    return classes if rest.isEmpty() else grouped(links.union(_confirmed(rest, sets)))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row left of every group of near duplicates, chosen as ``simhash.keep_one`` does."""
     nodes = _nodes(docs, id_col, text_col)
-    groups = connected_components(_links(nodes, docs, id_col, text_col))
-    named = nodes.select("node", "first").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    best = named.groupBy("component").agg(F.min("first").alias("b"))
+    classes = _classes(nodes, docs, id_col, text_col)
+    named = nodes.select("node", "first").join(classes, "node", "left").withColumn("cls", F.coalesce("cls", "node"))
+    best = named.groupBy("cls").agg(F.min("first").alias("b"))
     return simhash.take_rows(docs, best.select(F.col("b.k").alias("k"), F.col("b.th").alias("th")), id_col, text_col)

@@ -108,7 +108,7 @@ def _logistic(f: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> Model:
-    rows = labelled(docs, labels, label, id_col, FOLDS, FOLD)
+    rows = materialise(labelled(docs, labels, label, id_col, FOLDS, FOLD), "quality-labels")
     side = F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(2))
 
     @F.pandas_udf("array<binary>")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gridloom.plans.scratch import materialise
+
 
 def held_out(id_col: str, folds: int, fold: int) -> Column:
     """Whether crc32 of the id as text falls on the fold kept for testing; false for a null id."""
@@ -29,7 +31,7 @@ def with_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, n: i
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.length(text).alias("size"))
-    found = rows.join(F.broadcast(per_class(ids, n, salt).distinct()), "id").distinct()
+    found = materialise(rows.join(F.broadcast(per_class(ids, n, salt).distinct()), "id").distinct(), "sampled-ids")
     few = per_class(found, n, salt, "id", "th")
     # At most 2 n rows without texts: their sizes are summed in the order in which they were chosen.
     order = Window.partitionBy("y").orderBy(F.xxhash64(F.lit(salt), "id"), "id", "th")

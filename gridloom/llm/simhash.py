@@ -110,14 +110,14 @@ def _hub_links(fps: DataFrame) -> DataFrame:
     return hubs.join(least, "hub").where("fp <> dst").select(F.col("fp").alias("src"), "dst").distinct()
 
 
-def link_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS, dense: int = DENSE_CELL) -> DataFrame:
-    """``fps(fp)`` distinct -> ``(src, dst)`` links whose components are those of 'at most ``max_bits`` bits differ'."""
+def link_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS, dense: int = DENSE_CELL, small: int = 0) -> DataFrame:
+    """``fps(fp)`` distinct -> ``(src, dst)`` links whose components are those of 'at most ``max_bits`` bits differ'; ``small`` as for ``connected_components``."""
     if not 2 <= max_bits <= 3:
         raise ValueError("the two-half grid covers 2 or 3 differing bits")
     cells = _halves(fps.select("fp"))
     crowded = cells.groupBy("half", "cell").agg(F.count("*").alias("n")).where(F.col("n") > dense)
     hubs = materialise(_hub_links(cells.join(crowded, ["half", "cell"], "left_semi").select("fp").distinct()), "hub-links")
-    classes = connected_components(hubs).select(F.col("node").alias("fp"), F.col("component").alias("cls"))
+    classes = connected_components(hubs, small).select(F.col("node").alias("fp"), F.col("component").alias("cls"))
     known = _halves(fps.join(classes, "fp", "left").select("fp", F.coalesce("cls", "fp").alias("cls")))
     a = known.select("half", "cell", F.col("fp").alias("src"), F.col("cls").alias("ca"))
     b = _around(known).select("half", "cell", F.col("fp").alias("dst"), F.col("cls").alias("cb"))
