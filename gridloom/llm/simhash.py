@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.llm.columns import free
 from gridloom.operators.graph import connected_components
-from gridloom.plans.scratch import materialise
+from gridloom.plans.scratch import materialise, shuffled
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -107,7 +107,7 @@ def _hub_links(fps: DataFrame) -> DataFrame:
     flips = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64 if i == 63 else 0))) for i in range(64)]
     hubs = fps.select("fp", F.explode(F.array(*flips)).alias("hub"))
     least = hubs.groupBy("hub").agg(F.min("fp").alias("dst"), F.max("fp").alias("top")).where("dst <> top").select("hub", "dst")
-    return hubs.join(least, "hub").where("fp <> dst").select(F.col("fp").alias("src"), "dst").distinct()
+    return shuffled(hubs).join(shuffled(least), "hub").where("fp <> dst").select(F.col("fp").alias("src"), "dst").distinct()
 
 
 def link_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS, dense: int = DENSE_CELL, small: int = 0) -> DataFrame:
@@ -122,7 +122,7 @@ def link_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS, dense: int = DEN
     a = known.select("half", "cell", F.col("fp").alias("src"), F.col("cls").alias("ca"))
     b = _around(known).select("half", "cell", F.col("fp").alias("dst"), F.col("cls").alias("cb"))
     met = (F.col("src") < F.col("dst")) & (F.col("ca") != F.col("cb")) & (F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= max_bits)
-    return a.join(b, ["half", "cell"]).where(met).select("src", "dst").union(hubs)
+    return shuffled(a).join(shuffled(b), ["half", "cell"]).where(met).select("src", "dst").union(hubs)
 
 
 def _row_key(docs: DataFrame, id_col: str, text_col: str) -> tuple:
