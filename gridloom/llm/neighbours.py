@@ -28,11 +28,13 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gridloom.plans.scratch import materialise
+from gridloom.plans.scratch import materialise, shuffled
 
 TABLES, FUNCTIONS, WIDTH, PROBES = 2, 6, 2.0, 220
 SAMPLE_ROWS = 2_000
 BLOCK_ROWS, BLOCK_QUERIES = 2_048, 1_024
+#: Most cells, visited ones that hold rows, whose blocks are sent to every task.
+BROADCAST_CELLS = 100_000
 SEED = 20_240_101
 
 
@@ -87,9 +89,23 @@ def perturbations(inside: np.ndarray, probes: int) -> Iterator[list[tuple[int, i
             heapq.heappush(heap, (cost + walls[last + 1][0], (*chosen, last + 1)))
 
 
+def _least(rows: DataFrame, n: int) -> DataFrame:
+    """The ``SAMPLE_ROWS`` vectors of least hash; ``n``, if given, is the number of ``rows``.
+
+    Every task sends as many rows as it may hold of these.  Hashes are uniform, so those looked for lie
+    in the lowest share of them, but for one sample in 10^6, and all tasks together send few more.
+    """
+    h, share = F.xxhash64("vec"), 1.25 * SAMPLE_ROWS / max(1, n)
+    low = rows.where(h < F.lit(int(share * 2.0**64) - (1 << 63))) if n and share < 1 else rows
+    return low.select("vec").orderBy(h).limit(SAMPLE_ROWS)
+
+
 def _scale(rows: DataFrame) -> tuple[int, float]:
     """Dimension, and the usual distance of two vectors over the square root of two, from a bounded sample."""
-    got = rows.select("vec").orderBy(F.xxhash64("vec")).limit(SAMPLE_ROWS).collect()
+    n = rows.count()
+    got = _least(rows, n).collect()
+    if len(got) < min(n, SAMPLE_ROWS):
+        got = _least(rows, 0).collect()
     x = np.array([r["vec"] for r in got], dtype=float)
     if len(x) < 2:
         return (x.shape[1] if len(x) else 0), 1.0
@@ -146,11 +162,17 @@ def _best(index: DataFrame, visits: DataFrame, k: int) -> DataFrame:
     """``(key, id, score)``: the ``k + 1`` best candidates of each query over all cells it visits."""
     n = index.groupBy("table", "cell").agg(F.count("*").alias("n"))
     m = visits.groupBy("table", "cell").agg(F.count("*").alias("m"))
-    parts = n.join(m, ["table", "cell"]).select("table", "cell", F.ceil(F.col("n") / BLOCK_ROWS).alias("nb"), F.ceil(F.col("m") / BLOCK_QUERIES).alias("qb"))
+    parts = shuffled(n).join(shuffled(m), ["table", "cell"]).select("table", "cell", F.ceil(F.col("n") / BLOCK_ROWS).alias("nb"), F.ceil(F.col("m") / BLOCK_QUERIES).alias("qb"))
+    parts = materialise(parts, "ann-cells")
+    few = parts.count() <= BROADCAST_CELLS
+    # Spark sizes visits as the queries they come from, so that it would broadcast them if it had the choice.
+    split = lambda df: df.join(F.broadcast(parts), ["table", "cell"]) if few else shuffled(df).join(shuffled(parts), ["table", "cell"])
     spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c).cast("int") - 1))
-    left = index.join(parts, ["table", "cell"]).withColumn("block", F.pmod(F.xxhash64("ids"), "nb").cast("int")).withColumn("qblock", spread("qb"))
-    right = visits.join(parts, ["table", "cell"]).withColumn("qblock", F.pmod(F.xxhash64("key"), "qb").cast("int")).withColumn("block", spread("nb"))
-    by = ["table", "cell", "block", "qblock"]
+    left = split(index).withColumn("block", F.pmod(F.xxhash64("ids"), "nb").cast("int")).withColumn("qblock", spread("qb"))
+    right = split(visits).withColumn("qblock", F.pmod(F.xxhash64("key"), "qb").cast("int")).withColumn("block", spread("nb"))
+    # Named by another value than the cell, so that rows dealt by cell are dealt anew by block.
+    left, right = (x.withColumn("place", F.bitwise_not("cell")) for x in (left, right))
+    by = ["table", "place", "block", "qblock"]
 
     def rank(cand: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -1,10 +1,14 @@
 """Tables that an explode has lengthened are shuffled: Spark sizes them as before it and would send them through the driver."""
 
+import itertools
 import random
+import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from gridloom.llm import simhash
+from gridloom.llm import neighbours, simhash
+from gridloom.plans.scratch import materialise
 
 
 def broadcast_joins(df):
@@ -27,3 +31,59 @@ def test_cells_and_hubs_are_not_broadcast(spark):
         links = simhash.link_fingerprints(df, dense=dense)
         assert links.where(F.col("src") == F.col("dst")).isEmpty() and not links.isEmpty()
         assert [j for j in broadcast_joins(links) if "half" in j] == []
+
+
+def broadcast_plans(df):
+    """The plans under the broadcasts that ran."""
+    run = df._jdf.queryExecution()
+    run.executedPlan().executeCollectPublic()
+    lines, found = run.executedPlan().toString().split("\n== Initial Plan")[0].split("\n"), []
+    depth = lambda line: len(re.match(r"[\s:+|-]*", line).group())
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            under = itertools.takewhile(lambda x: depth(x) > depth(line), lines[i + 1 :])  # noqa: B023
+            found.append("\n".join(under))
+    return found
+
+
+def cells_and_visits(spark, n=400):
+    rnd = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rnd.standard_normal((n, 6)))]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    one = neighbours.entries(df, 3)
+    hashes = neighbours.Hashes(6, 1.0)
+    index = materialise(neighbours._index(one, hashes), "few-cells")
+    queries = materialise(one.limit(8).select("key", "vec"), "few-queries")
+    return index, neighbours._visits(queries, hashes, 40)
+
+
+def test_visits_are_not_broadcast(spark, monkeypatch):
+    index, visits = cells_and_visits(spark)
+    found = []
+    for few in (neighbours.BROADCAST_CELLS, 0):
+        monkeypatch.setattr(neighbours, "BROADCAST_CELLS", few)
+        monkeypatch.setattr(neighbours, "BLOCK_ROWS", 4)
+        best = neighbours._best(index, visits, 3)
+        sent = broadcast_plans(best)
+        assert all("InPandas" not in x for x in sent) and bool(sent) == bool(few)
+        # Blocks of one cell are dealt over the tasks, however the cells were joined.
+        plan = best._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"hashpartitioning\(table#\w+, place#\w+, block#\w+, qblock#\w+", plan)
+        found.append(sorted(map(tuple, best.collect())))
+    assert found[0] == found[1] and found[0]
+
+
+def test_sample_is_drawn_from_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SAMPLE_ROWS", 300)
+    df = spark.range(6_000).select(F.array(F.rand(3), F.rand(4)).alias("vec")).repartition(8)
+    df = materialise(df, "many-vectors")
+    plain = [r.vec for r in df.orderBy(F.xxhash64("vec")).limit(300).collect()]
+    low = neighbours._least(df, df.count())
+    assert [r.vec for r in low.collect()] == plain
+    plan = low._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "Filter" in plan
+    sent = []
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda x: sent.append(x) or collect(x))
+    assert neighbours._scale(df)[0] == 2 and len(sent) == 1
+    assert neighbours._scale(df.limit(1)) == (2, 1.0) and neighbours._scale(df.limit(0)) == (0, 1.0)
