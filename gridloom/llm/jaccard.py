@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridloom.llm import simhash
 from gridloom.operators.graph import SMALL_EDGES, connected_components
-from gridloom.plans.scratch import materialise
+from gridloom.plans.scratch import materialise, shuffled
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 32, 5
@@ -130,14 +130,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _mixed(known: DataFrame) -> DataFrame:
     """The rows ``(key, node, cls)`` of the bands that hold more than one class."""
     some = known.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("key")
-    return known.join(some, "key")
+    return shuffled(known).join(shuffled(some), "key")
 
 
 def _hub_pairs(known: DataFrame, order: Column) -> DataFrame:
     """``(src, dst, dst_cls)``: every node with one node of another class that leads one of its bands, the least by ``order``."""
     rank = F.struct(order.alias("h"), "node", "cls")
     hubs = known.groupBy("key").agg(F.min(rank).alias("hub"), F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("key", "hub")
-    ends = known.join(hubs, "key").where("cls <> hub.cls").groupBy("node").agg(F.min("hub").alias("hub"))
+    ends = shuffled(known).join(shuffled(hubs), "key").where("cls <> hub.cls").groupBy("node").agg(F.min("hub").alias("hub"))
     return ends.select(F.col("node").alias("src"), F.col("hub.node").alias("dst"), F.col("hub.cls").alias("dst_cls"))
 
 
@@ -182,7 +182,7 @@ def _prefix_meetings(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     small = of("a", lists.where("rest * 9 >= n * 8").withColumn("step", step(F.col("n"))))
     least, most = F.expr("(n * 4 + 4) div 5"), F.least("n", F.expr("(rest * 9 - n * 4) div 4"))
     large = of("b", lists.withColumn("step", F.explode(F.sequence(step(least), step(most)))))
-    met = small.join(large, ["p0", "p1", "step"])
+    met = shuffled(small).join(shuffled(large), ["p0", "p1", "step"])
     met = met.where("a_cls <> b_cls AND (a_n < b_n OR a_n = b_n AND a_node < b_node) AND least(a_rest, b_rest) * 9 >= (a_n + b_n) * 4 AND NOT arrays_overlap(a_before, b_before)")
     return met.where(_can_be_near("a_", "b_")).select(F.col("a_node").alias("src"), F.col("b_node").alias("dst"))
 
@@ -195,9 +195,9 @@ def _prefix_pairs(mixed: DataFrame, sets: DataFrame) -> DataFrame:
 def grid_pairs(nodes: DataFrame) -> DataFrame:
     """``(src, dst)`` of ``nodes(node, fp)`` whose components are those of 'at most three bits of the fingerprints differ'."""
     fps = materialise(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "set-fingerprints")
-    end = lambda c: fps.select(F.col("fp").alias(c), F.col("rep").alias(f"{c}_rep"))
+    end = lambda c: shuffled(fps.select(F.col("fp").alias(c), F.col("rep").alias(f"{c}_rep")))
     near = simhash.link_fingerprints(fps.select("fp"), small=SMALL_EDGES).join(end("src"), "src").join(end("dst"), "dst").select(F.col("src_rep").alias("src"), F.col("dst_rep").alias("dst"))
-    return near.union(nodes.join(fps, "fp").where("node <> rep").select(F.col("node").alias("src"), F.col("rep").alias("dst")))
+    return near.union(nodes.join(shuffled(fps), "fp").where("node <> rep").select(F.col("node").alias("src"), F.col("rep").alias("dst")))
 
 
 def _classes(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -205,14 +205,14 @@ def _classes(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
     grouped = lambda links: connected_components(links, SMALL_EDGES).withColumnRenamed("component", "cls")
     rows = nodes.select("node", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    met = materialise(rows.join(shared.select("key", "size"), "key"), "shared-bands")
+    met = materialise(shuffled(rows).join(shuffled(shared.select("key", "size")), "key"), "shared-bands")
     named = lambda classes: met.join(classes, "node", "left").withColumn("cls", F.coalesce("cls", "node"))
     grid = materialise(grid_pairs(nodes.select("node", "fp")), "grid-pairs")
     asked = met.select("node").union(grid.select("src")).union(grid.select("dst")).distinct()
     sets = _sets(asked, nodes, docs, id_col, text_col)
     size = lambda at: sets.select(F.col("node").alias(at), *[F.col(c).alias(f"{at}_{c}") for c in ("n", "s0", "s1")])
     # In the rounds a node takes on the class of the leading node it is linked with; nodes of one class are always linked, if not the other way round.
-    links = materialise(_confirmed(grid, sets), "near-in-grid")
+    links = materialise(_confirmed(shuffled(grid), sets), "near-in-grid")
     # Whoever shares bands with most others lies in the middle of its variants and leads in the first round.
     known = named(grouped(links)).withColumn("reach", F.sum("size").over(Window.partitionBy("node")))
     known = materialise(known.select("key", "node", "cls", "reach"), "band-classes")
@@ -228,7 +228,7 @@ def _classes(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
     classes = grouped(links)
     known = materialise(named(classes).select("key", "node", "cls"), "band-classes")
     rest = materialise(_prefix_pairs(materialise(_mixed(known), "mixed-bands"), sets), "other-pairs")
-    return classes if rest.isEmpty() else grouped(links.union(_confirmed(rest, sets)))
+    return classes if rest.isEmpty() else grouped(links.union(_confirmed(shuffled(rest), sets)))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from gridloom.llm import neighbours, simhash
+from gridloom.llm import jaccard, neighbours, simhash
 from gridloom.plans.scratch import materialise
 
 
@@ -87,3 +87,20 @@ def test_sample_is_drawn_from_few_rows(spark, monkeypatch):
     monkeypatch.setattr(type(df), "collect", lambda x: sent.append(x) or collect(x))
     assert neighbours._scale(df)[0] == 2 and len(sent) == 1
     assert neighbours._scale(df.limit(1)) == (2, 1.0) and neighbours._scale(df.limit(0)) == (0, 1.0)
+
+
+def test_bands_and_lists_are_not_broadcast(spark):
+    rnd = random.Random(7)
+    words = [f"w{i}" for i in range(400)]
+    texts = [rnd.choices(words, k=60) for _ in range(6)]
+    texts += [[rnd.choice(words) if rnd.random() < 0.01 else w for w in t] for t in texts for _ in range(8)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    nodes = jaccard._nodes(docs, "doc_id", "text")
+    assert [j for j in broadcast_joins(jaccard.grid_pairs(nodes.select("node", "fp"))) if re.search(r"\[(src|dst|half)#", j)] == []
+    known = materialise(nodes.select("node", F.explode("bands").alias("key")).withColumn("cls", F.col("node")), "few-bands")
+    pairs = jaccard._hub_pairs(known, F.xxhash64("node"))
+    assert not pairs.isEmpty() and broadcast_joins(pairs) == []
+    assert broadcast_joins(jaccard._mixed(known)) == []
+    sets = jaccard._sets(known.select("node").distinct(), nodes, docs, "doc_id", "text")
+    met = jaccard._prefix_meetings(materialise(jaccard._mixed(known), "few-mixed"), sets)
+    assert not met.isEmpty() and broadcast_joins(met) == []
